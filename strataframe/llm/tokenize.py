@@ -194,7 +194,7 @@ def encode(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """(key, size INT) of every row: the number of its tokens, 0 for null and empty texts."""
-    schema = docs.select(F.col(f"`{key}`")).schema.add("size", "int")
+    schema = docs.select(F.col(f"`{key}`")).schema.add("size", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
