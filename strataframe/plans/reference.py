@@ -1,2 +1,345 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of framing, graphs, RDF, layered texts, renditions, text functions and vocabularies, with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataframe.functions import predicates, scalars
+from strataframe.functions.predicates import FrameFilter
+from strataframe.operators import framing, graph, rdf, render, texts, thesaurus
+from strataframe.storage import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AS_OF, FROM, TO = "2024-01-01 00:00:00", "2024-02-01 00:00:00", "2024-03-01 00:00:00"
+PREFIXES = {"lv": "http://lv.example.org/vocabulary#", "x": "http://data.example.org/", "xsd": "http://www.w3.org/2001/XMLSchema#", "xs": "http://www.w3.org/2001/XMLSchema#"}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# framing
+
+_LATEST = """(select *, row_number() over (partition by "referenceId" order by "timeModified" desc nulls last, _id desc nulls last) as r from {t} where "referenceId" is not null and {w})"""
+_ITEM = '"referenceId" as _id, title, status as _status, "sortKey", flags'
+
+
+def _items(df: DataFrame) -> DataFrame:
+    return df.select("_id", "title", "_status", "sortKey", "flags")
+
+
+def _snapshot_query(name: str, f: FrameFilter, where: str, tail: str = "", with_deleted: bool = True) -> None:
+    sql = f"select {_ITEM} from {_LATEST.format(t='history_items', w=where)} where r = 1 {tail}"
+    query(name, sql)(lambda s, d: _items(framing.snapshot(table(s, d, "history_items"), f, with_deleted)))
+
+
+_UNTIL = f"\"timeModified\" <= timestamp '{AS_OF}'"
+_snapshot_query("frame_items", FrameFilter(), "true")
+_snapshot_query("frame_items_asof", FrameFilter(max_time=AS_OF), _UNTIL)
+_snapshot_query("frame_items_nodeleted", FrameFilter(), "true", "and status is distinct from 2", False)
+_snapshot_query("filter_title_regex", FrameFilter(title="^(stele|altar) of"), "regexp_matches(title, '^(stele|altar) of', 'i')")
+_snapshot_query("filter_description_regex", FrameFilter(description="a.u[mt]\\b"), r"regexp_matches(description, 'a.u[mt]\b', 'i')")
+_snapshot_query("filter_equal", FrameFilter(facet_id="default", group_id="g001", user_id="ed01"), "\"facetId\" = 'default' and \"groupId\" = 'g001' and \"userId\" = 'ed01'")
+for _how, _test in {"all_set": "flags & 3 = 3", "any_set": "flags & 3 <> 0", "all_clear": "flags & 3 = 0", "any_clear": "flags & 3 <> 3"}.items():
+    _snapshot_query(f"filter_flags_{_how}", FrameFilter(flags=3, flag_match=_how), f"({_test})")
+query("frame_items_page", f"select * from (select {_ITEM} from {_LATEST.format(t='history_items', w='true')} where r = 1 order by \"sortKey\", _id limit 20 offset 20) where _status is distinct from 2")(
+    lambda s, d: _items(framing.snapshot(table(s, d, "history_items"), FrameFilter(page=2, page_size=20), False))
+)
+
+
+def _nested(df: DataFrame) -> DataFrame:
+    part = lambda p: F.concat_ws("/", p["_id"], p["typeId"], F.coalesce(p["roleId"], F.lit("-")), p["_status"].cast("string"))
+    return df.select("_id", "_status", F.array_join(F.transform("_parts", part), " ").alias("parts"))
+
+
+def _frame_sql(items: str, part_where: str, deleted: bool = True) -> str:
+    gone = "" if deleted else "and status is distinct from 2"
+    return f"""with i as ({items}), p as (select "itemId" as k, string_agg("referenceId" || '/' || "typeId" || '/' || coalesce("roleId", '-') || '/' || status, ' ' order by "referenceId") as parts
+  from {_LATEST.format(t="history_parts", w=part_where)} where r = 1 {gone} group by 1)
+select i._id, i._status, coalesce(p.parts, '') as parts from i left join p on p.k = i._id"""
+
+
+_ALL = f"select {_ITEM} from {_LATEST.format(t='history_items', w='true')} where r = 1"
+
+
+def _both(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(s, d, "history_items"), table(s, d, "history_parts")
+
+
+query("frame_snapshot", _frame_sql(_ALL, "true"))(lambda s, d: _nested(framing.frame(*_both(s, d), FrameFilter())))
+query("frame_snapshot_asof", _frame_sql(f"select {_ITEM} from {_LATEST.format(t='history_items', w=_UNTIL)} where r = 1 and status is distinct from 2", _UNTIL, False))(
+    lambda s, d: _nested(framing.frame(*_both(s, d), FrameFilter(max_time=AS_OF), with_deleted=False))
+)
+query("frame_white_types", _frame_sql(_ALL, "(\"typeId\" = 'lapida.note' and \"roleId\" is null or \"typeId\" = 'lapida.token-text' and \"roleId\" = 'base-text')"))(
+    lambda s, d: _nested(framing.frame(*_both(s, d), FrameFilter(white_types=("lapida.note", "lapida.token-text:base-text"))))
+)
+query("frame_black_types", _frame_sql(_ALL, "\"typeId\" not in ('lapida.token-text', 'lapida.note')"))(
+    lambda s, d: _nested(framing.frame(*_both(s, d), FrameFilter(black_types=("lapida.token-text", "lapida.note:x"))))
+)
+_IN = f"\"timeModified\" between timestamp '{FROM}' and timestamp '{TO}'"
+
+
+def _incremental_sql(attributes: str, parts: bool) -> str:
+    union = f'union select "itemId", false from history_parts where {_IN}' if parts else ""
+    return f"""with k as (select k, bool_or(own) as own from (select "referenceId" as k, true as own from history_items where {_IN} and {attributes} {union}) where k is not null group by 1)
+select l."referenceId" as _id, l.title, case when l.status = 0 and not k.own then 1 else l.status end as _status, l."sortKey", l.flags
+from {_LATEST.format(t='history_items', w='true')} l join k on k.k = l."referenceId" where l.r = 1"""
+
+
+query("frame_incremental", _incremental_sql("true", True))(lambda s, d: _items(framing.incremental(*_both(s, d), FrameFilter(min_time=FROM, max_time=TO))))
+query("frame_incremental_filtered", _incremental_sql("\"facetId\" = 'default'", True))(lambda s, d: _items(framing.incremental(*_both(s, d), FrameFilter(facet_id="default", min_time=FROM, max_time=TO))))
+query("frame_incremental_nopartdate", _incremental_sql("true", False))(lambda s, d: _items(framing.incremental(*_both(s, d), FrameFilter(min_time=FROM, max_time=TO), part_date=False)))
+query("frame_incremental_nested", _frame_sql(f"select _id, _status from ({_incremental_sql('true', True)})", _IN))(lambda s, d: _nested(framing.frame(*_both(s, d), FrameFilter(min_time=FROM, max_time=TO))))
+query("frame_parts", f"select \"referenceId\" as _id, \"itemId\", \"typeId\", \"roleId\", status as _status from {_LATEST.format(t='history_parts', w=_UNTIL)} where r = 1 and status is distinct from 2")(
+    lambda s, d: framing.parts_of(table(s, d, "history_parts"), FrameFilter(max_time=AS_OF), with_deleted=False).select("_id", "itemId", "typeId", "roleId", "_status")
+)
+query("dump_chunks", f"select cast((row_number() over (order by \"sortKey\", _id) - 1) // 100 as bigint) as chunk, _id from ({_ALL})")(
+    lambda s, d: framing.chunked(_items(framing.snapshot(table(s, d, "history_items"), FrameFilter())), ["sortKey", "_id"], 100).select("chunk", "_id")
+)
+query("source_item_ids", "select distinct _id from items where \"facetId\" = 'default' and _id is not null")(lambda s, d: table(s, d, "items").where(FrameFilter(facet_id="default").attributes() & F.col("_id").isNotNull()).select("_id").distinct())
+query("import_patched", """select distinct _id, coalesce(nullif("facetId", ''), 'default') as "facetId", coalesce(nullif(title, ''), _id) as title, coalesce(description, '') as description, coalesce(nullif("userId", ''), 'zeus') as "userId" from items""")(
+    lambda s, d: framing.items_patched(table(s, d, "items")).select("_id", "facetId", "title", "description", "userId").distinct()
+)
+query("import_ensured_parts", """with p as (select distinct _id, "itemId", "typeId", "roleId" from parts), i as (select distinct _id from items)
+select * from p union all select _id || '/lapida.note/internal', _id, 'lapida.note', 'internal' from i where _id not in (select "itemId" from p where "typeId" = 'lapida.note' and "roleId" = 'internal' and "itemId" is not null)""")(
+    lambda s, d: framing.ensure_parts(table(s, d, "items").dropDuplicates(["_id"]), table(s, d, "parts").select("_id", "itemId", "typeId", "roleId").distinct(), "lapida.note", "internal")
+)
+query("flag_metadata", """select distinct _id, flags, case when coalesce(flags, 0) = 0 then '' else array_to_string(list_sort(list_filter([
+  case when flags & 1 = 1 then 'state=draft' when flags & 3 = 0 then 'state=final' end, case when flags & 8 = 8 then 'checked=yes' end], lambda x: x is not null)), ' ') end as metadata from items""")(
+    lambda s, d: framing.flag_metadata(table(s, d, "items").select("_id", "flags").distinct(), "flags", {"1": "state=draft", "h8": "checked=yes"}, {"3": "state=final"}).select(
+        "_id", "flags", F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ").alias("metadata")
+    )
+)
+
+
+# graph and RDF
+
+def _decoded(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "triple").distinct()
+    return graph.decode(t, graph.uris(table(s, d, "node")))
+
+
+_MAP = " ".join(f"when '{k}' then '{v}'" for k, v in PREFIXES.items())
+_FULL = "case when {c} like '%:%' and (case split_part({c}, ':', 1) " + _MAP + " end) is not null then (case split_part({c}, ':', 1) " + _MAP + " end) || {c}[strpos({c}, ':') + 1:] else {c} end"
+_DECODED = """with u as (select id, min(label) as uri from node where label is not null and id is not null group by 1),
+t as (select distinct * from triple), d as (select t.*, s.uri as s, p.uri as p, o.uri as o from t left join u s on s.id = s_id left join u p on p.id = p_id left join u o on o.id = o_id)"""
+_ESC = r"""replace(replace(replace(replace(replace({c}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+_LIT = f"""'"' || {_ESC.format(c="o_lit")} || '"' || case when o_lit_lang <> '' then '@' || o_lit_lang when o_lit_type <> '' then '^^' || {{kind}} else '' end"""
+query("graph_decode", f"{_DECODED} select id, s, p, o, o_lit from d")(lambda s, d: _decoded(s, d).select("id", "s", "p", "o", "o_lit"))
+query("graph_curie", f"select distinct id, {_FULL.format(c='label')} as uri from node where label is not null")(lambda s, d: table(s, d, "node").where("label is not null").select("id", graph.expand(F.col("label"), PREFIXES).alias("uri")).distinct())
+query("graph_referenced_nodes", "select distinct id, label, tag from node where id in (select s_id from triple where s_id is not null union select o_id from triple where o_id is not null)")(
+    lambda s, d: graph.referenced_nodes(table(s, d, "node"), table(s, d, "triple")).select("id", "label", "tag").distinct()
+)
+query("graph_tagged", "select distinct id, s_id, p_id from triple where tag in ('imp', 'auto')")(lambda s, d: graph.tagged(table(s, d, "triple"), ["imp", "auto"]).select("id", "s_id", "p_id").distinct())
+query("graph_count", "select count(*) as n from triple where tag = 'imp'")(lambda s, d: graph.tagged(table(s, d, "triple"), ["imp"]).agg(F.count("*").alias("n")))
+query("graph_stats", "with t as (select distinct * from triple) select count(*) as triples, count(*) filter (o_lit <> '') as literals, count(*) filter (coalesce(o_lit, '') = '' and o_id is not null) as resources, count(distinct s_id) as subjects, count(distinct p_id) as predicates, count(distinct o_id) as objects from t")(
+    lambda s, d: graph.statistics(table(s, d, "triple").distinct())
+)
+query("graph_invalid", """with u as (select id from node where label is not null), r as (select distinct id, 'subject' as place, s_id as ref from triple union select id, 'predicate', p_id from triple union select id, 'object', o_id from triple)
+select * from r where ref is not null and ref not in (select id from u where id is not null)""")(lambda s, d: graph.invalid(table(s, d, "triple"), graph.uris(table(s, d, "node"))))
+query("graph_find", f"{_DECODED} select id, s, o from d where p = 'lv:isA' and o = 'lv:stele'")(lambda s, d: graph.find(_decoded(s, d), PREFIXES, p="http://lv.example.org/vocabulary#isA", o="lv:stele").select("id", "s", "o"))
+query("graph_closure", """with recursive t as (select distinct s_id, p_id, o_id from triple where s_id is not null and o_id is not null),
+c as (select s_id as id, o_id as class_id, 1 as level, [o_id] as path from t where p_id = 119
+ union all select c.id, t.o_id, level + 1, list_append(path, t.o_id) from c join t on t.s_id = c.class_id and t.p_id = 120 where not list_contains(path, t.o_id) and level < 40)
+select id, class_id, min(level) as level from c group by 1, 2""")(lambda s, d: graph.class_closure(table(s, d, "triple"), 119, 120))
+query("graph_namespaces", f"""select id, uri, case when uri like 'http://lv.example.org/vocabulary#%' then 'lv' else 'x' end as prefix from (select id, min({_FULL.format(c='label')}) as uri from node where label is not null group by 1)
+where regexp_matches(uri, '^http://lv\\.example\\.org/vocabulary#[A-Za-z_][A-Za-z0-9._-]*$') or regexp_matches(uri, '^http://data\\.example\\.org/[A-Za-z_][A-Za-z0-9._-]*$')""")(
+    lambda s, d: graph.node_labels_by_prefix(graph.uris(table(s, d, "node")).withColumn("uri", graph.expand(F.col("uri"), PREFIXES)), graph.namespaces(s, PREFIXES))
+)
+_KIND = "case when o_lit_type like '%:%' and o_lit_type not like 'http%' then {short} else '<' || o_lit_type || '>' end"
+_TERM = "case when {c} like '%:%' and {c} not like 'http%' then {c} else '<' || " + _FULL + " || '>' end"
+_TTL = f"{_DECODED} select id, line from (select id, {_TERM.format(c='s')} || ' ' || {_TERM.format(c='p')} || ' ' || case when o_lit <> '' then {_LIT.format(kind=_KIND.format(short='o_lit_type'))} else {_TERM.format(c='o')} end || ' .' as line from d) where line is not null"
+_NT = f"{_DECODED} select id, line from (select id, '<' || {_FULL.format(c='s')} || '> <' || {_FULL.format(c='p')} || '> ' || case when o_lit <> '' then {_LIT.format(kind=_KIND.format(short=chr(39) + '<' + chr(39) + ' || ' + _FULL.format(c='o_lit_type') + ' || ' + chr(39) + '>' + chr(39)))} else '<' || {_FULL.format(c='o')} || '>' end || ' .' as line from d) where line is not null"
+query("rdf_turtle", _TTL)(lambda s, d: rdf.turtle(_decoded(s, d), PREFIXES))
+query("rdf_ntriples", _NT)(lambda s, d: rdf.ntriples(_decoded(s, d), PREFIXES))
+_Q = f"""'"' || {_ESC} || '"'"""
+query("rdf_jsonld", f"""{_DECODED}, v as (select s_id, s, p, id, case when o_lit <> '' then '{{"@value": ' || {_Q.format(c='o_lit')} || case when o_lit_lang <> '' then ', "@language": ' || {_Q.format(c='o_lit_lang')} when o_lit_type <> '' then ', "@type": ' || {_Q.format(c='o_lit_type')} else '' end || '}}'
+  else '{{"@id": ' || {_Q.format(c='o')} || '}}' end as v from d),
+g as (select s_id, s, p, min(id) as first, string_agg(v, ', ' order by id, v) as vs, count(*) as n from v where v is not null and s is not null and p is not null group by 1, 2, 3)
+select s_id, '{{"@id": ' || {_Q.format(c='s')} || ', ' || string_agg({_Q.format(c='p')} || ': ' || case when n = 1 then vs else '[' || vs || ']' end, ', ' order by first, p) || '}}' as node from g group by s_id, s""")(lambda s, d: rdf.jsonld(_decoded(s, d)))
+query("rdf_xml")(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES))
+query("rdf_owl")(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES, "owl:NamedIndividual"))
+for _form in ("turtle", "ntriples", "jsonld", "rdfxml", "owlxml"):
+    query(f"rdf_document_{_form}")(lambda s, d, form=_form: rdf.document(_decoded(s, d), PREFIXES, form).select(F.col("n.part").alias("part"), F.col("n.k").alias("k"), "line"))
+
+
+# layered texts
+
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    return texts.current(table(s, d, "parts"))
+
+
+def _layers(s: SparkSession, d: str):
+    parts = _parts(s, d)
+    base, frs = texts.base_texts(parts), texts.layer_fragments(parts)
+    return base, frs, texts.consecutive(base, texts.flatten(base, frs))
+
+
+def _roles(segments: DataFrame) -> DataFrame:
+    """Segments whose features are the roles of their fragments."""
+    roles = F.array_distinct(F.transform("fragment_ids", lambda x: F.struct(F.lit("role").alias("name"), F.regexp_extract(x, ":(.*)@", 1).alias("value"))))
+    return segments.withColumn("features", roles)
+
+
+def _pieces(segments: DataFrame) -> DataFrame:
+    return texts.with_lines(texts.block_lines(segments))
+
+
+_CURRENT = """p as (select * from (select *, row_number() over (partition by _id order by "timeModified" desc nulls last, "arrivedAt" desc nulls last, content desc nulls last, "itemId" desc nulls last, "roleId" desc nulls last) as r from parts where _id is not null) where r = 1),
+b as (select item_id, part_id, lines, array_to_string(lines, chr(10)) as text from (select "itemId" as item_id, _id as part_id, from_json(json_extract(content, '$.lines[*].text'), '["VARCHAR"]') as lines, row_number() over (partition by "itemId" order by _id) as q
+  from p where "roleId" = 'base-text' and "itemId" is not null and json_type(content, '$.lines') = 'ARRAY') where q = 1)"""
+_FRS = """, f as (select item_id, part_id, role_id, type_id, unnest(range(len(js))) as fr_index, unnest(js) as fr from (
+  select "itemId" as item_id, _id as part_id, "roleId" as role_id, "typeId" as type_id, from_json(case json_type(content, '$.fragments') when 'OBJECT' then '[' || json_extract(content, '$.fragments') || ']' else json_extract(content, '$.fragments') end, '["JSON"]') as js
+  from p where starts_with("roleId", 'fr.') and "itemId" is not null)),
+g as (select item_id, type_id || ':' || role_id || '@' || fr_index as fr_id, json_extract_string(fr, '$.location') as loc from f where json_type(fr) = 'OBJECT')"""
+_RE = r"^(\d+)\.(\d+)(?:@(\d+)(?:x(\d+))?)?(?:-(\d+)\.(\d+)(?:@(\d+)(?:x(\d+))?)?)?$"
+
+
+def _point_sql(g: int, last: bool) -> str:
+    n = lambda i: f"try_cast(regexp_extract(loc, '{_RE}', {g + i}) as int)"
+    line = f"lines[{n(0)}]"
+    before = f"coalesce(list_sum(list_transform(lines[1:{n(0)} - 1], lambda l: length(l) + 1)), 0)"
+    start = f"least(length({line}), length(array_to_string(string_split({line}, ' ')[1:{n(1)} - 1], ' ')) + case when {n(1)} > 1 then 1 else 0 end)"
+    if not last:
+        out = f"{before} + {start} + coalesce({n(2)} - 1, 0)"
+    else:
+        out = f"{before} + {start} + case when {n(2)} is null then coalesce(length(string_split({line}, ' ')[{n(1)}]), 0) - 1 else {n(2)} - 1 + coalesce({n(3)}, 1) - 1 end"
+    return f"case when {n(0)} >= 1 and {n(1)} >= 1 and {n(0)} <= len(lines) then {out} end"
+
+
+_RANGES = f""", r as (select * from (select item_id, fr_id, cast({_point_sql(1, False)} as int) as "start", cast(case when regexp_extract(loc, '{_RE}', 5) = '' then {_point_sql(1, True)} else {_point_sql(5, True)} end as int) as "end" from g join b using (item_id)) where "start" <= "end")"""
+_SEGS = """, k as (select r.item_id, fr_id, greatest(0, "start") as a, least(length(text) - 1, "end") as z from r join b using (item_id)),
+x as (select distinct item_id, pos from (select item_id, unnest([0, length(text)]) as pos from b where length(text) > 0 union all select item_id, unnest([a, z + 1]) from k where a <= z)),
+y as (select item_id, pos as "start", lead(pos) over w - 1 as "end", row_number() over w as n from x window w as (partition by item_id order by pos)),
+s as (select y.item_id, n, "start", "end", coalesce(list_sort(list(distinct fr_id) filter (fr_id is not null)), []) as ids, any_value(text) as body from y join b using (item_id) left join k on k.item_id = y.item_id and a <= "end" and z >= "start" and a <= z where "end" is not null group by all),
+t as (select item_id, cast(n as int) as n, cast("start" as int) as "start", cast("end" as int) as "end", ids, substr(body, "start" + 1, "end" - "start" + 1) as text, substr(body, "end" + 2, 1) = chr(10) as eol from (select * from s))"""
+_TEXT = f"with {_CURRENT}{_FRS}{_RANGES}{_SEGS}"
+query("text_base", f"with {_CURRENT} select item_id, part_id, text from b")(lambda s, d: texts.base_texts(_parts(s, d)).select("item_id", "part_id", "text"))
+query("text_locations", f"with {_CURRENT}{_FRS}{_RANGES} select * from r")(lambda s, d: (lambda p: texts.flatten(texts.base_texts(p), texts.layer_fragments(p)))(_parts(s, d)))
+query("text_consecutive", f"{_TEXT} select item_id, n, \"start\", \"end\", array_to_string(ids, ' ') as ids, text, eol from t")(lambda s, d: _layers(s, d)[2].select("item_id", "n", "start", "end", F.array_join("fragment_ids", " ").alias("ids"), "text", "eol"))
+query("text_merge_linear", f"""{_TEXT}, q as (select item_id, n, text, array_to_string(list_sort(list_distinct(list_transform(ids, lambda i: regexp_extract(i, ':(.*)@', 1)))), ' ') as roles from t),
+c as (select *, case when lag(roles) over w is distinct from roles or coalesce(ends_with(lag(text) over w, chr(10)), false) then 1 else 0 end as cut from q window w as (partition by item_id order by n)),
+i as (select *, sum(cut) over (partition by item_id order by n) as island from c)
+select item_id, min(n) as n, string_agg(text, '' order by n) as text, any_value(roles) as roles from i group by item_id, island""")(
+    lambda s, d: texts.merge_linear(_roles(_layers(s, d)[2]), ("role",)).select("item_id", "n", "text", F.array_join(F.array_sort(F.transform("features", lambda f: f["value"])), " ").alias("roles"))
+)
+_PIECES = """, l as (select item_id, n, ids, unnest(range(len(ps))) as k, unnest(ps) as piece, len(ps) as size, "start", "end" from (select *, string_split(text, chr(10)) as ps from t)),
+m as (select *, sum(case when piece <> '' then 1 else 0 end) over (partition by item_id order by n, k rows unbounded preceding) as grp from l),
+o as (select item_id, grp, max(n) filter (piece <> '') as n, max(k) filter (piece <> '') as k, max(piece) filter (piece <> '') as text, any_value(ids) filter (piece <> '') as ids, any_value("start") filter (piece <> '') as "start", any_value("end") filter (piece <> '') as "end", bool_or(k < size - 1) as eol from m where grp > 0 group by 1, 2),
+z as (select *, cast(1 + coalesce(sum(case when eol then 1 else 0 end) over (partition by item_id order by grp rows between unbounded preceding and 1 preceding), 0) as int) as y from o)"""
+query("text_block_lines", f"{_TEXT}{_PIECES} select item_id, n, cast(k as int) as k, text, eol, y from z")(lambda s, d: _pieces(_layers(s, d)[2]).select("item_id", "n", "k", "text", "eol", "y"))
+query("text_first_run", f"""{_TEXT}, h as (select item_id, n, len(ids) > 0 as hit, lag(len(ids) > 0) over (partition by item_id order by n) as before from t), q as (select *, sum(case when hit and not coalesce(before, false) then 1 else 0 end) over (partition by item_id order by n) as run from h)
+select item_id, min(n) as first, max(n) as last from q where hit and run = 1 group by 1""")(lambda s, d: texts.first_run(_layers(s, d)[2], F.size("fragment_ids") > 0))
+query("text_dense_ids", """select "itemId", "typeId", row_number() over (partition by "itemId" order by f, i, "typeId") as id from (select "itemId", "typeId", min("timeCreated") as f, arg_min(_id, ("timeCreated", _id)) as i from parts where "itemId" is not null and "timeCreated" is not null and _id is not null group by 1, 2)""")(
+    lambda s, d: texts.dense_ids(table(s, d, "parts").where("itemId is not null and timeCreated is not null and _id is not null"), ["itemId"], "typeId", ["timeCreated", "_id"])
+)
+query("text_versions")(lambda s, d: (lambda b, f, g: texts.versions(g, texts.apparatus_entries(f)))(*_layers(s, d)))
+query("text_version_tree")(lambda s, d: (lambda b, f, g: texts.version_tree(texts.versions(g, texts.apparatus_entries(f))))(*_layers(s, d)))
+query("text_apparatus")(lambda s, d: texts.apparatus_entries(texts.layer_fragments(_parts(s, d))).select("item_id", "fr_id", "entry_index", "type", "value", "accepted", "tag", F.to_json("witnesses").alias("witnesses"), F.to_json("authors").alias("authors")))
+query("render_payload_lines")(lambda s, d: render.payload_lines(_pieces(_layers(s, d)[2])))
+_XT = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+query("render_tei_standoff", f"""{_TEXT}{_PIECES}, w as (select item_id, n, row_number() over (partition by item_id order by n) as seg from (select distinct item_id, n from z where len(ids) > 0)),
+v as (select z.item_id, y, z.n, k, case when seg is not null then '<seg xml:id="seg' || seg || '">' || {_XT.format(c='text')} || '</seg>' else {_XT.format(c='text')} end as x from z left join w on w.item_id = z.item_id and w.n = z.n),
+u as (select item_id, y, '<p source="^' || item_id || '" n="' || y || '" xmlns="http://www.tei-c.org/ns/1.0">' || string_agg(x, '' order by n, k) || '</p>' as x from v group by item_id, y)
+select item_id, string_agg(x, '' order by y) as xml from u group by 1""")(lambda s, d: render.tei_standoff(_pieces(_layers(s, d)[2])))
+
+
+def _apps(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
+    _, frs, segments = _layers(s, d)
+    return segments, render.apparatus(segments, texts.apparatus_entries(frs), **options)
+
+
+query("render_apparatus")(lambda s, d: _apps(s, d, zero_type="zero")[1])
+query("render_apparatus_standoff")(lambda s, d: _apps(s, d, located=True)[1])
+query("render_tei_apparatus")(lambda s, d: (lambda g, a: render.tei_apparatus(_pieces(g), a))(*_apps(s, d)))
+query("render_tei_parallel")(lambda s, d: (lambda b, f, g: render.tei_parallel(texts.version_tree(texts.versions(g, texts.apparatus_entries(f)))))(*_layers(s, d)))
+query("compose_text_flows", f"""with {_CURRENT}, i as (select "referenceId" as _id, "groupId", "sortKey" from {_LATEST.format(t='history_items', w='true')} where r = 1 and status is distinct from 2),
+c as (select coalesce(nullif("groupId", ''), 'default') as flow, row_number() over (partition by coalesce(nullif("groupId", ''), 'default') order by "sortKey", _id) as item_nr, text from i join b on b.item_id = i._id)
+select flow, cast(item_nr as int) as item_nr, text from c union all select distinct flow, 0, '# ' || flow from c""")(
+    lambda s, d: render.composed(framing.snapshot(table(s, d, "history_items"), FrameFilter(), False), texts.base_texts(_parts(s, d)).select("item_id", "text"), group_head="# {group}")
+)
+
+
+# text functions
+
+_ISO2 = "case lower(c) " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in __import__("strataframe.functions.codes", fromlist=["x"]).iso639(2).items()) + " else lower(c) end"
+query("scalar_iso639", f"select doc_id, case when lang is null then null else 'in ' || (select {_ISO2} from (select lang as c)) || '.' end as x from documents where lang is null or regexp_full_match(lang, '[a-z]{{2}}')")(
+    lambda s, d: table(s, d, "documents").where("lang is null or lang rlike '^[a-z]{2}$'").select("doc_id", scalars.iso639(r"\^\^([a-z]{2})", 2)(F.concat(F.lit("in ^^"), F.col("lang"), F.lit("."))).alias("x"))
+)
+query("scalar_bcp47", """select doc_id, case lower(lang) when 'en' then 'English' when 'de' then 'German (any)' when 'fr' then 'French' when 'ja' then 'Japanese' when 'zh' then 'Chinese' else lang end || ' | German (Austria)' as x from documents""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", scalars.bcp47(custom={"de": "German (any)"})(F.concat(F.lit("^^"), F.col("lang"), F.lit(" | ^^de-AT"))).alias("x"))
+)
+query("scalar_append", "select distinct _id, case when length(description) > 0 then description || ' [end]' else description end as x from items")(lambda s, d: table(s, d, "items").select("_id", scalars.append(" [end]")(F.col("description")).alias("x")).distinct())
+query("scalar_replacements", "select distinct _id, regexp_replace(replace(title, ' of ', ' / '), '(\\d+)$', '#\\1') as x from items")(lambda s, d: table(s, d, "items").select("_id", scalars.replacements([(" of ", " / ", False), (r"(\d+)$", "#$1", True)])(F.col("title")).alias("x")).distinct())
+query("scalar_escape_literal", f"select distinct id, {_LIT.format(kind=_KIND.format(short='o_lit_type'))} as x from triple where o_lit <> ''")(lambda s, d: table(s, d, "triple").where("o_lit <> ''").select("id", rdf.literal().alias("x")).distinct())
+_P = scalars.sentence_pattern()
+query("scalar_sentences", f"select doc_id, cast(len(list_filter(list_transform(regexp_extract_all(replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' '), '{_P}', 1), lambda x: trim(x)), lambda x: x <> '')) as int) as n from documents where text is not null")(
+    lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(scalars.sentences(F.col("text"))).alias("n"))
+)
+query("scalar_singular", "with w as (select distinct unnest(string_split(lower(p_name), ' ')) || 'ies' as w from part) select w, left(w, length(w) - 3) || 'y' as x from w")(
+    lambda s, d: table(s, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).select(F.concat("w", F.lit("ies")).alias("w")).distinct().select("w", scalars.singular(F.col("w")).alias("x"))
+)
+query("scalar_file_name", r"""select distinct _id, regexp_replace(regexp_replace("sortKey" || '/a:b?. ', '[\\/:*?"<>|]', '_', 'g'), '[. ]+$', '') as x from items""")(lambda s, d: table(s, d, "items").select("_id", scalars.file_name(F.concat("sortKey", F.lit("/a:b?. "))).alias("x")).distinct())
+query("scalar_template", "select distinct _id, 'Item ' || coalesce(title, '') || ' in ' || coalesce(\"groupId\", '') || ' {other}' as x from items")(
+    lambda s, d: table(s, d, "items").select("_id", scalars.fill_template("Item {title} in {group} {other}", {"title": F.col("title"), "group": F.col("groupId")}).alias("x")).distinct()
+)
+query("scalar_source_ids", "select distinct _id, case \"facetId\" when 'default' then 'see facet1!' else 'see facet/' || \"facetId\" || '!' end as x from items where \"facetId\" is not null")(
+    lambda s, d: table(s, d, "items").where("facetId is not null").select("_id", scalars.source_ids({"facet/default": 1})(F.concat(F.lit("see #[facet/"), F.col("facetId"), F.lit("]#!"))).alias("x")).distinct()
+)
+_KNOWN = """e as (select id as t, unnest(range(len(entries))) as ord, unnest(entries) as en from (select id, arg_max(entries, len(entries)) as entries from thesauri where id is not null and coalesce("targetId", '') = '' group by 1)),
+k as (select t, cast(ord as int) as ord, en.id as id, en."value" as v from e where en is not null)"""
+query("scalar_thesaurus_references", f"with {_KNOWN} select t || '|' || ord as key, 'see ' || coalesce(v, id) || '; ' || 'none' || '.' as text from k where id is not null and regexp_full_match(t, '[@_a-zA-Z0-9.-]+') and regexp_full_match(id, '[_a-zA-Z0-9.-]+')")(
+    lambda s, d: (lambda e: scalars.thesaurus_references(e.where(r"id rlike '^[_a-zA-Z0-9.-]+$' and thesaurus_id rlike '^[@_a-zA-Z0-9.-]+$'").select(F.concat("thesaurus_id", F.lit("|"), F.col("ord").cast("string")).alias("key"), F.concat(F.lit("see $"), "thesaurus_id", F.lit(":"), "id", F.lit("; $no@en:none."), F.lit("")).alias("text")), "key", "text", e, r"\$([@_a-zA-Z0-9.-]+):([_a-zA-Z0-9-]+(?:\.[_a-zA-Z0-9-]+)*)"))(thesaurus.entries_of(table(s, d, "thesauri")))
+)
+query("scalar_features", """select distinct _id, case when flags & 1 = 1 then 'facet=' || coalesce("facetId", '-') || ' flag=odd' else 'facet=' || coalesce("facetId", '-') end as x, flags & 1 = 1 as odd from items where flags is not null""")(
+    lambda s, d: table(s, d, "items").where("flags is not null").withColumn("f", scalars.add_feature(scalars.add_feature(F.array().cast(scalars.FEATURES), "facet", F.coalesce("facetId", F.lit("-"))), "flag", "odd"))
+    .withColumn("f", F.when(F.col("flags").bitwiseAND(1) == 1, F.col("f")).otherwise(scalars.remove_features(F.col("f"), "flag"))).select("_id", F.array_join(F.transform("f", lambda f: F.concat(f["name"], F.lit("="), f["value"])), " ").alias("x"), scalars.has_feature(F.col("f"), "flag").alias("odd")).distinct()
+)
+query("json_decorate_fragments", f"""with {_CURRENT}{_FRS} select part_id, fr_index, '{{"_key":"' || type_id || ':' || role_id || '@' || fr_index || '",' || fr[2:] as fr from (select part_id, cast(fr_index as int) as fr_index, type_id, role_id, cast(fr as varchar) as fr from f where json_type(fr) = 'OBJECT')""")(
+    lambda s, d: _parts(s, d).where("roleId like 'fr.%' and itemId is not null").select(F.col("_id").alias("part_id"), F.posexplode(scalars.decorate_fragments(F.from_json(texts.as_array(F.get_json_object("content", "$.fragments")), "array<string>"), F.col("typeId"), F.col("roleId"))).alias("fr_index", "fr")).where("fr is not null")
+)
+
+
+# vocabularies
+
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    return thesaurus.entries_of(table(s, d, "thesauri")).where("id is not null").groupBy("thesaurus_id", "id").agg(F.min_by(F.struct("ord", "value"), "ord").alias("x")).select("thesaurus_id", F.col("x.ord").alias("ord"), "id", F.col("x.value").alias("value"))
+
+
+def _half(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two vocabularies that overlap: every entry but the first three, with upper-case values; and every entry but the last ones."""
+    e = _entries(s, d)
+    return e.where("ord >= 3").withColumn("value", F.upper("value")), e.where("ord < 5")
+
+
+_UNIQUE = f"with {_KNOWN}, q as (select t, id, min(ord) as ord, arg_min(v, ord) as v from k where id is not null group by 1, 2), s as (select t, id, ord, upper(v) as v from q where ord >= 3), g as (select * from q where ord < 5)"
+query("thes_entries", f"with {_KNOWN} select t as thesaurus_id, ord, id, v as value from k")(lambda s, d: thesaurus.entries_of(table(s, d, "thesauri")))
+query("thes_aliases", "select id, min(case when contains(\"targetId\", '@') then \"targetId\" else \"targetId\" || '@en' end) as target_id from thesauri where id is not null and \"targetId\" <> '' group by 1")(lambda s, d: thesaurus.aliases_of(table(s, d, "thesauri")))
+query("thes_replace", f"{_UNIQUE} select t as thesaurus_id, ord, id, v as value from s union all select t, ord, id, v from g where t not in (select t from s)")(lambda s, d: thesaurus.merged(*_half(s, d), "replace"))
+for _mode, _keep in (("patch", "true"), ("synch", "s.id is not null")):
+    query(f"thes_{_mode}", f"""{_UNIQUE}, m as (select coalesce(g.t, s.t) as t, coalesce(g.id, s.id) as id, case when s.id is not null then s.v else g.v end as v, g.ord as go, s.ord as so from (select * from g where t in (select t from s)) g full join s on s.t = g.t and s.id = g.id where {_keep})
+select t as thesaurus_id, cast(row_number() over (partition by t order by go nulls last, so nulls last) - 1 as int) as ord, id, v as value from m union all select t, ord, id, v from g where t not in (select t from s)""")(lambda s, d, mode=_mode: thesaurus.merged(*_half(s, d), mode))
+query("thes_entry_ids", f"""with {_KNOWN}, a as (select id, min(case when contains("targetId", '@') then "targetId" else "targetId" || '@en' end) as target from thesauri where id is not null and "targetId" <> '' group by 1),
+w as (select distinct t as thesaurus_id, v as value from k where v is not null union select a.id, k.v from a join k on k.t = a.target where v is not null)
+select w.*, (select arg_min(k.id, k.ord) from k where k.t = coalesce(a.target, w.thesaurus_id) and k.v = w.value) as entry_id from w left join a on a.id = w.thesaurus_id""")(
+    lambda s, d: (lambda e, a: thesaurus.entry_ids(e.select("thesaurus_id", "value").where("value is not null").unionByName(a.join(e, F.col("target_id") == e["thesaurus_id"]).where("value is not null").select(a["id"].alias("thesaurus_id"), "value")).distinct(), e, a))(thesaurus.entries_of(table(s, d, "thesauri")), thesaurus.aliases_of(table(s, d, "thesauri")))
+)
+query("thes_documents")(lambda s, d: thesaurus.documents(table(s, d, "thesauri")).select(F.col("n.k").alias("k"), "id", "json"))
+
+
+@query("thes_group_rows")
+def thes_group_rows(s: SparkSession, d: str) -> DataFrame:
+    from strataframe.operators.csvload import read_thesaurus_records
+
+    rows = read_thesaurus_records(table(s, d, "thesaurus_csv")).where("reason is null").select("file_no", "line_no", "thesaurus_id", "id", "value", "target_id")
+    return thesaurus.group_rows(rows).select("file_no", "first", "thesaurus_id", "target_id", F.to_json("entries").alias("entries"))
