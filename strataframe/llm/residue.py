@@ -134,6 +134,13 @@ javascript est désactivé
 ブラウザのスクリプト設定を確認してください
 javascriptが無効
 lorem ipsum
+ipsum
+lorem
+nostrud
+adipis
+veniam
+ullam
+für die volltextanzeige
 dies ist ein blindtext und dient nur der gestaltung
 blindtext
 mustertext
@@ -210,24 +217,22 @@ skip to content
 menu search help
 home documents view
 request id
+status
+message
+detail
+reference
 content length
 gone
 ref
 javascript
-ipsum
 dolor
 sit amet
 consec
-adipis
 tempor
 incidi
 labor
 magna
 aliq
-veniam
-nostrud
-ullam
-lorem
 test
 asdf
 jkl
@@ -270,6 +275,7 @@ _STRICT = rf"""
   | \(\s*(?:Platzhalter|Espace\sréservé)\s[^()\n]{{1,40}}\)
   | ×{{4,}} | ○{{4,}} | 〇{{4,}} | ●{{4,}} | ＊{{4,}}
   | [（(【\[<［]\s*待(?:补充|填写|定)\s*[）)】\]>］]
+  | \(\s*(?:texte|titre|résumé)\s+d[eu]\b[^()\n]{{1,30}}\) | \(\s*(?:Text|Titel)\s+de[rs]\s[^()\n]{{1,30}}\)
   | [（(【\[<]\s*(?:此处|在此|请(?:输入|填写|在此))[^\n）)】\]>]{{0,20}}[）)】\]>]
   | [（(【\[<]?[^\n（(【\[<）)】\]>。、]{{0,12}}[）)】\]>]?を?ここに(?:記載|入力|記入)
   | [（(【\[<]\s*ここに[^\n）)】\]>]{{1,20}}[）)】\]>]
@@ -279,7 +285,7 @@ _STEMS = ("title", "abstract", "summary", "description", "claim", "component", "
 #: what every form of placeholder contains, in lower case
 HINTS = [
     "{{", "<%", "$" + "{", "#{", "{%", "$$[", "$(", "@@", "[[", "xxx ", "goes here", "<placeholder", "<todo", "<insert", "[insert", "[hier", "eintragen", "einfügen", "einsetzen", "à compléter", "à insérer", "à remplir",
-    "[insér", "[inser", "[indiquer", "[saisir", "(platzhalter", "(espace", "此处", "在此", "请输入", "请填写", "ここに", "待补充", "待填写", "待定", "××××", "○○○○", "〇〇〇〇", "●●●●", "＊＊＊＊",
+    "[insér", "[inser", "[indiquer", "[saisir", "(platzhalter", "(espace", "(texte d", "(titre d", "(résumé d", "(text de", "(titel de", "此处", "在此", "请输入", "请填写", "ここに", "待补充", "待填写", "待定", "××××", "○○○○", "〇〇〇〇", "●●●●", "＊＊＊＊",
     *[f"{w}{s}" for w in ("__", "%", "~", "<<", "«", "[") for s in _STEMS],
 ]
 _QUOTES = "\"'“”„‟«»「」『』‘’`"
@@ -287,10 +293,12 @@ _QUOTES = "\"'“”„‟«»「」『』‘’`"
 _MENTION = re.compile(r"(?:\b(?:fie[l1]d|tag|variable|string|pattern|patterns|placeholder|marker|element|key|macro|token|feld|muster|zeichenfolge|platzhalter|kennung|champ|balise|chaîne|motif|étiquette)|字段|变量|标签|字符串|変数|タグ|項目|文字列)\s*$", re.I)
 _MENTIONED = re.compile(r"(?:of\s+(?:[-–—]\s*\d+\s*[-–—]\s*)?the\s+record|is\s+replaced|are\s+read|est\s+remplac|wird\s+(?:durch|ersetzt))", re.I)
 _PAGE_BREAK = re.compile(r"\s*\n\s*[-–—]\s*\d+\s*[-–—]\s*\n\s*")
+_HYPHEN = re.compile(r"(?<=[^\W\d_])[-¬\u00ad]\r?\n(?=[^\W\d_])")
 _UNIT = re.compile(r"(?<=[.!?…:;])\s+|(?<=[。！？；：])|\n+|(?<=[a-zé”“’)])\.(?=[A-Z])")
 _NUMBER = re.compile(r"^\s*(?:\[?\d{1,5}[\].)]?\s*)+")
 _OCR = re.compile(r"(?<=[a-z])1|1(?=[a-z])")
 _OCR0 = re.compile(r"(?<=[a-z])0|0(?=[a-z])")
+_SCANNED = re.compile(r"[A-Za-z][01][A-Za-z]")
 _LETTERS = re.compile(r"[\W\d_]+")
 _CJK = re.compile("[぀-鿿]")
 _NOT_LETTERS = bytes(set(range(256)) - set(b"abcdefghijklmnopqrstuvwxyz"))
@@ -344,9 +352,12 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for weight, phrases in ((0, WEAK), (1, STRONG)):
         for p in phrases:
-            key = fold(p)
-            if key:
-                a.add_word(key, (len(key), weight))
+            words = p.split()
+            # parts of three words too, so that a misread letter spoils only some of them
+            parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if weight and len(words) > 3 else []
+            for key in (fold(p), *(k for k in map(fold, parts) if len(k) >= 14)):
+                if key:
+                    a.add_word(key, (len(key), weight))
     a.make_automaton()
     return a
 
@@ -388,7 +399,9 @@ def residue(text: str | None, share: float) -> str | None:
     if not text or text.isspace():
         return None
     plain = html.unescape(text) if "&" in text else text
-    found = placeholder(plain)
+    joined = _PAGE_BREAK.sub(" ", plain) if "\n- " in plain or "\n– " in plain else plain
+    joined = _HYPHEN.sub("", joined) if "-\n" in joined or "-\r\n" in joined else joined
+    found = placeholder(joined)
     if found:
         return found
     found = repeated(plain)
@@ -397,9 +410,8 @@ def residue(text: str | None, share: float) -> str | None:
     m = _RULE.search(plain)
     if m:
         return m.group().strip()[:80]
-    if not any(w for _, (_, w) in automaton().iter(fold(plain))):
+    if not any(w for _, (_, w) in automaton().iter(fold(plain))) and not (_SCANNED.search(plain) and any(w for _, (_, w) in automaton().iter(fold(plain, True)))):
         return None
-    joined = _PAGE_BREAK.sub(" ", plain)
     for line in joined.split("\n"):
         for unit in (line, *_UNIT.split(line)):
             if unit and unit.strip():
@@ -409,7 +421,7 @@ def residue(text: str | None, share: float) -> str | None:
     return None
 
 
-def detect(docs: DataFrame, key: str, text: str, share: float = 0.6) -> DataFrame:
+def detect(docs: DataFrame, key: str, text: str, share: float = 0.45) -> DataFrame:
     """(key, residue BOOLEAN, evidence STRING) of every row; null, empty and blank texts have none.
 
     share: how much of a line or sentence the phrases must cover. Texts are read whole; repeated rows stay, extra
@@ -425,7 +437,7 @@ def detect(docs: DataFrame, key: str, text: str, share: float = 0.6) -> DataFram
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, key: str, text: str, share: float = 0.6) -> DataFrame:
+def clean(docs: DataFrame, key: str, text: str, share: float = 0.45) -> DataFrame:
     """docs without the rows that have residue, in one narrow stage."""
     schema = docs.schema
 
