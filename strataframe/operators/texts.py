@@ -149,6 +149,26 @@ def dense_ids(df: DataFrame, group: list[str], key: str, order: list[str], out:
     return first.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy("__first", key))).drop("__first")
 
 
+def extract_tokens(df: DataFrame, texts: DataFrame, pattern: str = r"@\{([^}]+)\}", template: str = "{text}", open_: str = "[", close: str = "]", whole: bool = False) -> DataFrame:
+    """df (item_id, text) with `@{location}` replaced by the place's text: its tokens, with marks around the part meant.
+
+    whole: without marks. A location that is no place is left out; rows of items without a text stay as they are.
+    """
+    rows = df.withColumn("__n", F.monotonically_increasing_id())
+    refs = rows.where(F.regexp_like("text", F.lit(pattern))).select("__n", "item_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("i", "loc"))
+    a, b = range_of(F.col("lines"), F.col("loc"))
+    placed = refs.join(texts.select("item_id", "lines", F.col("text").alias("base")), "item_id").select("__n", "i", "base", a.alias("a"), b.alias("b"))
+    head = F.regexp_extract(F.substr("base", F.lit(1), F.col("a")), r"([^ \n]*)\z", 1)
+    tail = F.regexp_extract(F.substr("base", F.col("b") + 2), r"\A([^ \n]*)", 1)
+    middle = F.substr("base", F.col("a") + 1, F.col("b") - F.col("a") + 1)
+    plain = F.concat(head, middle, tail)
+    marked = plain if whole else F.when((head == "") & (tail == ""), plain).otherwise(F.concat(head, F.lit(open_), middle, F.lit(close), tail))
+    filled = F.replace(F.lit(template), F.lit("{text}"), F.coalesce(marked, F.lit("")))
+    values = placed.groupBy("__n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", filled.alias("v")))), lambda x: x["v"]).alias("__vs"))
+    pieces = F.zip_with(F.split("text", pattern, -1), "__vs", lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    return rows.join(values, "__n", "left").withColumn("text", F.when(F.col("__vs").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text"))).select(*df.columns)
+
+
 #: types of apparatus entries that leave the text as it is
 NOTE = 3
 ENTRY = "array<struct<type:int,value:string,isAccepted:boolean,tag:string,note:string,witnesses:string,authors:string>>"

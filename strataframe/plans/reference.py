@@ -343,3 +343,30 @@ def thes_group_rows(s: SparkSession, d: str) -> DataFrame:
 
     rows = read_thesaurus_records(table(s, d, "thesaurus_csv")).where("reason is null").select("file_no", "line_no", "thesaurus_id", "id", "value", "target_id")
     return thesaurus.group_rows(rows).select("file_no", "first", "thesaurus_id", "target_id", F.to_json("entries").alias("entries"))
+
+
+# functions in Arrow batches
+
+query("json_to_xml")(lambda s, d: _parts(s, d).select(F.col("_id"), _arrow().json_to_xml_filter(_arrow().XmlOptions(numbered=True, skip=frozenset({"null", "false"})))(F.col("content")).alias("xml")))
+query("json_paths", """with p as (select * from (select *, row_number() over (partition by _id order by "timeModified" desc nulls last, "arrivedAt" desc nulls last, content desc nulls last, "itemId" desc nulls last, "roleId" desc nulls last) as r from parts where _id is not null) where r = 1)
+select _id, coalesce(json_extract_string(content, '$.citation'), 'null') as x from p""")(lambda s, d: _parts(s, d).select("_id", _arrow().json_path_filter("citation", strip=True)(F.col("content")).alias("x")))
+query("markdown_regions", "select distinct _id, '<p><strong>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</strong></p>' || chr(10) || ' end' as x from items where title is not null and not regexp_matches(title, '[*_`\\[]')")(
+    lambda s, d: table(s, d, "items").where("title is not null and not title rlike '[*_`\\\\[]'").select("_id", _arrow().markdown_filter("<_md>", "</_md>")(F.concat(F.lit("<_md>**"), F.col("title"), F.lit("**</_md> end"))).alias("x")).distinct()
+)
+query("text_extract_tokens", f"with {_CURRENT} select item_id, 'see ' || string_split(lines[1], ' ')[1] || '!' as text from b where len(lines) > 0")(
+    lambda s, d: (lambda b: texts.extract_tokens(b.where("size(lines) > 0").select("item_id", F.lit("see @{1.1}!").alias("text")), b))(texts.base_texts(_parts(s, d)))
+)
+query("dump_envelopes")(lambda s, d: _sinks().json_envelopes(framing.frame(*_both(s, d), FrameFilter()), 100, {}, ""))
+query("dump_markdown")(lambda s, d: _sinks().markdown_items(framing.snapshot(table(s, d, "history_items"), FrameFilter())).select("file", "text"))
+
+
+def _arrow():
+    from strataframe.functions import arrow
+
+    return arrow
+
+
+def _sinks():
+    from strataframe.sources import sinks
+
+    return sinks
