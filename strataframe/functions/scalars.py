@@ -62,10 +62,17 @@ def replacements(rules: Sequence[tuple[str, str, bool]]) -> Filter:
     return lambda c: reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]) if r[2] else F.replace(x, F.lit(r[0]), F.lit(r[1])), rules, c)
 
 
-def sentence_pattern(marks: str = ".?!;…") -> str:
-    """A sentence with its end marks and the space after them; what stands in parentheses isn't searched."""
+#: fixed value: the marks that end a sentence, with the Greek question mark
+MARKS = ".?!\u037e…"
+
+
+def sentence_pattern(marks: str = MARKS, possessive: bool = True) -> str:
+    """A sentence with its end marks and the space after them; what stands in parentheses isn't searched.
+
+    possessive: for Java, whose engine else recurses once per parenthesis and runs out of stack on long texts.
+    """
     m = "".join("\\" + x if x in "\\]^-[" else x for x in marks)
-    return rf"(?s)([{m}]*[^{m}(]*(?:\([^)]*(?:\)|$)[^{m}(]*)*(?:[{m}][{m}\s]*)?)"
+    return rf"(?s)([{m}]*[^{m}(]*(?:\([^)]*(?:\)|$)[^{m}(]*)*{'+' if possessive else ''}(?:[{m}][{m}\s]*)?)"
 
 
 def sentences(c: Column, marks: str = ".?!;…") -> Column:

@@ -95,7 +95,10 @@ class BucketedTable:
 
     def current(self, with_deleted: bool = False) -> DataFrame | None:
         """The rows that exist after all committed feeds; None before the first commit."""
-        rows = self._rows(self.manifest())
+        manifest = self.manifest()
+        rows = self._rows(manifest)
+        if rows is None and manifest["schema"]:
+            rows = self.spark.createDataFrame([], StructType.fromJson(manifest["schema"]))
         if rows is None or with_deleted:
             return rows
         return rows.where(~F.col(f"`{self.status}`").eqNullSafe(DELETED))

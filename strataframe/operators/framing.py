@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe import storage
 from strataframe.functions.predicates import CREATED, DELETED, UPDATED, FrameFilter, part_types
 
 PART_COLUMNS = ("_id", "itemId", "typeId", "roleId", "timeCreated", "creatorId", "timeModified", "userId", "content", "_status")
@@ -83,11 +84,12 @@ def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """df with chunk: the 0-based number of the dump file that holds the row, size rows a file in the given order.
 
     Rows are sorted over all tasks; a row's number is its rank in its partition after those of the partitions before,
-    which are counted first.
+    which are counted first. The sorted rows are written to the shared folder in between, as the bounds of partitions
+    are drawn anew whenever a sort is run again. The counts, one a partition, are broadcast.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     n = F.monotonically_increasing_id()
-    tagged = ranged.withColumn("__id", n).withColumn("__p", F.shiftright("__id", 33))
+    tagged = storage.materialize(ranged.withColumn("__id", n), storage.workspace(df.sparkSession, "chunks")).withColumn("__p", F.shiftright("__id", 33))
     counts = tagged.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")
     return tagged.join(F.broadcast(counts.drop("__n")), "__p").withColumn("chunk", F.floor(rank / size).cast("long")).drop("__id", "__p", "__before")

@@ -50,7 +50,7 @@ component("text-filter.str.appender")(lambda text="": scalars.append(text))
 component("text-filter.str.iso639")(lambda pattern=r"\^\^([a-z]{3})", twoLetters=False: scalars.iso639(pattern, 2 if twoLetters else 3))
 component("text-filter.str.bcp47")(lambda pattern=None, customTagNames=None: scalars.bcp47(**({"pattern": pattern} if pattern else {}), custom=customTagNames))
 component("text-filter.str.markdown")(lambda markdownOpen=None, markdownClose=None, format="html": arrow.markdown_filter(markdownOpen, markdownClose, format == "txt"))
-component("text-filter.str.sentence-split")(lambda endMarkers=".?!;…", newLine="\n", **_: scalars.split_sentences(endMarkers, newLine))
+component("text-filter.str.sentence-split")(lambda endMarkers=scalars.MARKS, newLine="\n", **_: scalars.split_sentences(endMarkers, newLine))
 component("text-filter.str.source-id")(lambda mapping=None, tagOpen="#[", tagClose="]#", omitUnresolved=False: scalars.source_ids(mapping or {}, tagOpen, tagClose, omitUnresolved))
 component("text-filter.str.mongo-thesaurus")(lambda pattern=None, **_: lambda df, key, text, entries: scalars.thesaurus_references(df, key, text, entries, **({"pattern": pattern} if pattern else {})))
 component("text-filter.str.mongo-token-extractor")(lambda locationPattern=r"@\{([^}]+)\}", textTemplate="{text}", **_: lambda df, base: texts.extract_tokens(df, base, locationPattern, textTemplate))
@@ -95,8 +95,9 @@ class Configuration:
     def get(self, section: str, key: str):
         """The component with a key in a section, or None."""
         for c in self.sections.get(section, []):
-            if key in str(c.get("keys", "")).split() and not (c.get("options") or {}).get("isDisabled"):
-                return create(c["id"], {k: v for k, v in (c.get("options") or {}).items() if k != "isDisabled"})
+            options = {k[:1].lower() + k[1:]: v for k, v in (c.get("options") or {}).items()}
+            if key in str(c.get("keys", "")).split() and not options.pop("isDisabled", False):
+                return create(c["id"], options)
         return None
 
     def chain(self, keys: list[str], section: str = "textFilters"):

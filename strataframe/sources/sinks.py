@@ -51,5 +51,5 @@ def markdown_items(items: DataFrame, per_file: int = 100) -> DataFrame:
         return F.coalesce(F.concat(F.lit(f"- {label}: `"), F.col(c).cast("string"), F.lit("`\n")), F.lit(""))
 
     rows = framing.chunked(items, ["sortKey", "_id"], per_file)
-    text = F.concat(F.lit("#### "), F.coalesce("title", F.col("_id")), F.lit("\n\n"), *[line(a, b) for a, b in (("ID", "_id"), ("description", "description"), ("facet ID", "facetId"), ("group ID", "groupId"), ("sort key", "sortKey"), ("created", "timeCreated"), ("creator", "creatorId"), ("modified", "timeModified"), ("user", "userId"))])
+    text = F.concat(F.lit("#### "), F.coalesce("title", F.col("_id")), F.lit("\n\n"), *[line(a, b) for a, b in (("ID", "_id"), ("description", "description"), ("facet ID", "facetId"), ("group ID", "groupId"), ("sort key", "sortKey"), ("created", "timeCreated"), ("creator", "creatorId"), ("modified", "timeModified"), ("user", "userId")) if b in items.columns])
     return rows.select(F.format_string("d%05d.md", (F.col("chunk") + 1).cast("int")).alias("file"), F.struct("sortKey", "_id").alias("n"), text.alias("text"))
