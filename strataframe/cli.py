@@ -52,9 +52,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         decoded = graph.decode(triples, graph.uris(graph.referenced_nodes(nodes, triples) if a.referenced_only else nodes))
         sinks.ordered_lines(rdf.document(decoded, json.loads(a.prefixes), a.format, rdf.Settings(comments=not a.no_comments, base=a.base, stamp=now)), a.output)
     elif a.command == "render":
-        parts = texts.current(table(spark, a.folder, "parts"))
-        base, frs = texts.base_texts(parts), texts.layer_fragments(parts)
-        segments = texts.consecutive(base, texts.flatten(base, frs))
+        base, frs, segments = texts.layered(table(spark, a.folder, "parts"))
         pieces = texts.with_lines(texts.block_lines(segments))
         kinds = {
             "text": lambda: base.select("item_id", "text"),

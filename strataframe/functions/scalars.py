@@ -164,6 +164,11 @@ def decorate_fragments(fragments: Column, type_id: Column, role_id: Column) -> C
     return F.transform(fragments, lambda x, i: F.concat(F.lit('{"_key":"'), key(i), F.lit('"'), F.when(F.regexp_like(x, F.lit(r"\A\s*\{\s*\}\s*\z")), F.lit("}")).otherwise(F.concat(F.lit(","), F.regexp_replace(x, r"\A\s*\{", "")))))
 
 
+def fragment_at(content: Column, index: int) -> Column:
+    """The fragment of a part's JSON content at a position, as JSON; null if there is none."""
+    return F.get_json_object(content, f"$.fragments[{index}]")
+
+
 def thesaurus_references(df: DataFrame, key: str, text: str, entries: DataFrame, pattern: str = r"\$([@_a-zA-Z0-9.-]+):([_a-zA-Z0-9.-]+)") -> DataFrame:
     """(key, text) with `$thesaurus:entry` replaced by the entry's value, or by the entry's id where there is none.
 

@@ -38,6 +38,22 @@ def uris(nodes: DataFrame) -> DataFrame:
     return nodes.where("label is not null and id is not null").groupBy("id").agg(F.min("label").alias("uri"))
 
 
+def page(triples: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """A page of triples by id, for callers that want one; exports read all at once and need none."""
+    out = triples.orderBy("id").offset(offset)
+    return out if limit is None else out.limit(limit)
+
+
+def is_uri(c: Column) -> Column:
+    """Whether a text is an absolute URI: a scheme, a colon and something without spaces."""
+    return F.coalesce(c.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]+\z"), F.lit(False))
+
+
+def escape_uri(c: Column) -> Column:
+    """A text percent-encoded, with spaces as %20."""
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+
 def tagged(df: DataFrame, tags: Sequence[str]) -> DataFrame:
     return df.where(F.col("tag").isin(list(tags))) if tags else df
 

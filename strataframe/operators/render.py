@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,33 @@ def tei_parallel(tree: DataFrame) -> DataFrame:
     return level.select("item_id", "n", x.alias("x")).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("ls")).select("item_id", F.concat(F.lit(f'<p n="1" xmlns="{TEI}">'), _joined("ls"), F.lit("</p>")).alias("xml"))
 
 
+def dispatch(parts: DataFrame, renderers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(_id, text): each part's content by the renderer of its `typeId:roleId`, else of its `typeId`; others are left out."""
+    key = F.concat_ws(":", "typeId", "roleId")
+    out = F.lit(None).cast("string")
+    for k, f in sorted(renderers.items(), key=lambda x: x[0].count(":")):
+        out = F.when(key == k if ":" in k else F.col("typeId") == k, f(F.col("content"))).otherwise(out)
+    return parts.select("_id", out.alias("text")).where("text is not null")
+
+
+def metadata(items: DataFrame) -> DataFrame:
+    """(item_nr, _id, title, facetId, flags, groupId, new_group): items as they are composed, in the order of sortKey.
+
+    Numbers count within a group, so that no window spans all items; new_group marks the first item of each.
+    """
+    flow = F.coalesce(F.nullif(F.col("groupId"), F.lit("")), F.lit("default"))
+    w = Window.partitionBy(flow).orderBy("sortKey", "_id")
+    return items.select(F.row_number().over(w).alias("item_nr"), "_id", "title", "facetId", "flags", "groupId").withColumn("new_group", F.col("item_nr") == 1)
+
+
+def standoff_flows(pieces: DataFrame, apps: DataFrame) -> DataFrame:
+    """(item_id, flow, xml): the base text, and a flow for each layer role, here that of the apparatus, side by side."""
+    base = tei_standoff(pieces).select("item_id", F.lit("base-text").alias("flow"), "xml")
+    layers = apps.select("item_id", F.regexp_extract("fr_id", r":(.*)@", 1).alias("flow"), F.struct("first", "fr_id", "xml").alias("x"))
+    grouped = layers.groupBy("item_id", "flow").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return base.unionByName(grouped.select("item_id", "flow", F.concat(F.lit('<standOff source="^'), xml_text(F.col("item_id"), True), F.lit(f'" xmlns="{TEI}">'), _joined("xs", "xml"), F.lit("</standOff>")).alias("xml")))
+
+
 def composed(items: DataFrame, rendered: DataFrame, head: str = "", tail: str = "", group_head: str = "") -> DataFrame:
     """(flow, item_nr, text): the renditions of items in the order of sortKey, by flow, the item's group.
 

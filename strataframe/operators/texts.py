@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe import storage
 from strataframe.functions.scalars import FEATURES
 
 _POINT = r"(\d+)\.(\d+)(?:@(\d+)(?:x(\d+))?)?"
@@ -97,6 +98,21 @@ def consecutive(texts: DataFrame, ranges: DataFrame) -> DataFrame:
     return placed.select("item_id", "n", "start", "end", "fragment_ids", piece.alias("text"), (F.substr("__text", F.col("end") + 2, F.lit(1)) == "\n").alias("eol"))
 
 
+def layered(parts: DataFrame, role: str = "base-text", prefix: str = "fr.") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, fragments, segments) of the last versions of parts.
+
+    Each is used several times by what follows, so it is written once to the shared folder: parts are scanned and
+    ordered only once, however many renditions are made of them.
+    """
+    folder = storage.workspace(parts.sparkSession, "layers")
+    last = current(parts.select("_id", "itemId", "typeId", "roleId", "timeModified", "arrivedAt", "content"))
+    narrow = storage.materialize(last.where((F.col("roleId") == role) | F.col("roleId").startswith(prefix)), f"{folder}/parts")
+    base = storage.materialize(base_texts(narrow, role), f"{folder}/texts")
+    frs = storage.materialize(layer_fragments(narrow, prefix), f"{folder}/fragments")
+    ranges = storage.materialize(flatten(base, frs), f"{folder}/ranges")
+    return base, frs, storage.materialize(consecutive(base, ranges), f"{folder}/segments")
+
+
 def merge_linear(segments: DataFrame, names: tuple[str, ...] = (), break_at_lf: bool = True, keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """Adjacent segments with equal sets of features, of given names or all, merged: keys..., n, text, features.
 

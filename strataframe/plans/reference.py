@@ -173,6 +173,11 @@ for _form in ("turtle", "ntriples", "jsonld", "rdfxml", "owlxml"):
     query(f"rdf_document_{_form}")(lambda s, d, form=_form: rdf.document(_decoded(s, d), PREFIXES, form).select(F.col("n.part").alias("part"), F.col("n.k").alias("k"), "line"))
 
 
+query("graph_page", "select id, s_id from (select distinct * from triple) order by id, s_id limit 100 offset 200")(lambda s, d: graph.page(table(s, d, "triple").distinct().where("id is not null"), 200, 100).select("id", "s_id"))
+query("graph_properties", "select distinct id, data_type, description from property")(lambda s, d: table(s, d, "property").select("id", "data_type", "description").distinct())
+query("graph_is_uri", r"""select distinct id, coalesce(regexp_full_match(label, '[A-Za-z][A-Za-z0-9+.-]*:[^\s<>"{}|\\^`]+'), false) as ok from node""".replace("\\\\", "\\"))(lambda s, d: table(s, d, "node").select("id", graph.is_uri(F.col("label")).alias("ok")).distinct())
+
+
 # layered texts
 
 def _parts(s: SparkSession, d: str) -> DataFrame:
@@ -180,9 +185,7 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _layers(s: SparkSession, d: str):
-    parts = _parts(s, d)
-    base, frs = texts.base_texts(parts), texts.layer_fragments(parts)
-    return base, frs, texts.consecutive(base, texts.flatten(base, frs))
+    return texts.layered(table(s, d, "parts"))
 
 
 def _roles(segments: DataFrame) -> DataFrame:
@@ -370,3 +373,24 @@ def _sinks():
     from strataframe.sources import sinks
 
     return sinks
+
+
+# composition
+
+query("compose_metadata", f"""select cast(row_number() over (partition by coalesce(nullif("groupId", ''), 'default') order by "sortKey", "referenceId") as int) as item_nr, "referenceId" as _id, title, "facetId", flags, "groupId",
+  row_number() over (partition by coalesce(nullif("groupId", ''), 'default') order by "sortKey", "referenceId") = 1 as new_group from {_LATEST.format(t='history_items', w='true')} where r = 1 and status is distinct from 2""")(
+    lambda s, d: render.metadata(framing.snapshot(table(s, d, "history_items"), FrameFilter(), False))
+)
+query("compose_dispatch", f"""with {_CURRENT} select _id, case when "typeId" = 'lapida.note' and "roleId" = 'internal' then 'internal' when "typeId" = 'lapida.note' then json_extract_string(content, '$.text') else json_extract_string(content, '$.citation') end as text from p
+where "typeId" = 'lapida.note' and ("roleId" = 'internal' or json_extract_string(content, '$.text') is not null) or "typeId" = 'lapida.token-text' and json_extract_string(content, '$.citation') is not null""")(
+    lambda s, d: render.dispatch(_parts(s, d), {"lapida.note:internal": lambda c: F.lit("internal"), "lapida.note": lambda c: F.get_json_object(c, "$.text"), "lapida.token-text": lambda c: F.get_json_object(c, "$.citation")})
+)
+query("compose_standoff_flows")(lambda s, d: (lambda g, a: render.standoff_flows(_pieces(g), a))(*_apps(s, d, located=True)))
+query("json_fragment_at", f"""with {_CURRENT} select _id, json_extract_string(content, '$.fragments[1].location') as location from p where json_extract(content, '$.fragments[1]') is not null and json_type(content, '$.fragments[1]') = 'OBJECT'""")(
+    lambda s, d: _parts(s, d).select("_id", scalars.fragment_at(F.col("content"), 1).alias("f")).where("f like '{%'").select("_id", F.get_json_object("f", "$.location").alias("location"))
+)
+query("text_composite", f"""{_TEXT}, q as (select item_id, n % 2 as sub_id, n, text from t), c as (select *, case when lag(n) over w is null or coalesce(ends_with(lag(text) over w, chr(10)), false) then 1 else 0 end as cut from q window w as (partition by item_id, sub_id order by n)),
+i as (select *, sum(cut) over (partition by item_id, sub_id order by n) as island from c)
+select item_id, sub_id, min(n) as n, string_agg(text, '' order by n) as text from i group by item_id, sub_id, island""")(
+    lambda s, d: texts.merge_linear(_layers(s, d)[2].withColumn("sub_id", F.col("n") % 2).withColumn("features", F.array().cast(scalars.FEATURES)), keys=("item_id", "sub_id")).select("item_id", "sub_id", "n", "text")
+)

@@ -58,9 +58,9 @@ component("json-renderer.null")(lambda **_: lambda c: c)
 component("json-renderer.xslt")(lambda jsonExpressions=(), quoteStripping=False, wrappedEntryNames=None, templates=None, **_: (lambda c: arrow.template_filter(templates, arrow.XmlOptions(items=wrappedEntryNames or {}))(c)) if templates else arrow.json_path_filter(*jsonExpressions, strip=quoteStripping) if jsonExpressions else arrow.json_to_xml_filter(arrow.XmlOptions(items=wrappedEntryNames or {})))
 component("json-renderer.tei-off.apparatus")(lambda zeroVariantType=None, **_: lambda segments, entries: render.apparatus(segments, entries, zero_type=zeroVariantType, located=True))
 component("text-flattener.token")(lambda **_: texts.flatten)
-component("text-tree-filter.block-linear")(lambda **_: texts.block_lines)
-component("text-tree-filter.merge-linear")(lambda features=(), breakAtLF=True, **_: lambda df: texts.merge_linear(df, tuple(features), breakAtLF))
-component("text-tree-filter.composite")(lambda filter=None, keys=("item_id", "sub_id"), **_: lambda df: create(filter["id"], filter.get("options"))(df) if filter else df)
+component("text-tree-filter.block-linear")(lambda **_: lambda df, keys=("item_id",): texts.block_lines(df, keys))
+component("text-tree-filter.merge-linear")(lambda features=(), breakAtLF=True, **_: lambda df, keys=("item_id",): texts.merge_linear(df, tuple(features), breakAtLF, keys))
+component("text-tree-filter.composite")(lambda filter=None, keys=("item_id", "sub_id"), **_: lambda df: create(filter["id"], filter.get("options"))(df, tuple(keys)) if filter else df)
 component("text-tree-filter.app-parallel")(lambda **_: lambda segments, entries: texts.version_tree(texts.versions(segments, entries)))
 component("text-tree-renderer.payload-linear")(lambda **_: render.payload_lines)
 component("text-tree-renderer.tei-off-linear")(lambda **_: render.tei_standoff)
