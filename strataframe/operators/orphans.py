@@ -2,12 +2,13 @@
 
 Each batch does three things. New references probe the parent index; those without a parent wait. Arriving parents
 resolve the references that wait for their key. Removed parents reopen the references that were resolved through them.
-Only the waiting references are written anew; resolved ones are appended, and read again only for removed keys.
+All state lies in buckets by key; a batch reads and writes only the buckets that its own keys fall in, and resolved
+references, which are appended, are read again only for removed keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe import storage
@@ -17,8 +18,15 @@ REFERENCES = "field string, key string, row_key string, period string, at long"
 #: (field, key, op, at). `present`: the parent exists; `seen`: it was heard of; `tombstone`: it was deleted, which a
 #: `present` overrules; `remove`: it exists no longer, whatever came before
 PARENTS = "field string, key string, op string, at long"
-_INDEX = "field string, key string, present boolean, dead boolean, first_at long, last_at long"
 OPS = ("present", "seen", "tombstone", "remove")
+_INDEX = "field string, key string, present boolean, dead boolean, first_at long, last_at long, reopened boolean"
+_STATE = REFERENCES + ", late boolean, reason string"
+BUCKET, KEPT = "__bucket", "__kept"
+_NEVER = -(2**62)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 class OrphanTracker:
@@ -30,55 +38,66 @@ class OrphanTracker:
     references. Equal references count once; keys compare exactly; extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.step = spark, path.rstrip("/"), 0
-        self._index = spark.createDataFrame([], _INDEX)
-        self._waiting = spark.createDataFrame([], REFERENCES + ", late boolean")
-        self._resolved: list[str] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._index: dict[int, str] = {}
+        self._waiting: dict[int, str] = {}
+        self._resolved: dict[int, list[str]] = {}
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.hash("field", "key"), F.lit(self.buckets)).alias(BUCKET)
+
+    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _written(self, folder: str) -> dict[int, str]:
+        return {int(n.split("=")[1]): f"{folder}/{n}" for n in storage.list_names(self.spark, folder) if n.startswith(f"{BUCKET}=")}
 
     def apply(self, references: DataFrame, parents: DataFrame) -> DataFrame:
         """One batch; returns the counts of orphans after it: (step, field, period, reason, n)."""
         self.step += 1
         at = f"{self.path}/{self.step:05d}"
-        p = parents.select("field", "key", "op", "at").where("key is not null and op in ('present', 'seen', 'tombstone', 'remove')")
-        removed = F.max(F.when(F.col("op") == "remove", F.coalesce("at", F.lit(-(2**62)))))
-        put = F.max(F.when(F.col("op") == "present", F.coalesce("at", F.lit(-(2**62)))))
-        delta = p.groupBy("field", "key").agg(
-            put.alias("put"), removed.alias("removed"), F.bool_or(F.col("op").isin("tombstone", "remove")).alias("dead"), F.min("at").alias("first_at")
+        when = F.coalesce("at", F.lit(_NEVER))
+        known = parents.select("field", "key", "op", "at").where(F.col("key").isNotNull() & F.col("op").isin(*OPS))
+        delta = known.groupBy("field", "key").agg(
+            F.max(F.when(F.col("op") == "present", when)).alias("put"),
+            F.max(F.when(F.col("op") == "remove", when)).alias("removed"),
+            F.bool_or(F.col("op").isin("tombstone", "remove")).alias("d_dead"),
+            F.min("at").alias("d_first"),
         )
-        old = self._index.select("field", "key", F.col("present").alias("o_present"), F.col("dead").alias("o_dead"), F.col("first_at").alias("o_first"), F.col("last_at").alias("o_last"))
+        delta = storage.materialize(delta, f"{at}/delta")
+        new = storage.materialize(references.select(*_names(REFERENCES)).where("key is not null and key <> ''").distinct(), f"{at}/new")
+        touched = {r[0] for r in delta.select(self._bucket()).union(new.select(self._bucket())).distinct().collect()}  # at most one row a bucket
+
+        old = self._read(_INDEX, [p for b, p in self._index.items() if b in touched]).withColumnsRenamed({"present": "o_present", "dead": "o_dead", "first_at": "o_first", "last_at": "o_last"}).drop("reopened")
         both = old.join(delta, ["field", "key"], "full_outer")
-        last_put, last_removed = F.greatest("put", F.when(F.col("o_present"), F.col("o_last"))), F.greatest("removed", F.when(~F.col("o_present"), F.col("o_last")))
-        present = F.coalesce(last_put.isNotNull() & (last_removed.isNull() | (last_put > last_removed)), F.lit(False))
-        index = storage.materialize(
-            both.select("field", "key", present.alias("present"), (F.coalesce("o_dead", F.lit(False)) | F.coalesce("dead", F.lit(False))).alias("dead"), F.least("first_at", "o_first").alias("first_at"), F.when(present, last_put).otherwise(last_removed).alias("last_at"), F.col("put").isNotNull().alias("arrived"), (F.coalesce("o_present", F.lit(False)) & ~present).alias("reopened")),
-            f"{at}/index",
-        )
-        new = references.select("field", "key", "row_key", "period", "at").where("key is not null and key <> ''").distinct()
-        known = index.select("field", "key", "present", "first_at", "arrived", "reopened")
+        put, removed = F.greatest("put", F.when(F.col("o_present"), F.col("o_last"))), F.greatest("removed", F.when(~F.col("o_present"), F.col("o_last")))
+        present = F.coalesce(put.isNotNull() & (removed.isNull() | (put > removed)), F.lit(False))
+        index = both.select("field", "key", present.alias("present"), (F.coalesce("o_dead", F.lit(False)) | F.coalesce("d_dead", F.lit(False))).alias("dead"), F.least("d_first", "o_first").alias("first_at"), F.when(present, put).otherwise(removed).alias("last_at"), (F.coalesce("o_present", F.lit(False)) & ~present).alias("reopened"), self._bucket())
+        index.write.partitionBy(BUCKET).parquet(f"{at}/index")
+        self._index |= self._written(f"{at}/index")
+        index = self._read(_INDEX, [p for b, p in self._index.items() if b in touched])
+
+        refs = new.withColumn("late", F.lit(False)).unionByName(self._read(_STATE, [p for b, p in self._waiting.items() if b in touched]).drop("reason"))
+        again = [p for b in touched for p in self._resolved.get(b, [])]
+        gone = index.where("reopened").select("field", "key")
+        if again and not gone.isEmpty():
+            refs = refs.unionByName(self._read(_STATE, again).join(gone, ["field", "key"], "left_semi").drop("reason").distinct())
         # a parent that isn't known yet, or is known but not present, may still turn out to be late
-        probed = new.join(known, ["field", "key"], "left").withColumn("late", F.coalesce(F.col("first_at") > F.col("at"), F.lit(False)))
-        back = self._waiting.join(known, ["field", "key"], "left").withColumn("late", F.col("late") | F.coalesce(F.col("first_at") > F.col("at"), F.lit(False)))
-        columns = ["field", "key", "row_key", "period", "at", "late"]
-        sets = [probed.select(*columns, "present"), back.select(*columns, "present")]
-        if self._resolved:  # references that were resolved through a parent now removed
-            gone = index.where("reopened").select("field", "key")
-            sets.append(self.spark.read.schema(REFERENCES + ", late boolean").parquet(*self._resolved).join(gone, ["field", "key"], "left_semi").distinct().withColumn("present", F.lit(False)).select(*columns, "present"))
-        state = sets[0]
-        for s in sets[1:]:
-            state = state.unionByName(s)
-        state = storage.materialize(state.withColumn("open", ~F.coalesce("present", F.lit(False))), f"{at}/state")
-        self._index = index.select(*[c.split()[0] for c in _INDEX.split(", ")])
-        kept = state.where("open or late").select(*columns)
-        self._waiting = kept
-        state.where("not open and not late").select(*columns).write.parquet(f"{at}/resolved")
-        self._resolved.append(f"{at}/resolved")
+        probed = refs.join(index, ["field", "key"], "left").withColumn("late", F.col("late") | F.coalesce(F.col("first_at") > F.col("at"), F.lit(False)))
+        open_ = ~F.coalesce("present", F.lit(False))
+        reason = F.when(open_ & F.coalesce("dead", F.lit(False)), F.lit("deleted")).when(open_, F.lit("missing")).when(F.col("late"), F.lit("late"))
+        state = probed.withColumn("reason", reason).select(*_names(_STATE), F.col("reason").isNotNull().alias(KEPT), self._bucket())
+        state.write.partitionBy(KEPT, BUCKET).parquet(f"{at}/state")
+        for b in touched:
+            self._waiting.pop(b, None)
+        self._waiting |= self._written(f"{at}/state/{KEPT}=true")
+        for b, p in self._written(f"{at}/state/{KEPT}=false").items():
+            self._resolved.setdefault(b, []).append(p)
         counts = self.report().groupBy("field", "period", "reason").agg(F.count("*").alias("n")).select(F.lit(self.step).alias("step"), "field", "period", "reason", "n")
         return storage.materialize(counts, f"{at}/counts")
 
     def report(self) -> DataFrame:
         """(field, key, row_key, period, reason) of all references that are orphans now."""
-        known = self._index.select("field", "key", "present", "dead")
-        open_ = ~F.coalesce("present", F.lit(False))
-        reason = F.when(open_ & F.coalesce("dead", F.lit(False)), F.lit("deleted")).when(open_, F.lit("missing")).when(F.col("late"), F.lit("late"))
-        return self._waiting.join(known, ["field", "key"], "left").withColumn("reason", reason).where("reason is not null").select("field", "key", "row_key", "period", "reason")
+        return self._read(_STATE, list(self._waiting.values())).select("field", "key", "row_key", "period", "reason")
