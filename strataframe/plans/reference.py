@@ -166,9 +166,20 @@ _Q = f"""'"' || {_ESC} || '"'"""
 query("rdf_jsonld", f"""{_DECODED}, v as (select s_id, s, p, id, case when o_lit <> '' then '{{"@value": ' || {_Q.format(c='o_lit')} || case when o_lit_lang <> '' then ', "@language": ' || {_Q.format(c='o_lit_lang')} when o_lit_type <> '' then ', "@type": ' || {_Q.format(c='o_lit_type')} else '' end || '}}'
   else '{{"@id": ' || {_Q.format(c='o')} || '}}' end as v from d),
 g as (select s_id, s, p, min(id) as first, string_agg(v, ', ' order by id, v) as vs, count(*) as n from v where v is not null and s is not null and p is not null group by 1, 2, 3)
-select s_id, '{{"@id": ' || {_Q.format(c='s')} || ', ' || string_agg({_Q.format(c='p')} || ': ' || case when n = 1 then vs else '[' || vs || ']' end, ', ' order by first, p) || '}}' as node from g group by s_id, s""")(lambda s, d: rdf.jsonld(_decoded(s, d)))
-query("rdf_xml")(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES))
-query("rdf_owl")(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES, "owl:NamedIndividual"))
+select s_id, '{{"@id": ' || {_Q.format(c='s')} || ', ' || string_agg({_Q.format(c='p')} || ': ' || case when n = 1 then vs else '[' || vs || ']' end, ', ' order by first, p) || '}}' as node from g group by s_id, s""")(lambda s, d: rdf.jsonld(_decoded(s, d)).drop("part"))
+_XA = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_XE = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _xml_sql(element: str) -> str:
+    attr = f"case when o_lit_lang <> '' then ' xml:lang=\"' || {_XA.format(c='o_lit_lang')} || '\"' when o_lit_type <> '' then ' rdf:datatype=\"' || {_XA.format(c=_FULL.format(c='o_lit_type'))} || '\"' else '' end"
+    return f"""{_DECODED}, x as (select s_id, s, id, case when o_lit <> '' then '<' || p || {attr} || '>' || {_XE.format(c='o_lit')} || '</' || p || '>'
+  when o is not null then '<' || p || ' rdf:resource="' || {_XA.format(c=_FULL.format(c='o'))} || '" />' else '<' || p || ' />' end as x from d where s is not null and p is not null)
+select s_id, '<{element} rdf:about="' || {_XA.format(c=_FULL.format(c='s'))} || '">' || string_agg(x, '' order by id, x) || '</{element}>' as xml from x group by s_id, s"""
+
+
+query("rdf_xml", _xml_sql("rdf:Description"))(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES).drop("part"))
+query("rdf_owl", _xml_sql("owl:NamedIndividual"))(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES, "owl:NamedIndividual").drop("part"))
 for _form in ("turtle", "ntriples", "jsonld", "rdfxml", "owlxml"):
     query(f"rdf_document_{_form}")(lambda s, d, form=_form: rdf.document(_decoded(s, d), PREFIXES, form).select(F.col("n.part").alias("part"), F.col("n.k").alias("k"), "line"))
 

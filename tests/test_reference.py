@@ -295,6 +295,11 @@ def test_rdf_lines(triples):
 
     for form in ("rdf", "owl"):
         assert len(ElementTree.fromstring("".join(r.line for r in rdf.document(d, PREFIXES, form).orderBy("n").collect()))) == 1
+    many = d.where("id = 1").withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    split = rdf.jsonld(many, limit=10).collect()
+    values = [v for r in split for k, v in json.loads(r.node).items() if k != "@id"]
+    assert 1 < len(split) <= 4 and sum(len(v) if isinstance(v, list) else 1 for v in values) == 40
+    assert rdf.xml_subjects(many, PREFIXES, limit=10).count() == len(split)
     with pytest.raises(Exception, match="no URI for id 9"):
         graph.decode(*triples, strict=True).collect()
     assert graph.contains(d, "a:x", "a:p", "http://o.org/y") and not graph.contains(d, "a:x", "a:p", None, "z")
