@@ -5,6 +5,8 @@ The total order of versions is timeModified, then _id. Filters on versions work
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,19 +82,30 @@ def frame(history_items: DataFrame, history_parts: DataFrame, f: FrameFilter, pa
     return nest(items, parts_of(history_parts, f, inc, with_deleted)) if parts else items
 
 
-def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """df with chunk: the 0-based number of the dump file that holds the row, size rows a file in the given order.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "nr") -> DataFrame:
+    """df with out: the 1-based rank of each row within its keys, or among all rows if there are no keys, in an order.
 
-    Rows are sorted over all tasks; a row's number is its rank in its partition after those of the partitions before,
-    which are counted first. The sorted rows are written to the shared folder in between, as the bounds of partitions
-    are drawn anew whenever a sort is run again. The counts, one a partition, are broadcast.
+    Rows are sorted over all tasks, so neither all rows nor those of a hot key meet in one. A row's rank is its place in
+    its partition's run of equal keys, after the runs of the partitions before, of which only the lengths are added up.
+    The sorted rows are written to the shared folder in between, as the bounds of partitions are drawn anew whenever a
+    sort is run again. Equal rows have ranks in any order; a null key is a key.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    n = F.monotonically_increasing_id()
-    tagged = storage.materialize(ranged.withColumn("__id", n), storage.workspace(df.sparkSession, "chunks")).withColumn("__p", F.shiftright("__id", 33))
-    counts = tagged.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")
-    return tagged.join(F.broadcast(counts.drop("__n")), "__p").withColumn("chunk", F.floor(rank / size).cast("long")).drop("__id", "__p", "__before")
+    sort = [*[F.col(f"`{c}`") for c in keys], *[F.col(f"`{c}`") for c in order]]
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__id", F.monotonically_increasing_id())
+    tagged = storage.materialize(ranged, storage.workspace(df.sparkSession, "numbered")).withColumn("__p", F.shiftright("__id", 33))
+    runs = tagged.groupBy(F.col("__p").alias("__rp"), *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.min("__id").alias("__from"), F.count("*").alias("__n"))
+    w = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__rp").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    on = F.col("__p") == F.col("__rp")
+    for i, c in enumerate(keys):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"__k{i}"))
+    ranked = tagged.join(runs, on).withColumn(out, (F.col("__id") - F.col("__from") + F.col("__before") + 1).cast("long"))
+    return ranked.drop("__id", "__p", "__rp", "__from", "__n", "__before", *[f"__k{i}" for i in range(len(keys))])
+
+
+def chunked(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """df with chunk: the 0-based number of the dump file that holds the row, size rows a file in the given order."""
+    return numbered(df, [], order, "__nr").withColumn("chunk", F.expr(f"(__nr - 1) div {int(size)}")).drop("__nr")
 
 
 def items_patched(items: DataFrame, user: str = "zeus") -> DataFrame:

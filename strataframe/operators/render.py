@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.operators.framing import numbered
 from strataframe.operators.rdf import xml_text
 
 TEI = "http://www.tei-c.org/ns/1.0"
@@ -120,11 +121,14 @@ def dispatch(parts: DataFrame, renderers: dict[str, Callable[[Column], Column]])
 def metadata(items: DataFrame) -> DataFrame:
     """(item_nr, _id, title, facetId, flags, groupId, new_group): items as they are composed, in the order of sortKey.
 
-    Numbers count within a group, so that no window spans all items; new_group marks the first item of each.
+    Numbers count within a group; new_group marks the first item of each.
     """
-    flow = F.coalesce(F.nullif(F.col("groupId"), F.lit("")), F.lit("default"))
-    w = Window.partitionBy(flow).orderBy("sortKey", "_id")
-    return items.select(F.row_number().over(w).alias("item_nr"), "_id", "title", "facetId", "flags", "groupId").withColumn("new_group", F.col("item_nr") == 1)
+    rows = numbered(items.withColumn("__flow", _flow()), ["__flow"], ["sortKey", "_id"], "item_nr")
+    return rows.select(F.col("item_nr").cast("int").alias("item_nr"), "_id", "title", "facetId", "flags", "groupId", (F.col("item_nr") == 1).alias("new_group"))
+
+
+def _flow() -> Column:
+    return F.coalesce(F.nullif(F.col("groupId"), F.lit("")), F.lit("default"))
 
 
 def standoff_flows(pieces: DataFrame, apps: DataFrame) -> DataFrame:
@@ -141,8 +145,7 @@ def composed(items: DataFrame, rendered: DataFrame, head: str = "", tail: str =
     head and tail are the first and last texts of every flow; group_head, with `{group}`, starts each group.
     """
     both = items.join(rendered.toDF("__item", "text"), F.col("_id") == F.col("__item"))
-    flow = F.coalesce(F.nullif(F.col("groupId"), F.lit("")), F.lit("default"))
-    rows = both.select(flow.alias("flow"), "sortKey", "_id", "text").withColumn("item_nr", F.row_number().over(Window.partitionBy("flow").orderBy("sortKey", "_id"))).select("flow", "item_nr", "text")
+    rows = numbered(both.select(_flow().alias("flow"), "sortKey", "_id", "text"), ["flow"], ["sortKey", "_id"], "item_nr").select("flow", F.col("item_nr").cast("int").alias("item_nr"), "text")
     flows = rows.select("flow").distinct()
     ends = [flows.select("flow", F.lit(0).alias("item_nr"), F.concat(F.lit(head), F.replace(F.lit(group_head), F.lit("{group}"), F.col("flow"))).alias("text"))] if head or group_head else []
     ends += [flows.select("flow", F.lit(2**31 - 1).alias("item_nr"), F.lit(tail).alias("text"))] if tail else []

@@ -381,3 +381,14 @@ def test_streams(spark, history, tmp_path):
     q = feeds.changes_by_window(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log"), window="30 days").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").selectExpr("sum(changes)").first()[0] == 7
+
+
+def test_numbers_over_partitions(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.when(F.col("id") % 5 > 0, (F.col("id") % 7).cast("string"))).alias("k"), (F.col("id") * 7919 % 5003).alias("o"), F.col("id").alias("__from"))
+    got = framing.numbered(df.drop("__from"), ["k"], ["o"]).repartition(1).collect()
+    want = {}
+    for r in sorted(got, key=lambda r: (r.k or "", r.o)):
+        want[r.k] = want.get(r.k, 0) + 1
+        assert r.nr == want[r.k]
+    assert len(got) == 5000 and sorted(r.nr for r in framing.numbered(df.drop("__from"), [], ["o"]).collect()) == list(range(1, 5001))
+    assert framing.numbered(df.drop("__from").limit(0), [], ["o"]).count() == 0
