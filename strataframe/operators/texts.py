@@ -201,10 +201,11 @@ def versions(segments: DataFrame, entries: DataFrame) -> DataFrame:
     """(item_id, tag, n, text): the base version, tagged by nothing, and one of each source, `w:` witness or `a:` author.
 
     A source's text of a segment is that of the first entry it has there; a note leaves the base text, an entry without
-    value empties it, and a source that has none reads with the base. Sources meet only the segments of their own item.
+    value empties it, and a source that has none reads with the base. Of several layer parts of one role the first by id
+    counts. Sources meet only the segments of their own item.
     """
-    sources = entries.select("item_id", "fr_id", "entry_index", "type", "value", F.explode(F.concat(F.transform("witnesses", lambda w: F.concat(F.lit("w:"), w["value"])), F.transform("authors", lambda a: F.concat(F.lit("a:"), a["value"])))).alias("tag")).where("tag is not null")
-    reading = sources.groupBy("item_id", "tag", "fr_id").agg(F.min_by(F.struct("type", "value"), "entry_index").alias("e"))
+    sources = entries.select("item_id", "part_id", "fr_id", "entry_index", "type", "value", F.explode(F.concat(F.transform("witnesses", lambda w: F.concat(F.lit("w:"), w["value"])), F.transform("authors", lambda a: F.concat(F.lit("a:"), a["value"])))).alias("tag")).where("tag is not null")
+    reading = sources.groupBy("item_id", "tag", "fr_id").agg(F.min_by(F.struct("type", "value"), F.struct("part_id", "entry_index")).alias("e"))
     tags = sources.select("item_id", "tag").distinct().unionByName(segments.select("item_id", F.lit("").alias("tag")).distinct())
     here = segments.select("item_id", "n", "text", F.filter("fragment_ids", lambda x: x.contains(":fr.") & x.contains("apparatus@")).alias("frs"))
     rows = here.join(tags, "item_id").withColumn("fr_id", F.get("frs", 0))

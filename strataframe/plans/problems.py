@@ -164,3 +164,39 @@ select k as reference_id, epoch_ms(t) as valid_from, coalesce(epoch_ms(t1), -1)
     "p6_found": f"{_P6.format('history_items')} union all {_P6.format('history_parts')}",
     "p7_found": " union all ".join(_P7.format(c) for c in ("items", "parts", "history_parts")),
 }
+
+_ARRAY = "case json_type({0}) when 'ARRAY' then from_json({0}, '[\"JSON\"]') when 'OBJECT' then [{0}] else cast([] as json[]) end"
+
+
+def _children(source: str, list_sql: str, keep: str) -> str:
+    """SQL of (keep, ord, x): the objects of an array of source, with their places."""
+    return f"select {keep}, ord - 1 as ord, x from (select {keep}, unnest(range(1, len(l) + 1)) as ord, unnest(l) as x from (select *, {_ARRAY.format(list_sql)} as l from {source})) where json_type(x) = 'OBJECT'"
+
+
+ORACLES["p1_found"] = f"""
+with d as (select cast(doc as json) as j from item_dump), i as (select unnest(case when json_exists(j, '$.items') then {_ARRAY.format("json_extract(j, '$.items')")} else [j] end) as it from d),
+p as ({_children("i", "json_extract(it, '$._parts')", "it ->> '$._id' as pk")}),
+pc as (select pk, ord, x, x ->> '$._id' as id, case json_type(x, '$.content') when 'VARCHAR' then cast(x ->> '$.content' as json) else json_extract(x, '$.content') end as content from p),
+f as ({_children("(select *, case when json_exists(x, '$.fragments') then json_extract(x, '$.fragments') else json_extract(content, '$.fragments') end as fs from pc)", "fs", "id")}),
+r as ({_children("(select id || '/' || ord as pk, x as y from f)", "json_extract(y, '$.entries')", "pk")}),
+w as ({_children("(select pk || '/' || ord as pk, x as y from r)", "json_extract(y, '$.witnesses')", "pk")}),
+e as (select id, ord - 1 as ord, en.id as k from (select id, unnest(range(1, len(entries) + 1)) as ord, unnest(entries) as en from thesauri) where en is not null)
+select distinct 'part' as child, pk as parent_key, cast(ord as int) as ord, id as child_key from pc union select 'fragment', id, ord, x ->> '$.location' from f
+union select 'reading', pk, ord, x ->> '$.value' from r union select 'witness', pk, ord, x ->> '$.value' from w union select 'entry', id, ord, k from e""".replace("select it ->> '$._id' as pk, ord - 1 as ord, x from (select it ->> '$._id' as pk", "select pk, ord - 1 as ord, x from (select it ->> '$._id' as pk")
+
+_FIELD = ' *"(?:[^"]|"")*" *|[^",]*'
+_P3 = rf"""
+with r as (select distinct file_no, line_no, raw, regexp_replace(raw, '\r$', '') as t from thesaurus_csv),
+h as (select file_no as hf, list_transform(string_split(replace(regexp_replace(regexp_replace(raw, '\r$', ''), '^\x{{FEFF}}', ''), '"', ''), ','), lambda x: lower(trim(x))) as names from (select distinct file_no, raw from thesaurus_csv where line_no = 1)),
+b as (select *, regexp_full_match(t, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*') as framed from r left join h on hf = file_no where line_no <> 1 and not regexp_full_match(t, '[ \r\n\t]*')),
+s as (select *, case when framed then list_transform(regexp_extract_all(',' || t, '(?s),({_FIELD})', 1), lambda x: case when starts_with(trim(x, ' '), '"') then replace(trim(x, ' ')[2:-2], '""', '"') else trim(x, ' ') end) end as fs from b),
+c as (select *, framed and len(fs) = len(names) as ok from s),
+v as (select file_no, line_no, framed, ok, case when ok then nullif(fs[list_position(names, 'thesaurusid')], '') end as ti, case when ok then nullif(fs[list_position(names, 'id')], '') end as i,
+  case when ok then nullif(fs[list_position(names, 'value')], '') end as va, case when ok then nullif(fs[list_position(names, 'targetid')], '') end as g from c),
+n as (select *, last_value(ti ignore nulls) over (partition by file_no order by line_no rows between unbounded preceding and current row) as t from v),
+o as (select *, case when not framed then 'quoting' when not coalesce(ok, false) then 'columns' when t is null or ti is not null and not regexp_full_match(ti, '[A-Za-z0-9._-]+@[a-z]{{2,3}}') or i is null and g is null or g is not null and (i is not null or va is not null)
+  or i is not null and not regexp_full_match(i, '[A-Za-z0-9._-]+') or g is not null and not regexp_full_match(g, '[A-Za-z0-9._-]+(@[a-z]{{2,3}})?') or va is not null and regexp_matches(va, '[\x{{FFFD}}\x{{7F}}\x00-\x08\x0B\x0C\x0E-\x1F]') then 'value' end as reason from n)"""
+ORACLES["p3_found"] = f"{_P3} select distinct file_no, line_no, reason from o where reason is not null"
+ORACLES["p3_loaded"] = f"{_P3} select distinct file_no, line_no, t as thesaurus_id, i as id, va as value, g as target_id from o where reason is null"
+_WIDE = {101: "varchar", 102: "varchar", 103: "bigint", 104: "decimal(38, 4)", 105: "decimal(38, 4)", 106: "boolean", 107: "date", 108: "bigint", 109: "varchar", 110: "boolean", 111: "date", 112: "decimal(38, 4)", 113: "bigint", 114: "bigint", 115: "date", 116: "varchar"}
+ORACLES["p4_wide"] = f"select s_id, {', '.join(f'max(try_cast(val as {k})) filter (p_id = {p}) as p{p}' for p, k in _WIDE.items())} from ({ORACLES['p4_found']}) group by 1"

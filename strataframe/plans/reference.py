@@ -257,11 +257,25 @@ select item_id, min(n) as first, max(n) as last from q where hit and run = 1 gro
 query("text_dense_ids", """select "itemId", "typeId", row_number() over (partition by "itemId" order by f, i, "typeId") as id from (select "itemId", "typeId", min("timeCreated") as f, arg_min(_id, ("timeCreated", _id)) as i from parts where "itemId" is not null and "timeCreated" is not null and _id is not null group by 1, 2)""")(
     lambda s, d: texts.dense_ids(table(s, d, "parts").where("itemId is not null and timeCreated is not null and _id is not null"), ["itemId"], "typeId", ["timeCreated", "_id"])
 )
-query("text_versions")(lambda s, d: (lambda b, f, g: texts.versions(g, texts.apparatus_entries(f)))(*_layers(s, d)))
-query("text_version_tree")(lambda s, d: (lambda b, f, g: texts.version_tree(texts.versions(g, texts.apparatus_entries(f))))(*_layers(s, d)))
-query("text_apparatus")(lambda s, d: texts.apparatus_entries(texts.layer_fragments(_parts(s, d))).select("item_id", "fr_id", "entry_index", "type", "value", "accepted", "tag", F.to_json("witnesses").alias("witnesses"), F.to_json("authors").alias("authors")))
-query("render_payload_lines")(lambda s, d: render.payload_lines(_pieces(_layers(s, d)[2])))
 _XT = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_AT = """case json_type({0}) when 'ARRAY' then from_json({0}, '["JSON"]') when 'OBJECT' then [{0}] else cast([] as json[]) end"""
+_ENTRIES = f""", af as (select item_id, part_id, fr_index, type_id || ':' || role_id || '@' || fr_index as fr_id, fr from f where json_type(fr) = 'OBJECT' and ends_with(role_id, 'apparatus')),
+ae as (select item_id, part_id, fr_id, k as entry_index, x from (select *, unnest(range(len(l))) as k, unnest(l) as x from (select *, {_AT.format("json_extract(fr, '$.entries')")} as l from af)) where json_type(x) = 'OBJECT'),
+ap as (select item_id, part_id, fr_id, cast(entry_index as int) as entry_index, coalesce(cast(json_extract(x, '$.type') as int), 0) as type, x ->> '$.value' as value, coalesce(cast(json_extract(x, '$.isAccepted') as boolean), false) as accepted, x ->> '$.tag' as tag,
+  list_transform(list_filter({_AT.format("json_extract(x, '$.witnesses')")}, lambda e: json_type(e) = 'OBJECT'), lambda e: e ->> '$.value') as ws, list_transform(list_filter({_AT.format("json_extract(x, '$.authors')")}, lambda e: json_type(e) = 'OBJECT'), lambda e: e ->> '$.value') as rs from ae),
+so as (select item_id, part_id, fr_id, entry_index, type, value, unnest(list_concat(list_transform(ws, lambda e: 'w:' || e), list_transform(rs, lambda e: 'a:' || e))) as tag from ap),
+rd as (select item_id, tag, fr_id, arg_min(type, (part_id, entry_index)) as type, arg_min(struct_pack(v := value), (part_id, entry_index)) as sv from so where tag is not null group by all),
+tg as (select distinct item_id, tag from so where tag is not null union select distinct item_id, '' from t),
+vs as (select t.item_id, tg.tag, t.n, case when rd.fr_id is null or rd.type = 3 then t.text else coalesce(rd.sv.v, '') end as text from t join tg using (item_id)
+  left join rd on rd.item_id = t.item_id and rd.tag = tg.tag and rd.fr_id = list_filter(t.ids, lambda x: contains(x, 'apparatus@'))[1])"""
+query("text_versions", f"{_TEXT}{_ENTRIES} select item_id, tag, n, text from vs")(lambda s, d: (lambda b, f, g: texts.versions(g, texts.apparatus_entries(f)))(*_layers(s, d)))
+_TREE = f"""{_TEXT.replace('with p as', 'with recursive p as', 1)}{_ENTRIES}, ch as (select item_id, tag, n, text, sha256('/' || text) as node, cast(null as varchar) as parent from vs where n = 1
+  union all select vs.item_id, vs.tag, vs.n, vs.text, sha256(ch.node || '/' || vs.text), ch.node from ch join vs on vs.item_id = ch.item_id and vs.tag = ch.tag and vs.n = ch.n + 1),
+tr as (select item_id, n, node, parent, text, array_to_string(list_sort(list(distinct tag)), ' ') as tags from ch group by item_id, n, node, parent, text)"""
+query("text_version_tree", f"{_TREE} select * from tr")(lambda s, d: (lambda b, f, g: texts.version_tree(texts.versions(g, texts.apparatus_entries(f))))(*_layers(s, d)).withColumn("tags", F.array_join("tags", " ")))
+query("text_apparatus", f"with {_CURRENT}{_FRS}{_ENTRIES.partition(', so as')[0].rstrip(',')} select item_id, fr_id, entry_index, type, value, accepted, tag, array_to_string(ws, ' ') as witnesses, array_to_string(rs, ' ') as authors from ap")(lambda s, d: texts.apparatus_entries(texts.layer_fragments(_parts(s, d))).select("item_id", "fr_id", "entry_index", "type", "value", "accepted", "tag", *[F.array_join(F.transform(c, lambda x: x["value"]), " ").alias(c) for c in ("witnesses", "authors")]))
+query("render_payload_lines", f"""{_TEXT}{_PIECES}, j as (select item_id, y, '[' || string_agg('{{"start":' || "start" || ',"end":' || "end" || ',"fragmentIds":' || to_json(ids) || ',"text":' || to_json(text) || '}}', ',' order by n, k) || ']' as x from z group by 1, 2)
+select item_id, '[' || string_agg(x, ',' order by y) || ']' as json from j group by 1""")(lambda s, d: render.payload_lines(_pieces(_layers(s, d)[2])))
 query("render_tei_standoff", f"""{_TEXT}{_PIECES}, w as (select item_id, n, row_number() over (partition by item_id order by n) as seg from (select distinct item_id, n from z where len(ids) > 0)),
 v as (select z.item_id, y, z.n, k, case when seg is not null then '<seg xml:id="seg' || seg || '">' || {_XT.format(c='text')} || '</seg>' else {_XT.format(c='text')} end as x from z left join w on w.item_id = z.item_id and w.n = z.n),
 u as (select item_id, y, '<p source="^' || item_id || '" n="' || y || '" xmlns="http://www.tei-c.org/ns/1.0">' || string_agg(x, '' order by n, k) || '</p>' as x from v group by item_id, y)
@@ -276,7 +290,10 @@ def _apps(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
 query("render_apparatus")(lambda s, d: _apps(s, d, zero_type="zero")[1])
 query("render_apparatus_standoff")(lambda s, d: _apps(s, d, located=True)[1])
 query("render_tei_apparatus")(lambda s, d: (lambda g, a: render.tei_apparatus(_pieces(g), a))(*_apps(s, d)))
-query("render_tei_parallel")(lambda s, d: (lambda b, f, g: render.tei_parallel(texts.version_tree(texts.versions(g, texts.apparatus_entries(f)))))(*_layers(s, d)))
+query("render_tei_parallel", f"""{_TREE}, va as (select item_id, n, text, min(case when tag = '' then '0' when starts_with(tag, 'w:') then '1' || tag else '2' || tag end) as rank from ch group by 1, 2, 3),
+og as (select item_id, arg_min(text, n) as original from va where rank = '0' group by 1),
+lv as (select item_id, n, case when count(*) = 1 then any_value({_XT.format(c='text')}) else '<app>' || string_agg(case when text = original then '<lem>' || {_XT.format(c='text')} || '</lem>' else '<rdg>' || {_XT.format(c='text')} || '</rdg>' end, '' order by rank, text) || '</app>' end as x from va left join og using (item_id) group by 1, 2)
+select item_id, '<p n="1" xmlns="http://www.tei-c.org/ns/1.0">' || string_agg(x, '' order by n) || '</p>' as xml from lv group by 1""")(lambda s, d: (lambda b, f, g: render.tei_parallel(texts.version_tree(texts.versions(g, texts.apparatus_entries(f)))))(*_layers(s, d)))
 query("compose_text_flows", f"""with {_CURRENT}, i as (select "referenceId" as _id, "groupId", "sortKey" from {_LATEST.format(t='history_items', w='true')} where r = 1 and status is distinct from 2),
 c as (select coalesce(nullif("groupId", ''), 'default') as flow, row_number() over (partition by coalesce(nullif("groupId", ''), 'default') order by "sortKey", _id) as item_nr, text from i join b on b.item_id = i._id)
 select flow, cast(item_nr as int) as item_nr, text from c union all select distinct flow, 0, '# ' || flow from c""")(
@@ -348,7 +365,8 @@ w as (select distinct t as thesaurus_id, v as value from k where v is not null u
 select w.*, (select arg_min(k.id, k.ord) from k where k.t = coalesce(a.target, w.thesaurus_id) and k.v = w.value) as entry_id from w left join a on a.id = w.thesaurus_id""")(
     lambda s, d: (lambda e, a: thesaurus.entry_ids(e.select("thesaurus_id", "value").where("value is not null").unionByName(a.join(e, F.col("target_id") == e["thesaurus_id"]).where("value is not null").select(a["id"].alias("thesaurus_id"), "value")).distinct(), e, a))(thesaurus.entries_of(table(s, d, "thesauri")), thesaurus.aliases_of(table(s, d, "thesauri")))
 )
-query("thes_documents")(lambda s, d: thesaurus.documents(table(s, d, "thesauri")).select(F.col("n.k").alias("k"), "id", "json"))
+query("thes_documents", """select distinct case when id = 'model-types@en' then 0 else 1 end as k, id, case when coalesce("targetId", '') <> '' then '{' || case when id is not null then '"id":' || to_json(id) || ',' else '' end || '"targetId":' || to_json("targetId") || '}'
+  else '{' || case when id is not null then '"id":' || to_json(id) || ',' else '' end || '"entries":[' || array_to_string(list_transform(list_filter(coalesce(entries, []), lambda e: e is not null), lambda e: '{' || array_to_string(list_filter([case when e.id is not null then '"id":' || to_json(e.id) end, case when e."value" is not null then '"value":' || to_json(e."value") end], lambda x: x is not null), ',') || '}'), ',') || ']}' end as json from thesauri""")(lambda s, d: thesaurus.documents(table(s, d, "thesauri")).select(F.col("n.k").alias("k"), "id", "json"))
 
 
 @query("thes_group_rows")
@@ -371,7 +389,8 @@ query("text_extract_tokens", f"with {_CURRENT} select item_id, 'see ' || string_
     lambda s, d: (lambda b: texts.extract_tokens(b.where("size(lines) > 0").select("item_id", F.lit("see @{1.1}!").alias("text")), b))(texts.base_texts(_parts(s, d)))
 )
 query("dump_envelopes")(lambda s, d: _sinks().json_envelopes(framing.frame(*_both(s, d), FrameFilter()), 100, {}, ""))
-query("dump_markdown")(lambda s, d: _sinks().markdown_items(framing.snapshot(table(s, d, "history_items"), FrameFilter())).select("file", "text"))
+query("dump_markdown", f"""with i as (select "referenceId" as _id, * exclude (_id, "referenceId") from {_LATEST.format(t='history_items', w='true')} where r = 1), n as (select *, row_number() over (order by "sortKey", _id) as nr from i)
+select printf('d%05d.md', (nr - 1) // 100 + 1) as file, '#### ' || coalesce(title, _id) || chr(10) || chr(10) || """ + " || ".join(f"""coalesce('- {a}: `' || {b} || '`' || chr(10), '')""" for a, b in (("ID", "_id"), ("description", "description"), ("facet ID", '"facetId"'), ("group ID", '"groupId"'), ("sort key", '"sortKey"'), ("created", """rtrim(rtrim(strftime("timeCreated", '%Y-%m-%d %H:%M:%S.%g'), '0'), '.')"""), ("creator", '"creatorId"'), ("modified", """rtrim(rtrim(strftime("timeModified", '%Y-%m-%d %H:%M:%S.%g'), '0'), '.')"""), ("user", '"userId"'))) + " as text from n")(lambda s, d: _sinks().markdown_items(framing.snapshot(table(s, d, "history_items"), FrameFilter())).select("file", "text"))
 
 
 def _arrow():
