@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataframe.functions import predicates, scalars
 from strataframe.functions.predicates import FrameFilter
 from strataframe.operators import framing, graph, rdf, render, texts, thesaurus
+from strataframe.plans import problems
 from strataframe.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,3 +425,10 @@ i as (select *, sum(cut) over (partition by item_id, sub_id order by n) as islan
 select item_id, sub_id, min(n) as n, string_agg(text, '' order by n) as text from i group by item_id, sub_id, island""")(
     lambda s, d: texts.merge_linear(_layers(s, d)[2].withColumn("sub_id", F.col("n") % 2).withColumn("features", F.array().cast(scalars.FEATURES)), keys=("item_id", "sub_id")).select("item_id", "sub_id", "n", "text")
 )
+
+_GROUPED = f"""{problems._P3}, ld as (select distinct file_no, line_no, t as thesaurus_id, i as id, va as value, g as target_id from o where reason is null),
+cu as (select *, case when lag(thesaurus_id) over w is distinct from thesaurus_id then 1 else 0 end as cut from ld window w as (partition by file_no order by line_no)),
+gr as (select *, sum(cut) over (partition by file_no order by line_no) as grp from cu)
+select file_no, min(line_no) as first, thesaurus_id, max(target_id) as target_id, coalesce('[' || string_agg('{{"id":' || to_json(id) || case when value is not null then ',"value":' || to_json(value) else '' end || '}}', ',' order by line_no) filter (id is not null) || ']', '[]') as entries
+from gr group by file_no, grp, thesaurus_id having max(target_id) is not null or count(id) > 0"""
+ORACLES["thes_group_rows"] = _GROUPED

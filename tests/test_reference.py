@@ -57,6 +57,15 @@ def test_incremental_frames(history):
     assert frame(history, early)["i2"] == (1, ["q2", "q3"])  # the last version, though later than the interval
 
 
+def test_hot_items_come_in_shares(spark, history):
+    items = framing.snapshot(history[0], FrameFilter())
+    parts = framing.parts_of(history[1], FrameFilter()).where("_id = 'q1'").withColumn("_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: i.cast("string"))))
+    rows = framing.nest(items, parts, block=10).where("_id = 'i1'").collect()
+    ids = [p._id for r in rows for p in r._parts]
+    assert 1 < len(rows) <= 5 and sorted(ids) == sorted(str(i) for i in range(1, 51))
+    assert framing.nest(items, parts, block=50).count() == items.count()
+
+
 def test_imports(spark, tmp_path):
     items = spark.createDataFrame([("a", None, "", None, None, "", None, D(1, 1), D(1, 1)), ("b", "T 1", "d", "f", "k", "u", "w", D(1, 1), D(1, 1))], "_id string, title string, description string, facetId string, sortKey string, creatorId string, userId string, timeCreated timestamp_ntz, timeModified timestamp_ntz")
     got = {r._id: r for r in framing.items_patched(items).collect()}
