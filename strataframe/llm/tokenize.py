@@ -154,8 +154,16 @@ def load(path: str) -> ByteBpe:
 
 
 def vocabulary_path(spark) -> str:
-    """Where executors find the rank file: `spark.strataframe.vocabulary`, else the environment, else the default."""
-    return spark.conf.get("spark.strataframe.vocabulary", os.environ.get("STRATAFRAME_VOCABULARY", DEFAULT_VOCABULARY))
+    """Where executors find the rank file: `spark.strataframe.vocabulary`, else the environment, else the installed ones."""
+    path = spark.conf.get("spark.strataframe.vocabulary", os.environ.get("STRATAFRAME_VOCABULARY"))
+    if path is None and not os.path.exists(DEFAULT_VOCABULARY):
+        try:
+            import public_tokenizers
+
+            path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        except ImportError:
+            pass
+    return path or DEFAULT_VOCABULARY
 
 
 #: characters handled at once by a task
