@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strataframe import storage
+from strataframe.functions.times import micros
 
 DELETED = 2
 BUCKET = "__bucket"
@@ -107,8 +108,8 @@ class BucketedTable:
 def replay(spark: SparkSession, log: DataFrame, path: str, feeds: int = 2, arrival: str = "arrivedAt", **options) -> BucketedTable:
     """Apply a change log to an empty table in feeds slices of its time of arrival (rows without one in the first)."""
     out = BucketedTable(spark, path, **options)
-    lo, hi = log.select(F.min(F.unix_micros(F.col(arrival).cast("timestamp"))), F.max(F.unix_micros(F.col(arrival).cast("timestamp")))).first()
-    at = F.unix_micros(F.col(arrival).cast("timestamp"))
+    at = micros(log, arrival)
+    lo, hi = log.select(F.min(at), F.max(at)).first()
     n = feeds if lo is not None and hi > lo else 1
     k = F.coalesce(F.least(F.lit(n - 1), F.floor((at - F.lit(lo)) * n / F.lit(hi - lo + 1))), F.lit(0)) if n > 1 else F.lit(0)
     for i in range(n):

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.functions.times import micros
+
 DELETED = 2
 
 
@@ -39,19 +41,19 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str], attributes
     return diff.select(*[F.when(F.col("nv").isNotNull(), F.col(f"n{i}")).otherwise(F.col(f"o{i}")).alias(c) for i, c in enumerate(key)], "change", *[F.col(f"nv.a{i}").alias(a) for i, a in enumerate(attributes)])
 
 
-def validity(log: DataFrame, key: str = "referenceId", time: str = "timeModified", version: str = "_id", status: str = "status", attributes: Sequence[str] = ("title", "description", "facetId", "groupId", "sortKey", "flags"), period: str = "day") -> DataFrame:
+def validity(log: DataFrame, key: str = "referenceId", time: str = "timeModified", version: str = "_id", status: str = "status", attributes: Sequence[str] = ("title", "description", "facetId", "groupId", "sortKey", "flags"), period: int = 86_400) -> DataFrame:
     """(key, valid_from, valid_to, change, then the attributes) of every period, in microseconds since 1970 UTC.
 
     valid_to is exclusive and null if the period still lasts; change is `inserted` or `changed`. Versions are ordered by
     time, then version; of those with equal time only the last counts. Rows with a null key or time have no place in
     the order and are left out; a null status isn't a deletion; a null version is below any other. Attributes are
     compared null-safely. Repeated rows and repeated changes without a difference start no period.
-    period: a unit of date_trunc, the spacing of the snapshots; it changes the work per task, never the result.
+    period: the seconds between snapshots; it changes the work per task, never the result.
     """
-    at = F.unix_micros(F.col(f"`{time}`").cast("timestamp"))
+    at = micros(log, time)
     gone = F.coalesce(F.col(f"`{status}`") == DELETED, F.lit(False))
     v = F.struct(gone.alias("gone"), *[F.col(f"`{a}`").alias(f"a{i}") for i, a in enumerate(attributes)])
-    rows = log.select(F.col(f"`{key}`").alias("k"), F.date_trunc(period, F.col(f"`{time}`")).alias("p"), at.alias("t"), F.col(f"`{version}`").alias("id"), v.alias("v"))
+    rows = log.select(F.col(f"`{key}`").alias("k"), F.floor(at / F.lit(period * 1_000_000)).alias("p"), at.alias("t"), F.col(f"`{version}`").alias("id"), v.alias("v"))
     # the last of equal times, aggregated before the shuffle as well: copies of one version shrink to one row
     rows = rows.where("k is not null and t is not null").groupBy("k", "p", "t").agg(F.max(F.struct("id", "v")).alias("s")).select("k", "p", "t", "s.v")
     in_p = Window.partitionBy("k", "p").orderBy("t")

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe import storage
+from strataframe.functions.times import DAY, micros
 
 Interval = tuple[int | None, int]
-DAY = 86_400_000_000
 
 
 def merge(intervals: Iterable[Interval]) -> list[Interval]:
@@ -81,7 +81,7 @@ def take(spark: SparkSession, ledger: Ledger, rows: DataFrame, arrival: str, up_
     """One run: write the rows not yet processed that arrived by up_to (microseconds), then commit their intervals."""
     gaps = ledger.gaps((None, up_to))
     if gaps:
-        at = F.unix_micros(F.col(f"`{arrival}`").cast("timestamp"))
+        at = micros(rows, arrival)
         cond = F.lit(False)
         for lo, hi in gaps:
             cond = cond | ((at <= hi) if lo is None else (at > lo) & (at <= hi))
@@ -98,7 +98,7 @@ def assign_intervals(runs: DataFrame, max_runs: int = 200_000) -> dict[str, list
     Repeated rows of a run count once; rows with a null coll, run_id or readUpTo read nothing.
     """
     ok = runs.where((F.col("outcome") == "ok") & F.col("coll").isNotNull() & F.col("run_id").isNotNull() & F.col("readUpTo").isNotNull())
-    log = ok.groupBy("coll", "run_id").agg(F.max(F.unix_micros(F.col("readUpTo").cast("timestamp"))).alias("up_to")).limit(max_runs + 1).collect()
+    log = ok.groupBy("coll", "run_id").agg(F.max(micros(runs, "readUpTo")).alias("up_to")).limit(max_runs + 1).collect()
     if len(log) > max_runs:
         raise ValueError(f"more than {max_runs} runs in the log")
     out: dict[str, list[tuple[int | None, int, int]]] = {}
@@ -127,8 +127,8 @@ def locate(spark: SparkSession, records: DataFrame, arrival: str, taken: dict[st
     floor = F.lit(None).cast("long")
     for coll, day in first.items():
         floor = F.when(F.col("coll") == coll, F.lit(day)).otherwise(floor)
-    at = F.unix_micros(F.col(f"`{arrival}`").cast("timestamp"))
-    keyed = records.withColumn("__at", at).withColumn("__on", F.greatest(F.floor(F.col("__at") / DAY), floor))
+    at = micros(records, arrival)
+    keyed = records.withColumn("__at", at).withColumn("__on", F.greatest(F.expr(f"__at div {DAY}"), floor))
     on = (F.col("coll") == F.col("__coll")) & (F.col("__on") == F.col("__day")) & (F.col("__at") <= F.col("__hi")) & (F.col("__lo").isNull() | (F.col("__at") > F.col("__lo")))
     return keyed.where("__at is not null").join(plan, on).drop("__coll", "__day", "__lo", "__hi", "__at", "__on")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions.times import micros
 from strataframe.operators import cdc, csvload, eav, history, intake, nested, orphans
 from strataframe.storage import table, workspace
 
@@ -48,21 +49,19 @@ _SLICES = 3
 
 def p2_tracker(spark: SparkSession, d: str) -> orphans.OrphanTracker:
     """The references and parents of a folder, played in slices of their time of arrival."""
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     ref = lambda df, field, key, row, period=F.lit(""), at=F.lit(None).cast("long"): df.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("key") if isinstance(key, str) else key.alias("key"), F.col(row).cast("string").alias("row_key"), period.alias("period"), at.alias("at"))
     parent = lambda df, field, key, op, at=F.lit(None).cast("long"): df.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("key"), op.alias("op"), at.alias("at"))
     parts, items, log = table(spark, d, "parts"), table(spark, d, "items"), table(spark, d, "history_items")
     triple, node, thesauri = table(spark, d, "triple"), table(spark, d, "node"), table(spark, d, "thesauri")
-    lo, hi = parts.select(F.min(micros("arrivedAt")), F.max(micros("arrivedAt"))).first()
+    lo, hi = parts.select(F.min(micros(parts, "arrivedAt")), F.max(micros(parts, "arrivedAt"))).first()
     lo, hi = (0, 1) if lo is None else (lo, max(hi, lo + 1))
-    slice_of = lambda c: F.coalesce(F.greatest(F.lit(0), F.least(F.lit(_SLICES - 1), F.floor((micros(c) - lo) * _SLICES / F.lit(hi - lo)))), F.lit(0))
+    slice_of = lambda df: F.coalesce(F.greatest(F.lit(0), F.least(F.lit(_SLICES - 1), F.floor((micros(df, "arrivedAt") - lo) * _SLICES / F.lit(hi - lo)))), F.lit(0))
     target = F.when(F.col("targetId") == "", F.lit(None)).when(F.col("targetId").contains("@"), F.col("targetId")).otherwise(F.concat("targetId", F.lit("@en")))
     tracker = orphans.OrphanTracker(spark, workspace(spark, "orphans"))
     for i in range(_SLICES):
-        now = slice_of("arrivedAt") == i
-        refs = ref(parts.where(now), "parts.itemId", "itemId", "_id", F.coalesce(F.date_format("timeModified", "yyyy-MM"), F.lit("")), micros("arrivedAt"))
-        up = parent(items.where(now), "parts.itemId", "_id", F.lit("present")).unionByName(
-            parent(log.where(now), "parts.itemId", "referenceId", F.when(F.col("status") == 2, F.lit("tombstone")).otherwise(F.lit("seen")), micros("arrivedAt"))
+        refs = ref(parts.where(slice_of(parts) == i), "parts.itemId", "itemId", "_id", F.coalesce(F.date_format(F.to_date("timeModified"), "yyyy-MM"), F.lit("")), micros(parts, "arrivedAt"))
+        up = parent(items.where(slice_of(items) == i), "parts.itemId", "_id", F.lit("present")).unionByName(
+            parent(log.where(slice_of(log) == i), "parts.itemId", "referenceId", F.when(F.col("status") == 2, F.lit("tombstone")).otherwise(F.lit("seen")), micros(log, "arrivedAt"))
         )
         if i == 0:  # tables without a time of arrival
             refs = refs.unionByName(ref(triple, "triple.s_id", "s_id", "id")).unionByName(ref(triple, "triple.o_id", "o_id", "id")).unionByName(ref(thesauri, "thesauri.targetId", target, "id"))

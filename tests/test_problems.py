@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe import storage
+from strataframe.functions.times import micros
 from strataframe.operators import cdc, csvload, eav, history, intake, nested, orphans
 from strataframe.plans import problems
 from tests import brute
@@ -189,13 +190,26 @@ def test_history_against_brute_force(spark):
     by_id = {d[0]: d for d in data}
     data = [by_id[d[0]] for d in data]  # an _id names one version
     want = periods(data)
-    for period in ("day", "hour", "year"):
+    for period in (86_400, 3_600, 10**8):
         got = history.validity(log(spark, data), attributes=("title",), period=period).collect()
         micros = lambda t: None if t is None else int((t - T(1970, 1, 1)).total_seconds()) * 10**6
         assert {(g[0], g[1], g[2], g[4]) for g in got} == {(a, micros(b), micros(c), d) for a, b, c, d in want} and len(got) == len(want)
     assert history.validity(log(spark, []), attributes=("title",)).count() == 0
 
 
+def test_times_in_any_session_zone(spark):
+    data = [("1960-03-01 00:00:00.000001",), ("2024-03-31 02:30:00",), ("2024-10-27 02:30:00.5",), (None,), ("x",)]
+    df = spark.createDataFrame(data, "s string").withColumn("n", F.col("s").try_cast("timestamp_ntz"))
+    want = [-310435199999999, 1711852200000000, 1729996200500000, None, None]
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Rome", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [tuple(r) for r in df.select(micros(df, "n"), micros(df, "s")).collect()] == [(w, w) for w in want]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+
+
 def test_snapshot_diff(spark):
     a = spark.createDataFrame([(None, 1, "x"), ("b", 2, None), ("c", 3, "z"), ("d", 4, "w")], "k string, v int, change string")
     b = spark.createDataFrame([(None, 1, "q"), ("b", None, None), ("d", 4, "w"), ("e", 5, "w")], "k string, v int, change string")
