@@ -57,8 +57,8 @@ def range_of(lines: Column, loc: Column) -> tuple[Column, Column]:
         y, x, at, run = (_number(loc, g + i) for i in range(4))
         line = F.get(lines, y - 1)
         tokens = F.split(line, " ", -1)
-        before = F.aggregate(F.slice(lines, F.lit(1), y - 1), F.lit(0), lambda a, s: a + F.length(s) + 1)
-        start = F.least(F.length(line), F.length(F.array_join(F.slice(tokens, F.lit(1), x - 1), " ")) + F.when(x > 1, 1).otherwise(0))
+        before = F.aggregate(F.slice(lines, F.lit(1), F.greatest(F.lit(0), y - 1)), F.lit(0), lambda a, s: a + F.length(s) + 1)
+        start = F.least(F.length(line), F.length(F.array_join(F.slice(tokens, F.lit(1), F.greatest(F.lit(0), x - 1)), " ")) + F.when(x > 1, 1).otherwise(0))
         inside = F.coalesce(at - 1, F.lit(0))
         if not last:
             out = before + start + inside

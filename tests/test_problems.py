@@ -62,11 +62,11 @@ def test_nested_very_deep_and_long(spark):
 
 
 def refs(spark, data):
-    return spark.createDataFrame(data, orphans.REFERENCES)
+    return spark.createDataFrame(data, orphans.REFERENCES).selectExpr("*", "1 as present", "2 as late", "3 as __bucket")
 
 
 def parents(spark, data):
-    return spark.createDataFrame(data, orphans.PARENTS)
+    return spark.createDataFrame(data, orphans.PARENTS).selectExpr("*", "1 as put", "2 as removed")
 
 
 def test_orphans_wait_resolve_and_reopen(spark):

@@ -84,7 +84,7 @@ LINES = ["que bixit", "annos XX"]
 @pytest.fixture(scope="module")
 def layered(spark):
     base = spark.createDataFrame([("i", "t", LINES, "\n".join(LINES)), ("empty", "u", [], "")], "item_id string, part_id string, lines array<string>, text string")
-    locs = ["1.1@3", "1.2@1", "1.1@3-1.2@1", "1.2-2.1", "9.9", "x"]
+    locs = ["1.1@3", "1.2@1", "1.1@3-1.2@1", "1.2-2.1", "9.9", "x", "0.1", "1.0", "2.1-9.1", "99999999999.1", None]
     frs = spark.createDataFrame([("i", f"fr{i + 1}", x) for i, x in enumerate(locs)], "item_id string, fr_id string, location string")
     return base, texts.flatten(base, frs)
 
