@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from strataframe import storage
 from strataframe.functions.times import DAY, micros
 
+#: rows of a plan of intervals, each under 100 bytes, up to which it goes to every executor; beyond, both sides are sorted
+MAX_BROADCAST = 500_000
+
 Interval = tuple[int | None, int]
 
 
@@ -114,7 +117,8 @@ def locate(spark: SparkSession, records: DataFrame, arrival: str, taken: dict[st
     """records (with coll) joined to the run whose interval holds their arrival; others are left out.
 
     Intervals are spread over the days they meet, so the join is on (coll, day) with the bounds as a residual: every
-    record meets only the few intervals of its own day. Arrivals before the first bound use the day of that bound.
+    record meets only the few intervals of its own day. The plan has a row per run and day; up to MAX_BROADCAST rows it is
+    broadcast, so that records, however skewed by day, aren't shuffled. Arrivals before the first bound use the day of that bound.
     """
     rows, first = [], {}
     for coll, parts in taken.items():
@@ -130,6 +134,7 @@ def locate(spark: SparkSession, records: DataFrame, arrival: str, taken: dict[st
     at = micros(records, arrival)
     keyed = records.withColumn("__at", at).withColumn("__on", F.greatest(F.expr(f"__at div {DAY}"), floor))
     on = (F.col("coll") == F.col("__coll")) & (F.col("__on") == F.col("__day")) & (F.col("__at") <= F.col("__hi")) & (F.col("__lo").isNull() | (F.col("__at") > F.col("__lo")))
+    plan = F.broadcast(plan) if len(rows) <= MAX_BROADCAST else plan
     return keyed.where("__at is not null").join(plan, on).drop("__coll", "__day", "__lo", "__hi", "__at", "__on")
 
 
