@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strataframe.functions.jsonpath import compile_path
 from strataframe.functions.scalars import singular_text
 
 
@@ -166,101 +167,7 @@ def json_to_xml_filter(o: XmlOptions = XmlOptions()) -> Callable[[Column], Colum
     return _udf(lambda x: json_to_xml(x, o))
 
 
-# JSON paths: names, quoted names, [n], [*], [], pipes, {a: b} and [a, b]
-
-_TOKEN = re.compile(r'\s*(?:([A-Za-z_]\w*)|"((?:[^"\\]|\\.)*)"|(\[\s*-?\d+\s*\])|(\[\s*\*\s*\])|(\[\s*\])|([.|{}\[\],:@*]))')
-
-
-def compile_path(path: str) -> Callable[[object], object]:
-    """A function of a JSON value by a path: a subset of the JMESPath language. ValueError for anything else."""
-    tokens, at = [], 0
-    while at < len(path.rstrip()):
-        m = _TOKEN.match(path, at)
-        if not m:
-            raise ValueError(f"can't read {path!r} at {at}")
-        name = m.group(1) if m.group(1) is not None else m.group(2)
-        tokens.append(("name", name) if name is not None else ("index", int(m.group(3).strip("[] "))) if m.group(3) else ("each", None) if m.group(4) else ("flat", None) if m.group(5) else (m.group(6), None))
-        at = m.end()
-    pos = 0
-
-    def peek() -> str | None:
-        return tokens[pos][0] if pos < len(tokens) else None
-
-    def take(kind: str):
-        nonlocal pos
-        if peek() != kind:
-            raise ValueError(f"{path!r}: {kind} expected")
-        pos += 1
-        return tokens[pos - 1][1]
-
-    def expression() -> Callable:
-        f = chain_()
-        while peek() == "|":
-            take("|")
-            g = chain_()
-            f = (lambda f, g: lambda v: g(f(v)))(f, g)
-        return f
-
-    def chain_() -> Callable:
-        steps: list[tuple[str, object]] = []
-        while True:
-            k = peek()
-            if k in ("name", "index", "each", "flat", "@"):
-                steps.append((k, take(k)))
-            elif k == "{":
-                take("{")
-                members = []
-                while True:
-                    key = take("name")
-                    take(":")
-                    members.append((key, expression()))
-                    if peek() != ",":
-                        break
-                    take(",")
-                take("}")
-                steps.append(("hash", members))
-            elif k == "[":
-                take("[")
-                items = [expression()]
-                while peek() == ",":
-                    take(",")
-                    items.append(expression())
-                take("]")
-                steps.append(("list", items))
-            else:
-                break
-            if peek() == ".":
-                take(".")
-        if not steps:
-            raise ValueError(f"{path!r}: nothing to select")
-        return lambda v: _select(v, steps, 0)
-
-    out = expression()
-    if pos != len(tokens):
-        raise ValueError(f"can't read {path!r}")
-    return out
-
-
-def _select(v, steps: list[tuple[str, object]], i: int):
-    while i < len(steps):
-        kind, arg = steps[i]
-        i += 1
-        if kind == "name":
-            v = v.get(arg) if isinstance(v, dict) else None
-        elif kind == "index":
-            v = v[arg] if isinstance(v, list) and -len(v) <= arg < len(v) else None
-        elif kind == "hash":
-            v = None if v is None else {k: f(v) for k, f in arg}
-        elif kind == "list":
-            v = None if v is None else [f(v) for f in arg]
-        elif kind in ("each", "flat"):
-            if not isinstance(v, list):
-                return None
-            if kind == "flat":
-                v = [y for x in v for y in (x if isinstance(x, list) else [x])]
-            out = [_select(x, steps, i) for x in v]
-            return [x for x in out if x is not None]
-    return v
+# JSON paths
 
 
 def select_json(text: str, paths: tuple[str, ...], strip: bool = False) -> str | None:
