@@ -41,21 +41,22 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: Sequence[str], attributes
     return diff.select(*[F.when(F.col("nv").isNotNull(), F.col(f"n{i}")).otherwise(F.col(f"o{i}")).alias(c) for i, c in enumerate(key)], "change", *[F.col(f"nv.a{i}").alias(a) for i, a in enumerate(attributes)])
 
 
-def validity(log: DataFrame, key: str = "referenceId", time: str = "timeModified", version: str = "_id", status: str = "status", attributes: Sequence[str] = ("title", "description", "facetId", "groupId", "sortKey", "flags"), period: int = 86_400) -> DataFrame:
-    """(key, valid_from, valid_to, change, then the attributes) of every period, in microseconds since 1970 UTC.
+def validity(log: DataFrame, key: str = "referenceId", time: str = "timeModified", version: str = "_id", status: str = "status", attributes: Sequence[str] = ("title", "description", "facetId", "groupId", "sortKey", "flags"), period: int = 86_400, carry: bool = True) -> DataFrame:
+    """(key, valid_from, valid_to, change, and with carry the attributes) of every period, in microseconds since 1970 UTC.
 
     valid_to is exclusive and null if the period still lasts; change is `inserted` or `changed`. Versions are ordered by
     time, then version; of those with equal time only the last counts. Rows with a null key or time have no place in
     the order and are left out; a null status isn't a deletion; a null version is below any other. Attributes are
     compared null-safely. Repeated rows and repeated changes without a difference start no period.
-    period: the seconds between snapshots; it changes the work per task, never the result.
+    period: the seconds between snapshots; it changes the work per task, never the result. What is shuffled, several
+    times, is a SHA-256 digest of the attributes; they themselves are joined to the result once, if they are wanted.
     """
-    at = micros(log, time)
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{a}`").alias(f"a{i}") for i, a in enumerate(attributes)]), {"ignoreNullFields": "false"}), 256))
     gone = F.coalesce(F.col(f"`{status}`") == DELETED, F.lit(False))
-    v = F.struct(gone.alias("gone"), *[F.col(f"`{a}`").alias(f"a{i}") for i, a in enumerate(attributes)])
-    rows = log.select(F.col(f"`{key}`").alias("k"), F.floor(at / F.lit(period * 1_000_000)).alias("p"), at.alias("t"), F.col(f"`{version}`").alias("id"), v.alias("v"))
+    at = micros(log, time)
+    keyed = log.select(F.col(f"`{key}`").alias("k"), at.alias("t"), F.col(f"`{version}`").alias("id"), F.struct(gone.alias("gone"), digest.alias("d")).alias("v"), *([F.col(f"`{a}`").alias(f"a{i}") for i, a in enumerate(attributes)] if carry else [])).where("k is not null and t is not null")
     # the last of equal times, aggregated before the shuffle as well: copies of one version shrink to one row
-    rows = rows.where("k is not null and t is not null").groupBy("k", "p", "t").agg(F.max(F.struct("id", "v")).alias("s")).select("k", "p", "t", "s.v")
+    rows = keyed.groupBy("k", F.floor(F.col("t") / F.lit(period * 1_000_000)).alias("p"), "t").agg(F.max(F.struct("id", "v")).alias("s")).select("k", "p", "t", "s.v")
     in_p = Window.partitionBy("k", "p").orderBy("t")
     rows = rows.repartition("k", "p").withColumn("v0", F.lag("v").over(in_p)).withColumn("first", F.row_number().over(in_p) == 1)
 
@@ -71,4 +72,8 @@ def validity(log: DataFrame, key: str = "referenceId", time: str = "timeModified
     events = events.repartition("k", "p").withColumn("t1", F.lead("t").over(in_p))
     nexts = events.groupBy("k", "p").agg(F.min("t").alias("t")).select(F.col("k").alias("k1"), F.col("p").alias("p1"), F.lead("t").over(Window.partitionBy("k").orderBy("p")).alias("t2"))
     spans = events.where("change <> 'deleted'").join(nexts, (F.col("k") == F.col("k1")) & (F.col("p") == F.col("p1")), "left")
-    return spans.select(F.col("k").alias(key), F.col("t").alias("valid_from"), F.coalesce("t1", "t2").alias("valid_to"), "change", *[F.col(f"v.a{i}").alias(a) for i, a in enumerate(attributes)])
+    spans = spans.select("k", "t", F.coalesce("t1", "t2").alias("valid_to"), "change", F.col("v.d").alias("d"))
+    if not carry:
+        return spans.select(F.col("k").alias(key), F.col("t").alias("valid_from"), "valid_to", "change")
+    values = keyed.select("k", "t", F.col("v.d").alias("d"), *[f"a{i}" for i in range(len(attributes))]).dropDuplicates(["k", "t", "d"])
+    return spans.join(values, ["k", "t", "d"]).select(F.col("k").alias(key), F.col("t").alias("valid_from"), "valid_to", "change", *[F.col(f"a{i}").alias(a) for i, a in enumerate(attributes)])

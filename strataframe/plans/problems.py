@@ -93,11 +93,16 @@ def p4_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    spans = history.validity(table(spark, d, "history_items"))
+    spans = history.validity(table(spark, d, "history_items"), carry=False)
     millis = lambda c: F.expr(f"{c} div 1000")
     return spans.select(F.col("referenceId").alias("reference_id"), millis("valid_from").alias("valid_from"), F.coalesce(millis("valid_to"), F.lit(-1)).alias("valid_to"))
 
 
+def p5_history(spark: SparkSession, d: str) -> DataFrame:
+    """The periods with the attributes that held in them."""
+    return history.validity(table(spark, d, "history_items"))
+
+
 def p6_table(spark: SparkSession, d: str, coll: str) -> DataFrame:
     """The rows of one collection after all its changes."""
     return cdc.replay(spark, table(spark, d, coll), workspace(spark, coll)).current()
@@ -117,7 +122,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return intake.locate(spark, records, "arrivedAt", taken).select("coll", "rec_id", "run_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p7_found)}
 
 #: fixed values: the same questions in DuckDB's SQL
 _P6 = """select '{0}' as coll, "referenceId" as reference_id, _id as rec_id from (
@@ -160,6 +165,12 @@ s as (select "referenceId" as k, "timeModified" as t, coalesce(status = 2, false
   from v window w as (partition by "referenceId" order by "timeModified")),
 e as (select *, lead(t) over (partition by k order by t) as t1 from s where g0 is null and not gone or g0 is not null and (gone <> g0 or not gone and a is distinct from a0))
 select k as reference_id, epoch_ms(t) as valid_from, coalesce(epoch_ms(t1), -1) as valid_to from e where not gone""",
+    "p5_history": """
+with v as (select * from (select *, row_number() over (partition by "referenceId", "timeModified" order by _id desc) as r from history_items where "referenceId" is not null and "timeModified" is not null) where r = 1),
+s as (select *, coalesce(status = 2, false) as gone, row(title, description, "facetId", "groupId", "sortKey", flags) as a,
+  lag(coalesce(status = 2, false)) over w as g0, lag(row(title, description, "facetId", "groupId", "sortKey", flags)) over w as a0 from v window w as (partition by "referenceId" order by "timeModified")),
+e as (select *, lead("timeModified") over (partition by "referenceId" order by "timeModified") as t1 from s where g0 is null and not gone or g0 is not null and (gone <> g0 or not gone and a is distinct from a0))
+select "referenceId", epoch_us("timeModified") as valid_from, epoch_us(t1) as valid_to, case when coalesce(g0, true) then 'inserted' else 'changed' end as change, title, description, "facetId", "groupId", "sortKey", flags from e where not gone""",
     "p6_found": f"{_P6.format('history_items')} union all {_P6.format('history_parts')}",
     "p7_found": " union all ".join(_P7.format(c) for c in ("items", "parts", "history_parts")),
 }
