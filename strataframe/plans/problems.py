@@ -99,8 +99,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_history(spark: SparkSession, d: str) -> DataFrame:
-    """The periods with the attributes that held in them."""
-    return history.validity(table(spark, d, "history_items"))
+    """The periods with the attributes that held in them; valid_to is -1 where they still do."""
+    return history.validity(table(spark, d, "history_items")).withColumn("valid_to", F.coalesce("valid_to", F.lit(-1)))
 
 
 def p6_table(spark: SparkSession, d: str, coll: str) -> DataFrame:
@@ -170,7 +170,7 @@ with v as (select * from (select *, row_number() over (partition by "referenceId
 s as (select *, coalesce(status = 2, false) as gone, row(title, description, "facetId", "groupId", "sortKey", flags) as a,
   lag(coalesce(status = 2, false)) over w as g0, lag(row(title, description, "facetId", "groupId", "sortKey", flags)) over w as a0 from v window w as (partition by "referenceId" order by "timeModified")),
 e as (select *, lead("timeModified") over (partition by "referenceId" order by "timeModified") as t1 from s where g0 is null and not gone or g0 is not null and (gone <> g0 or not gone and a is distinct from a0))
-select "referenceId", epoch_us("timeModified") as valid_from, epoch_us(t1) as valid_to, case when coalesce(g0, true) then 'inserted' else 'changed' end as change, title, description, "facetId", "groupId", "sortKey", flags from e where not gone""",
+select "referenceId", epoch_us("timeModified") as valid_from, coalesce(epoch_us(t1), -1) as valid_to, case when coalesce(g0, true) then 'inserted' else 'changed' end as change, title, description, "facetId", "groupId", "sortKey", flags from e where not gone""",
     "p6_found": f"{_P6.format('history_items')} union all {_P6.format('history_parts')}",
     "p7_found": " union all ".join(_P7.format(c) for c in ("items", "parts", "history_parts")),
 }
@@ -209,4 +209,5 @@ o as (select *, case when not framed then 'quoting' when not coalesce(ok, false)
 ORACLES["p3_found"] = f"{_P3} select distinct file_no, line_no, reason from o where reason is not null"
 ORACLES["p3_loaded"] = f"{_P3} select distinct file_no, line_no, t as thesaurus_id, i as id, va as value, g as target_id from o where reason is null"
 _WIDE = {101: "varchar", 102: "varchar", 103: "bigint", 104: "decimal(38, 4)", 105: "decimal(38, 4)", 106: "boolean", 107: "date", 108: "bigint", 109: "varchar", 110: "boolean", 111: "date", 112: "decimal(38, 4)", 113: "bigint", 114: "bigint", 115: "date", 116: "varchar"}
-ORACLES["p4_wide"] = f"select s_id, {', '.join(f'max(try_cast(val as {k})) filter (p_id = {p}) as p{p}' for p, k in _WIDE.items())} from ({ORACLES['p4_found']}) group by 1"
+#: typed columns, which engines hand over in different ways; the tests compare them
+WIDE_SQL = f"select s_id, {', '.join(f'max(try_cast(val as {k})) filter (p_id = {p}) as p{p}' for p, k in _WIDE.items())} from ({ORACLES['p4_found']}) group by 1"

@@ -21,6 +21,13 @@ def test_query(spark, con, small, name):
     assert ok, text
 
 
+def test_typed_columns(spark, con, small):
+    from strataframe.plans import problems
+
+    text, ok = compare.compare(spark, con, small, "p4_wide", problems.p4_wide, problems.WIDE_SQL)
+    assert ok, text
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1 or not os.path.exists("/root/testdata")
     assert set(SQL) <= set(QUERIES)
