@@ -8,7 +8,9 @@ columns named by path. Child rows hold the key of their parent row and their pos
 
 from __future__ import annotations
 
+import datetime
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +22,9 @@ ROWS = "tab string, parent_tab string, parent_key string, ord int, row_key strin
 EDGES = "parent string, child string, repeats boolean, objects long, scalars long"
 
 
+_EPOCH = datetime.datetime(1970, 1, 1)
+
+
 @dataclass(frozen=True)
 class Options:
     """How records are read.
@@ -44,9 +49,16 @@ class Options:
 
 
 def _plain(v, o: Options):
-    """v without wrappers; `{"$date": {"$numberLong": "1"}}` is "1"."""
+    """v without wrappers; a `$date` in milliseconds since 1970 comes out as the ISO 8601 text that others have."""
+    date = False
     while isinstance(v, dict) and len(v) == 1 and next(iter(v)) in o.wrappers:
+        date |= "$date" in v
         v = next(iter(v.values()))
+    if date and not isinstance(v, bool) and (isinstance(v, int) or isinstance(v, str) and re.fullmatch(r"-?\d{1,15}", v)):
+        try:
+            return (_EPOCH + datetime.timedelta(milliseconds=int(v))).isoformat(timespec="milliseconds") + "Z"
+        except OverflowError:
+            return v
     return v
 
 

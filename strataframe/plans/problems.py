@@ -44,6 +44,20 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tab", "parent_tab", "row_key", "parent_key", "ord", F.to_json(F.map_from_entries(entry)).alias("cols")).distinct()
 
 
+def p1_table(spark: SparkSession, d: str, element: str) -> DataFrame:
+    """The flat table of one element, with a column per inlined path."""
+    rows, graph, tables = item_rows(spark, d)
+    return nested.table_of(rows, graph, tables, element, ITEMS).distinct()
+
+
+def p1_item_table(spark: SparkSession, d: str) -> DataFrame:
+    return p1_table(spark, d, "item")
+
+
+def p1_part_table(spark: SparkSession, d: str) -> DataFrame:
+    return p1_table(spark, d, "part")
+
+
 _SLICES = 3
 
 
@@ -122,7 +136,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return intake.locate(spark, records, "arrivedAt", taken).select("coll", "rec_id", "run_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p7_found)}
 
 #: fixed values: the same questions in DuckDB's SQL
 _P6 = """select '{0}' as coll, "referenceId" as reference_id, _id as rec_id from (

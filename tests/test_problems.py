@@ -48,6 +48,14 @@ def test_shared_inlining_of_recursive_shared_and_inlined_elements(spark):
     assert out.where("tab = 'by'").count() == 2
 
 
+def test_spellings_of_one_value_agree():
+    o = problems.ITEMS
+    same = ["2023-10-02T02:05:09.178Z", {"$date": "2023-10-02T02:05:09.178Z"}, {"$date": {"$numberLong": "1696212309178"}}, {"$date": 1696212309178}]
+    assert {nested._plain(v, o) for v in same} == {same[0]}
+    assert nested._plain({"$numberInt": "7"}, o) == "7" and nested._plain({"$date": "x"}, o) == "x" and nested._plain({"$date": 10**40}, o) == 10**40
+    assert nested._plain({"$date": {"$numberLong": "-1"}}, o) == "1969-12-31T23:59:59.999Z"
+
+
 def test_nested_empty_table(spark):
     df = spark.createDataFrame([], "doc string")
     assert nested.schema_graph(df, "doc", problems.ITEMS) == []
