@@ -45,7 +45,7 @@ class BucketedTable:
         names = [n for n in storage.list_names(self.spark, f"{self.path}/manifests") if n.endswith(".json")]
         if names:
             return storage.read_json(self.spark, f"{self.path}/manifests/{names[-1]}")
-        return {"version": 0, "buckets": self._buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "files": {}, "feeds": [], "schema": None}
+        return {"version": 0, "buckets": self._buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "files": {}, "feeds": [], "streams": {}, "schema": None}
 
     def _rows(self, manifest: dict, only: set[int] | None = None) -> DataFrame | None:
         paths = [p for b, p in manifest["files"].items() if only is None or int(b) in only]
@@ -56,14 +56,17 @@ class BucketedTable:
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.hash(F.col(f"`{self.key}`")), F.lit(buckets))
 
-    def apply(self, feed: DataFrame, feed_id: str) -> dict:
+    def apply(self, feed: DataFrame, feed_id: str, number: int | None = None) -> dict:
         """Apply one feed and commit. A feed_id that is already committed changes nothing, so a retried run is safe.
 
-        Order within and between feeds doesn't matter: the last change by order wins whenever it comes.
+        With a number feed_id names a stream of feeds, of which those up to the last committed number change nothing;
+        the manifest then holds one number a stream, however many feeds there were. Order within and between feeds
+        doesn't matter: the last change by order wins whenever it comes.
         """
         old = self.manifest()
-        if feed_id in old["feeds"]:
+        if feed_id in old["feeds"] if number is None else number <= old["streams"].get(feed_id, -1):
             return old
+        known = {"feeds": [*old["feeds"], feed_id]} if number is None else {"streams": old["streams"] | {feed_id: number}}
         buckets, version = old["buckets"], old["version"] + 1
         schema = StructType.fromJson(old["schema"]) if old["schema"] else feed.schema
         feed = feed.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in feed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
@@ -77,12 +80,14 @@ class BucketedTable:
         storage.remove(self.spark, target)  # what an attempt that never committed left
         merged.withColumn(BUCKET, self._bucket(buckets)).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
         written = {n.split("=")[1]: f"{target}/{n}" for n in storage.list_names(self.spark, target) if n.startswith(f"{BUCKET}=")}
-        new = old | {"version": version, "files": old["files"] | written, "feeds": [*old["feeds"], feed_id], "schema": schema.jsonValue()}
+        new = old | {"version": version, "files": old["files"] | written, "schema": schema.jsonValue()} | known
         storage.commit_json(self.spark, f"{self.path}/manifests/{version:06d}.json", new)
         return new
 
     def vacuum(self) -> None:
-        """Delete data files that the newest manifest doesn't name."""
+        """Delete data files that the newest manifest doesn't name, and older manifests."""
+        for n in [n for n in storage.list_names(self.spark, f"{self.path}/manifests") if n.endswith(".json")][:-1]:
+            storage.remove(self.spark, f"{self.path}/manifests/{n}")
         live = {p.rpartition("/")[0] for p in self.manifest()["files"].values()}
         named = set(self.manifest()["files"].values())
         for v in storage.list_names(self.spark, f"{self.path}/data"):

@@ -10,10 +10,13 @@ from strataframe.operators.cdc import BucketedTable
 
 
 def maintain(stream: DataFrame, target: BucketedTable, checkpoint: str, **trigger) -> StreamingQuery:
-    """Apply every micro-batch of a change stream to a table; a batch that is run again changes nothing."""
+    """Apply every micro-batch of a change stream to a table; a batch that is run again changes nothing.
+
+    A stream is known by its checkpoint folder: batches of another one are numbered anew and applied.
+    """
     def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
-            target.apply(df, f"batch-{number}")
+            target.apply(df, checkpoint, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

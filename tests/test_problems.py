@@ -243,7 +243,10 @@ def test_feeds_in_any_order_and_again(spark):
     table.apply(log(spark, [d for d in data if d[1] == "a"]), "again a")
     after = table.manifest()
     assert sum(after["files"][b] != before["files"][b] for b in before["files"]) == 1  # only one bucket is rewritten
+    table.apply(log(spark, data[:9]), "s", 0)
+    assert table.apply(log(spark, data), "s", 0)["version"] == table.manifest()["version"] == after["version"] + 1
     table.vacuum()
+    assert len(storage.list_names(spark, f"{table.path}/manifests")) == 1
     assert rows(table.current().select("referenceId", "_id")) == want
     assert set(table.current().columns) == set(LOG.replace(" string", "").replace(" timestamp_ntz", "").replace(" int", "").split(", "))
     assert cdc.replay(spark, log(spark, data), storage.workspace(spark, "t"), feeds=3).current().select("referenceId", "_id").distinct().count() == len(want)
