@@ -30,7 +30,9 @@ def _names(schema: str) -> list[str]:
 
 
 class OrphanTracker:
-    """Pending-orphan state under path, advanced by apply() batch by batch.
+    """Pending-orphan state under path, advanced by apply() batch by batch and committed by a manifest each.
+
+    A tracker on a path that has state goes on from the last committed batch; what a failed batch left is overwritten.
 
     A reference is an orphan with reason `missing` or `deleted` while its parent isn't present, and with reason `late`
     for good if the parent first became known only after the reference arrived (references without an arrival, or
@@ -44,6 +46,11 @@ class OrphanTracker:
         self._index: dict[int, str] = {}
         self._waiting: dict[int, str] = {}
         self._resolved: dict[int, list[str]] = {}
+        names = [n for n in storage.list_names(spark, f"{self.path}/manifests") if n.endswith(".json")]
+        if names:
+            last = storage.read_json(spark, f"{self.path}/manifests/{names[-1]}")
+            self.step, self.buckets = last["step"], last["buckets"]
+            self._index, self._waiting, self._resolved = ({int(b): p for b, p in last[k].items()} for k in ("index", "waiting", "resolved"))
 
     def _bucket(self) -> Column:
         return F.pmod(F.hash("field", "key"), F.lit(self.buckets)).alias(BUCKET)
@@ -56,8 +63,9 @@ class OrphanTracker:
 
     def apply(self, references: DataFrame, parents: DataFrame) -> DataFrame:
         """One batch; returns the counts of orphans after it: (step, field, period, reason, n)."""
-        self.step += 1
-        at = f"{self.path}/{self.step:05d}"
+        step = self.step + 1
+        at = f"{self.path}/{step:05d}"
+        storage.remove(self.spark, at)
         when = F.coalesce("at", F.lit(_NEVER))
         known = parents.select("field", "key", "op", "at").where(F.col("key").isNotNull() & F.col("op").isin(*OPS))
         delta = known.groupBy("field", "key").agg(
@@ -76,8 +84,8 @@ class OrphanTracker:
         present = F.coalesce(put.isNotNull() & (removed.isNull() | (put > removed)), F.lit(False))
         index = both.select("field", "key", present.alias("present"), (F.coalesce("o_dead", F.lit(False)) | F.coalesce("d_dead", F.lit(False))).alias("dead"), F.least("d_first", "o_first").alias("first_at"), F.when(present, put).otherwise(removed).alias("last_at"), (F.coalesce("o_present", F.lit(False)) & ~present).alias("reopened"), self._bucket())
         index.write.partitionBy(BUCKET).parquet(f"{at}/index")
-        self._index |= self._written(f"{at}/index")
-        index = self._read(_INDEX, [p for b, p in self._index.items() if b in touched])
+        indexes = self._index | self._written(f"{at}/index")
+        index = self._read(_INDEX, [p for b, p in indexes.items() if b in touched])
 
         refs = new.withColumn("late", F.lit(False)).unionByName(self._read(_STATE, [p for b, p in self._waiting.items() if b in touched]).drop("reason"))
         again = [p for b in touched for p in self._resolved.get(b, [])]
@@ -90,12 +98,13 @@ class OrphanTracker:
         reason = F.when(open_ & F.coalesce("dead", F.lit(False)), F.lit("deleted")).when(open_, F.lit("missing")).when(F.col("late"), F.lit("late"))
         state = probed.withColumn("reason", reason).select(*_names(_STATE), F.col("reason").isNotNull().alias(KEPT), self._bucket())
         state.write.partitionBy(KEPT, BUCKET).parquet(f"{at}/state")
-        for b in touched:
-            self._waiting.pop(b, None)
-        self._waiting |= self._written(f"{at}/state/{KEPT}=true")
+        waiting = {b: p for b, p in self._waiting.items() if b not in touched} | self._written(f"{at}/state/{KEPT}=true")
+        resolved = {b: list(p) for b, p in self._resolved.items()}
         for b, p in self._written(f"{at}/state/{KEPT}=false").items():
-            self._resolved.setdefault(b, []).append(p)
-        counts = self.report().groupBy("field", "period", "reason").agg(F.count("*").alias("n")).select(F.lit(self.step).alias("step"), "field", "period", "reason", "n")
+            resolved.setdefault(b, []).append(p)
+        storage.commit_json(self.spark, f"{self.path}/manifests/{step:05d}.json", {"step": step, "buckets": self.buckets, "index": indexes, "waiting": waiting, "resolved": resolved})
+        self.step, self._index, self._waiting, self._resolved = step, indexes, waiting, resolved
+        counts = self.report().groupBy("field", "period", "reason").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "field", "period", "reason", "n")
         return storage.materialize(counts, f"{at}/counts")
 
     def report(self) -> DataFrame:

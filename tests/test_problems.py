@@ -83,6 +83,7 @@ def test_orphans_wait_resolve_and_reopen(spark):
     assert rows(t.report()) == {("f", "k2", "r2", "p", "missing")}
     t.apply(refs(spark, []), parents(spark, [("f", "k2", "present", 9)]))  # arrives later than its reference
     assert rows(t.report()) == {("f", "k2", "r2", "p", "late")}
+    t = orphans.OrphanTracker(spark, t.path)  # another session goes on
     counts = t.apply(refs(spark, []), parents(spark, [("f", "k1", "remove", 10)]))
     assert rows(t.report()) == {("f", "k2", "r2", "p", "late"), ("f", "k1", "r1", "p", "deleted")}
     assert rows(counts.select("reason", "n")) == {("late", 1), ("deleted", 1)}
