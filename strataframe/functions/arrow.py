@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions.jsonpath import compile_path
 from strataframe.functions.scalars import singular_text
+from strataframe.functions.xslt import stylesheet, transform
 
 
 def _udf(f: Callable[[str], str | None]):
@@ -208,3 +209,16 @@ def template_json(text: str, templates: dict[str, str], o: XmlOptions = XmlOptio
 
 def template_filter(templates: dict[str, str], o: XmlOptions = XmlOptions()) -> Callable[[Column], Column]:
     return _udf(lambda x: template_json(x, templates, o))
+
+
+def xslt_filter(sheet: str, o: XmlOptions = XmlOptions(), paths: tuple[str, ...] = ()) -> Callable[[Column], Column]:
+    """JSON by paths, then as XML, then by a stylesheet; a stylesheet that can't be read is an error at once."""
+    stylesheet(sheet)
+
+    def run(text: str) -> str | None:
+        if paths:
+            text = select_json('{"root":' + text + "}", paths)
+        xml = None if text is None else json_to_xml(text, o)
+        return None if xml is None else transform(xml, sheet)
+
+    return _udf(run)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.functions import predicates, scalars
+from strataframe.functions import scalars
 from strataframe.functions.predicates import FrameFilter
 from strataframe.operators import framing, graph, rdf, render, texts, thesaurus
 from strataframe.plans import problems

@@ -55,7 +55,16 @@ component("text-filter.str.source-id")(lambda mapping=None, tagOpen="#[", tagClo
 component("text-filter.str.mongo-thesaurus")(lambda pattern=None, **_: lambda df, key, text, entries: scalars.thesaurus_references(df, key, text, entries, **({"pattern": pattern} if pattern else {})))
 component("text-filter.str.mongo-token-extractor")(lambda locationPattern=r"@\{([^}]+)\}", textTemplate="{text}", **_: lambda df, base: texts.extract_tokens(df, base, locationPattern, textTemplate))
 component("json-renderer.null")(lambda **_: lambda c: c)
-component("json-renderer.xslt")(lambda jsonExpressions=(), quoteStripping=False, wrappedEntryNames=None, templates=None, **_: (lambda c: arrow.template_filter(templates, arrow.XmlOptions(items=wrappedEntryNames or {}))(c)) if templates else arrow.json_path_filter(*jsonExpressions, strip=quoteStripping) if jsonExpressions else arrow.json_to_xml_filter(arrow.XmlOptions(items=wrappedEntryNames or {})))
+@component("json-renderer.xslt")
+def _xslt(xslt=None, jsonExpressions=(), quoteStripping=False, wrappedEntryNames=None, templates=None, arrayItemNumbering=False, **_):
+    options = arrow.XmlOptions(items=wrappedEntryNames or {}, numbered=arrayItemNumbering)
+    if xslt:
+        return arrow.xslt_filter(xslt, options, tuple(jsonExpressions))
+    if templates:
+        return arrow.template_filter(templates, options)
+    return arrow.json_path_filter(*jsonExpressions, strip=quoteStripping) if jsonExpressions else arrow.json_to_xml_filter(options)
+
+
 component("json-renderer.tei-off.apparatus")(lambda zeroVariantType=None, **_: lambda segments, entries: render.apparatus(segments, entries, zero_type=zeroVariantType, located=True))
 component("text-flattener.token")(lambda **_: texts.flatten)
 component("text-tree-filter.block-linear")(lambda **_: lambda df, keys=("item_id",): texts.block_lines(df, keys))
