@@ -6,6 +6,8 @@ tree is rows keyed by the hash of their path. Ranges include their end.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +187,14 @@ def extract_tokens(df: DataFrame, texts: DataFrame, pattern: str = r"@\{([^}]+)\
     return rows.join(values, "__n", "left").withColumn("text", F.when(F.col("__vs").isNotNull(), F.array_join(pieces, "")).otherwise(F.col("text"))).select(*df.columns)
 
 
+def preview(parts: DataFrame, text_part: str, layer_parts: Sequence[str], role: str = "base-text") -> DataFrame:
+    """(item_id, n, k, text, eol, y, fragment_ids, start, end): one text part's pieces under some of its item's layers."""
+    last = current(parts.where(F.col("_id").isin(text_part, *layer_parts)))
+    base = base_texts(last.where(F.col("_id") == text_part).withColumn("roleId", F.lit(role)), role)
+    frs = layer_fragments(last.where(F.col("_id").isin(*layer_parts)))
+    return with_lines(block_lines(consecutive(base, flatten(base, frs))))
+
+
 #: types of apparatus entries that leave the text as it is
 NOTE = 3
 ENTRY = "array<struct<type:int,value:string,isAccepted:boolean,tag:string,note:string,witnesses:string,authors:string>>"

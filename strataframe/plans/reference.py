@@ -432,3 +432,9 @@ gr as (select *, sum(cut) over (partition by file_no order by line_no) as grp fr
 select file_no, min(line_no) as first, thesaurus_id, max(target_id) as target_id, coalesce('[' || string_agg('{{"id":' || to_json(id) || case when value is not null then ',"value":' || to_json(value) else '' end || '}}', ',' order by line_no) filter (id is not null) || ']', '[]') as entries
 from gr group by file_no, grp, thesaurus_id having max(target_id) is not null or count(id) > 0"""
 ORACLES["thes_group_rows"] = _GROUPED
+
+
+_SHEET = """<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:template match="root"><p><xsl:for-each select="lines/line"><xsl:if test="position() &gt; 1"><br/></xsl:if><xsl:value-of select="text"/></xsl:for-each></p></xsl:template></xsl:stylesheet>"""
+query("json_xslt", f"""with {_CURRENT} select part_id, case when len(lines) = 0 then '<p />' else '<p>' || array_to_string(list_transform(lines, lambda x: {_XT.format(c='x')}), '<br />') || '</p>' end as html from b""")(
+    lambda s, d: (lambda p: p.join(texts.base_texts(p).select("part_id"), F.col("_id") == F.col("part_id")).select("part_id", _arrow().xslt_filter(_SHEET)(F.col("content")).alias("html")))(_parts(s, d))
+)

@@ -123,6 +123,14 @@ def segments(spark, *parts):
     return spark.createDataFrame([("i", n, t, [("x", v)] if v else []) for n, (t, v) in enumerate(parts, 1)], f"item_id string, n int, text string, features {scalars.FEATURES}")
 
 
+def test_preview(spark):
+    rows = [("t", "i", "x.token-text", "any", json.dumps({"lines": [{"y": i + 1, "text": x} for i, x in enumerate(LINES)]})), ("l", "i", "x.layer", "fr.a", json.dumps({"fragments": [{"location": "1.1@3"}, {"location": "1.2@1"}]})), ("m", "i", "x.layer", "fr.b", json.dumps({"fragments": {"location": "1.2-2.1"}}))]
+    parts = spark.createDataFrame([(*r, D(1, 1), D(1, 1)) for r in rows], "_id string, itemId string, typeId string, roleId string, content string, timeModified timestamp_ntz, arrivedAt timestamp_ntz")
+    got = [(r.text, r.eol) for r in texts.preview(parts, "t", ["l", "m"]).orderBy("n", "k").collect()]
+    assert got == [("qu", False), ("e", False), (" ", False), ("b", False), ("ixit", True), ("annos", False), (" XX", False)]
+    assert [r.text for r in texts.preview(parts, "t", ["l"]).orderBy("n", "k").collect()] == ["qu", "e", " ", "b", "ixit", "annos XX"]
+
+
 def test_merge_linear(spark):
     got = lambda *p, **o: [r.text for r in texts.merge_linear(segments(spark, *p), **o).orderBy("n").collect()]
     assert got(("A", "1"), ("B\n", "1"), ("C", "1")) == ["AB\n", "C"]
