@@ -190,6 +190,22 @@ query("graph_properties", "select distinct id, data_type, description from prope
 query("graph_is_uri", r"""select distinct id, coalesce(regexp_full_match(label, '[A-Za-z][A-Za-z0-9+.-]*:[^\s<>"{}|\\^`]+'), false) as ok from node""".replace("\\\\", "\\"))(lambda s, d: table(s, d, "node").select("id", graph.is_uri(F.col("label")).alias("ok")).distinct())
 
 
+def _document_sql(head: list[str], body: str, foot: list[str], comma: bool = False) -> str:
+    """SQL of a document: fixed lines around (k, line) of a body."""
+    rows = ", ".join("({}, {}, '{}')".format(part, i, x.replace("'", "''")) for part, xs in ((0, head), (2, foot)) for i, x in enumerate(xs))
+    line = "line || case when k = max(k) over () then '' else ',' end" if comma else "line"
+    return f"select cast(part as int) as part, cast(k as bigint) as k, line from (values {rows}) as t(part, k, line) union all select 1, cast(k as bigint), {line} from ({body})"
+
+
+_SAID = ["RDF data exported from the graph", "Export date: "]
+_SPACES = {"rdf": rdf.RDF} | PREFIXES
+ORACLES["rdf_document_turtle"] = _document_sql([*(f"@prefix {k}: <{v}> ." for k, v in PREFIXES.items()), "", *(f"# {x}" for x in _SAID), ""], f"select id as k, line from ({_TTL})", ["", "# End of RDF data"])
+ORACLES["rdf_document_ntriples"] = _document_sql([f"# {x}" for x in _SAID], f"select id as k, line from ({_NT})", ["# End of RDF data"])
+ORACLES["rdf_document_jsonld"] = _document_sql(["{", f'  "@comment": "{"; ".join(_SAID)}",', '  "@context": {' + ", ".join(f'"{k}": "{v}"' for k, v in PREFIXES.items()) + "},", '  "@graph": ['], f"select s_id as k, node as line from ({ORACLES['rdf_jsonld']})", ["  ]", "}"], True)
+for _name, _element, _ns in (("rdfxml", "rdf:Description", _SPACES), ("owlxml", "owl:NamedIndividual", {"rdf": rdf.RDF, "owl": rdf.OWL} | PREFIXES)):
+    ORACLES[f"rdf_document_{_name}"] = _document_sql(['<?xml version="1.0" encoding="utf-8"?>', "<rdf:RDF " + " ".join(f'xmlns:{k}="{v}"' for k, v in _ns.items()) + ">", *(f"<!-- {x} -->" for x in _SAID)], f"select s_id as k, xml as line from ({_xml_sql(_element)})", ["</rdf:RDF>"])
+
+
 # layered texts
 
 def _parts(s: SparkSession, d: str) -> DataFrame:
