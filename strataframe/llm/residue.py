@@ -53,6 +53,9 @@ request timeout
 too many requests
 not found
 forbidden
+http gone
+title gone title
+status message gone
 upstream connect error or disconnect before headers
 reset reason connection failure
 reset reason timeout

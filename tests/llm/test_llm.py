@@ -90,7 +90,7 @@ def test_price_is_the_best_pattern():
 BAD = [
     "{{title}}", "A device comprising a ${component} and a nut.", "Title goes here", "<TODO: claim 1 text>", "[Insert title here]", "XXX abstract XXX\nmore", "&#123;&#123;title&#125;&#125;", "<insert claim 1 text>  ",
     "A. \n\nAbstract\n____________________\n\nClaims\n1. A nut.", "Text. The page could not be found. Please try again 1ater.", "JavaScript is disabled in your browser.", "Bitte  aktivieren Sie JavaScript,\num diese Seite anzuzeigen.",
-    "Lorem ipsum dolor sit amet, consectetur adipis tempor.", "Mustertext " * 9, "示例文字" * 6, "您访问的页面不存在（404）。", "（発明の名称）をここに記載", "HTTP/1.1 503 Service Unavailable", "Veuillez activer JavaScript pour afficher cette page.", "膜。××××\n膜", "<%= title %>",
+    "Lorem ipsum dolor sit amet, consectetur adipis tempor.", "Mustertext " * 9, "示例文字" * 6, "您访问的页面不存在（404）。", "（発明の名称）をここに記載", "HTTP/1.1 503 Service Unavailable", "HTTP/1.1 410 Gone\nContent-Length: 0", "Veuillez activer JavaScript pour afficher cette page.", "膜。××××\n膜", "<%= title %>",
 ]
 GOOD = [
     None, "", " \t\n", "A hook.", "See FIG. 1.", "No drawing.", 'The template store holds patterns such as "{{name}}" or "${price}", which the parser 93 replaces.', "The field [TITLE] of the record and the tag __id__ are read by the parser 3.",
