@@ -290,7 +290,7 @@ _TREE = f"""{_TEXT.replace('with p as', 'with recursive p as', 1)}{_ENTRIES}, ch
   union all select vs.item_id, vs.tag, vs.n, vs.text, sha256(ch.node || '/' || vs.text), ch.node from ch join vs on vs.item_id = ch.item_id and vs.tag = ch.tag and vs.n = ch.n + 1),
 tr as (select item_id, n, node, parent, text, array_to_string(list_sort(list(distinct tag)), ' ') as tags from ch group by item_id, n, node, parent, text)"""
 query("text_version_tree", f"{_TREE} select * from tr")(lambda s, d: (lambda b, f, g: texts.version_tree(texts.versions(g, texts.apparatus_entries(f))))(*_layers(s, d)).withColumn("tags", F.array_join("tags", " ")))
-query("text_apparatus", f"with {_CURRENT}{_FRS}{_ENTRIES.partition(', so as')[0].rstrip(',')} select item_id, fr_id, entry_index, type, value, accepted, tag, array_to_string(ws, ' ') as witnesses, array_to_string(rs, ' ') as authors from ap")(lambda s, d: texts.apparatus_entries(texts.layer_fragments(_parts(s, d))).select("item_id", "fr_id", "entry_index", "type", "value", "accepted", "tag", *[F.array_join(F.transform(c, lambda x: x["value"]), " ").alias(c) for c in ("witnesses", "authors")]))
+query("text_apparatus", f"with {_CURRENT}{_FRS}{_ENTRIES.partition('\nso as')[0].rstrip(',')} select item_id, fr_id, entry_index, type, value, accepted, tag, array_to_string(ws, ' ') as witnesses, array_to_string(rs, ' ') as authors from ap")(lambda s, d: texts.apparatus_entries(texts.layer_fragments(_parts(s, d))).select("item_id", "fr_id", "entry_index", "type", "value", "accepted", "tag", *[F.array_join(F.transform(c, lambda x: x["value"]), " ").alias(c) for c in ("witnesses", "authors")]))
 query("render_payload_lines", f"""{_TEXT}{_PIECES}, j as (select item_id, y, '[' || string_agg('{{"start":' || "start" || ',"end":' || "end" || ',"fragmentIds":' || to_json(ids) || ',"text":' || to_json(text) || '}}', ',' order by n, k) || ']' as x from z group by 1, 2)
 select item_id, '[' || string_agg(x, ',' order by y) || ']' as json from j group by 1""")(lambda s, d: render.payload_lines(_pieces(_layers(s, d)[2])))
 query("render_tei_standoff", f"""{_TEXT}{_PIECES}, w as (select item_id, n, row_number() over (partition by item_id order by n) as seg from (select distinct item_id, n from z where len(ids) > 0)),
@@ -304,9 +304,42 @@ def _apps(s: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame]:
     return segments, render.apparatus(segments, texts.apparatus_entries(frs), **options)
 
 
-query("render_apparatus")(lambda s, d: _apps(s, d, zero_type="zero")[1])
-query("render_apparatus_standoff")(lambda s, d: _apps(s, d, located=True)[1])
-query("render_tei_apparatus")(lambda s, d: (lambda g, a: render.tei_apparatus(_pieces(g), a))(*_apps(s, d)))
+_XB = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _attr_sql(name: str, value: str) -> str:
+    return f"""coalesce(' {name}="' || {_XB.format(c=f"({value})")} || '"', '')"""
+
+
+def _apparatus_sql(zero: bool, located: bool) -> str:
+    """SQL of (item_id, fr_id, first, last, xml) of apparatus fragments."""
+    objects = lambda path: f"list_filter({_AT.format(path)}, lambda e: json_type(e) = 'OBJECT')"
+    notes = lambda c: f"list_filter({c}, lambda e: e ->> '$.note' <> '')"
+    refs = lambda c: f"nullif(array_to_string(list_transform({c}, lambda e: '#' || (e ->> '$.value')), ' '), '')"
+    detail = lambda c, n: f"""array_to_string(list_transform({notes(c)}, lambda e: '<witDetail target="#' || target || '" {n}="#' || {_XB.format(c="(e ->> '$.value')")} || '">' || {_XT.format(c="(e ->> '$.note')")} || '</witDetail>'), '')"""
+    kind = "case when coalesce(value, '') = '' then concat_ws(' ', nullif(tag, ''), 'zero') else nullif(tag, '') end" if zero else "nullif(tag, '')"
+    loc = f"""case when first = last then ' loc="#seg' || first || '"' else '' end""" if located else "''"
+    span = f"""case when first <> last then '<loc spanFrom="#seg' || first || '" spanTo="#seg' || last || '" />' else '' end""" if located else "''"
+    return f"""{_TEXT}{_ENTRIES.partition('\nso as')[0].rstrip(',')}, hd as (select item_id, n, text, unnest(ids) as fr_id from t),
+ru as (select *, n - row_number() over (partition by item_id, fr_id order by n) as base from hd where contains(fr_id, 'apparatus@')),
+lm as (select item_id, fr_id, min(n) as first, max(n) as last, string_agg(text, '' order by n) as lemma from (select *, min(base) over (partition by item_id, fr_id) as b0 from ru) where base = b0 group by 1, 2),
+en as (select item_id, part_id, fr_id, cast(regexp_extract(fr_id, '@(\d+)$', 1) as int) as fr_index, entry_index, case when coalesce(cast(json_extract(x, '$.isAccepted') as boolean), false) then 'lem' else 'rdg' end as el, x ->> '$.value' as value, x ->> '$.tag' as tag, x ->> '$.note' as note,
+  {objects("json_extract(x, '$.witnesses')")} as ws, {objects("json_extract(x, '$.authors')")} as rs, first, last, lemma from ae join lm using (item_id, fr_id)),
+fn as (select *, len({notes('ws')}) + len({notes('rs')}) > 0 as noted from en),
+nu as (select *, el || sum(case when noted then 1 else 0 end) over (partition by item_id, el order by fr_index, part_id, entry_index rows unbounded preceding) as target from fn),
+on_ as (select *, '<' || el || {_attr_sql('type', kind)} || ' n="' || (entry_index + 1) || '"' || case when noted then ' xml:id="' || target || '"' else '' end || {_attr_sql('wit', refs('ws'))} || {_attr_sql('resp', refs('rs'))} || '>'
+  || {_XT.format(c="(case when el = 'lem' then lemma else coalesce(value, '') end)")} || case when note <> '' then '<note>' || {_XT.format(c='note')} || '</note>' else '' end || '</' || el || '>' || {detail('ws', 'wit')} || {detail('rs', 'resp')} as one from nu),
+tg as (select item_id, part_id, fr_id, fr ->> '$.tag' as fr_tag from af)
+select item_id, fr_id, first, last, '<app n="' || (fr_index + 1) || '"' || {_attr_sql('type', "nullif(fr_tag, '')")} || {loc} || '>' || {span} || string_agg(one, '' order by entry_index, one) || '</app>' as xml
+from on_ join tg using (item_id, part_id, fr_id) group by item_id, fr_id, fr_index, fr_tag, first, last"""
+
+
+query("render_apparatus", _apparatus_sql(True, False))(lambda s, d: _apps(s, d, zero_type="zero")[1])
+query("render_apparatus_standoff", _apparatus_sql(False, True))(lambda s, d: _apps(s, d, located=True)[1])
+query("render_tei_apparatus", f"""with aa as ({_apparatus_sql(False, False)}), zz as ({_TEXT}{_PIECES} select item_id, n, k, y, text, list_filter(ids, lambda x: contains(x, 'apparatus@'))[1] as fr_id from z),
+v as (select zz.item_id, y, n, k, coalesce(aa.xml, {_XT.format(c='text')}) as x from zz left join aa on aa.item_id = zz.item_id and aa.fr_id = zz.fr_id),
+u as (select item_id, y, '<p source="^' || item_id || '" n="' || y || '" xmlns="http://www.tei-c.org/ns/1.0">' || string_agg(x, '' order by n, k, x) || '</p>' as x from v group by item_id, y)
+select item_id, string_agg(x, '' order by y) as xml from u group by 1""")(lambda s, d: (lambda g, a: render.tei_apparatus(_pieces(g), a))(*_apps(s, d)))
 query("render_tei_parallel", f"""{_TREE}, va as (select item_id, n, text, min(case when tag = '' then '0' when starts_with(tag, 'w:') then '1' || tag else '2' || tag end) as rank from ch group by 1, 2, 3),
 og as (select item_id, arg_min(text, n) as original from va where rank = '0' group by 1),
 lv as (select item_id, n, case when count(*) = 1 then any_value({_XT.format(c='text')}) else '<app>' || string_agg(case when text = original then '<lem>' || {_XT.format(c='text')} || '</lem>' else '<rdg>' || {_XT.format(c='text')} || '</rdg>' end, '' order by rank, text) || '</app>' end as x from va left join og using (item_id) group by 1, 2)
