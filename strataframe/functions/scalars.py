@@ -76,10 +76,10 @@ def sentence_pattern(marks: str = MARKS, possessive: bool = True) -> str:
 
 
 def sentences(c: Column, marks: str = ".?!;…") -> Column:
-    """The sentences of a text, trimmed, without empty ones."""
+    """The sentences of a text, without white space of any script around them, and without empty ones."""
     plain = F.replace(F.replace(c, F.lit("\r\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
     found = F.regexp_extract_all(plain, F.lit(sentence_pattern(marks)), F.lit(1))
-    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")), lambda s: s != "")
 
 
 def split_sentences(marks: str = ".?!;…", newline: str = "\n") -> Filter:

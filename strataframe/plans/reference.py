@@ -364,7 +364,7 @@ query("scalar_append", "select distinct _id, case when length(description) > 0 t
 query("scalar_replacements", "select distinct _id, regexp_replace(replace(title, ' of ', ' / '), '(\\d+)$', '#\\1') as x from items")(lambda s, d: table(s, d, "items").select("_id", scalars.replacements([(" of ", " / ", False), (r"(\d+)$", "#$1", True)])(F.col("title")).alias("x")).distinct())
 query("scalar_escape_literal", f"select distinct id, {_LIT.format(kind=_KIND.format(short='o_lit_type'))} as x from triple where o_lit <> ''")(lambda s, d: table(s, d, "triple").where("o_lit <> ''").select("id", rdf.literal().alias("x")).distinct())
 _P = scalars.sentence_pattern(possessive=False)
-query("scalar_sentences", f"select doc_id, cast(len(list_filter(list_transform(regexp_extract_all(replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' '), '{_P}', 1), lambda x: trim(x)), lambda x: x <> '')) as int) as n from documents where text is not null")(
+query("scalar_sentences", f"select doc_id, cast(len(list_filter(list_transform(regexp_extract_all(replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' '), '{_P}', 1), lambda x: regexp_replace(x, '^[\\s\\x0b\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x{{85}}\\p{{Z}}]+$', '', 'g')), lambda x: x <> '')) as int) as n from documents where text is not null")(
     lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(scalars.sentences(F.col("text"))).alias("n"))
 )
 query("scalar_singular", "with w as (select distinct unnest(string_split(lower(p_name), ' ')) || 'ies' as w from part) select w, left(w, length(w) - 3) || 'y' as x from w")(
