@@ -323,7 +323,7 @@ def _apparatus_sql(zero: bool, located: bool) -> str:
     return f"""{_TEXT}{_ENTRIES.partition('\nso as')[0].rstrip(',')}, hd as (select item_id, n, text, unnest(ids) as fr_id from t),
 ru as (select *, n - row_number() over (partition by item_id, fr_id order by n) as base from hd where contains(fr_id, 'apparatus@')),
 lm as (select item_id, fr_id, min(n) as first, max(n) as last, string_agg(text, '' order by n) as lemma from (select *, min(base) over (partition by item_id, fr_id) as b0 from ru) where base = b0 group by 1, 2),
-en as (select item_id, part_id, fr_id, cast(regexp_extract(fr_id, '@(\d+)$', 1) as int) as fr_index, entry_index, case when coalesce(cast(json_extract(x, '$.isAccepted') as boolean), false) then 'lem' else 'rdg' end as el, x ->> '$.value' as value, x ->> '$.tag' as tag, x ->> '$.note' as note,
+en as (select item_id, part_id, fr_id, cast(regexp_extract(fr_id, '@([0-9]+)$', 1) as int) as fr_index, entry_index, case when coalesce(cast(json_extract(x, '$.isAccepted') as boolean), false) then 'lem' else 'rdg' end as el, x ->> '$.value' as value, x ->> '$.tag' as tag, x ->> '$.note' as note,
   {objects("json_extract(x, '$.witnesses')")} as ws, {objects("json_extract(x, '$.authors')")} as rs, first, last, lemma from ae join lm using (item_id, fr_id)),
 fn as (select *, len({notes('ws')}) + len({notes('rs')}) > 0 as noted from en),
 nu as (select *, el || sum(case when noted then 1 else 0 end) over (partition by item_id, el order by fr_index, part_id, entry_index rows unbounded preceding) as target from fn),
