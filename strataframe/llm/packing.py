@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity: a configuration linear program over the histogram of sizes.
 
 The histogram, at most one row per size up to the capacity, is all that reaches the driver. There multiplicative weights
-price the sizes, dynamic programming over the capacity finds the pattern of greatest worth, and the patterns' fractional
-numbers are rounded down; what they leave is filled first-fit by decreasing size. The plan assigns runs of ranks within a
+price the sizes, dynamic programming over the capacity finds the pattern of greatest worth, and what the patterns leave is
+filled first-fit by decreasing size. Where that leaves room, the covering program over all patterns is solved, with a bound
+from below, and its fractional numbers are rounded down. The plan assigns runs of ranks within a
 size to containers, so that each item finds its container by its own rank alone, on the executors.
 """
 
@@ -45,47 +46,93 @@ def price(worth: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int)
     return out
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, candidates: int = 96) -> list[tuple[dict[int, int], float]]:
-    """Patterns and their fractional numbers, which cover no size more than its count, by multiplicative weights.
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, candidates: int = 96, tries: int = 20) -> list[tuple[dict[int, int], int]]:
+    """Patterns and their numbers, which cover no size more than its count, by multiplicative weights.
 
     A size's weight falls exponentially with the share of its items that is covered; larger sizes weigh more than in
     proportion, as they are the harder ones to place. A round prices a pattern over the sizes of greatest weight and
     takes it as often as their items allow, up to a share of all containers; half of these sizes are drawn from those of
-    at most half a container. So all sizes are used up alike, and what is left at any time is mixed as the whole was. It
-    ends when round after round no pattern fills a container.
+    at most half a container. So all sizes are used up alike, and what is left at any time is mixed as the whole was.
+    A pattern less full than the level asked for is taken only if no other draw of sizes gives a fuller one: after so many
+    tries the fullest of them is taken, and its fill is the level from then on.
     """
-    out: list[tuple[dict[int, int], float]] = []
-    left = counts.astype(float)
-    share = max(1.0, 8 * float((sizes * counts).sum()) / capacity / max(1, rounds))
+    out: list[tuple[dict[int, int], int]] = []
+    left = counts.copy()
+    share = max(1, round(8 * float((sizes * counts).sum()) / capacity / max(1, rounds)))
     jitter = np.random.default_rng(0)
-    failed = 0
+    level, failed, fullest = 0.9995 * capacity, 0, (0, {})
     for _ in range(rounds):
         alive = np.flatnonzero(left >= 1)
         if not len(alive):
             break
-        weight = np.exp(-(1 - left[alive] / counts[alive]))
-        top = alive[np.argsort(-weight * jitter.uniform(0.6, 1, len(alive)))[: candidates // 2]]
-        small = alive[sizes[alive] * 2 <= capacity]
-        top = np.union1d(top, small[jitter.permutation(len(small))[: candidates // 2]])
+        top = alive
+        if len(alive) > candidates:
+            weight = np.exp(-(1 - left[alive] / counts[alive]))
+            top = alive[np.argsort(-weight * jitter.uniform(0.6, 1, len(alive)))[: candidates // 2]]
+            small = alive[sizes[alive] * 2 <= capacity]
+            top = np.union1d(top, small[jitter.permutation(len(small))[: candidates // 2]])
         worth = np.zeros(len(sizes))
         worth[top] = sizes[top] * (sizes[top] / capacity) ** 0.05 * np.exp(-(1 - left[top] / counts[top]))
         most = np.zeros(len(sizes), np.int64)
         most[top] = np.maximum(1, left[top] // 4)
         pattern = price(worth, sizes, most, capacity)
-        if sum(int(sizes[k]) * n for k, n in pattern.items()) < 0.9995 * capacity:
+        used = sum(int(sizes[k]) * n for k, n in pattern.items())
+        if used < level and len(alive) > candidates:
             failed += 1
-            if failed > 20:
-                break
-            continue
-        failed = 0
-        # whole containers where there are enough items, as fractions below one would be rounded away
-        x = min(share, *(left[k] // n for k, n in pattern.items()))
+            fullest = max(fullest, (used, pattern), key=lambda f: f[0])
+            if failed <= tries:
+                continue
+            level, pattern = fullest
+        failed, fullest = 0, (0, {})
+        x = min(share, *(int(left[k]) // n for k, n in pattern.items()))
         for k, n in pattern.items():
             left[k] -= n * x
         out.append((pattern, x))
     return out
 
 
+def covering(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """The covering program over all patterns: patterns and their fractional numbers, and the least number of containers.
+
+    A basis of one pattern a size starts with each size alone; its prices go to the dynamic program, and the pattern of
+    greatest worth enters. Prices divided by that worth are a solution of the dual, so they bound the containers from
+    below: it ends when the bound, rounded up, reaches the program's value, or after so many rounds, with the bound so far.
+    """
+    m = len(sizes)
+    most = np.minimum(counts, capacity // sizes)
+    patterns: list[dict[int, int]] = [{k: int(most[k])} for k in range(m)]
+    inverse = np.diag(1 / most.astype(float))
+    x = counts / most
+    least = float((sizes * counts).sum()) / capacity
+    for i in range(rounds):
+        if i % 500 == 499:  # rounding errors of the updates
+            basis = np.zeros((m, m))
+            for j, p in enumerate(patterns):
+                basis[list(p), j] = list(p.values())
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(0, inverse @ counts)
+        y = np.maximum(0, inverse.sum(axis=0))
+        pattern = price(y, sizes, most, capacity)
+        worth = sum(float(y[k]) * n for k, n in pattern.items())
+        least = max(least, float(y @ counts) / max(1.0, worth))
+        if worth <= 1 + 1e-9 or np.ceil(least - 1e-6) >= np.ceil(x.sum() - 1e-6):
+            break
+        d = inverse[:, list(pattern)] @ np.array(list(pattern.values()), float)
+        ok = d > 1e-9
+        if not ok.any():
+            break
+        ratio = np.where(ok, x / np.where(ok, d, 1), np.inf)
+        j = int(np.argmin(ratio))
+        step = ratio[j]
+        x = np.maximum(0, x - step * d)
+        x[j] = step
+        row = inverse[j] / d[j]
+        inverse -= np.outer(d, row)
+        inverse[j] = row
+        patterns[j] = pattern
+    return list(zip(patterns, x.tolist(), strict=True)), least
+
+
 @dataclass
 class Plan:
     """Runs of ranks: items of size s with ranks from start go, per of them, to containers from base on."""
@@ -103,16 +150,27 @@ class Plan:
         return self.used / (self.containers * self.capacity) if self.containers else 1.0
 
 
-def plan(histogram: list[tuple[int, int]], capacity: int, rounds: int = 4000) -> Plan:
-    """The plan for a histogram of (size, count) with sizes from 1 to capacity: the rounded program's, or first-fit's alone where that needs fewer containers."""
-    return min((_plan(histogram, capacity, r) for r in (rounds, 0)), key=lambda p: p.containers)
-
+def plan(histogram: list[tuple[int, int]], capacity: int, rounds: int = 4000, enough: float = 0.999) -> Plan:
+    """The plan for a histogram of (size, count) with sizes from 1 to capacity: the one of fewest containers among these.
 
-def _plan(histogram: list[tuple[int, int]], capacity: int, rounds: int) -> Plan:
+    By multiplicative weights; by first-fit alone; and, unless a simple bound shows that the share that is enough of their
+    containers is needed anyhow, by the covering program, rounded down, its rest in either of the two ways.
+    """
     pairs = sorted((s, n) for s, n in histogram if s > 0 and n > 0)
     if any(s > capacity for s, _ in pairs):
         raise ValueError("an item is larger than a container")
     sizes, counts = np.array([s for s, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64)
+    best = min((_plan(sizes, counts, capacity, [], r) for r in (rounds, 0)), key=lambda p: p.containers)
+    least = max(-(-best.used // capacity), int(counts[sizes * 2 > capacity].sum()))  # no two above half a container go together
+    if best.containers * enough > least:
+        start, least = covering(sizes, counts, capacity, rounds)
+        if best.containers > np.ceil(least - 1e-6):
+            best = min((best, *(_plan(sizes, counts, capacity, start, r) for r in (rounds, 0))), key=lambda p: p.containers)
+    return best
+
+
+def _plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, start: list[tuple[dict[int, int], float]], rounds: int) -> Plan:
+    """The patterns of start, rounded down; of the rest those of multiplicative weights; of the rest first-fit by decreasing size."""
     runs: list[tuple[int, int, int, int]] = []
     left = counts.copy()
     base = 0
@@ -124,11 +182,16 @@ def _plan(histogram: list[tuple[int, int]], capacity: int, rounds: int) -> Plan:
             left[k] -= n * times
         base += times
 
-    if len(pairs):
-        for pattern, x in fractional(sizes, counts, capacity, rounds):
-            times = min(int(x), *(int(left[k]) // n for k, n in pattern.items()))
+    def fit(patterns: list[tuple[dict[int, int], float]]) -> None:
+        for pattern, x in patterns:
+            times = min(int(x + 1e-6), *(int(left[k]) // n for k, n in pattern.items()))
             if times > 0:
                 put(pattern, times)
+
+    if len(sizes):
+        fit(start)
+        some = np.flatnonzero(left)
+        fit([({int(some[k]): n for k, n in pattern.items()}, x) for pattern, x in fractional(sizes[some], left[some], capacity, rounds)])
         alive = [k for k in range(len(sizes)) if left[k] > 0]  # ascending by size
         while alive:
             room, pattern, have = capacity, {}, {}
@@ -146,7 +209,7 @@ def _plan(histogram: list[tuple[int, int]], capacity: int, rounds: int) -> Plan:
             alive = [k for k in alive if left[k] > 0]
     order = sorted(runs)
     cols = [np.array(c, np.int64) for c in zip(*order)] if order else [np.zeros(0, np.int64)] * 4
-    return Plan(*cols, containers=base, capacity=capacity, used=int((sizes * counts).sum()) if len(pairs) else 0)
+    return Plan(*cols, containers=base, capacity=capacity, used=int((sizes * counts).sum()))
 
 
 def items_of(sized: DataFrame, key: str, capacity: int) -> DataFrame:

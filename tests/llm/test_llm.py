@@ -79,6 +79,22 @@ def test_fill_ties_empty_and_small(spark):
     assert len(rows) == 5 and sorted(r[3] for r in rows) == [0, 0, 1, 1, 2]
 
 
+def test_plan_where_no_pattern_fills_a_container():
+    assert packing.plan([(1500, 3000), (1300, 3000), (1100, 3000)], 4096).containers == 3000
+    r = random.Random(2)
+    histogram = [(s, r.randint(10, 500)) for s in sorted(r.sample(range(1000, 2000), 60))]
+    sizes, counts = np.array(histogram).T
+    least = packing.covering(sizes, counts, 4096, 4000)[1]
+    p = packing.plan(histogram, 4096)
+    assert least - 1e-6 <= p.containers <= least + 10
+    boxes = np.zeros(p.containers, np.int64)
+    for s, n in histogram:
+        at = np.flatnonzero(p.size == s)
+        i = np.searchsorted(p.start[at], np.arange(n), side="right") - 1
+        np.add.at(boxes, p.base[at][i] + (np.arange(n) - p.start[at][i]) // p.per[at][i], s)
+    assert 0 < boxes.min() and boxes.max() <= 4096 and boxes.sum() == p.used
+
+
 def test_price_is_the_best_pattern():
     sizes, most = np.array([3, 5, 7]), np.array([2, 1, 3])
     worth = np.array([3.0, 5.5, 7.1])
