@@ -32,7 +32,8 @@ class Options:
     root: element name of the record itself. envelope: a root object with this member is only a wrapper of roots.
     elements: names of elements by member, where they differ (`_parts` is a `part`). keys: members that name a row; a
     row without one is named by its path. paths: elements whose children point to them by path, not by key. always:
-    elements with a table even where the data at hand never repeat them.
+    elements with a table even where the data at hand never repeat them. inline: (element, member), of elements with a
+    table, whose objects are inlined whatever other records hold there, and whose arrays stay with the row, as JSON text.
     embedded: members whose text holds JSON. first_of: for (element, member), paths of which only the first that is
     present counts, even if it is null or empty. wrappers: objects with one such member stand for its value.
     """
@@ -43,6 +44,7 @@ class Options:
     keys: dict[str, str] = field(default_factory=dict)
     paths: frozenset[str] = frozenset()
     always: frozenset[str] = frozenset()
+    inline: frozenset[tuple[str, str]] = frozenset()
     embedded: frozenset[str] = frozenset()
     first_of: dict[tuple[str, str], tuple[tuple[str, ...], ...]] = field(default_factory=dict)
     wrappers: frozenset[str] = frozenset({"$numberInt", "$numberLong", "$numberDouble", "$numberDecimal", "$date", "$oid"})
@@ -90,11 +92,12 @@ def _edges(obj: dict, element: str, o: Options, into: dict) -> None:
         at, name = stack.pop()
         for member, v in _members(at, o):
             child = o.elements.get(member, member)
-            inner = [x for x in v if isinstance(x, dict)] if isinstance(v, list) else [v] if isinstance(v, dict) else []
+            text = isinstance(v, list) and (name, member) in o.inline
+            inner = [v] if isinstance(v, dict) else [x for x in v if isinstance(x, dict)] if isinstance(v, list) and not text else []
             e = into.setdefault((name, child), [False, 0, 0])
-            e[0] |= isinstance(v, list)
+            e[0] |= isinstance(v, list) and not text
             e[1] += len(inner)
-            e[2] += v is not None and not inner and v != []
+            e[2] += text or v is not None and not inner and v != []
             stack.extend((x, child) for x in inner)
 
 
@@ -120,15 +123,18 @@ def schema_graph(docs: DataFrame, column: str, o: Options, max_edges: int = 100_
 
 def table_elements(graph: list[tuple[str, str, bool, int, int]], o: Options) -> set[str]:
     """Elements with a table: the root, and those that repeat, are shared by several parents or contain themselves."""
+    inline = {(e, o.elements.get(m, m)) for e, m in o.inline}
     down: dict[str, set[str]] = {}
     parents: dict[str, set[str]] = {}
     out = {o.root, *o.always}
     for p, c, repeats, objects, _ in graph:
         if objects:
             down.setdefault(p, set()).add(c)
-            parents.setdefault(c, set()).add(p)
-            if repeats:
-                out.add(c)
+            parents.setdefault(c, set())
+            if (p, c) not in inline:
+                parents[c].add(p)
+                if repeats:
+                    out.add(c)
     out |= {c for c, ps in parents.items() if len(ps) > 1}
     for e in list(parents):
         seen, stack = set(), [e]
@@ -157,7 +163,7 @@ def shred_one(root: dict, tables: set[str], o: Options) -> list[tuple]:
             for member, v in _members(at, o):
                 child, where = o.elements.get(member, member), (*prefix, member)
                 present.add(where)
-                if child in tables and (isinstance(v, (dict, list)) or v is None):
+                if child in tables and (isinstance(v, (dict, list)) or v is None) and (prefix or (element, member) not in o.inline):
                     if isinstance(v, list) and v and not any(isinstance(x, (dict, type(None))) for x in v):
                         cols[".".join(where)] = json.dumps(v, ensure_ascii=False)
                     else:
@@ -224,7 +230,7 @@ def table_of(rows: DataFrame, graph: list[tuple[str, str, bool, int, int]], tabl
                 path = (*prefix, member.get(c, c))
                 if scalars:
                     names.append(".".join(path))
-                if objects and c not in tables and c not in seen:
+                if objects and (c not in tables or (e, path[-1]) in o.inline) and c not in seen:
                     walk(c, path, seen | {c})
 
     walk(element, (), frozenset({element}))

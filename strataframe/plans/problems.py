@@ -17,6 +17,7 @@ ITEMS = nested.Options(
     keys={"item": "_id", "part": "_id", "fragment": "location", "reading": "value", "witness": "value"},
     paths=frozenset({"fragment", "reading", "witness"}),
     always=frozenset({"part", "fragment", "reading", "witness"}),
+    inline=frozenset({("part", "content")}),
     embedded=frozenset({"content"}),
     first_of={("part", "fragment"): (("fragments",), ("content", "fragments"))},
 )

@@ -48,6 +48,27 @@ def test_shared_inlining_of_recursive_shared_and_inlined_elements(spark):
     assert out.where("tab = 'by'").count() == 2
 
 
+ODD = [[], [{"fragments": [{"location": "9"}]}], "[1]", '[{"x": {"y": 1}}]', None, "text", {"content": {"fragments": [{"location": "8"}]}}]
+
+
+@pytest.mark.parametrize("odd", [{"_parts": [{"_id": "q", "content": c}]} for c in ODD] + [{"content": {"a": 1}}, {"meta": {"content": [{"b": 1}]}, "content": {"a": 1}}])
+def test_p1_one_odd_record_changes_no_other(spark, tmp_path, odd):
+    part = lambda k, c: {"_id": k, "content": c}
+    frs = lambda loc: {"note": "n", "fragments": [{"location": loc, "entries": [{"value": "v", "witnesses": [{"value": "w"}]}]}]}
+    doc = json.dumps({"_id": "a", "_parts": [part("p", frs("1")), part("r", json.dumps(frs("2")))]})
+    spark.createDataFrame([(1, doc), (2, json.dumps({"_id": "b", **odd}))], "dump_id long, doc string").write.parquet(f"{tmp_path}/item_dump.parquet")
+    spark.createDataFrame([], "id string, entries array<struct<id string, value string>>").write.parquet(f"{tmp_path}/thesauri.parquet")
+    want = {("part", "a", 0, "p"), ("part", "a", 1, "r")} | {x for k, loc in (("p", "1"), ("r", "2")) for x in (("fragment", k, 0, loc), ("reading", f"{k}/0", 0, "v"), ("witness", f"{k}/0/0", 0, "w"))}
+    assert rows(problems.p1_found(spark, str(tmp_path))) == want | ({("part", "b", 0, "q")} if "_parts" in odd else set())
+    assert rows(problems.p1_part_table(spark, str(tmp_path)).where("parent_key = 'a'").select("row_key", "content_note")) == {("p", "n"), ("r", "n")}
+
+
+def test_arrays_of_an_inlined_member_stay_as_text(spark):
+    docs = [json.dumps({"_id": "a", "_parts": [{"_id": "p", "content": [{"x": {"y": 1}}]}, {"_id": "q", "content": []}]})]
+    graph, tables, out = shredded(spark, docs, problems.ITEMS)
+    assert rows(nested.table_of(out, graph, tables, "part", problems.ITEMS).select("row_key", "content")) == {("p", '[{"x": {"y": 1}}]'), ("q", "[]")}
+
+
 def test_spellings_of_one_value_agree():
     o = problems.ITEMS
     same = ["2023-10-02T02:05:09.178Z", {"$date": "2023-10-02T02:05:09.178Z"}, {"$date": {"$numberLong": "1696212309178"}}, {"$date": 1696212309178}]
