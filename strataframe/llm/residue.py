@@ -267,30 +267,32 @@ _STRICT = rf"""
   | «{FIELDS}»
   | <\s*placeholder[ _]?\d*\s*>
   | <\s*todo\s*:[^<>\n]{{1,60}}>
-  | <\s*insert\s[^<>\n]{{1,60}}>
-  | \[\s*insert\s[^\[\]\n]{{1,60}}\]
+  | <\s*insert\s+[^<>\n]{{1,60}}>
+  | \[\s*insert\s+[^\[\]\n]{{1,60}}\]
   | \[\s*{FIELDS}\s*\]
   | \bXXX\s+{FIELDS}\s+XXX\b
   | (?<![\w"„“«])\b{FIELDS}\s+goes\s+here\b
-  | \[\s*Hier\s[^\[\]\n]{{1,40}}\]
-  | <\s*[^<>\n]{{1,40}}\s(?:eintragen|einfügen|einsetzen|à\scompléter|à\sinsérer|à\sremplir)\s*>
-  | \[\s*(?:Ins[ée]rer|Indiquer|Saisir)\s[^\[\]\n]{{1,50}}\]
-  | \(\s*(?:Platzhalter|Espace\sréservé)\s[^()\n]{{1,40}}\)
+  | \[\s*Hier\s+[^\[\]\n]{{1,40}}\]
+  | <\s*[^<>\n]{{1,40}}\s+(?:eintragen|einfügen|einsetzen|à\s+compléter|à\s+insérer|à\s+remplir)\s*>
+  | \[\s*(?:Ins[ée]rer|Indiquer|Saisir)\s+[^\[\]\n]{{1,50}}\]
+  | \(\s*(?:Platzhalter|Espace\s+réservé)\s+[^()\n]{{1,40}}\)
   | ×{{4,}} | ○{{4,}} | 〇{{4,}} | ●{{4,}} | ＊{{4,}}
   | [（(【\[<［]\s*待(?:补充|填写|定)\s*[）)】\]>］]
-  | \(\s*(?:texte|titre|résumé)\s+d[eu]\b[^()\n]{{1,30}}\) | \(\s*(?:Text|Titel)\s+de[rs]\s[^()\n]{{1,30}}\)
+  | \(\s*(?:texte|titre|résumé)\s+d[eu]\b[^()\n]{{1,30}}\) | \(\s*(?:Text|Titel)\s+de[rs]\s+[^()\n]{{1,30}}\)
   | [（(【\[<]\s*(?:此处|在此|请(?:输入|填写|在此))[^\n）)】\]>]{{0,20}}[）)】\]>]
   | [（(【\[<]?[^\n（(【\[<）)】\]>。、]{{0,12}}[）)】\]>]?を?ここに(?:記載|入力|記入)
   | [（(【\[<]\s*ここに[^\n）)】\]>]{{1,20}}[）)】\]>]
 """
 PLACEHOLDER = re.compile(_STRICT, re.X | re.I)
 _STEMS = ("title", "abstract", "summary", "description", "claim", "component", "effect", "inventor", "applicant", "filing", "pub", "ipc", "drawing", "field", "background", "priority", "agent", "keyword")
-#: what every form of placeholder contains, in lower case
+#: what every form of placeholder contains, in lower case and without white space
 HINTS = [
-    "{{", "<%", "$" + "{", "#{", "{%", "$$[", "$(", "@@", "[[", "xxx ", "goes here", "<placeholder", "<todo", "<insert", "[insert", "[hier", "eintragen", "einfügen", "einsetzen", "à compléter", "à insérer", "à remplir",
-    "[insér", "[inser", "[indiquer", "[saisir", "(platzhalter", "(espace", "(texte d", "(titre d", "(résumé d", "(text de", "(titel de", "此处", "在此", "请输入", "请填写", "ここに", "待补充", "待填写", "待定", "××××", "○○○○", "〇〇〇〇", "●●●●", "＊＊＊＊",
-    *[f"{w}{s}" for w in ("__", "%", "~", "<<", "«", "[") for s in _STEMS],
+    "{{", "<%", "$" + "{", "#{", "{%", "$$[", "$(", "@@", "[[", "goeshere", "<placeholder", "<todo", "<insert", "[insert", "[hier", "eintragen", "einfügen", "einsetzen", "àcompléter", "àinsérer", "àremplir",
+    "[insér", "[inser", "[indiquer", "[saisir", "(platzhalter", "(espace", "(texted", "(titred", "(résuméd", "(textde", "(titelde", "此处", "在此", "请输入", "请填写", "ここに", "待补充", "待填写", "待定", "××××", "○○○○", "〇〇〇〇", "●●●●", "＊＊＊＊",
+    *[f"{w}{s}" for w in ("__", "%", "~", "<<", "«", "[", "xxx") for s in _STEMS],
 ]
+#: letters that expressions without case take for s and i, and the dot that the lower case of a dotted I leaves
+_SAME = (("ſ", "s"), ("ı", "i"), ("\u0307", ""))
 _QUOTES = "\"'“”„‟«»「」『』‘’`"
 #: fixed values: words after which a bracketed name is spoken of
 _MENTION = re.compile(r"(?:\b(?:fie[l1]d|tag|variable|string|pattern|patterns|placeholder|marker|element|key|macro|token|feld|muster|zeichenfolge|platzhalter|kennung|champ|balise|chaîne|motif|étiquette)|字段|变量|标签|字符串|変数|タグ|項目|文字列)\s*$", re.I)
@@ -387,7 +389,11 @@ def coverage(unit: str) -> tuple[float, bool]:
 
 def placeholder(text: str) -> str | None:
     """The first unfilled placeholder of text that isn't quoted or spoken of."""
-    if next(hints().iter(text.lower()), None) is None:
+    dense = "".join(text.split()).lower()
+    if not dense.isascii():
+        for a, b in _SAME:
+            dense = dense.replace(a, b)
+    if next(hints().iter(dense), None) is None:
         return None
     for m in PLACEHOLDER.finditer(text):
         before, after = text[max(0, m.start() - 40) : m.start()].rstrip(" \u00a0"), text[m.end() : m.end() + 40].lstrip(" \u00a0")

@@ -120,6 +120,23 @@ def test_residue(text):
     assert residue.residue(text, 0.6)
 
 
+#: one or more for each form of placeholder, with ~ where white space may be
+SPACED = [
+    "{{~title~}}", "{{~doc.title", "<%=~title %>", "#{~title~}", "${~title~}", "{%~title~%}", "$$[~title~]", "$(~title~)", "[[~title~]]", "<<~abstract~>>", "<~placeholder~>", "<~todo~: claim 1 text>", "<~insert~claim 1>",
+    "[~insert~title]", "[~title~]", "XXX~abstract~XXX", "Title~goes~here", "[~Hier~Titel]", "<~Titel~eintragen~>", "<Titel~einfügen>", "<Titel~einsetzen>", "<texte~à~compléter~>", "<~titre~à~insérer>", "<titre~à~remplir>", "[~Insérer~un titre]", "[~Inserer~un titre]", "[~Indiquer~un titre]",
+    "[~Saisir~un titre]", "(~Platzhalter~Titel)", "(~Espace~réservé~titre)", "【~待补充~】", "(~待填写~)", "[~待定~]", "(~texte~de la revendication)", "(~titre~du brevet)", "(~résumé~de x)", "(~Text~der Ansprüche)", "(~Titel~des Patents)", "（~此处填写）", "（~请输入标题）", "（~ここに記載）",
+]
+
+
+@pytest.mark.parametrize("space", [" ", "\u00a0", "  ", "\n", "\r\n", "\u3000"])
+def test_placeholders_with_odd_spaces(space):
+    for text in SPACED:
+        for t in (text, text.upper(), text.replace("s", "ſ"), text.replace("i", "İ")):
+            t = f"A nut. {t.replace('~', space)} A rod."
+            assert residue.placeholder(t) == (m.group() if (m := residue.PLACEHOLDER.search(t)) else None), t
+        assert residue.placeholder(text.replace("~", space)), text
+
+
 @pytest.mark.parametrize("text", GOOD)
 def test_no_residue(text):
     assert residue.residue(text, 0.6) is None
