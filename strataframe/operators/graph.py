@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,11 +126,12 @@ def split_name(uri: Column, mapping: dict[str, str], ns_table: DataFrame | None
     return ns, local
 
 
-def class_closure(triples: DataFrame, a_id: int, sub_id: int, max_levels: int = 64) -> DataFrame:
+def class_closure(triples: DataFrame, a_id: int, sub_id: int, flush: int = 16) -> DataFrame:
     """(id, class_id, level): the classes of each instance, by its types and their superclasses, at the least level.
 
     Super-class edges are closed level by level, each level a join of the newest pairs with the edges; a pair that is
-    already known isn't followed again, so cycles end. Levels are written to the shared folder, which bounds the plan.
+    already known isn't followed again, so cycles end, and it goes on until a level adds no pair. Levels are written to
+    the shared folder, and every flush levels as one table, which bounds the plan.
     """
     spark = triples.sparkSession
     typed = triples.where((F.col("p_id") == a_id) & F.col("o_id").isNotNull() & F.col("s_id").isNotNull()).select(F.col("s_id").alias("id"), F.col("o_id").alias("class_id")).distinct()
@@ -137,7 +140,7 @@ def class_closure(triples: DataFrame, a_id: int, sub_id: int, max_levels: int =
     folder = storage.workspace(spark, "closure")
     reach = storage.materialize(typed.select("class_id").distinct().select(F.col("class_id").alias("start"), F.col("class_id").alias("at"), F.lit(1).alias("level")), f"{folder}/1")
     newest, paths = reach, [reach]
-    for level in range(2, max_levels + 2):
+    for level in itertools.count(2):
         step = newest.join(edges, F.col("at") == F.col("sub")).select("start", F.col("super").alias("at"), F.lit(level).alias("level")).distinct()
         for known in paths:
             step = step.join(known.select("start", "at"), ["start", "at"], "left_anti")
@@ -145,8 +148,9 @@ def class_closure(triples: DataFrame, a_id: int, sub_id: int, max_levels: int =
         if newest.isEmpty():
             break
         paths.append(newest)
-    for p in paths[1:]:
-        reach = reach.unionByName(p)
+        if len(paths) > flush:
+            paths = [storage.materialize(functools.reduce(DataFrame.unionByName, paths), f"{folder}/to-{level}")]
+    reach = functools.reduce(DataFrame.unionByName, paths)
     return typed.join(reach, F.col("class_id") == F.col("start")).groupBy("id", F.col("at").alias("class_id")).agg(F.min("level").alias("level"))
 
 

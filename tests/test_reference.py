@@ -329,6 +329,12 @@ def test_closure_with_a_cycle(spark):
     assert got == {(1, 100, 1), (1, 101, 2), (1, 102, 3), (2, 102, 1), (2, 100, 2), (2, 101, 3)}
 
 
+def test_closure_of_a_long_chain(spark):
+    chain = [(i, 100 + i, 20, 101 + i) for i in range(67)]
+    t = spark.createDataFrame([(999, 1, 10, 100), *chain], "id int, s_id int, p_id int, o_id int")
+    assert {tuple(r) for r in graph.class_closure(t, 10, 20).collect()} == {(1, 100 + i, i + 1) for i in range(68)}
+
+
 def test_flag_metadata(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (9,), (None,)], "flags int")
     got = [r.metadata for r in framing.flag_metadata(df, "flags", {"1": "a=x", "h8": "b=y", "2": "a"}, {"1": "a=off"}).collect()]
