@@ -3,7 +3,7 @@
 Each batch does three things. New references probe the parent index; those without a parent wait. Arriving parents
 resolve the references that wait for their key. Removed parents reopen the references that were resolved through them.
 All state lies in buckets by key; a batch reads and writes only the buckets that its own keys fall in, and resolved
-references, which are appended, are read again only for removed keys.
+references, which are appended, are read again only for keys that were removed or whose first arrival became known.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ class OrphanTracker:
         both = old.join(delta, ["field", "key"], "full_outer")
         put, removed = F.greatest("put", F.when(F.col("o_present"), F.col("o_last"))), F.greatest("removed", F.when(~F.col("o_present"), F.col("o_last")))
         present = F.coalesce(put.isNotNull() & (removed.isNull() | (put > removed)), F.lit(False))
-        index = both.select("field", "key", present.alias("present"), (F.coalesce("o_dead", F.lit(False)) | F.coalesce("d_dead", F.lit(False))).alias("dead"), F.least("d_first", "o_first").alias("first_at"), F.when(present, put).otherwise(removed).alias("last_at"), (F.coalesce("o_present", F.lit(False)) & ~present).alias("reopened"), self._bucket())
+        index = both.select("field", "key", present.alias("present"), (F.coalesce("o_dead", F.lit(False)) | F.coalesce("d_dead", F.lit(False))).alias("dead"), F.least("d_first", "o_first").alias("first_at"), F.when(present, put).otherwise(removed).alias("last_at"), (F.coalesce("o_present", F.lit(False)) & (~present | (F.col("o_first").isNull() & F.col("d_first").isNotNull()))).alias("reopened"), self._bucket())
         index.write.partitionBy(BUCKET).parquet(f"{at}/index")
         indexes = self._index | self._written(f"{at}/index")
         index = self._read(_INDEX, [p for b, p in indexes.items() if b in touched])
@@ -91,7 +91,8 @@ class OrphanTracker:
         again = [p for b in touched for p in self._resolved.get(b, [])]
         gone = index.where("reopened").select("field", "key")
         if again and not gone.isEmpty():
-            refs = refs.unionByName(self._read(_STATE, again).join(gone, ["field", "key"], "left_semi").drop("reason").distinct())
+            refs = refs.unionByName(self._read(_STATE, again).join(gone, ["field", "key"], "left_semi").drop("reason"))
+            refs = refs.groupBy(*_names(REFERENCES)).agg(F.bool_or("late").alias("late"))  # some wait by now, or came again
         # a parent that isn't known yet, or is known but not present, may still turn out to be late
         probed = refs.join(index, ["field", "key"], "left").withColumn("late", F.col("late") | F.coalesce(F.col("first_at") > F.col("at"), F.lit(False)))
         open_ = ~F.coalesce("present", F.lit(False))

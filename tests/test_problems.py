@@ -115,6 +115,20 @@ def test_orphans_wait_resolve_and_reopen(spark):
     assert rows(t.report().where("field = 'g'")) == {("g", "k1", "r9", "", "deleted")}
 
 
+def test_orphans_whose_parent_has_its_first_arrival_later(spark):
+    t = orphans.OrphanTracker(spark, storage.workspace(spark, "o"))
+    refs = lambda *x: spark.createDataFrame(list(x), orphans.REFERENCES)
+    ups = lambda *x: spark.createDataFrame(list(x), orphans.PARENTS)
+    t.apply(refs(("f", "a", "1", "", 5), ("f", "a", "2", "", 20), ("f", "b", "3", "", 5)), ups(("f", "a", "present", None), ("f", "b", "present", None)))
+    assert t.report().count() == 0
+    t.apply(refs(), ups(("f", "a", "seen", 10), ("f", "c", "seen", 10)))
+    assert [(r.row_key, r.reason) for r in t.report().collect()] == [("1", "late")]
+    t.apply(refs(), ups(("f", "a", "remove", 30)))
+    assert sorted((r.row_key, r.reason) for r in t.report().collect()) == [("1", "deleted"), ("2", "deleted")]
+    t.apply(refs(), ups(("f", "a", "present", 40)))
+    assert [(r.row_key, r.reason) for r in t.report().collect()] == [("1", "late")]
+
+
 def test_orphans_by_slices_as_at_once(spark, small):
     want = rows(problems.p2_found(spark, small))
     kept, problems._SLICES = problems._SLICES, 1
