@@ -67,9 +67,9 @@ def typed(text: str, kind: str):
         except ValueError:
             return None
     if kind == "integer":
-        return int(text) if len(text.lstrip("-")) <= 18 else None
+        return number if len(text) <= 20 and -(2**63) <= (number := int(text)) < 2**63 else None
     if kind == "decimal":
-        return Decimal(text) if len(text.lstrip("-")) <= 38 else None
+        return Decimal(text) if len(text.lstrip("-")) <= 34 + len(".0000") else None
     return text
 
 

@@ -174,6 +174,14 @@ def test_fill_down_over_blocks(spark):
     assert got[(None, 2)] == "n"
 
 
+def test_typed_to_the_bounds_of_the_types(spark):
+    cases = [("integer", 2**63 - 1), ("integer", -(2**63)), ("integer", 10**18), ("decimal", "9" * 34 + ".9999"), ("decimal", "-" + "9" * 34 + ".9999"), ("integer", 2**63), ("integer", -(2**63) - 1), ("integer", "9" * 5000), ("decimal", "1" + "0" * 34)]
+    triples = spark.createDataFrame([(i, 1, i, str(x), None) for i, (_, x) in enumerate(cases)], "id int, s_id int, p_id int, o_lit string, o_lit_type string")
+    kinds = spark.createDataFrame([(i, f"xsd:{k}") for i, (k, _) in enumerate(cases)], "id int, data_type string")
+    got = [str(x) for x in eav.widen(triples, kinds).rows().first()[1:]]
+    assert got == [*(str(x) for _, x in cases[:5]), "None", "None", "None", "None"]
+
+
 @pytest.mark.parametrize(
     ("kind", "good", "bad"),
     [
