@@ -306,6 +306,9 @@ _OCR0 = re.compile(r"(?<=[a-z])0|0(?=[a-z])")
 _SCANNED = re.compile(r"[A-Za-z][01][A-Za-z]")
 _LETTERS = re.compile(r"[\W\d_]+")
 _CJK = re.compile("[぀-鿿]")
+_NOT_ASCII_LATIN = re.compile("[\u0080-\u036f]")
+#: a single line feed, as of a wrapped line
+_WRAP = re.compile(r"(?<!\n)[ \t\r]*\n(?![ \t\r]*\n)[ \t]*")
 _NOT_LETTERS = bytes(set(range(256)) - set(b"abcdefghijklmnopqrstuvwxyz"))
 #: the same word again and again, or the same few characters
 _REPEATED_WORD = re.compile(r"(?<!\w)([^\W\d_]{3,30})(?:[\s,.;]+\1){7,}(?!\w)", re.I)
@@ -317,14 +320,15 @@ _RULE = re.compile(r"^[ \t]*(?:\[\d+\][ \t]*|\d+\.[ \t]*)?([Xx_.\-=*#…])\1{9,}
 def fold(text: str, ocr: bool = False) -> str:
     """The letters of text without case and accents; with ocr, digits 1 and 0 within words are read as l and o.
 
-    Of texts without Chinese or Japanese only the Latin letters are kept.
+    Of texts without Chinese or Japanese only the Latin letters are kept; Latin letters come out the same in both.
     """
     t = text.casefold()
     if ocr:
         t = _OCR0.sub("o", _OCR.sub("l", t))
     if not t.isascii():
         if _CJK.search(t):
-            return _LETTERS.sub("", unicodedata.normalize("NFKC", t)).replace("rn", "m")
+            t = unicodedata.normalize("NFKC", _NOT_ASCII_LATIN.sub("", unicodedata.normalize("NFKD", t)))
+            return _LETTERS.sub("", t).replace("rn", "m")
         t = unicodedata.normalize("NFKD", t)
     return t.encode("ascii", "ignore").translate(None, _NOT_LETTERS).decode("ascii").replace("rn", "m")
 
@@ -421,8 +425,11 @@ def residue(text: str | None, share: float) -> str | None:
         return m.group().strip()[:80]
     if not any(w for _, (_, w) in automaton().iter(fold(plain))) and not (_SCANNED.search(plain) and any(w for _, (_, w) in automaton().iter(fold(plain, True)))):
         return None
-    for line in joined.split("\n"):
-        for unit in (line, *_UNIT.split(line)):
+    lines = [(line, *_UNIT.split(line)) for line in joined.split("\n")]
+    # sentences over wrapped lines
+    lines += [_UNIT.split(p) for p in _WRAP.sub(" ", joined).split("\n")] if "\n" in joined else []
+    for units in lines:
+        for unit in units:
             if unit and unit.strip():
                 c, strong = coverage(unit)
                 if strong and c >= share:

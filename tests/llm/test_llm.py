@@ -137,6 +137,17 @@ def test_placeholders_with_odd_spaces(space):
         assert residue.placeholder(text.replace("~", space)), text
 
 
+@pytest.mark.parametrize("text", ["The page could not\nbe found.", "A nut is held.\nThe page could not\r\nbe found. A rod is bent by a force.", "A nut.\n\nBitte aktivieren Sie\nJavaScript, um diese Seite\nanzuzeigen.", "Veuillez réessayer plus tard.\n装置", "装置\nVeuillez réessayer plus tard.", "您访问的页面\n不存在（404）。"])
+def test_residue_over_lines_and_in_mixed_scripts(text):
+    assert residue.residue(text, 0.45)
+
+
+def test_fold_is_the_same_in_mixed_texts():
+    for p in (*residue.STRONG, *residue.WEAK):
+        if residue.fold(p).isascii():
+            assert residue.fold(p) in residue.fold(p + "。装置"), p
+
+
 @pytest.mark.parametrize("text", GOOD)
 def test_no_residue(text):
     assert residue.residue(text, 0.6) is None
