@@ -357,6 +357,8 @@ _ISO2 = "case lower(c) " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(3
 query("scalar_iso639", f"select doc_id, case when lang is null then null else 'in ' || (select {_ISO2} from (select lang as c)) || '.' end as x from documents where lang is null or regexp_full_match(lang, '[a-z]{{2}}')")(
     lambda s, d: table(s, d, "documents").where("lang is null or lang rlike '^[a-z]{2}$'").select("doc_id", scalars.iso639(r"\^\^([a-z]{2})", 2)(F.concat(F.lit("in ^^"), F.col("lang"), F.lit("."))).alias("x"))
 )
+# all rows, also those that the SQL above can't state
+query("scalar_iso639_all")(lambda s, d: table(s, d, "documents").select("doc_id", scalars.iso639(r"\^\^([a-z]{2})", 2)(F.concat(F.lit("in ^^"), F.col("lang"), F.lit("."))).alias("x")))
 query("scalar_bcp47", """select doc_id, case lower(lang) when 'en' then 'English' when 'de' then 'German (any)' when 'fr' then 'French' when 'ja' then 'Japanese' when 'zh' then 'Chinese' else lang end || ' | German (Austria)' as x from documents""")(
     lambda s, d: table(s, d, "documents").select("doc_id", scalars.bcp47(custom={"de": "German (any)"})(F.concat(F.lit("^^"), F.col("lang"), F.lit(" | ^^de-AT"))).alias("x"))
 )
@@ -382,6 +384,9 @@ k as (select t, cast(ord as int) as ord, en.id as id, en."value" as v from e whe
 query("scalar_thesaurus_references", f"with {_KNOWN} select t || '|' || ord as key, 'see ' || coalesce(v, id) || '; ' || 'none' || '.' as text from k where id is not null and regexp_full_match(t, '[@_a-zA-Z0-9.-]+') and regexp_full_match(id, '[_a-zA-Z0-9.-]+')")(
     lambda s, d: (lambda e: scalars.thesaurus_references(e.where(r"id rlike '^[_a-zA-Z0-9.-]+$' and thesaurus_id rlike '^[@_a-zA-Z0-9.-]+$'").select(F.concat("thesaurus_id", F.lit("|"), F.col("ord").cast("string")).alias("key"), F.concat(F.lit("see $"), "thesaurus_id", F.lit(":"), "id", F.lit("; $no@en:none."), F.lit("")).alias("text")), "key", "text", e, r"\$([@_a-zA-Z0-9.-]+):([_a-zA-Z0-9-]+(?:\.[_a-zA-Z0-9-]+)*)"))(thesaurus.entries_of(table(s, d, "thesauri")))
 )
+query("scalar_thesaurus_references_all")(
+    lambda s, d: (lambda e: scalars.thesaurus_references(e.where("id is not null").select(F.concat("thesaurus_id", F.lit("|"), F.col("ord").cast("string")).alias("key"), F.concat(F.lit("see $"), "thesaurus_id", F.lit(":"), "id", F.lit("; $no@en:none.")).alias("text")), "key", "text", e))(thesaurus.entries_of(table(s, d, "thesauri")))
+)
 query("scalar_features", """select distinct _id, case when flags & 1 = 1 then 'facet=' || coalesce("facetId", '-') || ' flag=odd' else 'facet=' || coalesce("facetId", '-') end as x, flags & 1 = 1 as odd from items where flags is not null""")(
     lambda s, d: table(s, d, "items").where("flags is not null").withColumn("f", scalars.add_feature(scalars.add_feature(F.array().cast(scalars.FEATURES), "facet", F.coalesce("facetId", F.lit("-"))), "flag", "odd"))
     .withColumn("f", F.when(F.col("flags").bitwiseAND(1) == 1, F.col("f")).otherwise(scalars.remove_features(F.col("f"), "flag"))).select("_id", F.array_join(F.transform("f", lambda f: F.concat(f["name"], F.lit("="), f["value"])), " ").alias("x"), scalars.has_feature(F.col("f"), "flag").alias("odd")).distinct()

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from strataframe import cli, registry
 from strataframe.functions import arrow, codes, jsonpath, scalars
 from strataframe.functions.predicates import FrameFilter
 from strataframe.operators import cdc, framing, graph, rdf, render, texts, thesaurus
+from strataframe.plans import reference
 from strataframe.sources import readers, sinks
 from strataframe.storage import workspace
 from strataframe.streaming import feeds
@@ -335,6 +337,21 @@ def test_closure_of_a_long_chain(spark):
     assert {tuple(r) for r in graph.class_closure(t, 10, 20).collect()} == {(1, 100 + i, i + 1) for i in range(68)}
 
 
+def test_scalars_over_all_rows(spark, small):
+    names = codes.iso639(2)
+    langs = {r[0]: r[1] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang").collect()}
+    want = {k: v and re.sub(r"\^\^([a-z]{2})", lambda m: names.get(m[1], m[1]), f"in ^^{v}.") for k, v in langs.items()}
+    assert {r[0]: r[1] for r in reference.QUERIES["scalar_iso639_all"](spark, small).collect()} == want
+    entries = thesaurus.entries_of(spark.read.parquet(f"{small}/thesauri.parquet")).select("thesaurus_id", "ord", "id", "value").collect()
+    known = {}
+    for t, _, i, v in entries:
+        known[t, i] = min((x for x in (known.get((t, i)), v) if x is not None), default=None)
+    value_of = lambda m: known.get((m[1], m[2])) if known.get((m[1], m[2])) is not None else m[2]
+    want = sorted((f"{t}|{o}", re.sub(r"\$([@_a-zA-Z0-9.-]+):([_a-zA-Z0-9.-]+)", value_of, f"see ${t}:{i}; $no@en:none.")) for t, o, i, _ in entries if i is not None and t is not None)
+    got = sorted(tuple(r) for r in reference.QUERIES["scalar_thesaurus_references_all"](spark, small).collect() if r[0] is not None)
+    assert got == want
+
+
 def test_flag_metadata(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (9,), (None,)], "flags int")
     got = [r.metadata for r in framing.flag_metadata(df, "flags", {"1": "a=x", "h8": "b=y", "2": "a"}, {"1": "a=off"}).collect()]
