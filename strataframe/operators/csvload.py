@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from strataframe import storage
+
 START, UNQUOTED, QUOTED, QUOTE, AFTER, IN_UNQUOTED, AFTER_CLOSE = range(7)
 _OTHER, _QUOTE, _COMMA, _SPACE, _END = range(5)
 #: next state by byte class and state
@@ -131,10 +133,11 @@ def read_thesaurus_records(df: DataFrame) -> DataFrame:
     one. Empty fields come out as null. Repeated rows come out once. Records with a null file or line are kept, in a
     file of their own and after all others.
     """
-    rows = tokenized(df.select("file_no", "line_no", "raw").distinct(), "raw", ["file_no", "line_no"])
-    header = df.where("line_no = 1").select("file_no", "line_no", F.regexp_replace("raw", "^\\x{FEFF}", "").alias("raw"))
+    unmarked = F.when(F.col("line_no") == 1, F.regexp_replace("raw", "^\\x{FEFF}", "")).otherwise(F.col("raw"))
+    once = tokenized(df.select("file_no", "line_no", unmarked.alias("raw")).distinct(), "raw", ["file_no", "line_no"])
+    rows = storage.materialize(once, storage.workspace(df.sparkSession, "records"))  # read below for headers, bodies and blocks
     names = F.transform("fields", lambda x: F.lower(F.trim(x)))
-    header = tokenized(header, "raw", ["file_no", "line_no"]).groupBy("file_no").agg(F.max(names).alias("names")).select(F.col("file_no").alias("h_file"), "names")
+    header = rows.where("line_no = 1").groupBy("file_no").agg(F.max(names).alias("names")).select(F.col("file_no").alias("h_file"), "names")
     body = rows.where("not (line_no <=> 1) and (fields is not null or error is not null)")
     body = body.join(header, F.col("file_no").eqNullSafe(F.col("h_file")), "left").drop("h_file")
 
