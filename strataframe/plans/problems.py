@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,7 +139,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return intake.locate(spark, records, "arrivedAt", taken).select("coll", "rec_id", "run_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p7_found)}
+def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of items, taken by three runs over a ledger; some rows show up only a run after they arrived."""
+    rows = table(spark, d, "items").select(F.col("_id").alias("rec_id"), "arrivedAt").where("arrivedAt is not null").distinct()
+    at = micros(rows, "arrivedAt")
+    visible = (1 + F.when(F.expr("cast(arrivedAt as date)") >= F.lit(_RUNS[1]).cast("date"), 1).otherwise(0) + F.when(F.expr("cast(arrivedAt as date)") >= F.lit(_RUNS[2]).cast("date"), 1).otherwise(0) + (F.pmod(F.expr("x div 1000"), F.lit(7)) == 0).cast("int")).cast("int")
+    rows = rows.withColumn("x", at).withColumn("run", visible)
+    ledger, out = intake.Ledger(spark, workspace(spark, "ledger")), workspace(spark, "taken")
+    parts = [intake.take(spark, ledger, rows.where(F.col("run") <= n), "arrivedAt", 2**62, f"{out}/{n}").select("rec_id", F.lit(n).alias("run_id")) for n in (1, 2, 3, 4)]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("rec_id", "run_id").agg(F.count("*").alias("n"))
+
+
+#: the days from which on rows of p7_ledger arrive in its first, second and third run
+_RUNS = ("1970-01-01", "2024-03-01", "2024-06-01")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p7_found, p7_ledger)}
 
 #: fixed values: the same questions in DuckDB's SQL
 _P6 = """select '{0}' as coll, "referenceId" as reference_id, _id as rec_id from (
@@ -187,6 +204,8 @@ s as (select *, coalesce(status = 2, false) as gone, row(title, description, "fa
 e as (select *, lead("timeModified") over (partition by "referenceId" order by "timeModified") as t1 from s where g0 is null and not gone or g0 is not null and (gone <> g0 or not gone and a is distinct from a0))
 select "referenceId", epoch_us("timeModified") as valid_from, coalesce(epoch_us(t1), -1) as valid_to, case when coalesce(g0, true) then 'inserted' else 'changed' end as change, title, description, "facetId", "groupId", "sortKey", flags from e where not gone""",
     "p6_found": f"{_P6.format('history_items')} union all {_P6.format('history_parts')}",
+    "p7_ledger": """select rec_id, run_id, count(*) as n from (select distinct _id as rec_id, "arrivedAt", cast(1 + cast("arrivedAt" >= timestamp '2024-03-01' as int) + cast("arrivedAt" >= timestamp '2024-06-01' as int)
+  + cast((epoch_us("arrivedAt") // 1000) % 7 = 0 as int) as int) as run_id from items where "arrivedAt" is not null) group by all""",
     "p7_found": " union all ".join(_P7.format(c) for c in ("items", "parts", "history_parts")),
 }
 

@@ -313,27 +313,52 @@ def test_intervals():
 def test_runs_take_every_record_once(spark):
     ledger = intake.Ledger(spark, storage.workspace(spark, "l"))
     base = T(1970, 1, 1)
-    data = [(i, base + datetime.timedelta(seconds=i)) for i in range(10)] + [(99, None)]
-    df = spark.createDataFrame(data, "id int, at timestamp_ntz")
+    df = spark.createDataFrame([(i, base + datetime.timedelta(seconds=i)) for i in range(10)] + [(99, None)], "id int, at timestamp_ntz")
     out = storage.workspace(spark, "out")
-    intake.take(spark, ledger, df.where("id < 4"), "at", 5 * 10**6, f"{out}/1")
+    got = lambda n: sorted(r.id for r in spark.read.parquet(f"{out}/{n}").collect())
+    intake.take(spark, ledger, df.where("id < 4 and id <> 2"), "at", 5 * 10**6, f"{out}/1")
     df.write.parquet(f"{out}/failed")  # a run that failed before its commit isn't seen
-    late = ledger.gaps((None, 9 * 10**6))
-    assert late == [(5 * 10**6, 9 * 10**6)]
-    intake.take(spark, ledger, df, "at", 9 * 10**6, f"{out}/2")
-    assert ledger.done() == [(None, 9 * 10**6)] and intake.take(spark, ledger, df, "at", 9 * 10**6, f"{out}/3") == []
-    assert sorted(r.id for r in spark.read.parquet(*ledger.outputs()).collect()) == [0, 1, 2, 3, 6, 7, 8, 9]
+    assert got(1) == [0, 1, 3]
+    intake.take(spark, ledger, df.where("id < 8"), "at", 6 * 10**6, f"{out}/2")  # 2 shows up late, with an arrival before what is done
+    assert got(2) == [2, 4, 5, 6]
+    intake.take(spark, ledger, df, "at", 9 * 10**6, f"{out}/3", complete=8 * 10**6)
+    assert got(3) == [7, 8, 9] and ledger.complete() == 8 * 10**6
+    assert rows(ledger.open().select("lo", "hi")) == {(9 * 10**6 - 1, 9 * 10**6)}
+    intake.take(spark, ledger, df, "at", 9 * 10**6, f"{out}/4")
+    assert got(4) == [] and sorted(r.id for r in spark.read.parquet(*ledger.outputs()).select("id").collect()) == list(range(10))
     with pytest.raises(FileExistsError):
-        storage.commit_json(spark, f"{ledger.path}/00000001.json", {})
+        ledger.commit(spark.createDataFrame([(1,)], "n long"), after=0)
+
+
+def test_open_intervals_against_sets(spark):
+    r = random.Random(8)
+    day = intake.DAY
+    ledger = intake.Ledger(spark, storage.workspace(spark, "l"))
+    want = set()
+    for _ in range(3):
+        seen = {r.choice([0, day, -day]) + r.randint(-6, 6) for _ in range(12)} - want
+        want |= seen
+        ledger.commit(spark.createDataFrame([(n,) for n in seen], "n long"))
+    got = [n for _, lo, hi in ledger.open().collect() for n in range(lo + 1, hi + 1)]
+    assert sorted(got) == sorted(want)
+    probe = spark.createDataFrame([(n,) for n in range(-9, 10)], "n long")
+    assert rows(ledger.pending(probe, F.col("n")).select("n")) == {(n,) for n in range(-9, 10) if n not in want}
+
+
+def test_manifests_are_ordered_as_numbers(spark):
+    path = storage.workspace(spark, "m")
+    for n in (99_999, 100_000, 100_001):
+        storage.commit_json(spark, storage.manifest_path(path, n), {"n": n})
+    assert storage.newest(spark, path) == (100_001, {"n": 100_001})
+    with pytest.raises(FileExistsError):
+        storage.commit_json(spark, storage.manifest_path(path, 99_999), {})
 
 
 def test_runs_in_odd_order(spark):
     day = datetime.timedelta(days=1)
     runs = spark.createDataFrame([(2, "c", T(2024, 1, 5), "ok", 0), (1, "c", T(2024, 1, 9), "failed", 0), (3, "c", T(2024, 1, 3), "ok", 0), (4, "c", T(2024, 1, 7), "ok", 0), (4, "c", T(2024, 1, 7), "ok", 0), (5, "c", None, "ok", 0), (6, None, T(2025, 1, 1), "ok", 0)], "run_id int, coll string, readUpTo timestamp_ntz, outcome string, __lo int")
     taken = intake.assign_intervals(runs)
-    assert [x[2] for x in taken["c"]] == [2, 4]
+    assert [r.run_id for r in taken.orderBy("run_id").collect()] == [2, 4]
     recs = spark.createDataFrame([("c", "a", T(2023, 1, 1)), ("c", "b", T(2024, 1, 5)), ("c", "d", T(2024, 1, 5) + day / 2), ("c", "e", T(2024, 1, 8)), ("x", "f", T(2024, 1, 1)), ("c", "g", None)], "coll string, rec_id string, arrivedAt timestamp_ntz")
     assert rows(intake.locate(spark, recs, "arrivedAt", taken).select("rec_id", "run_id")) == {("a", 2), ("b", 2), ("d", 4)}
-    assert intake.locate(spark, recs, "arrivedAt", {}).count() == 0
-    with pytest.raises(ValueError):
-        intake.assign_intervals(runs, max_runs=1)
+    assert intake.locate(spark, recs, "arrivedAt", intake.assign_intervals(runs.limit(0))).count() == 0
