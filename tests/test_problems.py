@@ -242,8 +242,8 @@ def test_history_against_brute_force(spark):
     by_id = {d[0]: d for d in data}
     data = [by_id[d[0]] for d in data]  # an _id names one version
     want = periods(data)
-    for period in (86_400, 3_600, 10**8):
-        got = history.validity(log(spark, data), attributes=("title",), period=period).collect()
+    for hot in (10**6, 150, 20):
+        got = history.validity(log(spark, data), attributes=("title",), hot=hot).collect()
         micros = lambda t: None if t is None else int((t - T(1970, 1, 1)).total_seconds()) * 10**6
         assert {(g[0], g[1], g[2], g[4]) for g in got} == {(a, micros(b), micros(c), d) for a, b, c, d in want} and len(got) == len(want)
     assert history.validity(log(spark, []), attributes=("title",)).count() == 0
