@@ -2,8 +2,9 @@
 
 Each batch does three things. New references probe the parent index; those without a parent wait. Arriving parents
 resolve the references that wait for their key. Removed parents reopen the references that were resolved through them.
-All state lies in buckets by key; a batch reads and writes only the buckets that its own keys fall in, and resolved
-references, which are appended, are read again only for keys that were removed or whose first arrival became known.
+
+State is a log by bucket of the key: a batch reads the buckets that its own keys fall in, appends what changed there, and
+rewrites a bucket only when it has many appended pieces. Counts are carried on from the changes of each batch.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ REFERENCES = "field string, key string, row_key string, period string, at long"
 #: `present` overrules; `remove`: it exists no longer, whatever came before
 PARENTS = "field string, key string, op string, at long"
 OPS = ("present", "seen", "tombstone", "remove")
-_INDEX = "field string, key string, present boolean, dead boolean, first_at long, last_at long, reopened boolean"
-_STATE = REFERENCES + ", late boolean, reason string"
-BUCKET, KEPT = "__bucket", "__kept"
+#: of each key the last put and removal so far, whether it was ever deleted, and its first arrival; pieces are merged on reading
+_INDEX = "field string, key string, put long, removed long, dead boolean, first_at long"
+#: of each reference its reasons in turn: the last step counts; a null reason in the waiting log says that it waits no more
+_STATE = REFERENCES + ", step long, late boolean, reason string"
+_COUNTS = "field string, period string, reason string, n long"
+KINDS = ("waiting", "resolved")
+BUCKET, KIND = "__bucket", "__kind"
 _NEVER = -(2**62)
 
 
@@ -29,6 +34,17 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+_REF = _names(REFERENCES)
+
+
+def _merged(index: DataFrame) -> DataFrame:
+    return index.groupBy("field", "key").agg(F.max("put").alias("put"), F.max("removed").alias("removed"), F.bool_or("dead").alias("dead"), F.min("first_at").alias("first_at"))
+
+
+def _present() -> Column:
+    return F.coalesce(F.col("put").isNotNull() & (F.col("removed").isNull() | (F.col("put") > F.col("removed"))), F.lit(False))
+
+
 class OrphanTracker:
     """Pending-orphan state under path, advanced by apply() batch by batch and committed by a manifest each.
 
@@ -38,76 +54,144 @@ class OrphanTracker:
     for good if the parent first became known only after the reference arrived (references without an arrival, or
     parents without one, are never late). A parent deleted and present is present. Null and empty keys are no
     references. Equal references count once; keys compare exactly; extra columns are ignored.
+
+    buckets: with many more of them than a batch has keys, a batch reads and writes little of the state. pieces: how many
+    appended pieces of a bucket are read before they are rewritten as one. Folders that no live manifest names are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.step = spark, path.rstrip("/"), 0
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, pieces: int = 8):
+        self.spark, self.path, self.step, self.pieces = spark, path.rstrip("/"), 0, pieces
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._index: dict[int, str] = {}
-        self._waiting: dict[int, str] = {}
-        self._resolved: dict[int, list[str]] = {}
-        names = [n for n in storage.list_names(spark, f"{self.path}/manifests") if n.endswith(".json")]
-        if names:
-            last = storage.read_json(spark, f"{self.path}/manifests/{names[-1]}")
-            self.step, self.buckets = last["step"], last["buckets"]
-            self._index, self._waiting, self._resolved = ({int(b): p for b, p in last[k].items()} for k in ("index", "waiting", "resolved"))
+        self._logs: dict[str, dict[int, list[str]]] = {"index": {}, "waiting": {}, "resolved": {}}
+        self._counts: str | None = None
+        last = storage.newest(spark, f"{self.path}/manifests")
+        if last:
+            self.step, self.buckets, self._counts = last[1]["step"], last[1]["buckets"], last[1]["counts"]
+            self._logs = {k: {int(b): p for b, p in last[1][k].items()} for k in self._logs}
 
     def _bucket(self) -> Column:
         return F.pmod(F.hash("field", "key"), F.lit(self.buckets)).alias(BUCKET)
 
-    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+    def _read(self, schema: str, log: str, only: set[int] | None = None) -> DataFrame:
+        paths = [p for b, ps in self._logs[log].items() if only is None or b in only for p in ps]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _written(self, folder: str) -> dict[int, str]:
         return {int(n.split("=")[1]): f"{folder}/{n}" for n in storage.list_names(self.spark, folder) if n.startswith(f"{BUCKET}=")}
 
+    def _write(self, df: DataFrame, folder: str, *by: str) -> None:
+        """By bucket, in tasks that adaptive execution levels: small buckets share a task, a hot one is split."""
+        df.withColumn(BUCKET, self._bucket()).hint("rebalance", BUCKET, *by).write.mode("overwrite").partitionBy(*by, BUCKET).parquet(folder)
+
+    def _last(self, log: str, only: set[int] | None = None) -> DataFrame:
+        """The references of a log by their last step; those that wait no more are left out of the waiting ones."""
+        rows = self._read(_STATE, log, only).groupBy(*_REF).agg(F.max(F.struct("step", "late", "reason")).alias("x")).select(*_REF, "x.late", "x.reason")
+        return rows.where("reason is not null") if log == "waiting" else rows
+
     def apply(self, references: DataFrame, parents: DataFrame) -> DataFrame:
         """One batch; returns the counts of orphans after it: (step, field, period, reason, n)."""
-        step = self.step + 1
-        at = f"{self.path}/{step:05d}"
-        storage.remove(self.spark, at)
+        spark, step = self.spark, self.step + 1
+        at = f"{self.path}/step-{step}"
+        storage.remove(spark, at)
         when = F.coalesce("at", F.lit(_NEVER))
         known = parents.select("field", "key", "op", "at").where(F.col("key").isNotNull() & F.col("op").isin(*OPS))
-        delta = known.groupBy("field", "key").agg(
+        pieces = known.groupBy("field", "key").agg(
             F.max(F.when(F.col("op") == "present", when)).alias("put"),
             F.max(F.when(F.col("op") == "remove", when)).alias("removed"),
-            F.bool_or(F.col("op").isin("tombstone", "remove")).alias("d_dead"),
-            F.min("at").alias("d_first"),
+            F.bool_or(F.col("op").isin("tombstone", "remove")).alias("dead"),
+            F.min("at").alias("first_at"),
         )
-        delta = storage.materialize(delta, f"{at}/delta")
-        new = storage.materialize(references.select(*_names(REFERENCES)).where("key is not null and key <> ''").distinct(), f"{at}/new")
-        touched = {r[0] for r in delta.select(self._bucket()).union(new.select(self._bucket())).distinct().collect()}  # at most one row a bucket
-
-        old = self._read(_INDEX, [p for b, p in self._index.items() if b in touched]).withColumnsRenamed({"present": "o_present", "dead": "o_dead", "first_at": "o_first", "last_at": "o_last"}).drop("reopened")
-        both = old.join(delta, ["field", "key"], "full_outer")
-        put, removed = F.greatest("put", F.when(F.col("o_present"), F.col("o_last"))), F.greatest("removed", F.when(~F.col("o_present"), F.col("o_last")))
-        present = F.coalesce(put.isNotNull() & (removed.isNull() | (put > removed)), F.lit(False))
-        index = both.select("field", "key", present.alias("present"), (F.coalesce("o_dead", F.lit(False)) | F.coalesce("d_dead", F.lit(False))).alias("dead"), F.least("d_first", "o_first").alias("first_at"), F.when(present, put).otherwise(removed).alias("last_at"), (F.coalesce("o_present", F.lit(False)) & (~present | (F.col("o_first").isNull() & F.col("d_first").isNotNull()))).alias("reopened"), self._bucket())
-        index.write.partitionBy(BUCKET).parquet(f"{at}/index")
-        indexes = self._index | self._written(f"{at}/index")
-        index = self._read(_INDEX, [p for b, p in indexes.items() if b in touched])
-
-        refs = new.withColumn("late", F.lit(False)).unionByName(self._read(_STATE, [p for b, p in self._waiting.items() if b in touched]).drop("reason"))
-        again = [p for b in touched for p in self._resolved.get(b, [])]
-        gone = index.where("reopened").select("field", "key")
-        if again and not gone.isEmpty():
-            refs = refs.unionByName(self._read(_STATE, again).join(gone, ["field", "key"], "left_semi").drop("reason"))
-            refs = refs.groupBy(*_names(REFERENCES)).agg(F.bool_or("late").alias("late"))  # some wait by now, or came again
+        # one row a key and hashed by it, so it is written as it is
+        pieces.withColumn(BUCKET, self._bucket()).write.partitionBy(BUCKET).parquet(f"{at}/index")
+        delta = self._written(f"{at}/index")
+        new = references.select(*_REF).where("key is not null and key <> ''")
+        touched = set(delta)
+        if any(self._logs.values()):
+            touched |= {r[0] for r in new.select(self._bucket()).distinct().collect()}  # at most one row a bucket
+
+        own = spark.read.schema(_INDEX).parquet(*delta.values()) if delta else spark.createDataFrame([], _INDEX)
+        before = self._read(_INDEX, "index", touched)
+        index = _merged(before.unionByName(own))
+        none, no = F.lit(None).cast("string"), F.lit(False)
+        refs = new.select(*_REF, F.lit(None).cast("long").alias("step"), no.alias("late"), none.alias("reason"))
+        if any(b in self._logs["waiting"] for b in touched):
+            refs = refs.unionByName(self._read(_STATE, "waiting", touched))
+        if delta and any(b in self._logs["resolved"] for b in touched):
+            # resolved ones are looked at again where their parent was removed, or its first arrival became known
+            old = _merged(before).where(_present()).select("field", "key", F.col("first_at").alias("o_first"))
+            moved = own.where("removed is not null or first_at is not null").join(old, ["field", "key"]).where("removed is not null or o_first is null or first_at < o_first").select("field", "key")
+            refs = refs.unionByName(self._read(_STATE, "resolved", touched).join(moved, ["field", "key"], "left_semi").withColumn("step", F.lit(-1).cast("long")))
+        # a reference may come twice, or wait or be resolved by now and come again
+        last = F.max(F.when(F.col("step") >= 0, F.struct("step", "late", "reason")))
+        refs = refs.groupBy(*_REF).agg(last.alias("x"), F.bool_or(F.col("step").isNull()).alias("new"), F.bool_or(F.coalesce(F.col("step") == -1, no)).alias("again"))
+        refs = refs.select(*_REF, F.coalesce("x.late", no).alias("late"), F.col("x.reason").alias("was"), "new", "again").where("new or again or was is not null")
         # a parent that isn't known yet, or is known but not present, may still turn out to be late
-        probed = refs.join(index, ["field", "key"], "left").withColumn("late", F.col("late") | F.coalesce(F.col("first_at") > F.col("at"), F.lit(False)))
-        open_ = ~F.coalesce("present", F.lit(False))
-        reason = F.when(open_ & F.coalesce("dead", F.lit(False)), F.lit("deleted")).when(open_, F.lit("missing")).when(F.col("late"), F.lit("late"))
-        state = probed.withColumn("reason", reason).select(*_names(_STATE), F.col("reason").isNotNull().alias(KEPT), self._bucket())
-        state.write.partitionBy(KEPT, BUCKET).parquet(f"{at}/state")
-        waiting = {b: p for b, p in self._waiting.items() if b not in touched} | self._written(f"{at}/state/{KEPT}=true")
-        resolved = {b: list(p) for b, p in self._resolved.items()}
-        for b, p in self._written(f"{at}/state/{KEPT}=false").items():
-            resolved.setdefault(b, []).append(p)
-        storage.commit_json(self.spark, f"{self.path}/manifests/{step:05d}.json", {"step": step, "buckets": self.buckets, "index": indexes, "waiting": waiting, "resolved": resolved})
-        self.step, self._index, self._waiting, self._resolved = step, indexes, waiting, resolved
-        counts = self.report().groupBy("field", "period", "reason").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "field", "period", "reason", "n")
-        return storage.materialize(counts, f"{at}/counts")
+        probed = refs.join(index, ["field", "key"], "left").withColumn("late", F.col("late") | F.coalesce(F.col("first_at") > F.col("at"), no))
+        open_ = ~_present()
+        reason = F.when(open_ & F.coalesce("dead", no), F.lit("deleted")).when(open_, F.lit("missing")).when(F.col("late"), F.lit("late"))
+        told = probed.withColumn("reason", reason).where((F.col("new") & F.col("was").isNull()) | ~F.col("was").eqNullSafe(F.col("reason")))
+        waits = F.when(F.col("reason").isNotNull() | F.col("was").isNotNull(), F.struct(F.lit("waiting").alias(KIND), "was"))
+        rests = F.when(F.col("reason").isNull(), F.struct(F.lit("resolved").alias(KIND), none.alias("was")))
+        kinds = F.filter(F.array(waits, rests), lambda x: x.isNotNull())
+        state = told.select(*_REF, F.lit(step).cast("long").alias("step"), "late", "reason", F.explode(kinds).alias("x")).select(*_names(_STATE), "x.*")
+        self._write(state, f"{at}/state", KIND)
+        logs = {k: {b: list(p) for b, p in v.items()} for k, v in self._logs.items()}
+        for log, written in (("index", delta), *((k, self._written(f"{at}/state/{KIND}={k}")) for k in KINDS)):
+            for b, p in written.items():
+                logs[log].setdefault(b, []).append(p)
+        self._logs, kept = logs, self._logs
+        try:
+            self._compact(at)
+            counts = self._count(at, step)
+            storage.commit_json(spark, storage.manifest_path(f"{self.path}/manifests", step), {"step": step, "buckets": self.buckets, "counts": f"{at}/counts", **self._logs})
+        except BaseException:
+            self._logs = kept
+            raise
+        self.step, self._counts = step, f"{at}/counts"
+        self._vacuum()
+        return counts.select(F.lit(step).alias("step"), *_names(_COUNTS))
+
+    def _count(self, at: str, step: int) -> DataFrame:
+        """The counts before, changed by what the batch changed."""
+        there = any(n.startswith(KIND) for n in storage.list_names(self.spark, f"{at}/state"))
+        told = self.spark.read.schema(_STATE + ", was string").parquet(f"{at}/state") if there else self.spark.createDataFrame([], _STATE + ", was string")
+        change = lambda c, n: F.struct(F.col(c).alias("reason"), F.lit(n).cast("long").alias("n"))
+        moved = told.select("field", "period", F.explode(F.array(change("was", -1), change("reason", 1))).alias("x")).select("field", "period", "x.*").where("reason is not null")
+        if self._counts:
+            moved = moved.unionByName(self.spark.read.schema(_COUNTS).parquet(self._counts))
+        moved = moved.groupBy("field", "period", "reason").agg(F.sum("n").alias("n"))
+        return storage.materialize(moved.where("n <> 0").coalesce(1), f"{at}/counts")
+
+    def _compact(self, at: str) -> None:
+        """Rewrite the buckets with many pieces as one each."""
+        for log, schema in (("index", _INDEX), ("waiting", _STATE), ("resolved", _STATE)):
+            many = {b for b, p in self._logs[log].items() if len(p) > self.pieces}
+            if not many:
+                continue
+            if log == "index":
+                rows = _merged(self._read(schema, log, many))
+            else:
+                rows = self._last(log, many).select(*_REF, F.lit(self.step + 1).cast("long").alias("step"), "late", "reason")
+            self._write(rows, f"{at}/{log}-merged")
+            written = self._written(f"{at}/{log}-merged")
+            for b in many:
+                self._logs[log].pop(b)
+                if b in written:
+                    self._logs[log][b] = [written[b]]
+
+    def _vacuum(self) -> None:
+        """Remove older manifests, and folders and files that the newest one doesn't name."""
+        for n in storage.manifests(self.spark, f"{self.path}/manifests")[:-1]:
+            storage.remove(self.spark, storage.manifest_path(f"{self.path}/manifests", n))
+        live = {p for log in self._logs.values() for ps in log.values() for p in ps} | {self._counts}
+        for step in storage.list_names(self.spark, self.path):
+            if step.startswith("step-") and not any(p.startswith(f"{self.path}/{step}/") for p in live):
+                storage.remove(self.spark, f"{self.path}/{step}")
 
     def report(self) -> DataFrame:
         """(field, key, row_key, period, reason) of all references that are orphans now."""
-        return self._read(_STATE, list(self._waiting.values())).select("field", "key", "row_key", "period", "reason")
+        return self._last("waiting").select("field", "key", "row_key", "period", "reason")
+
+    def counts(self) -> DataFrame:
+        """(field, period, reason, n) of the orphans now, as the last batch left them."""
+        return self.spark.read.schema(_COUNTS).parquet(self._counts) if self._counts else self.spark.createDataFrame([], _COUNTS)

@@ -129,6 +129,31 @@ def test_orphans_whose_parent_has_its_first_arrival_later(spark):
     assert [(r.row_key, r.reason) for r in t.report().collect()] == [("1", "late")]
 
 
+def test_orphan_state_stays_bounded_and_touches_few_buckets(spark):
+    t = orphans.OrphanTracker(spark, storage.workspace(spark, "o"), buckets=64, pieces=3)
+    refs = lambda *x: spark.createDataFrame(list(x), orphans.REFERENCES)
+    ups = lambda *x: spark.createDataFrame(list(x), orphans.PARENTS)
+    t.apply(refs(*[("f", f"k{i}", f"r{i}", "p", 100) for i in range(40)]), ups())
+    kept = {b: list(p) for b, p in t._logs["waiting"].items()}
+    t.apply(refs(), ups(("f", "k7", "present", 4)))
+    assert sum(t._logs["waiting"][b] != kept[b] for b in kept) == 1  # one key, one bucket
+    assert t.report().count() == 39 and rows(t.counts()) == {("f", "p", "missing", 39)}
+    state = {f"k{i}": i != 7 for i in range(40)}
+    r = random.Random(1)
+    for step in range(10):
+        k, there = f"k{r.randint(0, 3)}", r.random() < 0.5
+        got = t.apply(refs(("f", "k7", "r7", "p", 100), ("f", "k7", f"s{step}", "q", 5)), ups(("f", k, "present" if there else "remove", 10 + step)))
+        state[k] = not there
+        assert {(x.period, x.reason): x.n for x in got.collect()} == {(x.period, x.reason): x["count"] for x in t.report().groupBy("period", "reason").count().collect()}
+    assert {x.key for x in t.report().collect()} == {k for k, orphan in state.items() if orphan}
+    assert max(len(p) for log in t._logs.values() for p in log.values()) <= 3
+    assert len(storage.manifests(spark, f"{t.path}/manifests")) == 1
+    live = {p for log in t._logs.values() for ps in log.values() for p in ps}
+    assert {x for x in storage.list_names(spark, t.path) if x.startswith("step-")} == {next(y for y in p.split("/") if y.startswith("step-")) for p in live} | {f"step-{t.step}"}
+    again = orphans.OrphanTracker(spark, t.path)
+    assert again.step == t.step and rows(again.report()) == rows(t.report())
+
+
 def test_orphans_by_slices_as_at_once(spark, small):
     want = rows(problems.p2_found(spark, small))
     kept, problems._SLICES = problems._SLICES, 1
