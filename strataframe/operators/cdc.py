@@ -6,6 +6,8 @@ can't bring a key back. A feed only rewrites the buckets it touches; every other
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +34,10 @@ def last_change(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame
 class BucketedTable:
     """Copy-on-write table under path: data files by version and bucket, and manifests that name the live ones.
 
+    Files hold one bucket each, by the hash that Spark's own bucketing and shuffles use, sorted by key. A feed is routed to
+    the buckets by a shuffle of its own rows; the base's files of the touched buckets are read as they lie and merged with
+    it, sorted side by side, so that the base is never shuffled. What is written replaces those files in the next manifest.
+
     The table has the columns of its first feed; a later feed may lack some (they are null) but must have key, status
     and order. Columns whose names start with two underscores are reserved.
     """
@@ -42,17 +48,11 @@ class BucketedTable:
 
     def manifest(self) -> dict:
         """The newest committed manifest; an empty one before the first commit."""
-        names = [n for n in storage.list_names(self.spark, f"{self.path}/manifests") if n.endswith(".json")]
-        if names:
-            return storage.read_json(self.spark, f"{self.path}/manifests/{names[-1]}")
+        last = storage.newest(self.spark, f"{self.path}/manifests")
+        if last:
+            return last[1]
         return {"version": 0, "buckets": self._buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "files": {}, "feeds": [], "streams": {}, "schema": None}
 
-    def _rows(self, manifest: dict, only: set[int] | None = None) -> DataFrame | None:
-        paths = [p for b, p in manifest["files"].items() if only is None or int(b) in only]
-        if not paths:
-            return None
-        return self.spark.read.schema(StructType.fromJson(manifest["schema"])).parquet(*paths)
-
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.hash(F.col(f"`{self.key}`")), F.lit(buckets))
 
@@ -70,44 +70,95 @@ class BucketedTable:
         buckets, version = old["buckets"], old["version"] + 1
         schema = StructType.fromJson(old["schema"]) if old["schema"] else feed.schema
         feed = feed.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in feed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-        touched = None
+        rows = last_change(feed, self.key, self.order)
+        touched: set[str] = set()
         if old["files"]:  # with no base there is nothing to route around
-            touched = {r[0] for r in feed.where(F.col(f"`{self.key}`").isNotNull()).select(self._bucket(buckets)).distinct().collect()}  # at most one row a bucket
-            base = self._rows(old, touched)
-            feed = base.unionByName(feed) if base is not None else feed
-        merged = last_change(feed, self.key, self.order)
-        target = f"{self.path}/data/v{version:06d}"
+            touched = {str(r[0]) for r in feed.where(F.col(f"`{self.key}`").isNotNull()).select(self._bucket(buckets)).distinct().collect()}  # at most one row a bucket
+            paths = [p for b, ps in old["files"].items() if b in touched for p in ps]
+            if paths:
+                rows = self._merged(bucketed(self.spark, paths, schema, self.key, buckets), rows)
+        target = f"{self.path}/data/v{version}"
         storage.remove(self.spark, target)  # what an attempt that never committed left
-        merged.withColumn(BUCKET, self._bucket(buckets)).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
-        written = {n.split("=")[1]: f"{target}/{n}" for n in storage.list_names(self.spark, target) if n.startswith(f"{BUCKET}=")}
-        new = old | {"version": version, "files": old["files"] | written, "schema": schema.jsonValue()} | known
-        storage.commit_json(self.spark, f"{self.path}/manifests/{version:06d}.json", new)
+        written = write_bucketed(rows, target, self.key, buckets)
+        files = {b: ps for b, ps in old["files"].items() if b not in touched} | written
+        new = old | {"version": version, "files": files, "schema": schema.jsonValue()} | known
+        storage.commit_json(self.spark, storage.manifest_path(f"{self.path}/manifests", version), new)
         return new
 
+    def _merged(self, base: DataFrame, feed: DataFrame) -> DataFrame:
+        """Both, one row a key: of two rows the later by order, a null being below any value."""
+        whole = lambda df, name: df.select(F.col(f"`{self.key}`").alias(f"__{name}_key"), F.struct(*[F.col(f"`{c}`") for c in self.order]).alias(f"__{name}_at"), F.struct("*").alias(f"__{name}"))
+        both = whole(base, "old").join(whole(feed, "new"), F.col("__old_key") == F.col("__new_key"), "full_outer")
+        kept = F.col("__new").isNull() | F.coalesce(F.col("__old_at") >= F.col("__new_at"), F.lit(False))
+        return both.select(F.when(kept, F.col("__old")).otherwise(F.col("__new")).alias("x")).select("x.*")
+
     def vacuum(self) -> None:
         """Delete data files that the newest manifest doesn't name, and older manifests."""
-        for n in [n for n in storage.list_names(self.spark, f"{self.path}/manifests") if n.endswith(".json")][:-1]:
-            storage.remove(self.spark, f"{self.path}/manifests/{n}")
-        live = {p.rpartition("/")[0] for p in self.manifest()["files"].values()}
-        named = set(self.manifest()["files"].values())
+        for n in storage.manifests(self.spark, f"{self.path}/manifests")[:-1]:
+            storage.remove(self.spark, storage.manifest_path(f"{self.path}/manifests", n))
+        named = {p for ps in self.manifest()["files"].values() for p in ps}
+        live = {p.rpartition("/")[0] for p in named}
         for v in storage.list_names(self.spark, f"{self.path}/data"):
             folder = f"{self.path}/data/{v}"
             if folder not in live:
                 storage.remove(self.spark, folder)
             else:
                 for n in storage.list_names(self.spark, folder):
-                    if n.startswith(BUCKET) and f"{folder}/{n}" not in named:
+                    if _FILE.search(n) and f"{folder}/{n}" not in named:
                         storage.remove(self.spark, f"{folder}/{n}")
 
     def current(self, with_deleted: bool = False) -> DataFrame | None:
         """The rows that exist after all committed feeds; None before the first commit."""
         manifest = self.manifest()
-        rows = self._rows(manifest)
-        if rows is None and manifest["schema"]:
-            rows = self.spark.createDataFrame([], StructType.fromJson(manifest["schema"]))
-        if rows is None or with_deleted:
-            return rows
-        return rows.where(~F.col(f"`{self.status}`").eqNullSafe(DELETED))
+        if not manifest["schema"]:
+            return None
+        schema, paths = StructType.fromJson(manifest["schema"]), [p for ps in manifest["files"].values() for p in ps]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows if with_deleted else rows.where(~F.col(f"`{self.status}`").eqNullSafe(DELETED))
+
+
+#: the bucket in the name of a file that Spark writes for a bucketed table
+_FILE = re.compile(r"_(\d+)\.c\d+")
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> dict[str, list[str]]:
+    """Write df to path by Spark's bucketing, sorted by key; the files by bucket.
+
+    Only the catalog's writer makes buckets, so a table is named there for as long as it writes.
+    """
+    spark = df.sparkSession
+    name = f"strataframe_{uuid.uuid4().hex}"
+    try:
+        df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+    out: dict[str, list[str]] = {}
+    for n in storage.list_names(spark, path):
+        if (m := _FILE.search(n)) and not n.startswith("."):
+            out.setdefault(str(int(m.group(1))), []).append(f"{path}/{n}")
+    return out
+
+
+def bucketed(spark: SparkSession, paths: list[str], schema: StructType, key: str, buckets: int) -> DataFrame:
+    """The files of some buckets as a relation that Spark knows to be hashed by key, so that joins on it need no shuffle.
+
+    A catalog table would be one folder with all of its files; a relation over chosen files is made of Spark's own parts.
+    """
+    jvm, session = spark._jvm, spark._jsparkSession
+    seq = lambda xs: jvm.org.apache.spark.api.python.PythonUtils.toSeq(_java_list(jvm, xs))
+    none = getattr(getattr(jvm.scala, "None$"), "MODULE$")
+    spec = jvm.org.apache.spark.sql.catalyst.catalog.BucketSpec(buckets, seq([key]), seq([key]))
+    options = jvm.org.apache.spark.api.python.PythonUtils.toScalaMap(jvm.java.util.HashMap())
+    kind = jvm.org.apache.spark.sql.types.DataType.fromJson(schema.json())
+    source = jvm.org.apache.spark.sql.execution.datasources.DataSource(session, "parquet", seq(paths), jvm.scala.Some(kind), seq([]), jvm.scala.Some(spec), options, none)
+    return DataFrame(session.baseRelationToDataFrame(source.resolveRelation(True, True)), spark)
+
+
+def _java_list(jvm, xs: list):
+    out = jvm.java.util.ArrayList()
+    for x in xs:
+        out.add(x)
+    return out
 
 
 def replay(spark: SparkSession, log: DataFrame, path: str, feeds: int = 2, arrival: str = "arrivedAt", **options) -> BucketedTable:

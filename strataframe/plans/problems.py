@@ -130,6 +130,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p6_routed(spark: SparkSession, d: str) -> DataFrame:
+    """The items after the changes of all months but the last, and then of that one, which meets only some of 256 buckets."""
+    log = table(spark, d, "history_items")
+    last = F.date_format(F.col("arrivedAt").cast("date"), "yyyy-MM") == log.select(F.date_format(F.max("arrivedAt").cast("date"), "yyyy-MM")).first()[0]
+    out = cdc.BucketedTable(spark, workspace(spark, "routed"), buckets=256)
+    out.apply(log.where(~F.coalesce(last, F.lit(False))), "before")
+    out.apply(log.where(last), "last month")
+    return out.current().select(F.col("referenceId").alias("reference_id"), F.col("_id").alias("rec_id"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     records = None
     for coll in ("items", "parts", "history_parts"):
@@ -154,7 +164,7 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
 _RUNS = ("1970-01-01", "2024-03-01", "2024-06-01")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p7_found, p7_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p6_routed, p7_found, p7_ledger)}
 
 #: fixed values: the same questions in DuckDB's SQL
 _P6 = """select '{0}' as coll, "referenceId" as reference_id, _id as rec_id from (
@@ -204,6 +214,7 @@ s as (select *, coalesce(status = 2, false) as gone, row(title, description, "fa
 e as (select *, lead("timeModified") over (partition by "referenceId" order by "timeModified") as t1 from s where g0 is null and not gone or g0 is not null and (gone <> g0 or not gone and a is distinct from a0))
 select "referenceId", epoch_us("timeModified") as valid_from, coalesce(epoch_us(t1), -1) as valid_to, case when coalesce(g0, true) then 'inserted' else 'changed' end as change, title, description, "facetId", "groupId", "sortKey", flags from e where not gone""",
     "p6_found": f"{_P6.format('history_items')} union all {_P6.format('history_parts')}",
+    "p6_routed": f"select reference_id, rec_id from ({_P6.format('history_items')})",
     "p7_ledger": """select rec_id, run_id, count(*) as n from (select distinct _id as rec_id, "arrivedAt", cast(1 + cast("arrivedAt" >= timestamp '2024-03-01' as int) + cast("arrivedAt" >= timestamp '2024-06-01' as int)
   + cast((epoch_us("arrivedAt") // 1000) % 7 = 0 as int) as int) as run_id from items where "arrivedAt" is not null) group by all""",
     "p7_found": " union all ".join(_P7.format(c) for c in ("items", "parts", "history_parts")),

@@ -17,6 +17,7 @@ def maintain(stream: DataFrame, target: BucketedTable, checkpoint: str, **trigge
     def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
             target.apply(df, checkpoint, number)
+            target.vacuum()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -315,13 +315,32 @@ def test_feeds_in_any_order_and_again(spark):
     table.apply(log(spark, data[:9]), "s", 0)
     assert table.apply(log(spark, data), "s", 0)["version"] == table.manifest()["version"] == after["version"] + 1
     table.vacuum()
-    assert len(storage.list_names(spark, f"{table.path}/manifests")) == 1
+    assert len(storage.manifests(spark, f"{table.path}/manifests")) == 1
     assert rows(table.current().select("referenceId", "_id")) == want
     assert set(table.current().columns) == set(LOG.replace(" string", "").replace(" timestamp_ntz", "").replace(" int", "").split(", "))
     assert cdc.replay(spark, log(spark, data), storage.workspace(spark, "t"), feeds=3).current().select("referenceId", "_id").distinct().count() == len(want)
     assert cdc.replay(spark, log(spark, []), storage.workspace(spark, "t")).current().count() == 0
 
 
+def test_a_feed_of_one_key_reads_and_writes_one_bucket(spark):
+    data = [(f"v{i:03}", f"k{i % 50}", T(2024, 1, 1 + i % 20), 1, f"t{i}", T(2024, 2, 1)) for i in range(200)]
+    table = cdc.BucketedTable(spark, storage.workspace(spark, "t"), buckets=16)
+    before = table.apply(log(spark, data), "a")["files"]
+    assert all(len(p) == 1 for p in before.values())
+    after = table.apply(log(spark, [("w", "k7", T(2024, 3, 1), 1, "new", T(2024, 3, 1))]), "b")["files"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert table.current().where("referenceId = 'k7'").first().title == "new" and table.current().count() == 50
+    base = cdc.bucketed(spark, [p for ps in after.values() for p in ps], table.current().schema, "referenceId", 16)
+    plan = table._merged(base, cdc.last_change(log(spark, data), "referenceId", ["timeModified", "_id"]))._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FullOuter") :].split("FileScan")[0]
+    assert "Bucketed: true" in plan and "Exchange" not in scan  # the base isn't shuffled
+    for i in range(12):
+        table.apply(log(spark, [(f"x{i}", f"k{i}", T(2024, 4, 1), 1, "n", T(2024, 4, 1))]), "s", i)
+        table.vacuum()
+    files = [n for v in storage.list_names(spark, f"{table.path}/data") for n in storage.list_names(spark, f"{table.path}/data/{v}") if n.endswith(".parquet")]
+    assert len(files) == len(before) and table.current().count() == 50
+
+
 def test_intervals():
     r = random.Random(2)
     for _ in range(300):
