@@ -1,9 +1,13 @@
 """Deeply nested records into related flat tables by shared inlining.
 
-The schema graph of the records has a node per element (a member that holds objects) and an edge per nesting, marked
-with whether the member repeats. An element gets a table of its own if it is a root, repeats, has several parents
-(shared) or contains itself (recursive); every other element is inlined into the table above it, its members becoming
-columns named by path. Child rows hold the key of their parent row and their position.
+Every object of a record becomes a node, with its element, its place below its parent and its scalar members. An element
+is a member below its parent's element, so members of one name at different places are different elements, unless options
+give them one name (shared) or an element occurs again within itself (recursive). The nodes are parsed out of the records
+once and written; all that follows works on them without parsing again.
+
+The schema graph has an edge per pair of parent and child element, marked with whether the child repeats. An element gets
+a table of its own if it is a root, repeats, has several parents or contains itself; every other one is inlined into the
+table above it, its members becoming columns named by path. Child rows hold the key of their parent row and their position.
 """
 
 from __future__ import annotations
@@ -15,11 +19,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS = "tab string, parent_tab string, parent_key string, ord int, row_key string, row_path string, cols map<string,string>"
-EDGES = "parent string, child string, repeats boolean, objects long, scalars long"
+from strataframe import storage
+
+#: up: the objects above, from the root to the parent; member: what holds the node there; many: it stands in an array;
+#: link: the name by which children point to it
+_UP = "array<struct<node:long,element:string,member:string,link:string>>"
+NODES = f"node long, up {_UP}, element string, member string, many boolean, ord int, row_key string, row_path string, link string, cols map<string,string>, problem string"
 
 
 _EPOCH = datetime.datetime(1970, 1, 1)
@@ -30,25 +39,33 @@ class Options:
     """How records are read.
 
     root: element name of the record itself. envelope: a root object with this member is only a wrapper of roots.
-    elements: names of elements by member, where they differ (`_parts` is a `part`). keys: members that name a row; a
-    row without one is named by its path. paths: elements whose children point to them by path, not by key. always:
-    elements with a table even where the data at hand never repeat them. inline: (element, member), of elements with a
-    table, whose objects are inlined whatever other records hold there, and whose arrays stay with the row, as JSON text.
-    embedded: members whose text holds JSON. first_of: for (element, member), paths of which only the first that is
-    present counts, even if it is null or empty. wrappers: objects with one such member stand for its value.
+    elements: names of elements by (parent element, member), where one element occurs at several places or a short name is
+    wanted; others are named `parent.member`. declared: elements that the schema says repeat, whatever the data at hand.
+    keys: members that name a row; a row without one is named by its path. paths: elements whose children point to them by
+    path, not by key. inline: elements that never have a table: their objects are inlined whatever other records hold
+    there, and their arrays stay with the row, as JSON text. embedded: members whose text holds JSON. first_of: for
+    (element, child element), paths of which only the first that is present counts, even if it is null or empty. wrappers:
+    objects with one such member stand for its value.
     """
 
     root: str
     envelope: str | None = None
-    elements: dict[str, str] = field(default_factory=dict)
+    elements: dict[tuple[str, str], str] = field(default_factory=dict)
+    declared: frozenset[str] = frozenset()
     keys: dict[str, str] = field(default_factory=dict)
     paths: frozenset[str] = frozenset()
-    always: frozenset[str] = frozenset()
-    inline: frozenset[tuple[str, str]] = frozenset()
+    inline: frozenset[str] = frozenset()
     embedded: frozenset[str] = frozenset()
     first_of: dict[tuple[str, str], tuple[tuple[str, ...], ...]] = field(default_factory=dict)
     wrappers: frozenset[str] = frozenset({"$numberInt", "$numberLong", "$numberDouble", "$numberDecimal", "$date", "$oid"})
 
+    def child(self, element: str, member: str, within: tuple[str, ...]) -> str:
+        """The element of a member of element; one of the elements around it that ends in the same member is meant again."""
+        named = self.elements.get((element, member))
+        if named is not None:
+            return named
+        return next((e for e in (element, *within) if e.rpartition(".")[2] == member and "." in e and e not in self.inline), f"{element}.{member}")
+
 
 def _plain(v, o: Options):
     """v without wrappers; a `$date` in milliseconds since 1970 comes out as the ISO 8601 text that others have."""
@@ -64,181 +81,219 @@ def _plain(v, o: Options):
     return v
 
 
-def _loads(text: str | None):
+def _loads(text: str):
+    """The value of JSON text, or (None, reason)."""
     try:
-        return json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
-        return None
-
-
-def _roots(doc: str | None, o: Options) -> list[dict]:
-    v = _loads(doc)
+        return json.loads(text), None
+    except RecursionError:
+        return None, "nested too deeply"
+    except ValueError as e:
+        return None, f"no JSON: {e}"[:200]
+
+
+def _roots(doc: str | None, o: Options) -> tuple[list[dict], str | None]:
+    """The root objects of a document, and why it has none or lacks some."""
+    if doc is None or not doc.strip():
+        return [], None
+    v, problem = _loads(doc)
+    if problem:
+        return [], problem
     if isinstance(v, dict) and o.envelope is not None and o.envelope in v:
         v = v[o.envelope]
-    return [x for x in (v if isinstance(v, list) else [v]) if isinstance(x, dict)]
+    found = v if isinstance(v, list) else [v]
+    roots = [x for x in found if isinstance(x, dict)]
+    return roots, None if all(x is None or isinstance(x, dict) for x in found) else "a record that is no object"
 
 
-def _members(obj: dict, o: Options) -> Iterator[tuple[str, object]]:
-    for name, v in obj.items():
-        if name in o.embedded and isinstance(v, str):
-            inner = _loads(v)
-            v = inner if isinstance(inner, (dict, list)) else v
-        yield name, _plain(v, o)
+def _text(v) -> str | None:
+    return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
 
 
-def _edges(obj: dict, element: str, o: Options, into: dict) -> None:
-    stack = [(obj, element)]
-    while stack:
-        at, name = stack.pop()
-        for member, v in _members(at, o):
-            child = o.elements.get(member, member)
-            text = isinstance(v, list) and (name, member) in o.inline
-            inner = [v] if isinstance(v, dict) else [x for x in v if isinstance(x, dict)] if isinstance(v, list) and not text else []
-            e = into.setdefault((name, child), [False, 0, 0])
-            e[0] |= isinstance(v, list) and not text
-            e[1] += len(inner)
-            e[2] += text or v is not None and not inner and v != []
-            stack.extend((x, child) for x in inner)
-
-
-def schema_graph(docs: DataFrame, column: str, o: Options, max_edges: int = 100_000) -> list[tuple[str, str, bool, int, int]]:
-    """Edges (parent, child, repeats, objects, scalars) over all records; ValueError beyond max_edges names.
-
-    Each task aggregates its own edges before the shuffle; the graph grows with the names in the data, not the rows.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
-        for b in batches:
-            for doc in b.column(0).to_pylist():
-                for r in _roots(doc, o):
-                    _edges(r, o.root, o, seen)
-        yield pa.RecordBatch.from_pylist([{"parent": p, "child": c, "repeats": r, "objects": n, "scalars": s} for (p, c), (r, n, s) in seen.items()], schema=pa.schema([("parent", pa.string()), ("child", pa.string()), ("repeats", pa.bool_()), ("objects", pa.int64()), ("scalars", pa.int64())]))
-
-    edges = docs.select(F.col(f"`{column}`")).mapInArrow(run, EDGES).groupBy("parent", "child").agg(F.bool_or("repeats").alias("repeats"), F.sum("objects").alias("objects"), F.sum("scalars").alias("scalars"))
-    out = [tuple(r) for r in edges.limit(max_edges + 1).collect()]
-    if len(out) > max_edges:
-        raise ValueError(f"more than {max_edges} edges in the schema graph")
-    return sorted(out)
-
-
-def table_elements(graph: list[tuple[str, str, bool, int, int]], o: Options) -> set[str]:
-    """Elements with a table: the root, and those that repeat, are shared by several parents or contain themselves."""
-    inline = {(e, o.elements.get(m, m)) for e, m in o.inline}
-    down: dict[str, set[str]] = {}
-    parents: dict[str, set[str]] = {}
-    out = {o.root, *o.always}
-    for p, c, repeats, objects, _ in graph:
-        if objects:
-            down.setdefault(p, set()).add(c)
-            parents.setdefault(c, set())
-            if (p, c) not in inline:
-                parents[c].add(p)
-                if repeats:
-                    out.add(c)
-    out |= {c for c, ps in parents.items() if len(ps) > 1}
-    for e in list(parents):
-        seen, stack = set(), [e]
-        while stack:
-            for c in down.get(stack.pop(), ()):
-                if c not in seen:
-                    seen.add(c)
-                    stack.append(c)
-        if e in seen:
-            out.add(e)
-    return out
-
-
-def shred_one(root: dict, tables: set[str], o: Options) -> list[tuple]:
-    """Rows (tab, parent_tab, parent_key, ord, row_key, row_path, cols) of one record, parents before children."""
+def nodes_of(root: dict, o: Options, number: int) -> list[tuple]:
+    """The nodes of one record, as NODES without problem, parents before children; ids count from number."""
     out: list[tuple] = []
-    stack = [(root, o.root, None, None, 0, "")]
+    # object, element, elements around it, objects above, member, in an array?, position, path, members of which none count
+    stack: list[tuple] = [(root, o.root, (), (), None, False, 0, "", frozenset())]
     while stack:
-        obj, element, parent_tab, parent_key, order, path = stack.pop()
-        cols: dict[str, str | None] = {}
-        kids: list[tuple[str, str, object]] = []
-        present = set()
-        inline = [(obj, ())]
-        while inline:
-            at, prefix = inline.pop()
-            for member, v in _members(at, o):
-                child, where = o.elements.get(member, member), (*prefix, member)
-                present.add(where)
-                if child in tables and (isinstance(v, (dict, list)) or v is None) and (prefix or (element, member) not in o.inline):
-                    if isinstance(v, list) and v and not any(isinstance(x, (dict, type(None))) for x in v):
-                        cols[".".join(where)] = json.dumps(v, ensure_ascii=False)
-                    else:
-                        kids.append((child, where, v))
-                elif isinstance(v, dict):
-                    inline.append((v, where))
-                else:
-                    cols[".".join(where)] = v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
-        for (e, child), choices in o.first_of.items():
-            if e == element:
-                chosen = next((c for c in choices if c in present), None)
-                kids = [k for k in kids if k[0] != child or k[1] not in choices or k[1] == chosen]
-        name = o.keys.get(element)
-        key = cols.get(name) if name else None
+        obj, element, within, up, member, many, order, path, passed = stack.pop()
+        items = []
+        for name, v in obj.items():
+            if name in o.embedded and isinstance(v, str):
+                read, problem = _loads(v)
+                v = read if problem is None and isinstance(read, (dict, list)) else v
+            items.append((name, _plain(v, o)))
+        named = o.keys.get(element)
+        key = next((_text(v) for name, v in items if name == named), None) if named else None
         here = path or (key if key is not None else "")
-        me = here if element in o.paths or key is None else key
-        out.append((element, parent_tab, parent_key, order, key if name else here, here, cols))
-        for child, _, v in reversed(kids):
-            # path of a child: its parent's own name, then positions; a keyed element starts a new path
-            below = key if key is not None and element not in o.paths else here
-            for n, x in reversed(list(enumerate(v if isinstance(v, list) else [v]))):
-                if isinstance(x, dict):
-                    stack.append((x, child, element, me, n, f"{below}/{n}" if child in o.paths or child not in o.keys else ""))
+        link = key if named and element not in o.paths else here
+        me = {"node": number + len(out), "element": element, "member": member, "link": link}
+        below = here if element in o.paths or key is None else key
+        for (e, _), choices in o.first_of.items():
+            if e == element:
+                there = dict(items)
+                chosen = next((c for c in choices if _has(there, c)), None)
+                passed = passed | {c for c in choices if c != chosen}
+        cols: dict[str, str | None] = {}
+        kids: list[tuple] = []
+        for name, v in items:
+            child = o.child(element, name, within)
+            if (name,) in passed:
+                continue
+            array = isinstance(v, list) and child not in o.inline
+            if isinstance(v, dict) or array and any(isinstance(x, dict) for x in v):
+                rest = frozenset(c[1:] for c in passed if c[0] == name)
+                for n, x in enumerate(v if array else [v]):
+                    if isinstance(x, dict):
+                        step = str(n) if child in o.paths else f"{name}/{n}"
+                        to = here if child in o.inline else "" if child in o.keys and child not in o.paths else f"{below}/{step}"
+                        kids.append((x, child, (element, *within), (*up, me), name, array, n, to, rest))
+            if isinstance(v, dict) or child in o.declared and (v is None or array) and not _scalars(v):
+                continue
+            if not (array and v) or _scalars(v):
+                cols[name] = _text(v)
+        out.append((me["node"], list(up), element, member, many, order, key if named else here, here, link, cols))
+        stack.extend(reversed(kids))
     return out
 
 
-def shred(docs: DataFrame, column: str, o: Options, tables: set[str]) -> DataFrame:
-    """All rows of all tables in one pass: tab, parent_tab, parent_key, ord, row_key, row_path and the inlined columns.
+def _scalars(v) -> bool:
+    """Whether an array holds more than objects and nulls."""
+    return isinstance(v, list) and any(x is not None and not isinstance(x, dict) for x in v)
 
-    A null in an array is no child but keeps its position; an object where an array is expected is its only child, at
-    position 0. Null, empty and broken documents, and those without an object, have no rows. Repeated records repeat
-    their rows. Scalars in a repeated element stay with the parent, as JSON text.
+
+def _has(obj: dict, path: tuple[str, ...]) -> bool:
+    for name in path:
+        if not isinstance(obj, dict) or name not in obj:
+            return False
+        obj = obj[name]
+    return True
+
+
+def nodes(docs: DataFrame, column: str, o: Options) -> DataFrame:
+    """NODES of all records, parsed once and written to the shared folder.
+
+    A document that can't be read, or that isn't an object, has a row with nothing but a problem; null, empty and blank
+    ones have none. Repeated records repeat their nodes, with ids of their own.
     """
-    schema = pa.schema([("tab", pa.string()), ("parent_tab", pa.string()), ("parent_key", pa.string()), ("ord", pa.int32()), ("row_key", pa.string()), ("row_path", pa.string()), ("cols", pa.map_(pa.string(), pa.string()))])
+    up = pa.list_(pa.struct([("node", pa.int64()), ("element", pa.string()), ("member", pa.string()), ("link", pa.string())]))
+    schema = pa.schema([("node", pa.int64()), ("up", up), ("element", pa.string()), ("member", pa.string()), ("many", pa.bool_()), ("ord", pa.int32()), ("row_key", pa.string()), ("row_path", pa.string()), ("link", pa.string()), ("cols", pa.map_(pa.string(), pa.string())), ("problem", pa.string())])
+    nothing = (None,) * (len(schema) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        rows: list[tuple] = []
         for b in batches:
-            rows: list[tuple] = []
             for doc in b.column(0).to_pylist():
-                for r in _roots(doc, o):
-                    rows.extend(shred_one(r, tables, o))
-                if len(rows) > 20_000:
+                roots, problem = _roots(doc, o)
+                if problem:
+                    rows.append((*nothing, problem))
+                for r in roots:
+                    found = nodes_of(r, o, number)
+                    number += len(found)
+                    rows.extend((*x, None) for x in found)
+                if len(rows) > 5_000:
                     yield _batch(rows, schema)
                     rows = []
-            if rows:
-                yield _batch(rows, schema)
+        if rows:
+            yield _batch(rows, schema)
 
-    return docs.select(F.col(f"`{column}`")).mapInArrow(run, ROWS)
+    return storage.materialize(docs.select(F.col(f"`{column}`")).mapInArrow(run, NODES), storage.workspace(docs.sparkSession, "nodes"))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c if i < 6 else [list(x.items()) for x in c], schema.field(i).type) for i, c in enumerate(cols)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(c if f.name != "cols" else [None if x is None else list(x.items()) for x in c], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def rejected(found: DataFrame) -> DataFrame:
+    """(problem, n): why documents, or records in them, have no rows."""
+    return found.where("problem is not null").groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Graph:
+    """The schema graph: edges (parent, child, member, repeats) and columns (element, member)."""
+
+    edges: tuple[tuple[str, str, str, bool], ...]
+    columns: tuple[tuple[str, str], ...]
+    options: Options
+
+    def tables(self) -> set[str]:
+        """Elements with a table: the root, and those that repeat, are shared by several parents or contain themselves."""
+        o = self.options
+        parents: dict[str, set[str]] = {}
+        down: dict[str, set[str]] = {}
+        out = {o.root, *o.declared}
+        for parent, child, _, repeats in self.edges:
+            down.setdefault(parent, set()).add(child)
+            parents.setdefault(child, set()).add(parent)
+            if repeats:
+                out.add(child)
+        # what is inlined by the options counts as the row that holds it
+        out |= {c for c, ps in parents.items() if len({x for p in ps for x in (parents.get(p, {p}) if p in o.inline else {p})}) > 1}
+        for e in parents:
+            seen: set[str] = set()
+            todo = [e]
+            while todo:
+                new = down.get(todo.pop(), set()) - seen
+                seen |= new
+                todo.extend(new)
+            if e in seen:
+                out.add(e)
+        return out - o.inline
+
+
+def schema_graph(found: DataFrame, o: Options) -> Graph:
+    """The graph of all nodes. It is aggregated per task before the shuffle and grows with the names in the data, not its rows."""
+    all_ = found.where("element is not null")
+    above = F.try_element_at("up", F.lit(-1))
+    edges = all_.groupBy(above["element"].alias("parent"), "element", "member").agg(F.bool_or("many").alias("repeats")).where("parent is not null")
+    columns = all_.select("element", F.explode(F.map_keys("cols")).alias("member")).distinct()
+    return Graph(tuple(sorted(tuple(r) for r in edges.collect())), tuple(sorted(tuple(r) for r in columns.collect())), o)
+
+
+def _owner(tables: set[str]) -> Column:
+    """The nearest object above that has a row."""
+    return F.try_element_at(F.filter("up", lambda x: x["element"].isin(*tables)), F.lit(-1))
+
+
+def links(found: DataFrame, tables: set[str]) -> DataFrame:
+    """tab, parent_tab, parent_key, ord, row_key, row_path: the rows of all tables without their columns, in one narrow stage.
+
+    A null in an array is no child but keeps its position; an object where an array is expected is its only child, at
+    position 0. parent_key is null where the parent has no key.
+    """
+    own = found.where(F.col("element").isin(*tables)).withColumn("p", _owner(tables))
+    return own.select(F.col("element").alias("tab"), F.col("p.element").alias("parent_tab"), F.col("p.link").alias("parent_key"), "ord", "row_key", "row_path")
 
 
-def table_of(rows: DataFrame, graph: list[tuple[str, str, bool, int, int]], tables: set[str], element: str, o: Options) -> DataFrame:
+def shred(found: DataFrame, tables: set[str]) -> DataFrame:
+    """links with cols: the members of each row, those of inlined elements named by their path, `a.b`.
+
+    Only inlined elements are shuffled, to the rows that hold them. Arrays of scalars stay as JSON text.
+    """
+    all_ = found.where("element is not null")
+    inlined = all_.where(~F.col("element").isin(*tables)).withColumn("p", _owner(tables))
+    depth = F.array_position(F.transform("up", lambda x: x["node"]), F.col("p.node"))
+    prefix = F.array_join(F.concat(F.transform(F.slice("up", (depth + 1).cast("int"), F.size("up")), lambda x: x["member"]), F.array("member")), ".")
+    named = inlined.withColumn("prefix", prefix).select(F.col("p.node").alias("row"), F.transform(F.map_entries("cols"), lambda e: F.struct(F.concat("prefix", F.lit("."), e["key"]).alias("key"), e["value"].alias("value"))).alias("more"))
+    more = named.groupBy("row").agg(F.flatten(F.collect_list("more")).alias("more"))
+    own = all_.where(F.col("element").isin(*tables)).withColumn("p", _owner(tables)).join(more, F.col("node") == F.col("row"), "left")
+    entries = F.concat(F.map_entries("cols"), F.coalesce("more", F.array().cast("array<struct<key:string,value:string>>")))
+    return own.select(F.col("element").alias("tab"), F.col("p.element").alias("parent_tab"), F.col("p.link").alias("parent_key"), "ord", "row_key", "row_path", F.map_from_entries(entries).alias("cols"))
+
+
+def table_of(rows: DataFrame, graph: Graph, element: str) -> DataFrame:
     """The flat table of one element: its keys, position and one column per inlined path, as text."""
-    names: list[str] = []
-
-    def walk(e: str, prefix: tuple[str, ...], seen: frozenset[str]) -> None:
-        member = {v: k for k, v in o.elements.items()}
-        for p, c, _, objects, scalars in graph:
-            if p == e:
-                path = (*prefix, member.get(c, c))
-                if scalars:
-                    names.append(".".join(path))
-                if objects and (c not in tables or (e, path[-1]) in o.inline) and c not in seen:
-                    walk(c, path, seen | {c})
-
-    walk(element, (), frozenset({element}))
-    fixed = ["parent_key", "ord", "row_key"]
-    return rows.where(F.col("tab") == element).select(*fixed, *[F.col("cols")[n].alias(n.replace(".", "_") if n.replace(".", "_") not in fixed else f"{n}_") for n in dict.fromkeys(names)])
+    tables, names = graph.tables(), []
 
+    def walk(e: str, prefix: tuple[str, ...]) -> None:
+        names.extend((*prefix, m) for owner, m in graph.columns if owner == e)
+        for p, c, member, _ in graph.edges:
+            if p == e and c not in tables:
+                walk(c, (*prefix, member))
 
-def explode_array(df: DataFrame, key: str, array: str, child_key: str) -> DataFrame:
-    """(parent_key, ord, child_key) of every struct of an array column; nulls in the array keep their position."""
-    kids = df.select(F.col(f"`{key}`").alias("parent_key"), F.posexplode(F.col(f"`{array}`")).alias("ord", "child"))
-    return kids.where("child is not null").select("parent_key", "ord", F.col("child")[child_key].alias("child_key"))
+    walk(element, ())
+    fixed = ["parent_key", "ord", "row_key"]
+    columns = {".".join(n): "_".join(n) for n in names}
+    return rows.where(F.col("tab") == element).select(*fixed, *[F.col("cols")[n].alias(c if c not in fixed else f"{c}_") for n, c in columns.items()])

@@ -11,46 +11,45 @@ from strataframe.functions.times import micros
 from strataframe.operators import cdc, csvload, eav, history, intake, nested, orphans
 from strataframe.storage import table, workspace
 
-#: how dumps of framed items are read
+#: how dumps of framed items and thesauri are read
 ITEMS = nested.Options(
     root="item",
     envelope="items",
-    elements={"_parts": "part", "fragments": "fragment", "entries": "reading", "witnesses": "witness"},
+    elements={("item", "_parts"): "part", ("part", "fragments"): "fragment", ("part.content", "fragments"): "fragment", ("fragment", "entries"): "reading", ("reading", "witnesses"): "witness"},
+    declared=frozenset({"part", "fragment", "reading", "witness"}),
     keys={"item": "_id", "part": "_id", "fragment": "location", "reading": "value", "witness": "value"},
     paths=frozenset({"fragment", "reading", "witness"}),
-    always=frozenset({"part", "fragment", "reading", "witness"}),
-    inline=frozenset({("part", "content")}),
+    inline=frozenset({"part.content"}),
     embedded=frozenset({"content"}),
     first_of={("part", "fragment"): (("fragments",), ("content", "fragments"))},
 )
+THESAURI = nested.Options(root="thesaurus", elements={("thesaurus", "entries"): "entry"}, declared=frozenset({"entry"}), keys={"thesaurus": "id", "entry": "id"})
 
 
-def item_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list, set[str]]:
-    docs = table(spark, d, "item_dump")
-    graph = nested.schema_graph(docs, "doc", ITEMS)
-    tables = nested.table_elements(graph, ITEMS)
-    return nested.shred(docs, "doc", ITEMS, tables), graph, tables
+def item_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, nested.Graph]:
+    found = nested.nodes(table(spark, d, "item_dump"), "doc", ITEMS)
+    return found, nested.schema_graph(found, ITEMS)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows, _, _ = item_rows(spark, d)
-    parent = F.create_map(*[F.lit(x) for x in ("part", "item", "fragment", "part", "reading", "fragment", "witness", "reading")])
-    kids = rows.where(F.col("parent_tab") == parent[F.col("tab")]).select(F.col("tab").alias("child"), "parent_key", "ord", F.col("row_key").alias("child_key"))
-    entries = nested.explode_array(table(spark, d, "thesauri"), "id", "entries", "id")
-    return kids.unionByName(entries.select(F.lit("entry").alias("child"), "parent_key", "ord", "child_key")).distinct()
+    items, graph = item_nodes(spark, d)
+    thesauri = nested.nodes(table(spark, d, "thesauri").select(F.to_json(F.struct("id", "entries")).alias("doc")), "doc", THESAURI)
+    rows = nested.links(items, graph.tables()).unionByName(nested.links(thesauri, nested.schema_graph(thesauri, THESAURI).tables()))
+    kids = rows.where(F.col("tab").isin("part", "fragment", "reading", "witness", "entry"))
+    return kids.select(F.col("tab").alias("child"), "parent_key", "ord", F.col("row_key").alias("child_key")).distinct()
 
 
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables of the dump: (tab, parent_tab, row_key, parent_key, ord, cols) with cols as JSON, without repeats."""
-    rows, _, _ = item_rows(spark, d)
-    entry = F.transform(F.array_sort(F.map_entries("cols")), lambda e: e)
-    return rows.select("tab", "parent_tab", "row_key", "parent_key", "ord", F.to_json(F.map_from_entries(entry)).alias("cols")).distinct()
+    items, graph = item_nodes(spark, d)
+    entry = F.array_sort(F.map_entries("cols"))
+    return nested.shred(items, graph.tables()).select("tab", "parent_tab", "row_key", "parent_key", "ord", F.to_json(F.map_from_entries(entry)).alias("cols")).distinct()
 
 
 def p1_table(spark: SparkSession, d: str, element: str) -> DataFrame:
     """The flat table of one element, with a column per inlined path."""
-    rows, graph, tables = item_rows(spark, d)
-    return nested.table_of(rows, graph, tables, element, ITEMS).distinct()
+    items, graph = item_nodes(spark, d)
+    return nested.table_of(nested.shred(items, graph.tables()), graph, element).distinct()
 
 
 def p1_item_table(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +60,11 @@ def p1_part_table(spark: SparkSession, d: str) -> DataFrame:
     return p1_table(spark, d, "part")
 
 
+def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Why documents of the dump have no rows, and how many they are."""
+    return nested.rejected(item_nodes(spark, d)[0])
+
+
 _SLICES = 3
 
 
@@ -164,7 +168,7 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
 _RUNS = ("1970-01-01", "2024-03-01", "2024-06-01")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p6_routed, p7_found, p7_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p1_rejected, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p6_routed, p7_found, p7_ledger)}
 
 #: fixed values: the same questions in DuckDB's SQL
 _P6 = """select '{0}' as coll, "referenceId" as reference_id, _id as rec_id from (

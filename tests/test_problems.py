@@ -30,22 +30,30 @@ def test_p1_against_brute_force(spark, small):
 
 
 def shredded(spark, docs, o):
-    df = spark.createDataFrame([(d, 1) for d in docs], "doc string, tab int")
-    graph = nested.schema_graph(df, "doc", o)
-    tables = nested.table_elements(graph, o)
-    return graph, tables, nested.shred(df, "doc", o, tables)
+    found = nested.nodes(spark.createDataFrame([(d, 1) for d in docs], "doc string, tab int"), "doc", o)
+    graph = nested.schema_graph(found, o)
+    return found, graph, nested.shred(found, graph.tables())
 
 
 def test_shared_inlining_of_recursive_shared_and_inlined_elements(spark):
     doc = {"_id": "a", "place": {"name": "x", "geo": {"lat": {"$numberInt": "1"}}}, "kids": [{"v": 1, "kids": [{"v": 2}]}, None, {"v": 3}], "note": {"by": {"who": "p"}}, "by": {"who": "q"}}
-    o = nested.Options(root="r", keys={"r": "_id"})
-    graph, tables, out = shredded(spark, [json.dumps(doc), None, "", "nonsense", "[]", "3", '{"_id": null}'], o)
-    assert tables == {"r", "kids", "by"}  # kids repeats and holds itself, by is shared; place, geo and note are inlined
+    o = nested.Options(root="r", keys={"r": "_id"}, elements={("r", "by"): "by", ("r.note", "by"): "by"})
+    found, graph, out = shredded(spark, [json.dumps(doc), None, "", "nonsense", "[]", "3", '{"_id": null}'], o)
+    assert graph.tables() == {"r", "r.kids", "by"}  # kids repeats and holds itself, by is shared; place, geo and note are inlined
     got = {(r.tab, r.parent_key, r.ord, r.row_key) for r in out.collect()}
-    assert ("kids", "a", 0, "a/0") in got and ("kids", "a", 2, "a/2") in got and ("kids", "a/0", 0, "a/0/0") in got
-    table = nested.table_of(out, graph, tables, "r", o)
+    assert {("r.kids", "a", 0, "a/kids/0"), ("r.kids", "a", 2, "a/kids/2"), ("r.kids", "a/kids/0", 0, "a/kids/0/kids/0")} <= got
+    table = nested.table_of(out, graph, "r")
     assert table.where("row_key = 'a'").select("place_name", "place_geo_lat").first() == ("x", "1")
-    assert out.where("tab = 'by'").count() == 2
+    assert rows(out.where("tab = 'by'").select("parent_key", F.col("cols")["who"])) == {("a", "p"), ("a", "q")}
+    assert {r.problem[:7] for r in nested.rejected(found).collect()} == {"no JSON", "a recor"}
+
+
+def test_members_of_one_name_are_elements_of_their_own(spark):
+    doc = {"_id": "a", "meta": {"entries": [{"value": "m"}]}, "_parts": [{"_id": "p", "entries": [{"value": "q"}], "fragments": {"location": "1", "entries": [{"value": "r"}, None]}}]}
+    found, graph, out = shredded(spark, [json.dumps(doc)], problems.ITEMS)
+    assert {"item.meta.entries", "part.entries"} < graph.tables() and "item.meta" not in graph.tables()
+    got = rows(nested.links(found, graph.tables()).where("tab <> 'item'").select("tab", "parent_tab", "parent_key", "ord", "row_key"))
+    assert got == {("item.meta.entries", "item", "a", 0, "a/meta/0/entries/0"), ("part", "item", "a", 0, "p"), ("part.entries", "part", "p", 0, "p/entries/0"), ("fragment", "part", "p", 0, "1"), ("reading", "fragment", "p/0", 0, "r")}
 
 
 ODD = [[], [{"fragments": [{"location": "9"}]}], "[1]", '[{"x": {"y": 1}}]', None, "text", {"content": {"fragments": [{"location": "8"}]}}]
@@ -65,8 +73,8 @@ def test_p1_one_odd_record_changes_no_other(spark, tmp_path, odd):
 
 def test_arrays_of_an_inlined_member_stay_as_text(spark):
     docs = [json.dumps({"_id": "a", "_parts": [{"_id": "p", "content": [{"x": {"y": 1}}]}, {"_id": "q", "content": []}]})]
-    graph, tables, out = shredded(spark, docs, problems.ITEMS)
-    assert rows(nested.table_of(out, graph, tables, "part", problems.ITEMS).select("row_key", "content")) == {("p", '[{"x": {"y": 1}}]'), ("q", "[]")}
+    _, graph, out = shredded(spark, docs, problems.ITEMS)
+    assert rows(nested.table_of(out, graph, "part").select("row_key", "content")) == {("p", '[{"x": {"y": 1}}]'), ("q", "[]")}
 
 
 def test_spellings_of_one_value_agree():
@@ -78,16 +86,16 @@ def test_spellings_of_one_value_agree():
 
 
 def test_nested_empty_table(spark):
-    df = spark.createDataFrame([], "doc string")
-    assert nested.schema_graph(df, "doc", problems.ITEMS) == []
-    assert nested.shred(df, "doc", problems.ITEMS, {"item"}).count() == 0
+    found, graph, out = shredded(spark, [], problems.ITEMS)
+    assert graph.edges == () and out.count() == 0 and nested.links(found, graph.tables()).count() == 0
 
 
 def test_nested_very_deep_and_long(spark):
-    deep = '{"kids":' * 60 + "{}" + "}" * 60
+    deep = lambda n: '{"kids":' * n + "{}" + "}" * n
     o = nested.Options(root="r", keys={"r": "_id"})
-    _, tables, out = shredded(spark, [deep, json.dumps({"_id": "b", "t": "x" * 2_000_000})], o)
-    assert out.where("tab = 'kids'").count() == 60
+    found, _, out = shredded(spark, [deep(60), deep(200_000), json.dumps({"_id": "b", "t": "x" * 2_000_000})], o)
+    assert out.where("tab = 'r.kids'").count() == 60
+    assert rows(nested.rejected(found)) == {("nested too deeply", 1)}
 
 
 def refs(spark, data):
