@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strataframe import storage
 
-#: up: the objects above, from the root to the parent; member: what holds the node there; many: it stands in an array;
+#: up: the objects above, from the nearest that has a table for certain to the parent; member: what holds the node there; many: it stands in an array;
 #: link: the name by which children point to it
 _UP = "array<struct<node:long,element:string,member:string,link:string>>"
 NODES = f"node long, up {_UP}, element string, member string, many boolean, ord int, row_key string, row_path string, link string, cols map<string,string>, problem string"
@@ -44,8 +44,8 @@ class Options:
     keys: members that name a row; a row without one is named by its path. paths: elements whose children point to them by
     path, not by key. inline: elements that never have a table: their objects are inlined whatever other records hold
     there, and their arrays stay with the row, as JSON text. embedded: members whose text holds JSON. first_of: for
-    (element, child element), paths of which only the first that is present counts, even if it is null or empty. wrappers:
-    objects with one such member stand for its value.
+    (element, child element), paths within the row, `a.b`, of which only the first that is present counts, even if it is
+    null or empty. wrappers: objects with one such member stand for its value.
     """
 
     root: str
@@ -56,7 +56,7 @@ class Options:
     paths: frozenset[str] = frozenset()
     inline: frozenset[str] = frozenset()
     embedded: frozenset[str] = frozenset()
-    first_of: dict[tuple[str, str], tuple[tuple[str, ...], ...]] = field(default_factory=dict)
+    first_of: dict[tuple[str, str], tuple[str, ...]] = field(default_factory=dict)
     wrappers: frozenset[str] = frozenset({"$numberInt", "$numberLong", "$numberDouble", "$numberDecimal", "$date", "$oid"})
 
     def child(self, element: str, member: str, within: tuple[str, ...]) -> str:
@@ -112,41 +112,46 @@ def _text(v) -> str | None:
 def nodes_of(root: dict, o: Options, number: int) -> list[tuple]:
     """The nodes of one record, as NODES without problem, parents before children; ids count from number."""
     out: list[tuple] = []
-    # object, element, elements around it, objects above, member, in an array?, position, path, members of which none count
-    stack: list[tuple] = [(root, o.root, (), (), None, False, 0, "", frozenset())]
+    # object, element, elements around it, objects above, member, in an array?, position, path
+    stack: list[tuple] = [(root, o.root, (), (), None, False, 0, "")]
     while stack:
-        obj, element, within, up, member, many, order, path, passed = stack.pop()
-        items = []
-        for name, v in obj.items():
-            if name in o.embedded and isinstance(v, str):
-                read, problem = _loads(v)
-                v = read if problem is None and isinstance(read, (dict, list)) else v
-            items.append((name, _plain(v, o)))
+        obj, element, within, up, member, many, order, path = stack.pop()
+        items: dict[str, tuple] = {}  # by path: value, element, elements around it
+        inner = [(obj, element, within, "")]
+        while inner:
+            at, e, around, prefix = inner.pop()
+            for name, v in at.items():
+                if name in o.embedded and isinstance(v, str):
+                    read, problem = _loads(v)
+                    v = read if problem is None and isinstance(read, (dict, list)) else v
+                v, child = _plain(v, o), o.child(e, name, around)
+                if child in o.inline and isinstance(v, dict):
+                    inner.append((v, child, (e, *around), f"{prefix}{name}."))
+                items[f"{prefix}{name}"] = (v, child, (e, *around))
         named = o.keys.get(element)
-        key = next((_text(v) for name, v in items if name == named), None) if named else None
+        key = _text(items[named][0]) if named in items else None
         here = path or (key if key is not None else "")
         link = key if named and element not in o.paths else here
-        me = {"node": number + len(out), "element": element, "member": member, "link": link}
         below = here if element in o.paths or key is None else key
+        passed: set[str] = set()
         for (e, _), choices in o.first_of.items():
             if e == element:
-                there = dict(items)
-                chosen = next((c for c in choices if _has(there, c)), None)
-                passed = passed | {c for c in choices if c != chosen}
+                chosen = next((c for c in choices if c in items), None)
+                passed.update(c for c in choices if c != chosen)
+        me = {"node": number + len(out), "element": element, "member": member, "link": link}
+        # an element that repeats here, or is declared to, has a table whatever comes: no child looks further up
+        above = (me,) if many or element == o.root or element in o.declared else (*up, me)
         cols: dict[str, str | None] = {}
         kids: list[tuple] = []
-        for name, v in items:
-            child = o.child(element, name, within)
-            if (name,) in passed:
+        for name, (v, child, around) in items.items():
+            if name in passed or child in o.inline and isinstance(v, dict):
                 continue
             array = isinstance(v, list) and child not in o.inline
             if isinstance(v, dict) or array and any(isinstance(x, dict) for x in v):
-                rest = frozenset(c[1:] for c in passed if c[0] == name)
                 for n, x in enumerate(v if array else [v]):
                     if isinstance(x, dict):
-                        step = str(n) if child in o.paths else f"{name}/{n}"
-                        to = here if child in o.inline else "" if child in o.keys and child not in o.paths else f"{below}/{step}"
-                        kids.append((x, child, (element, *within), (*up, me), name, array, n, to, rest))
+                        to = "" if child in o.keys and child not in o.paths else f"{below}/{n}" if child in o.paths else f"{below}/{name}/{n}"
+                        kids.append((x, child, around, above, name, array, n, to))
             if isinstance(v, dict) or child in o.declared and (v is None or array) and not _scalars(v):
                 continue
             if not (array and v) or _scalars(v):
@@ -161,14 +166,6 @@ def _scalars(v) -> bool:
     return isinstance(v, list) and any(x is not None and not isinstance(x, dict) for x in v)
 
 
-def _has(obj: dict, path: tuple[str, ...]) -> bool:
-    for name in path:
-        if not isinstance(obj, dict) or name not in obj:
-            return False
-        obj = obj[name]
-    return True
-
-
 def nodes(docs: DataFrame, column: str, o: Options) -> DataFrame:
     """NODES of all records, parsed once and written to the shared folder.
 
@@ -229,8 +226,7 @@ class Graph:
             parents.setdefault(child, set()).add(parent)
             if repeats:
                 out.add(child)
-        # what is inlined by the options counts as the row that holds it
-        out |= {c for c, ps in parents.items() if len({x for p in ps for x in (parents.get(p, {p}) if p in o.inline else {p})}) > 1}
+        out |= {c for c, ps in parents.items() if len(ps) > 1}
         for e in parents:
             seen: set[str] = set()
             todo = [e]
@@ -240,7 +236,7 @@ class Graph:
                 todo.extend(new)
             if e in seen:
                 out.add(e)
-        return out - o.inline
+        return out
 
 
 def schema_graph(found: DataFrame, o: Options) -> Graph:
@@ -295,5 +291,5 @@ def table_of(rows: DataFrame, graph: Graph, element: str) -> DataFrame:
 
     walk(element, ())
     fixed = ["parent_key", "ord", "row_key"]
-    columns = {".".join(n): "_".join(n) for n in names}
+    columns = {".".join(n): "_".join(n).replace(".", "_") for n in names}
     return rows.where(F.col("tab") == element).select(*fixed, *[F.col("cols")[n].alias(c if c not in fixed else f"{c}_") for n, c in columns.items()])

@@ -21,7 +21,7 @@ ITEMS = nested.Options(
     paths=frozenset({"fragment", "reading", "witness"}),
     inline=frozenset({"part.content"}),
     embedded=frozenset({"content"}),
-    first_of={("part", "fragment"): (("fragments",), ("content", "fragments"))},
+    first_of={("part", "fragment"): ("fragments", "content.fragments")},
 )
 THESAURI = nested.Options(root="thesaurus", elements={("thesaurus", "entries"): "entry"}, declared=frozenset({"entry"}), keys={"thesaurus": "id", "entry": "id"})
 
