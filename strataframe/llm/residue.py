@@ -1,9 +1,13 @@
 """Template residue and error-page text in place of content.
 
-A multi-pattern automaton runs over the letters of a text, without case, accents, spaces, digits and punctuation, so odd
-spaces, line breaks and entities hide nothing. Texts with a strong phrase are cut into lines and sentences; a unit of
-which the matches cover at least a given share is residue. Unfilled placeholders are found by their brackets and the
-field they name; those that a text quotes or speaks of don't count.
+A multi-pattern automaton runs over the words of a text, without case, accents, digits and punctuation, so odd spaces,
+line breaks and entities hide nothing. Its patterns are the short general phrases of `phrases`, in five languages. A text
+in which no core phrase or filler occurs is let go. Others are cut into lines and sentences, and short ones are also taken
+whole: a unit in which a core phrase stands, and of whose letters the phrases cover at least a given share, is residue.
+Words that say nothing count neither way. So a sentence that only speaks of an error, which has words of its own, isn't.
+
+Unfilled placeholders are proposed by a second automaton and told by their brackets and what these hold; those that a text
+quotes or speaks of don't count. Filler also shows by the same word or characters again and again.
 """
 
 from __future__ import annotations
@@ -20,237 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-#: fixed values: phrases that are residue where they make up most of a line or sentence, one per line
-STRONG = """
-could not be found
-could not be loaded
-within the allowed time
-failed to load
-has been moved or removed
-is temporarily unavailable
-cannot be displayed
-cannot be shown without it
-something went wrong
-on our side
-we apologise for the inconvenience
-please try again later
-refresh the page to retry
-return to the search form or contact the operator
-if the problem persists
-quote the request id below
-your session has expired
-sign in again to continue
-scheduled maintenance until
-you have reached the limit of pages for today
-unusual traffic from your network was noticed
-access denied
-oops
-internal server error
-service unavailable
-bad gateway
-gateway timeout
-request timeout
-too many requests
-not found
-forbidden
-http gone
-title gone title
-status message gone
-upstream connect error or disconnect before headers
-reset reason connection failure
-reset reason timeout
-reset reason overflow
-traceback most recent call last
-in page keyerror
-at viewer main show main java
-at viewer store reader open reader java
-viewer store recordexception
-verify you are human
-tick the box to open
-checking your browser before opening
-this may take a few seconds
-if nothing happens check that your browser runs scripts
-scripts must be allowed for this site
-you need to allow scripts and cookies to read
-your browser is out of date or blocks active content
-turn them on in the settings of your browser and reload
-to continue switch on javascript
-javascript is disabled in your browser
-please enable javascript to use this
-does not work without javascript enabled
-javascript must be enabled
-requires scripts
-requires javascript
-update it to open
-wurde nicht gefunden
-konnte nicht geladen werden
-kann nicht angezeigt werden
-ist vorübergehend nicht erreichbar
-wurde verschoben oder gelöscht
-bitte versuchen sie es später erneut
-wir bitten um entschuldigung
-zurück zur suche
-ihre sitzung ist abgelaufen
-bitte melden sie sich erneut an
-wartungsarbeiten
-bitte aktivieren sie javascript
-um diese seite anzuzeigen
-javascript ist deaktiviert
-die anzeige ist daher nicht möglich
-müssen skripte im browser erlaubt sein
-est introuvable
-n’a pas pu être chargé
-ne peut pas être affiché
-est temporairement indisponible
-a été déplacé ou supprimé
-veuillez réessayer plus tard
-retour à la recherche
-votre session a expiré
-veuillez vous reconnecter
-maintenance en cours
-veuillez activer javascript
-pour afficher cette page
-exige que les scripts soient autorisés dans votre navigateur
-javascript est désactivé
-您访问的页面不存在
-错误代码
-文献加载失败
-请刷新页面
-系统繁忙
-请稍后再试
-会话已过期
-请重新登录
-系统维护中
-请启用浏览器脚本
-后再查看全文
-您的浏览器已禁用
-无法显示该页面
-无法显示
-指定された文献が見つかりません
-ページを表示できません
-しばらくしてから再度お試しください
-セッションの有効期限が切れました
-再度ログインしてください
-ただいまメンテナンス中です
-この文書を表示するには
-を有効にしてください
-ブラウザのスクリプト設定を確認してください
-javascriptが無効
-lorem ipsum
-ipsum
-lorem
-nostrud
-adipis
-veniam
-ullam
-für die volltextanzeige
-dies ist ein blindtext und dient nur der gestaltung
-blindtext
-mustertext
-texte de remplissage
-à remplacer avant publication
-texte factice
-sample text for layout purposes only
-the final wording will be added before release
-sample text
-dummy dummy
-this is a sample paragraph
-replace it with your own wording
-here you can write a short summary of your invention
-keep it below words
-delete this line when done
-type the body of the section in this box
-nothing to see in this demo line
-the quick sample fox jumps
-one two three four five
-test test test
-text text text
-content content content
-paragraph text paragraph text
-示例文字
-样本文字
-サンプルテキスト
-ダミーテキスト
-asdfgh
-qwer
-sdfg
-fdsa
-""".split("\n")
-#: fixed values: what stands beside them; it counts for the share, but doesn't make a unit residue
-WEAK = """
-the page
-this page
-the file
-this document
-the document view
-the document reader
-the full-text record
-the full-text view
-the requested publication
-the application
-the viewer
-the search form
-sorry
-error
-http
-loading
-die seite
-der volltext
-die angeforderte veröffentlichung
-die datei
-das dokument
-dieses dokument
-fehler
-la page
-le texte intégral
-la publication demandée
-le fichier
-le document
-ce document
-désolé
-erreur
-ページ
-エラー
-文献
-html head title
-title head body
-body html
-noscript
-skip to content
-menu search help
-home documents view
-request id
-status
-message
-detail
-reference
-content length
-gone
-ref
-javascript
-dolor
-sit amet
-consec
-tempor
-incidi
-labor
-magna
-aliq
-test
-asdf
-jkl
-hjkl
-text
-content
-paragraph
-factice
-texte
-dummy
-""".split("\n")
+from strataframe.llm import phrases
+
+#: the share of a unit's letters that phrases must cover
+SHARE = 0.75
+#: characters up to which a text is also taken as one unit
+WHOLE = 600
 #: fixed values: fields of a record that templates have placeholders for
 FIELDS = r"(?:title|abstract|summary|description|claims?|claim[ _]?\d+(?:[ _]?text)?|component|effect|inventors?|applicants?|applicant[ _]?name|filing[ _]?date|pub(?:lication)?[ _]?no|ipc(?:[ _]?main)?|drawing[ _]?refs?|field|background|priority[ _]?date|agent|keywords?)"
 _STRICT = rf"""
-    \{{\{{\s*[A-Za-z_][\w.]*(?:\s*\|\s*\w+)*\s*\}}\}}
+    \{{\{{[#/]?\s*[A-Za-z_][\w.-]*(?:\s+[A-Za-z_][\w.-]*)?(?:\s*\|\s*\w+)*\s*\}}\}}
+  | \{{\s*{FIELDS}\s*\}}
+  | %\({FIELDS}\)[sd]
+  | \[\s*(?:your|enter|add|type|put|replace|click|write|bitte|votre|saisi\w*|ins[ée]r\w*|indiqu\w*)\s+[^\[\]\n]{{1,60}}\]
+  | <\s*(?:your|enter|add|type|put|replace|click|write|bitte|votre|saisi\w*|ins[ée]r\w*|indiqu\w*)\s+[^<>=\n]{{1,60}}>
+  | \[\s*[^\[\]\n]{{1,40}}\s+(?:here|hier\s+eingeben|eintragen|einfügen|einsetzen|eingeben|ergänzen|à\s+compléter|à\s+insérer|à\s+remplir)\s*\]
+  | [【\[［]\s*[^\n】\]］]{{1,12}}を(?:入力|記入|入れる)\s*[】\]］]
   | \{{\{{\s*(?:doc\.)?{FIELDS}\b
   | <%=?\s*[A-Za-z_][\w. ]*%>
   | \#\{{\s*{FIELDS}\s*\}}
@@ -287,9 +76,10 @@ PLACEHOLDER = re.compile(_STRICT, re.X | re.I)
 _STEMS = ("title", "abstract", "summary", "description", "claim", "component", "effect", "inventor", "applicant", "filing", "pub", "ipc", "drawing", "field", "background", "priority", "agent", "keyword")
 #: what every form of placeholder contains, in lower case and without white space
 HINTS = [
-    "{{", "<%", "$" + "{", "#{", "{%", "$$[", "$(", "@@", "[[", "goeshere", "<placeholder", "<todo", "<insert", "[insert", "[hier", "eintragen", "einfügen", "einsetzen", "àcompléter", "àinsérer", "àremplir",
+    "{{", "%(", "[your", "<your", "[enter", "<enter", "[add", "<add", "[type", "<type", "[put", "<put", "[replace", "<replace", "[click", "<click", "[write", "<write", "[bitte", "<bitte", "[votre", "<votre", "[saisi", "<saisi", "<insér", "<inser", "[indiqu", "<indiqu", "here]", "eingeben]", "ergänzen]", "を入力", "を記入", "を入れる",
+    "<%", "$" + "{", "#{", "{%", "$$[", "$(", "@@", "[[", "goeshere", "<placeholder", "<todo", "<insert", "[insert", "[hier", "eintragen", "einfügen", "einsetzen", "àcompléter", "àinsérer", "àremplir",
     "[insér", "[inser", "[indiquer", "[saisir", "(platzhalter", "(espace", "(texted", "(titred", "(résuméd", "(textde", "(titelde", "此处", "在此", "请输入", "请填写", "ここに", "待补充", "待填写", "待定", "××××", "○○○○", "〇〇〇〇", "●●●●", "＊＊＊＊",
-    *[f"{w}{s}" for w in ("__", "%", "~", "<<", "«", "[", "xxx") for s in _STEMS],
+    *[f"{w}{s}" for w in ("__", "%", "~", "<<", "«", "[", "{", "xxx") for s in _STEMS],
 ]
 #: letters that expressions without case take for s and i, and the dot that the lower case of a dotted I leaves
 _SAME = (("ſ", "s"), ("ı", "i"), ("\u0307", ""))
@@ -300,16 +90,19 @@ _MENTIONED = re.compile(r"(?:of\s+(?:[-–—]\s*\d+\s*[-–—]\s*)?the\s+recor
 _PAGE_BREAK = re.compile(r"\s*\n\s*[-–—]\s*\d+\s*[-–—]\s*\n\s*")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-¬\u00ad]\r?\n(?=[^\W\d_])")
 _UNIT = re.compile(r"(?<=[.!?…:;])\s+|(?<=[。！？；：])|\n+|(?<=[a-zé”“’)])\.(?=[A-Z])")
-_NUMBER = re.compile(r"^\s*(?:\[?\d{1,5}[\].)]?\s*)+")
 _OCR = re.compile(r"(?<=[a-z])1|1(?=[a-z])")
 _OCR0 = re.compile(r"(?<=[a-z])0|0(?=[a-z])")
-_SCANNED = re.compile(r"[A-Za-z][01][A-Za-z]")
-_LETTERS = re.compile(r"[\W\d_]+")
-_CJK = re.compile("[぀-鿿]")
-_NOT_ASCII_LATIN = re.compile("[\u0080-\u036f]")
+_SCANNED = re.compile(r"[A-Za-z][01][A-Za-z]|(?<![\w.])[01][a-z]{3}")
+_APART = re.compile(r"[\W\d_]+")
+_CJK = re.compile("[々぀-ヿ㐀-鿿]")
+_QUOTED = re.compile("[\"“„«‹「『][^\"“”„«»‹›「」『』\n]{1,120}[\"“”»›」』]")
+#: accents, soft hyphens and marks without width
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]")
+_SEAM = re.compile("(?<=[々぀-ヿ㐀-鿿])(?=[^々぀-ヿ㐀-鿿 ])|(?<=[^々぀-ヿ㐀-鿿 ])(?=[々぀-ヿ㐀-鿿])")
+_GAP = re.compile("(?<=[々぀-ヿ㐀-鿿]) (?=[々぀-ヿ㐀-鿿])")
 #: a single line feed, as of a wrapped line
 _WRAP = re.compile(r"(?<!\n)[ \t\r]*\n(?![ \t\r]*\n)[ \t]*")
-_NOT_LETTERS = bytes(set(range(256)) - set(b"abcdefghijklmnopqrstuvwxyz"))
+_SPACED = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 #: the same word again and again, or the same few characters
 _REPEATED_WORD = re.compile(r"(?<!\w)([^\W\d_]{3,30})(?:[\s,.;]+\1){7,}(?!\w)", re.I)
 _REPEATED_CJK = re.compile("(([぀-鿿])(?!\\2)[぀-鿿]{1,11}?)\\1{4,}")
@@ -318,19 +111,24 @@ _RULE = re.compile(r"^[ \t]*(?:\[\d+\][ \t]*|\d+\.[ \t]*)?([Xx_.\-=*#…])\1{9,}
 
 
 def fold(text: str, ocr: bool = False) -> str:
-    """The letters of text without case and accents; with ocr, digits 1 and 0 within words are read as l and o.
+    """The words of text without case and accents, one space around each; Chinese and Japanese runs count as words.
 
-    Of texts without Chinese or Japanese only the Latin letters are kept; Latin letters come out the same in both.
+    Texts and phrases of all scripts go the same way. ocr: digits 1 and 0 in words are read as l and o.
     """
     t = text.casefold()
     if ocr:
         t = _OCR0.sub("o", _OCR.sub("l", t))
     if not t.isascii():
-        if _CJK.search(t):
-            t = unicodedata.normalize("NFKC", _NOT_ASCII_LATIN.sub("", unicodedata.normalize("NFKD", t)))
-            return _LETTERS.sub("", t).replace("rn", "m")
-        t = unicodedata.normalize("NFKD", t)
-    return t.encode("ascii", "ignore").translate(None, _NOT_LETTERS).decode("ascii").replace("rn", "m")
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+        if not t.isascii():
+            if _CJK.search(t):
+                t = _APART.sub(" ", unicodedata.normalize("NFC", t))
+                t = _GAP.sub("", _SEAM.sub(" ", t))
+            else:
+                t = _APART.sub(" ", t)
+            return f" {t.strip()} ".replace("rn", "m").replace(" java script", " javascript")
+    t = t.encode("ascii").translate(_SPACED).decode("ascii")
+    return f" {' '.join(t.split())} ".replace("rn", "m").replace(" java script", " javascript")
 
 
 def repeated(text: str) -> str | None:
@@ -356,39 +154,79 @@ def hints() -> ahocorasick.Automaton:
     return a
 
 
+CORE, CONTEXT, SMALL, FILLER, BESIDE, STEM = 1, 2, 4, 8, 16, 32
+#: letters by which a word may go on after a stem
+ENDING = 5
+
+
+def key_of(phrase: str) -> str:
+    """A phrase as the automaton looks for it: whole words, or Chinese and Japanese characters anywhere."""
+    k = fold(phrase)
+    return (k[1:] if _CJK.match(k[1]) else k)[: -1 if _CJK.match(k[-2]) else None] if k.strip() else ""
+
+
 @lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for weight, phrases in ((0, WEAK), (1, STRONG)):
-        for p in phrases:
-            words = p.split()
-            # parts of three words too, so that a misread letter spoils only some of them
-            parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if weight and len(words) > 3 else []
-            for key in (fold(p), *(k for k in map(fold, parts) if len(k) >= 14)):
-                if key:
-                    a.add_word(key, (len(key), weight))
-    a.make_automaton()
-    return a
+def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """(of core phrases and filler, of all phrases), with the length and the families of each."""
+    families: dict[str, int] = {}
+    lists = [(family, lang[name].split("\n")) for lang in phrases.LANGUAGES for name, family in (("core", CORE), ("context", CONTEXT))]
+    lists += [(SMALL, lang["small"].split()) for lang in phrases.LANGUAGES] + [(FILLER, phrases.FILLER.split("\n")), (BESIDE, phrases.FILLER_CONTEXT.split("\n"))]
+    for family, words in lists:
+        for p in words:
+            if k := key_of(p.removesuffix("-")):
+                k, more = (k[:-1], STEM) if p.endswith("-") else (k, 0)
+                families[k] = families.get(k, 0) | family | more
+    gate, full = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for k, f in families.items():
+        full.add_word(k, (len(k), f))
+        if f & (CORE | FILLER):
+            gate.add_word(k, 1)
+    gate.make_automaton(), full.make_automaton()
+    return gate, full
+
+
+def coverage(folded: str) -> tuple[float, float]:
+    """(share of the letters of a folded unit that notices cover, that filler covers); 0 without a core phrase or filler.
+
+    Words that say nothing are left out of the letters, unless they are within a phrase.
+    """
+    notice, filler, small = bytearray(len(folded)), bytearray(len(folded)), bytearray(len(folded))
+    seen = 0
+    for end, (n, family) in automata()[1].iter(folded):
+        if family & STEM:
+            rest = folded.find(" ", end) - 1 - end
+            if rest > ENDING:
+                continue
+            end, n = end + rest, n + rest
+        at = slice(end + 1 - n, end + 1)
+        seen |= family
+        if family & (CORE | CONTEXT):
+            notice[at] = b"\1" * n
+        if family & (FILLER | BESIDE):
+            filler[at] = b"\1" * n
+        if family & SMALL:
+            small[at] = b"\1" * n
+    out = []
+    for covered, need in ((notice, CORE), (filler, FILLER)):
+        share = 0.0
+        if seen & need:
+            letters = hits = 0
+            for c, hit, s in zip(folded, covered, small):
+                if c != " " and (hit or not s):
+                    letters += 1
+                    hits += hit
+            share = hits / letters if letters else 0.0
+        out.append(share)
+    return out[0], out[1]
 
 
-def coverage(unit: str) -> tuple[float, bool]:
-    """(share of the letters that matches cover, whether a strong phrase is among them)."""
-    best = (0.0, False)
-    for ocr in (False, True):
-        folded = fold(_NUMBER.sub("", unit), ocr)
-        if not folded:
-            continue
-        end = covered = 0
-        strong = False
-        spans = sorted((e - n + 1, e + 1, w) for e, (n, w) in automaton().iter(folded))
-        for a, b, w in spans:
-            strong |= w == 1
-            covered += max(0, b - max(a, end))
-            end = max(end, b)
-        best = max(best, (covered / len(folded), strong), key=lambda x: (x[1], x[0]))
-        if ocr is False and not re.search(r"[01]", unit):
-            break
-    return best
+def spoken_of(unit: str, ocr: bool = False) -> bool:
+    """Whether core phrases stand only in quotation marks, in a unit that has words of its own around them."""
+    outside = _QUOTED.sub(" ", unit)
+    if outside == unit:
+        return False
+    rest = fold(outside, ocr)
+    return next(automata()[0].iter(rest), None) is None and 3 * len(rest) > len(fold(unit, ocr))
 
 
 def placeholder(text: str) -> str | None:
@@ -407,7 +245,7 @@ def placeholder(text: str) -> str | None:
     return None
 
 
-def residue(text: str | None, share: float) -> str | None:
+def residue(text: str | None, share: float = SHARE) -> str | None:
     """placeholder, filler, error or script residue of a text, as the text that shows it; None if there is none."""
     if not text or text.isspace():
         return None
@@ -423,24 +261,31 @@ def residue(text: str | None, share: float) -> str | None:
     m = _RULE.search(plain)
     if m:
         return m.group().strip()[:80]
-    if not any(w for _, (_, w) in automaton().iter(fold(plain))) and not (_SCANNED.search(plain) and any(w for _, (_, w) in automaton().iter(fold(plain, True)))):
+    gate = automata()[0]
+    scanned = _SCANNED.search(plain) is not None
+    if next(gate.iter(fold(joined)), None) is None and not (scanned and next(gate.iter(fold(joined, True)), None) is not None):
         return None
-    lines = [(line, *_UNIT.split(line)) for line in joined.split("\n")]
-    # sentences over wrapped lines
-    lines += [_UNIT.split(p) for p in _WRAP.sub(" ", joined).split("\n")] if "\n" in joined else []
-    for units in lines:
-        for unit in units:
-            if unit and unit.strip():
-                c, strong = coverage(unit)
-                if strong and c >= share:
+    lines = [joined] if len(joined) <= WHOLE else []
+    for line in joined.split("\n"):
+        lines += (line, *_UNIT.split(line))
+    if "\n" in joined:  # sentences over wrapped lines
+        for paragraph in _WRAP.sub(" ", joined).split("\n"):
+            lines += _UNIT.split(paragraph)
+    done = set()
+    for unit in lines:
+        if unit and unit not in done and not unit.isspace():
+            done.add(unit)
+            for ocr in (False, True)[: 1 + scanned]:
+                folded = fold(unit, ocr)
+                if next(gate.iter(folded), None) is not None and max(coverage(folded)) >= share and not spoken_of(unit, ocr):
                     return unit.strip()[:200]
     return None
 
 
-def detect(docs: DataFrame, key: str, text: str, share: float = 0.45) -> DataFrame:
+def detect(docs: DataFrame, key: str, text: str, share: float = SHARE) -> DataFrame:
     """(key, residue BOOLEAN, evidence STRING) of every row; null, empty and blank texts have none.
 
-    share: how much of a line or sentence the phrases must cover. Texts are read whole; repeated rows stay, extra
+    share: how much of the letters of a line or sentence the phrases must cover. Texts are read whole; repeated rows stay, extra
     columns are dropped. One narrow stage without a shuffle.
     """
     schema = docs.select(F.col(f"`{key}`")).schema.add("residue", BooleanType()).add("evidence", StringType())
@@ -453,7 +298,7 @@ def detect(docs: DataFrame, key: str, text: str, share: float = 0.45) -> DataFra
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, key: str, text: str, share: float = 0.45) -> DataFrame:
+def clean(docs: DataFrame, key: str, text: str, share: float = SHARE) -> DataFrame:
     """docs without the rows that have residue, in one narrow stage."""
     schema = docs.schema
 

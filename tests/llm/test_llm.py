@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tests.llm import heldout
 from strataframe.llm import packing, queries, residue, tokenize
 
 VOCABULARY = tokenize.DEFAULT_VOCABULARY
@@ -117,7 +118,7 @@ GOOD = [
 
 @pytest.mark.parametrize("text", BAD)
 def test_residue(text):
-    assert residue.residue(text, 0.6)
+    assert residue.residue(text)
 
 
 #: one or more for each form of placeholder, with ~ where white space may be
@@ -139,18 +140,32 @@ def test_placeholders_with_odd_spaces(space):
 
 @pytest.mark.parametrize("text", ["The page could not\nbe found.", "A nut is held.\nThe page could not\r\nbe found. A rod is bent by a force.", "A nut.\n\nBitte aktivieren Sie\nJavaScript, um diese Seite\nanzuzeigen.", "Veuillez réessayer plus tard.\n装置", "装置\nVeuillez réessayer plus tard.", "您访问的页面\n不存在（404）。"])
 def test_residue_over_lines_and_in_mixed_scripts(text):
-    assert residue.residue(text, 0.45)
+    assert residue.residue(text)
 
 
-def test_fold_is_the_same_in_mixed_texts():
-    for p in (*residue.STRONG, *residue.WEAK):
-        if residue.fold(p).isascii():
-            assert residue.fold(p) in residue.fold(p + "。装置"), p
+def test_phrases_are_found_whatever_stands_around_them():
+    _, full = residue.automata()
+    for lang in residue.phrases.LANGUAGES:
+        for p in lang["core"].split("\n"):
+            for text in (p, f"{p}。装置", f"装置\n{p.upper()}", f"«{p.replace(' ', chr(0xA0))}», Ωmega"):
+                assert not p or any(f & residue.CORE for _, (_, f) in full.iter(residue.fold(text))), (p, text)
+
+
+@pytest.mark.parametrize(("texts", "want"), [(heldout.RESIDUE[1::2], True), (heldout.GENUINE[1::2], False), (heldout.RESIDUE[::2], True), (heldout.GENUINE[::2], False)])
+def test_held_out_texts(texts, want):
+    right = [t for t in texts if (residue.residue(t) is not None) == want]
+    assert len(right) >= 0.95 * len(texts)
+
+
+@pytest.mark.parametrize("share", [0.7, 0.8])
+def test_held_out_texts_near_the_shipped_share(share):
+    assert sum(residue.residue(t, share) is not None for t in heldout.RESIDUE) >= 0.9 * len(heldout.RESIDUE)
+    assert sum(residue.residue(t, share) is None for t in heldout.GENUINE) >= 0.95 * len(heldout.GENUINE)
 
 
 @pytest.mark.parametrize("text", GOOD)
 def test_no_residue(text):
-    assert residue.residue(text, 0.6) is None
+    assert residue.residue(text) is None
 
 
 def test_residue_in_a_very_long_text(spark):
