@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity: a configuration linear program over the histogram of sizes.
 
 The histogram, at most one row per size up to the capacity, is all that reaches the driver. There multiplicative weights
-price the sizes, dynamic programming over the capacity finds the pattern of greatest worth, and what the patterns leave is
-filled first-fit by decreasing size. Where that leaves room, the covering program over all patterns is solved, with a bound
-from below, and its fractional numbers are rounded down. The plan assigns runs of ranks within a
-size to containers, so that each item finds its container by its own rank alone, on the executors.
+price all sizes, dynamic programming over the capacity finds the patterns of greatest worth and a bound from below, and
+patterns are taken a whole number of times. What is left is too thin for that and goes, by weights again, into patterns
+over the sizes of greatest weight, and at last first-fit by decreasing size. Where that leaves room, the covering program
+over all patterns is solved by column generation and rounded down. The plan assigns runs of ranks within a size to
+containers, so that each item finds its container by its own rank alone, on the executors.
 """
 
 from __future__ import annotations
@@ -46,6 +47,69 @@ def price(worth: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int)
     return out
 
 
+def table(worth: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(greatest worth, last size taken or -1) for every room up to capacity, each size as often as it fits; sizes ascend."""
+    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for c in range(1, capacity + 1):
+        best[c] = best[c - 1]
+        j = fits[c]
+        if j:
+            values = best[c - sizes[:j]] + worth[:j]
+            k = int(values.argmax())
+            if values[k] > best[c]:
+                best[c], taken[c] = values[k], k
+    return best, taken
+
+
+def multiplicative(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120, rate: float = 0.2, slack: float = 0.004, step: float = 0.1) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Patterns and how often each is taken, and a bound from below on the containers, by multiplicative weights.
+
+    A round prices every size of the histogram by its weight, exp(rate * share of its items still to be placed), times its
+    size and a little more for large ones, which are the harder to place. Dynamic programming over all sizes gives the
+    greatest worth of a container, and for each size the best pattern that holds it; those within slack of the greatest
+    worth are taken, until a round's share of all containers is filled. Weights fall as items are placed, so the sizes are
+    used up alike. Prices are shaken by less than slack, for patterns to differ from round to round. The prices divided by the greatest worth solve the dual, whose value is the bound. It ends when five
+    rounds found no pattern, as the counts of the sizes that fill up containers are used up, or after so many rounds.
+    """
+    out: list[tuple[dict[int, int], int]] = []
+    left = counts.copy()
+    prior = sizes * (sizes / capacity) ** 0.05
+    least, idle = float((sizes * counts).sum()) / capacity, 0
+    jitter = np.random.default_rng(0)
+    for r in range(rounds):
+        alive = np.flatnonzero(left)
+        if not len(alive) or idle == 5:
+            break
+        worth = prior[alive] * np.exp(rate * (left[alive] / counts[alive] - 1)) * jitter.uniform(1 - slack, 1, len(alive))
+        best, taken = table(worth, sizes[alive], capacity)
+        least = max(least, float(worth @ counts[alive]) / best[capacity])
+        quota = max(1, int(np.ceil((sizes * left).sum() / capacity / (rounds - r))))
+        most = np.minimum(left, np.ceil(step * counts).astype(np.int64))  # what a round may use of a size
+        filled = 0
+        values = worth + best[capacity - sizes[alive]]
+        for k in np.argsort(-values, kind="stable"):
+            if values[k] < (1 - slack) * best[capacity] or filled >= quota:
+                break
+            pattern, c = {int(alive[k]): 1}, capacity - int(sizes[alive[k]])
+            while c > 0:
+                if taken[c] < 0:
+                    c -= 1
+                    continue
+                i = int(alive[taken[c]])
+                pattern[i] = pattern.get(i, 0) + 1
+                c -= int(sizes[i])
+            times = min(quota - filled, *(int(most[i]) // n for i, n in pattern.items()))
+            if times > 0 and sum(int(sizes[i]) * n for i, n in pattern.items()) >= (1 - slack) * capacity:
+                for i, n in pattern.items():
+                    left[i] -= n * times
+                    most[i] -= n * times
+                out.append((pattern, times))
+                filled += times
+        idle = 0 if filled else idle + 1
+    return out, least
+
+
 def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, candidates: int = 96, tries: int = 20) -> list[tuple[dict[int, int], int]]:
     """Patterns and their numbers, which cover no size more than its count, by multiplicative weights.
 
@@ -135,7 +199,11 @@ def covering(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
 
 @dataclass
 class Plan:
-    """Runs of ranks: items of size s with ranks from start go, per of them, to containers from base on."""
+    """Runs of ranks: items of size s with ranks from start go, per of them, to containers from base on.
+
+    method names what made it, least is the number of containers below which no plan can go, first_fit what first-fit
+    by decreasing size alone would need.
+    """
 
     size: np.ndarray
     start: np.ndarray
@@ -144,6 +212,9 @@ class Plan:
     containers: int
     capacity: int
     used: int
+    method: str = ""
+    least: float = 0.0
+    first_fit: int = 0
 
     @property
     def fill(self) -> float:
@@ -153,23 +224,29 @@ class Plan:
 def plan(histogram: list[tuple[int, int]], capacity: int, rounds: int = 4000, enough: float = 0.999) -> Plan:
     """The plan for a histogram of (size, count) with sizes from 1 to capacity: the one of fewest containers among these.
 
-    By multiplicative weights; by first-fit alone; and, unless a simple bound shows that the share that is enough of their
-    containers is needed anyhow, by the covering program, rounded down, its rest in either of the two ways.
+    By multiplicative weights over all sizes, then over those left; by first-fit alone; and, unless the bound shows that the
+    share that is enough of their containers is needed anyhow, by column generation, rounded down. The plan tells which.
     """
     pairs = sorted((s, n) for s, n in histogram if s > 0 and n > 0)
     if any(s > capacity for s, _ in pairs):
         raise ValueError("an item is larger than a container")
     sizes, counts = np.array([s for s, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64)
-    best = min((_plan(sizes, counts, capacity, [], r) for r in (rounds, 0)), key=lambda p: p.containers)
-    least = max(-(-best.used // capacity), int(counts[sizes * 2 > capacity].sum()))  # no two above half a container go together
-    if best.containers * enough > least:
-        start, least = covering(sizes, counts, capacity, rounds)
+    if not pairs:
+        return _plan(sizes, counts, capacity, [], 0, "nothing to place")
+    start, least = multiplicative(sizes, counts, capacity)
+    first = _plan(sizes, counts, capacity, [], 0, "first-fit decreasing")
+    best = min((_plan(sizes, counts, capacity, start, rounds, "multiplicative weights"), first), key=lambda p: p.containers)
+    least = max(least, int(counts[sizes * 2 > capacity].sum()))  # no two above half a container go together
+    if best.containers * enough > np.ceil(least - 1e-6):
+        start, more = covering(sizes, counts, capacity, rounds)
+        least = max(least, more)
         if best.containers > np.ceil(least - 1e-6):
-            best = min((best, *(_plan(sizes, counts, capacity, start, r) for r in (rounds, 0))), key=lambda p: p.containers)
+            best = min((best, *(_plan(sizes, counts, capacity, start, r, "column generation") for r in (rounds, 0))), key=lambda p: p.containers)
+    best.least, best.first_fit = float(np.ceil(least - 1e-6)), first.containers
     return best
 
 
-def _plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, start: list[tuple[dict[int, int], float]], rounds: int) -> Plan:
+def _plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, start: list[tuple[dict[int, int], float]], rounds: int, method: str = "") -> Plan:
     """The patterns of start, rounded down; of the rest those of multiplicative weights; of the rest first-fit by decreasing size."""
     runs: list[tuple[int, int, int, int]] = []
     left = counts.copy()
@@ -209,7 +286,7 @@ def _plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, start: list[tupl
             alive = [k for k in alive if left[k] > 0]
     order = sorted(runs)
     cols = [np.array(c, np.int64) for c in zip(*order)] if order else [np.zeros(0, np.int64)] * 4
-    return Plan(*cols, containers=base, capacity=capacity, used=int((sizes * counts).sum()))
+    return Plan(*cols, containers=base, capacity=capacity, used=int((sizes * counts).sum()), method=method)
 
 
 def items_of(sized: DataFrame, key: str, capacity: int) -> DataFrame:
@@ -218,6 +295,11 @@ def items_of(sized: DataFrame, key: str, capacity: int) -> DataFrame:
     return sized.select(F.col(f"`{key}`"), pieces.alias("piece"), F.col("size").alias("__all")).select(key, "piece", F.least(F.lit(capacity), F.col("__all") - F.col("piece") * capacity).cast("int").alias("size"))
 
 
+def histogram(items: DataFrame) -> list[tuple[int, int]]:
+    """(size, count) of items: at most capacity + 1 rows."""
+    return [(r[0], r[1]) for r in items.groupBy("size").count().collect()]
+
+
 def fill(sized: DataFrame, key: str, capacity: int, rounds: int = 4000, group: int = 50_000) -> tuple[DataFrame, Plan]:
     """((key, piece, size, container) of every item, the plan) for rows (key, size).
 
@@ -228,9 +310,9 @@ def fill(sized: DataFrame, key: str, capacity: int, rounds: int = 4000, group: i
     """
     spark = sized.sparkSession
     items = items_of(sized.select(F.col(f"`{key}`"), F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).alias("size")), key, capacity)
-    histogram = [(r[0], r[1]) for r in items.groupBy("size").count().collect()]  # at most capacity + 1 rows
-    p = plan(histogram, capacity, rounds)
-    groups = max(1, max((n for _, n in histogram), default=0) // group)
+    counts = histogram(items)
+    p = plan(counts, capacity, rounds)
+    groups = max(1, max((n for _, n in counts), default=0) // group)
     salted = items.withColumn("__g", F.pmod(F.xxhash64(key, "piece"), F.lit(groups)).cast("int"))
     before = salted.groupBy("size", "__g").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("size").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("size", "__g").orderBy(key, "piece")) - 1)

@@ -33,6 +33,13 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return boxes.groupBy("used").agg(F.count("*").alias("containers"))
 
 
+def p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    """One row: how the plan was made, its containers, the least number any plan needs, and that of first-fit alone."""
+    sized = tokenize.token_counts(table(spark, d, "documents"), "doc_id", "text", tokenize.vocabulary_path(spark))
+    p = packing.plan(packing.histogram(packing.items_of(sized, "doc_id", CAPACITY)), CAPACITY)
+    return spark.createDataFrame([(p.method, p.containers, int(p.least), p.first_fit, p.used)], "method string, containers long, least long, first_fit long, used long")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.detect(table(spark, d, "documents"), "doc_id", "text").where("residue").select("doc_id")
 
@@ -42,5 +49,5 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_packed, p9_fill, p10_found, p10_clean)}
+QUERIES = {f.__name__: f for f in (p8_ids, p9_packed, p9_fill, p9_plan, p10_found, p10_clean)}
 ORACLES: dict[str, str] = {}
