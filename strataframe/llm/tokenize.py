@@ -25,6 +25,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: words a task remembers before it starts anew, and the longest it remembers, in characters
 MAX_WORDS, MAX_WORD = 1_000_000, 200
+#: symbols held before all words are forgotten, as long ones leave theirs behind
+MAX_SYMBOLS = 16_000_000
 _NONE = np.int64(2**62)
 
 
@@ -117,7 +119,7 @@ class ByteBpe:
                 before = len(words)
                 words += self.split.findall(t)
                 counts[i] = len(words) - before
-        if len(self.index) > MAX_WORDS:
+        if len(self.index) > MAX_WORDS or self.used > MAX_SYMBOLS:
             self._reset()
         new = [w for w in dict.fromkeys(words) if w not in self.index]
         if new:
