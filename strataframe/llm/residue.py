@@ -13,6 +13,7 @@ quotes or speaks of don't count. Filler also shows by the same word or character
 from __future__ import annotations
 
 import html
+import operator
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -92,7 +93,7 @@ _HYPHEN = re.compile(r"(?<=[^\W\d_])[-¬\u00ad]\r?\n(?=[^\W\d_])")
 _UNIT = re.compile(r"(?<=[.!?…:;])\s+|(?<=[。！？；：])|\n+|(?<=[a-zé”“’)])\.(?=[A-Z])")
 _OCR = re.compile(r"(?<=[a-z])1|1(?=[a-z])")
 _OCR0 = re.compile(r"(?<=[a-z])0|0(?=[a-z])")
-_SCANNED = re.compile(r"[A-Za-z][01][A-Za-z]|(?<![\w.])[01][a-z]{3}")
+_SCANNED = re.compile(r"[01](?:(?<=[A-Za-z][01])[A-Za-z]|(?<![\w.][01])[a-z]{3})")
 _APART = re.compile(r"[\W\d_]+")
 _CJK = re.compile("[々぀-ヿ㐀-鿿]")
 _QUOTED = re.compile("[\"“„«‹「『][^\"“”„«»‹›「」『』\n]{1,120}[\"“”»›」』]")
@@ -102,43 +103,54 @@ _SEAM = re.compile("(?<=[々぀-ヿ㐀-鿿])(?=[^々぀-ヿ㐀-鿿 ])|(?<=[^々
 _GAP = re.compile("(?<=[々぀-ヿ㐀-鿿]) (?=[々぀-ヿ㐀-鿿])")
 #: a single line feed, as of a wrapped line
 _WRAP = re.compile(r"(?<!\n)[ \t\r]*\n(?![ \t\r]*\n)[ \t]*")
-_SPACED = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+#: each byte of Latin-1 as a letter without its accent, or a space
+_PLAIN = bytes(ord(x) if (x := unicodedata.normalize("NFD", chr(c))[0]).isascii() and x.isalpha() else 32 for c in range(256))
+_NOT_CJK_LEADS = bytes(set(range(256)) - set(range(0xE3, 0xEA)))
+_WIDTHLESS = "\u200b\u200c\u200d\u2060\ufeff"
 #: the same word again and again, or the same few characters
 _REPEATED_WORD = re.compile(r"(?<!\w)([^\W\d_]{3,30})(?:[\s,.;]+\1){7,}(?!\w)", re.I)
 _REPEATED_CJK = re.compile("(([぀-鿿])(?!\\2)[぀-鿿]{1,11}?)\\1{4,}")
 #: a line of one character in place of text
+_RULES = "Xx_.-=*#…"
 _RULE = re.compile(r"^[ \t]*(?:\[\d+\][ \t]*|\d+\.[ \t]*)?([Xx_.\-=*#…])\1{9,}[ \t\r]*$", re.M)
 
 
+def has_cjk(text: str) -> bool:
+    """Whether Chinese or Japanese characters may be in a text, by the bytes that begin them."""
+    return not text.isascii() and bool(text.encode("utf-8", "replace").translate(None, _NOT_CJK_LEADS)) and _CJK.search(text) is not None
+
+
 def fold(text: str, ocr: bool = False) -> str:
     """The words of text without case and accents, one space around each; Chinese and Japanese runs count as words.
 
-    Texts and phrases of all scripts go the same way. ocr: digits 1 and 0 in words are read as l and o.
+    Texts and phrases go the same way. Without Chinese or Japanese, letters of other scripts than Latin are left out.
+    ocr: digits 1 and 0 in words are read as l and o.
     """
     t = text.casefold()
     if ocr:
         t = _OCR0.sub("o", _OCR.sub("l", t))
     if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-        if not t.isascii():
-            if _CJK.search(t):
-                t = _APART.sub(" ", unicodedata.normalize("NFC", t))
-                t = _GAP.sub("", _SEAM.sub(" ", t))
-            else:
-                t = _APART.sub(" ", t)
+        if not unicodedata.is_normalized("NFKC", t):
+            t = unicodedata.normalize("NFKC", t)
+        if has_cjk(t):
+            t = _APART.sub(" ", unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFKD", t))))
+            t = _GAP.sub("", _SEAM.sub(" ", t))
             return f" {t.strip()} ".replace("rn", "m").replace(" java script", " javascript")
-    t = t.encode("ascii").translate(_SPACED).decode("ascii")
+        for mark in _WIDTHLESS:
+            if mark in t:
+                t = t.replace(mark, "")
+    t = t.encode("latin-1", "replace").translate(_PLAIN, b"\xad").decode("ascii")
     return f" {' '.join(t.split())} ".replace("rn", "m").replace(" java script", " javascript")
 
 
 def repeated(text: str) -> str | None:
     """A word repeated eight times in a row, or a few Chinese or Japanese characters five times."""
     w = text.split()
-    if any(a == b == c for a, b, c in zip(w, w[1:], w[2:])):
+    if any(map(operator.eq, w, w[1:])) and any(a == b == c for a, b, c in zip(w, w[1:], w[2:])):
         m = _REPEATED_WORD.search(text)
         if m:
             return m.group()[:80]
-    if not text.isascii():
+    if has_cjk(text):
         m = _REPEATED_CJK.search(text)
         if m:
             return m.group()[:80]
@@ -258,7 +270,7 @@ def residue(text: str | None, share: float = SHARE) -> str | None:
     found = repeated(plain)
     if found:
         return found
-    m = _RULE.search(plain)
+    m = _RULE.search(plain) if any(c * 10 in plain for c in _RULES) else None
     if m:
         return m.group().strip()[:80]
     gate = automata()[0]
