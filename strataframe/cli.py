@@ -7,7 +7,9 @@ import datetime
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from strataframe import registry
 from strataframe.functions import arrow
 from strataframe.functions.predicates import FrameFilter
 from strataframe.operators import framing, graph, rdf, render, texts, thesaurus
@@ -33,6 +35,7 @@ def arguments() -> argparse.ArgumentParser:
     r.add_argument("--prefixes", default="{}", help="JSON object of prefixes"), r.add_argument("--tag", action="append", default=[]), r.add_argument("--base"), r.add_argument("--no-comments", action="store_true"), r.add_argument("--referenced-only", action="store_true")
     e = sub.add_parser("render", help="texts of items by group")
     e.add_argument("folder"), e.add_argument("output"), e.add_argument("--as", dest="kind", default="tei-off", choices=["text", "json", "tei-off", "tei-app", "tei-parallel"]), e.add_argument("--max", type=int)
+    e.add_argument("--config", help="JSON file of components; its composer is used instead of --as"), e.add_argument("--composer", default="default", help="the composer's key")
     x = sub.add_parser("json-to-xml", help="JSON files, one document a line, as XML")
     x.add_argument("input"), x.add_argument("output"), x.add_argument("--root", default="root"), x.add_argument("--numbered", action="store_true"), x.add_argument("--skip", action="append", default=[], choices=["null", "false", "zero"])
     return top
@@ -52,6 +55,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         decoded = graph.decode(triples, graph.uris(graph.referenced_nodes(nodes, triples) if a.referenced_only else nodes))
         sinks.ordered_lines(rdf.document(decoded, json.loads(a.prefixes), a.format, rdf.Settings(comments=not a.no_comments, base=a.base, stamp=now)), a.output)
     elif a.command == "render":
+        items = framing.snapshot(table(spark, a.folder, "history_items"), FrameFilter(), False)
+        if a.max:
+            items = items.orderBy("sortKey", "_id").limit(a.max)
+        if a.config:
+            with open(a.config, encoding="utf-8-sig") as f:
+                configuration = registry.Configuration.parse(f.read())
+            for key in configuration.keys("itemIdCollectors"):
+                ids = configuration.get("itemIdCollectors", key)(table(spark, a.folder, "items")).toDF("__k")
+                items = items.join(ids, F.col("_id") == F.col("__k"), "left_semi")
+            return sinks.text_flows(configuration.compose(a.composer, items, table(spark, a.folder, "parts")), a.output)
         base, frs, segments = texts.layered(table(spark, a.folder, "parts"))
         pieces = texts.with_lines(texts.block_lines(segments))
         kinds = {
@@ -61,9 +74,6 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             "tei-app": lambda: render.tei_apparatus(pieces, render.apparatus(segments, texts.apparatus_entries(frs))),
             "tei-parallel": lambda: render.tei_parallel(texts.version_tree(texts.versions(segments, texts.apparatus_entries(frs)))),
         }
-        items = framing.snapshot(table(spark, a.folder, "history_items"), FrameFilter(), False)
-        if a.max:
-            items = items.orderBy("sortKey", "_id").limit(a.max)
         sinks.text_flows(render.composed(items, kinds[a.kind]()), a.output)
     else:
         o = arrow.XmlOptions(a.root, numbered=a.numbered, skip=frozenset(a.skip))

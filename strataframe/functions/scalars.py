@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -50,8 +51,6 @@ def bcp47(pattern: str = r"\^\^([a-zA-Z]{2,3}(?:-[a-zA-Z0-9]+)*)", custom: dict[
 
 def source_ids(mapping: dict[str, int], open_: str = "#[", close: str = "]#", omit: bool = False) -> Filter:
     """`#[map/key]#` to map and number; an unknown key stays, or is left out."""
-    import re
-
     pattern = re.escape(open_) + r"([^\]\[]+?)" + re.escape(close)
     table = lookup({k: f"{k.split('/', 1)[0]}{v}" for k, v in mapping.items()})
     return substitute(pattern, lambda k: F.coalesce(F.try_element_at(table, k), F.lit("") if omit else k))
@@ -66,25 +65,49 @@ def replacements(rules: Sequence[tuple[str, str, bool]]) -> Filter:
 MARKS = ".?!\u037e…"
 
 
-def sentence_pattern(marks: str = MARKS, possessive: bool = True) -> str:
+def sentence_pattern(marks: str = MARKS, possessive: bool = True, openers: str = "(", closers: str = ")") -> str:
     """A sentence with its end marks and the space after them; what stands in parentheses isn't searched.
 
     possessive: for Java, whose engine else recurses once per parenthesis and runs out of stack on long texts.
     """
-    m = "".join("\\" + x if x in "\\]^-[" else x for x in marks)
-    return rf"(?s)([{m}]*[^{m}(]*(?:\([^)]*(?:\)|$)[^{m}(]*)*{'+' if possessive else ''}(?:[{m}][{m}\s]*)?)"
+    m, o, c = ("".join("\\" + x if x in "\\]^-[&" else x for x in xs) for xs in (marks, openers, closers))
+    if not openers or not closers:
+        return rf"(?s)([{m}]*[^{m}]*(?:[{m}][{m}\s]*)?)"
+    return rf"(?s)([{m}]*[^{m}{o}]*(?:[{o}][^{c}]*(?:[{c}]|$)[^{m}{o}]*)*{'+' if possessive else ''}(?:[{m}][{m}\s]*)?)"
 
 
-def sentences(c: Column, marks: str = ".?!;…") -> Column:
+def sentences(c: Column, marks: str = MARKS) -> Column:
     """The sentences of a text, without white space of any script around them, and without empty ones."""
     plain = F.replace(F.replace(c, F.lit("\r\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
     found = F.regexp_extract_all(plain, F.lit(sentence_pattern(marks)), F.lit(1))
     return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")), lambda s: s != "")
 
 
-def split_sentences(marks: str = ".?!;…", newline: str = "\n") -> Filter:
-    """One sentence a line, with a line end after the last; null and empty values stay."""
-    return lambda c: F.when(F.length(c) > 0, F.concat(F.array_join(sentences(c, marks), newline), F.lit(newline))).otherwise(c)
+def split_sentences(marks: str = MARKS, newline: str = "\n", openers: str = "(", closers: str = ")", trimming: bool = True, line_ends: bool = False) -> Filter:
+    """One sentence a line, with a line end after the last; null and empty values stay.
+
+    What stands between openers and closers isn't searched for marks. trimming: no white space around the line ends put in.
+    line_ends: those of the text stay, else they become spaces.
+    """
+    def apply(c: Column) -> Column:
+        plain = c if line_ends else F.regexp_replace(c, r"\r?\n", " ")
+        found = F.filter(F.regexp_extract_all(plain, F.lit(sentence_pattern(marks, True, openers, closers)), F.lit(1)), lambda s: s != "")
+        if trimming:
+            found = F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")), lambda s: s != "")
+        return F.when(F.length(c) > 0, F.concat(F.array_join(found, newline), F.lit(newline))).otherwise(c)
+
+    return apply
+
+
+def cut_text(c: Column, max_length: int = 80, minus: int = 5, plus: int = 5, percents: bool = False, stops: str = " .,;:!?", ellipsis: str = "...") -> Column:
+    """A text no longer than about max_length: cut after the last stop character from minus before to plus after it.
+
+    Where there is none it is cut at max_length. percents: minus and plus are shares of it. Short texts stay.
+    """
+    minus, plus = (max_length * x // 100 if percents else x for x in (minus, plus))
+    head = F.substr(c, F.lit(1), F.lit(max_length + plus))
+    at = F.length(F.regexp_extract(head, rf"(?s)\A(.{{{max(0, max_length - minus)},}})[{re.escape(stops)}]", 1))
+    return F.when(F.length(c) <= max_length, c).otherwise(F.concat(F.when(at > 0, F.substr(c, F.lit(1), at)).otherwise(F.substr(c, F.lit(1), F.lit(max_length))), F.lit(ellipsis)))
 
 
 #: fixed values: plurals that follow no rule
@@ -164,6 +187,21 @@ def decorate_fragments(fragments: Column, type_id: Column, role_id: Column) -> C
     return F.transform(fragments, lambda x, i: F.concat(F.lit('{"_key":"'), key(i), F.lit('"'), F.when(F.regexp_like(x, F.lit(r"\A\s*\{\s*\}\s*\z")), F.lit("}")).otherwise(F.concat(F.lit(","), F.regexp_replace(x, r"\A\s*\{", "")))))
 
 
+def decorate_part(content: Column) -> Column:
+    """A layer part's JSON with a _key in each of its fragments, of its own typeId and roleId; other JSON stays."""
+    fragments = F.from_json(F.get_json_object(content, "$.fragments"), "array<string>")
+    keyed = decorate_fragments(fragments, F.coalesce(F.get_json_object(content, "$.typeId"), F.lit("")), F.get_json_object(content, "$.roleId"))
+    member = lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.coalesce(e["value"], F.lit("null")))
+    return F.when(fragments.isNull(), content).otherwise(F.concat(F.lit("{"), F.array_join(F.concat(F.transform(F.map_entries(raw_members(content)), member), F.array(F.concat(F.lit('"fragments":['), F.array_join(keyed, ","), F.lit("]")))), ","), F.lit("}")))
+
+
+def raw_members(content: Column) -> Column:
+    """The members of a JSON object but fragments, each with its JSON text."""
+    v = F.try_parse_json(content)
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    return F.transform_values(F.map_filter(members, lambda k, _: k != "fragments"), lambda _, x: F.to_json(x))
+
+
 def fragment_at(content: Column, index: int) -> Column:
     """The fragment of a part's JSON content at a position, as JSON; null if there is none."""
     return F.get_json_object(content, f"$.fragments[{index}]")

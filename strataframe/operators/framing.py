@@ -37,20 +37,22 @@ def parts_of(history_parts: DataFrame, f: FrameFilter, incremental: bool = False
     return out if with_deleted else not_deleted(out)
 
 
-def nest(items: DataFrame, parts: DataFrame, block: int = 1_000_000) -> DataFrame:
-    """items with _parts, their parts sorted by _id; an empty array where there are none.
+def nest(items: DataFrame, parts: DataFrame) -> DataFrame:
+    """items with _parts, their parts sorted by _id; an empty array where there are none. One row per item, always.
 
-    An item with more than block parts comes as several rows, each with a share of them, so that no task has to hold the
-    parts of a hot item at once; no part is left out. The list of such items has at most one row per block parts, which
-    is why it is broadcast.
+    An array is one value of one task, as whoever asks for nested parts wants them; where an item's parts may be more than
+    a task holds, child_parts() has the same rows as a table of its own.
     """
     part = F.struct(*[F.col(c) for c in PART_COLUMNS if c in parts.columns])
-    hot = parts.groupBy(F.col("itemId").alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
-    share = F.coalesce(F.pmod(F.xxhash64("_id"), F.ceil(F.col("__n") / block).cast("long")), F.lit(0))
-    spread = parts.join(F.broadcast(hot), F.col("itemId") == F.col("__hot"), "left").withColumn("__share", share)
-    grouped = spread.groupBy(F.col("itemId").alias("__item"), "__share").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    grouped = parts.groupBy(F.col("itemId").alias("__item")).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
     empty = F.array().cast(grouped.schema["_parts"].dataType)
-    return items.join(grouped, F.col("_id") == F.col("__item"), "left").drop("__item", "__share").withColumn("_parts", F.coalesce("_parts", empty))
+    return items.join(grouped, F.col("_id") == F.col("__item"), "left").drop("__item").withColumn("_parts", F.coalesce("_parts", empty))
+
+
+def child_parts(items: DataFrame, parts: DataFrame) -> DataFrame:
+    """The parts of items as rows, without nesting: what nest() puts into _parts, for items of any number of parts."""
+    kept = items.select(F.col("_id").alias("__item")).distinct()
+    return parts.select(*[F.col(c) for c in PART_COLUMNS if c in parts.columns]).join(kept, F.col("itemId") == F.col("__item"), "left_semi")
 
 
 def snapshot(history_items: DataFrame, f: FrameFilter, with_deleted: bool = True) -> DataFrame:

@@ -53,39 +53,28 @@ def ntriples(decoded: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return decoded.select("id", F.concat(_full("s", mapping), F.lit(" "), _full("p", mapping), F.lit(" "), o, F.lit(" .")).alias("line")).where("line is not null")
 
 
-#: triples of a subject that one node or element holds at most
-NODE_TRIPLES = 100_000
-
-
-def _parts(decoded: DataFrame, limit: int) -> DataFrame:
-    """decoded with part: 0, or for subjects with more triples than limit a number that spreads them evenly.
-
-    RDF allows several nodes of one subject, so a subject with a third of all triples needn't meet in one task.
-    """
-    big = decoded.groupBy(F.col("s_id").alias("__s")).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
-    part = F.pmod(F.xxhash64("id", "p_id"), F.ceil(F.col("__n") / limit).cast("long")).cast("int")
-    return decoded.join(big, F.col("s_id") == F.col("__s"), "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("__s", "__n")
-
-
 def json_text(c: Column) -> Column:
-    return F.concat(F.lit('"'), escaped(c), F.lit('"'))
+    """A JSON string; control characters that have no short escape get a numbered one."""
+    text = numbered = escaped(c)
+    for n in range(32):
+        if chr(n) not in "\n\r\t":
+            numbered = F.replace(numbered, F.lit(chr(n)), F.lit(f"\\u{n:04x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), numbered).otherwise(text), F.lit('"'))
 
 
-def jsonld(decoded: DataFrame, limit: int = NODE_TRIPLES) -> DataFrame:
-    """(s_id, part, node): one JSON object per subject, its predicates in the order of their first triple.
+def jsonld(decoded: DataFrame) -> DataFrame:
+    """(s_id, node): one JSON object per subject, always, its predicates in the order of their first triple.
 
-    A predicate with one value has it bare, one with several an array. A subject of more than limit triples has several
-    nodes.
+    A predicate with one value has it bare, one with several an array.
     """
-    decoded = _parts(decoded, limit)
     lang = F.when(has("o_lit_lang"), F.concat(F.lit(', "@language": '), json_text(F.col("o_lit_lang")))).when(has("o_lit_type"), F.concat(F.lit(', "@type": '), json_text(F.col("o_lit_type")))).otherwise(F.lit(""))
     value = F.when(has("o_lit"), F.concat(F.lit('{"@value": '), json_text(F.col("o_lit")), lang, F.lit("}"))).otherwise(F.concat(F.lit('{"@id": '), json_text(F.col("o")), F.lit("}")))
-    rows = decoded.select("s_id", "part", "s", "p", "id", value.alias("v")).where("v is not null and s is not null and p is not null")
-    by_p = rows.groupBy("s_id", "part", "s", "p").agg(F.min("id").alias("first"), F.array_sort(F.collect_list(F.struct("id", "v"))).alias("vs"))
+    rows = decoded.select("s_id", "s", "p", "id", value.alias("v")).where("v is not null and s is not null and p is not null")
+    by_p = rows.groupBy("s_id", "s", "p").agg(F.min("id").alias("first"), F.array_sort(F.collect_list(F.struct("id", "v"))).alias("vs"))
     joined = F.array_join(F.transform("vs", lambda x: x["v"]), ", ")
     member = F.concat(json_text(F.col("p")), F.lit(": "), F.when(F.size("vs") == 1, joined).otherwise(F.concat(F.lit("["), joined, F.lit("]"))))
-    by_s = by_p.select("s_id", "part", "s", "first", "p", member.alias("m")).groupBy("s_id", "part", "s").agg(F.array_sort(F.collect_list(F.struct("first", "p", "m"))).alias("ms"))
-    return by_s.select("s_id", "part", F.concat(F.lit('{"@id": '), json_text(F.col("s")), F.lit(", "), F.array_join(F.transform("ms", lambda x: x["m"]), ", "), F.lit("}")).alias("node"))
+    by_s = by_p.select("s_id", "s", "first", "p", member.alias("m")).groupBy("s_id", "s").agg(F.array_sort(F.collect_list(F.struct("first", "p", "m"))).alias("ms"))
+    return by_s.select("s_id", F.concat(F.lit('{"@id": '), json_text(F.col("s")), F.lit(", "), F.array_join(F.transform("ms", lambda x: x["m"]), ", "), F.lit("}")).alias("node"))
 
 
 def xml_text(c: Column, attribute: bool = False) -> Column:
@@ -94,12 +83,8 @@ def xml_text(c: Column, attribute: bool = False) -> Column:
     return c
 
 
-def xml_subjects(decoded: DataFrame, mapping: dict[str, str], element: str = "rdf:Description", limit: int = NODE_TRIPLES) -> DataFrame:
-    """(s_id, part, xml): one element per subject with its predicates in the order of their ids.
-
-    A subject of more than limit triples has several elements.
-    """
-    decoded = _parts(decoded, limit)
+def xml_subjects(decoded: DataFrame, mapping: dict[str, str], element: str = "rdf:Description") -> DataFrame:
+    """(s_id, xml): one element per subject, always, with its predicates in the order of their ids."""
     ns, local = split_name(F.col("p"), mapping)
     by_uri = {v: k for k, v in reversed(list(mapping.items()))}  # of equal namespaces the first prefix
     prefixes = F.create_map(*[F.lit(x) for kv in by_uri.items() for x in kv]) if by_uri else F.create_map().cast("map<string,string>")
@@ -114,9 +99,9 @@ def xml_subjects(decoded: DataFrame, mapping: dict[str, str], element: str = "rd
         .when(F.col("o").isNotNull(), F.concat(F.lit("<"), name, declared, F.lit(' rdf:resource="'), xml_text(expand(F.col("o"), mapping), True), F.lit('" />')))
         .otherwise(F.concat(F.lit("<"), name, declared, F.lit(" />")))
     )
-    grouped = rows.select("s_id", "part", "s", "id", inner.alias("x")).groupBy("s_id", "part", "s").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("xs"))
+    grouped = rows.select("s_id", "s", "id", inner.alias("x")).groupBy("s_id", "s").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("xs"))
     about = xml_text(expand(F.col("s"), mapping), True)
-    return grouped.select("s_id", "part", F.concat(F.lit(f'<{element} rdf:about="'), about, F.lit('">'), F.array_join(F.transform("xs", lambda r: r["x"]), ""), F.lit(f"</{element}>")).alias("xml"))
+    return grouped.select("s_id", F.concat(F.lit(f'<{element} rdf:about="'), about, F.lit('">'), F.array_join(F.transform("xs", lambda r: r["x"]), ""), F.lit(f"</{element}>")).alias("xml"))
 
 
 @dataclass(frozen=True)
@@ -141,28 +126,27 @@ def document(decoded: DataFrame, mapping: dict[str, str], form: str, settings: S
         head += [f"@base <{settings.base}> .", ""] if settings.base else []
         head += [*(f"# {c}" for c in stamped), ""] if settings.comments else []
         foot += ["", "# End of RDF data"] if settings.comments else []
-        body = turtle(decoded, mapping).select(F.col("id").cast("long").alias("k"), F.lit(0).alias("sub"), "line")
+        body = turtle(decoded, mapping).select(F.col("id").cast("long").alias("k"), "line")
     elif kind in ("ntriples", "ram"):
         head += [f"# {c}" for c in stamped] if settings.comments else []
         foot += ["# End of RDF data"] if settings.comments else []
-        body = ntriples(decoded, mapping).select(F.col("id").cast("long").alias("k"), F.lit(0).alias("sub"), "line")
+        body = ntriples(decoded, mapping).select(F.col("id").cast("long").alias("k"), "line")
     elif kind == "jsonld":
         context = [f'"{k}": "{v}"' for k, v in mapping.items()] + ([f'"@base": "{settings.base}"'] if settings.base else [])
         head += ["{", *([f'  "@comment": "{"; ".join(stamped)}",'] if settings.comments else []), '  "@context": {' + ", ".join(context) + "},", '  "@graph": [']
         foot += ["  ]", "}"]
-        body = jsonld(decoded).select(F.col("s_id").cast("long").alias("k"), F.col("part").alias("sub"), F.col("node").alias("line"))
+        body = jsonld(decoded).select(F.col("s_id").cast("long").alias("k"), F.col("node").alias("line"))
     else:
         owl = kind == "owlxml"
         spaces = {"rdf": RDF, **({"owl": OWL} if owl else {})} | mapping
         head += [f'<?xml version="1.0" encoding="{settings.encoding}"?>', "<rdf:RDF " + " ".join(f'xmlns:{k}="{v}"' for k, v in spaces.items()) + (f' xml:base="{settings.base}"' if settings.base else "") + ">"]
         head += [f"<!-- {c} -->" for c in stamped] if settings.comments else []
         foot += ["</rdf:RDF>"]
-        body = xml_subjects(decoded, spaces, "owl:NamedIndividual" if owl else "rdf:Description").select(F.col("s_id").cast("long").alias("k"), F.col("part").alias("sub"), F.col("xml").alias("line"))
+        body = xml_subjects(decoded, spaces, "owl:NamedIndividual" if owl else "rdf:Description").select(F.col("s_id").cast("long").alias("k"), F.col("xml").alias("line"))
     spark = decoded.sparkSession
     body = body.withColumn("part", F.lit(1))
-    if kind == "jsonld":  # every node but the last ends with a comma
-        last = body.agg(F.max(F.struct("k", "sub")).alias("x")).select("x.*").first()
-        final = (F.col("k") == F.lit(last[0]).cast("long")) & (F.col("sub") == F.lit(last[1]).cast("int"))
-        body = body.withColumn("line", F.when(final, F.col("line")).otherwise(F.concat("line", F.lit(","))))
-    ends = spark.createDataFrame([(i, 0, x, 0) for i, x in enumerate(head)] + [(i, 0, x, 2) for i, x in enumerate(foot)], "k long, sub int, line string, part int")
-    return ends.unionByName(body).select(F.struct("part", "k", "sub").alias("n"), "line")
+    if kind == "jsonld":  # every node but the last ends with a comma; the last is known without making any
+        last = decoded.where("s is not null and p is not null").where(has("o_lit") | F.col("o").isNotNull()).agg(F.max("s_id")).first()[0]
+        body = body.withColumn("line", F.when(F.col("k") == F.lit(last).cast("long"), F.col("line")).otherwise(F.concat("line", F.lit(","))))
+    ends = spark.createDataFrame([(i, x, 0) for i, x in enumerate(head)] + [(i, x, 2) for i, x in enumerate(foot)], "k long, line string, part int")
+    return ends.unionByName(body).select(F.struct("part", "k").alias("n"), "line")

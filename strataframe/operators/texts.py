@@ -6,13 +6,15 @@ tree is rows keyed by the hash of their path. Ranges include their end.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe import storage
-from strataframe.functions.scalars import FEATURES
+from strataframe.functions.scalars import FEATURES, cut_text, replacements
 
 _POINT = r"(\d+)\.(\d+)(?:@(\d+)(?:x(\d+))?)?"
 LOCATION = rf"\A{_POINT}(?:-{_POINT})?\z"
@@ -115,20 +117,29 @@ def layered(parts: DataFrame, role: str = "base-text", prefix: str = "fr.") -> t
     return base, frs, storage.materialize(consecutive(base, ranges), f"{folder}/segments")
 
 
-def merge_linear(segments: DataFrame, names: tuple[str, ...] = (), break_at_lf: bool = True, keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
-    """Adjacent segments with equal sets of features, of given names or all, merged: keys..., n, text, features.
+def merge_linear(segments: DataFrame, names: tuple[str, ...] = (), break_at_lf: bool = True, keys: tuple[str, ...] = ("item_id",), value_filters: Sequence[tuple[str, str, bool]] = ()) -> DataFrame:
+    """Adjacent segments with equal sets of features, of given names or all, merged: keys..., n, text, features, others.
 
-    n is that of the first. With break_at_lf a segment after a line feed is never merged with what comes before it.
+    value_filters: literal or (third value true) regular-expression replacements on values before they are compared. Texts
+    are joined, features and tags united, payloads joined in order; n and other columns are those of the first. With
+    break_at_lf a segment after a line feed is never merged with what comes before it.
     """
     wanted = F.col("features") if not names else F.filter("features", lambda f: f["name"].isin(*names))
+    if value_filters:
+        rewrite = replacements(value_filters)
+        wanted = F.transform(wanted, lambda f: F.struct(f["name"].alias("name"), rewrite(f["value"]).alias("value")))
     same = F.to_json(F.array_sort(F.array_distinct(F.coalesce(wanted, F.array().cast(FEATURES)))))
     w = Window.partitionBy(*keys).orderBy("n")
     cut = ~F.lag("__set").over(w).eqNullSafe(F.col("__set"))
     if break_at_lf:
         cut = cut | F.coalesce(F.lag("text").over(w).endswith("\n"), F.lit(False))
     islands = segments.withColumn("__set", same).withColumn("__cut", cut.cast("int")).withColumn("__island", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = islands.groupBy(*keys, "__island").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "text", "features"))).alias("__rows"))
-    return rows.select(*keys, "n", F.array_join(F.transform("__rows", lambda r: F.coalesce(r["text"], F.lit(""))), "").alias("text"), F.array_distinct(F.flatten(F.transform("__rows", lambda r: F.coalesce(r["features"], F.array().cast(FEATURES))))).alias("features"))
+    lists = [c for c in ("tags", "payloads") if c in segments.columns]
+    others = [c for c in segments.columns if c not in (*keys, "n", "text", "features", *lists)]
+    rows = islands.groupBy(*keys, "__island").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "text", "features", *lists))).alias("__rows"), *[F.min_by(c, "n").alias(c) for c in others])
+    joined = lambda c: F.flatten(F.transform("__rows", lambda r: F.coalesce(r[c], F.array().cast(segments.schema[c].dataType))))
+    more = [(F.array_distinct(joined(c)) if c == "tags" else joined(c)).alias(c) for c in lists]
+    return rows.select(*keys, "n", F.array_join(F.transform("__rows", lambda r: F.coalesce(r["text"], F.lit(""))), "").alias("text"), F.array_distinct(joined("features")).alias("features"), *more, *others)
 
 
 def block_lines(segments: DataFrame, keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
@@ -167,10 +178,11 @@ def dense_ids(df: DataFrame, group: list[str], key: str, order: list[str], out:
     return first.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy("__first", key))).drop("__first")
 
 
-def extract_tokens(df: DataFrame, texts: DataFrame, pattern: str = r"@\{([^}]+)\}", template: str = "{text}", open_: str = "[", close: str = "]", whole: bool = False) -> DataFrame:
+def extract_tokens(df: DataFrame, texts: DataFrame, pattern: str = r"@\{([^}]+)\}", template: str = "{text}", open_: str = "[", close: str = "]", whole: bool = False, portion: bool = False, cut: dict | None = None) -> DataFrame:
     """df (item_id, text) with `@{location}` replaced by the place's text: its tokens, with marks around the part meant.
 
-    whole: without marks. A location that is no place is left out; rows of items without a text stay as they are.
+    whole: without marks. portion: only the part meant. cut: options of cut_text for what is put in. A location that is no
+    place is left out; rows of items without a text stay as they are.
     """
     rows = df.withColumn("__n", F.monotonically_increasing_id())
     refs = rows.where(F.regexp_like("text", F.lit(pattern))).select("__n", "item_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("i", "loc"))
@@ -180,7 +192,8 @@ def extract_tokens(df: DataFrame, texts: DataFrame, pattern: str = r"@\{([^}]+)\
     tail = F.regexp_extract(F.substr("base", F.col("b") + 2), r"\A([^ \n]*)", 1)
     middle = F.substr("base", F.col("a") + 1, F.col("b") - F.col("a") + 1)
     plain = F.concat(head, middle, tail)
-    marked = plain if whole else F.when((head == "") & (tail == ""), plain).otherwise(F.concat(head, F.lit(open_), middle, F.lit(close), tail))
+    marked = middle if portion else plain if whole else F.when((head == "") & (tail == ""), plain).otherwise(F.concat(head, F.lit(open_), middle, F.lit(close), tail))
+    marked = cut_text(marked, **cut) if cut is not None else marked
     filled = F.replace(F.lit(template), F.lit("{text}"), F.coalesce(marked, F.lit("")))
     values = placed.groupBy("__n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", filled.alias("v")))), lambda x: x["v"]).alias("__vs"))
     pieces = F.zip_with(F.split("text", pattern, -1), "__vs", lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
@@ -207,6 +220,22 @@ def apparatus_entries(fragments: DataFrame, role: str = "apparatus") -> DataFram
     return rows.select("item_id", "part_id", "fr_index", "fr_id", "fr_tag", "entry_index", F.coalesce("e.type", F.lit(0)).alias("type"), "e.value", F.coalesce("e.isAccepted", F.lit(False)).alias("accepted"), F.col("e.tag").alias("tag"), F.col("e.note").alias("note"), values(F.col("e.witnesses")).alias("witnesses"), values(F.col("e.authors")).alias("authors"))
 
 
+def renamed_sources(entries: DataFrame, witnesses: dict[str, str] | None = None, authors: dict[str, str] | None = None) -> DataFrame:
+    """entries whose witnesses and authors have other names, where the maps have one for them."""
+    def renamed(c: str, names: dict[str, str] | None) -> Column:
+        if not names:
+            return F.col(c)
+        known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+        return F.transform(c, lambda x: F.struct(F.coalesce(F.try_element_at(known, x["value"]), x["value"]).alias("value"), x["note"].alias("note"))).alias(c)
+
+    return entries.withColumns({"witnesses": renamed("witnesses", witnesses), "authors": renamed("authors", authors)})
+
+
+def fragment_features() -> Column:
+    """Features of segments by the layers of their fragments: (role, the role of each)."""
+    return F.array_distinct(F.transform("fragment_ids", lambda x: F.struct(F.lit("role").alias("name"), F.regexp_extract(x, ":(.*)@", 1).alias("value"))))
+
+
 def versions(segments: DataFrame, entries: DataFrame) -> DataFrame:
     """(item_id, tag, n, text): the base version, tagged by nothing, and one of each source, `w:` witness or `a:` author.
 
@@ -229,13 +258,20 @@ def version_tree(vs: DataFrame) -> DataFrame:
 
     A node is named by a hash chained along its path, so no row holds a whole path. parent is null at the first level.
     """
-    lines = vs.groupBy("item_id", "tag").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("rows"))
-    start = F.array().cast("array<struct<n:int,text:string,node:string,parent:string>>")
-
-    def step(acc: Column, r: Column) -> Column:
-        parent = F.try_element_at(acc, F.lit(-1))["node"]
-        node = F.sha2(F.concat(F.coalesce(parent, F.lit("")), F.lit("/"), F.coalesce(r["text"], F.lit(""))), 256)
-        return F.concat(acc, F.array(F.struct(r["n"].alias("n"), r["text"].alias("text"), node.alias("node"), parent.alias("parent"))))
-
-    nodes = lines.select("item_id", "tag", F.explode(F.aggregate("rows", start, step)).alias("x")).select("item_id", "tag", "x.*")
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a task come version by version, in order, so one hash at a time is carried on."""
+        version, node = None, None
+        for b in batches:
+            items, tags, ns, texts_ = (b.column(i).to_pylist() for i in range(4))
+            nodes, parents = [], []
+            for item, tag, text in zip(items, tags, texts_):
+                if (item, tag) != version:
+                    version, node = (item, tag), None
+                parents.append(node)
+                node = hashlib.sha256(f"{node or ''}/{text or ''}".encode("utf-8", "surrogatepass")).hexdigest()
+                nodes.append(node)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(nodes, pa.string()), pa.array(parents, pa.string())], names=["item_id", "tag", "n", "text", "node", "parent"])
+
+    ordered = vs.select("item_id", "tag", F.col("n").cast("int").alias("n"), "text").repartition("item_id", "tag").sortWithinPartitions("item_id", "tag", "n")
+    nodes = ordered.mapInArrow(chained, "item_id string, tag string, n int, text string, node string, parent string")
     return nodes.groupBy("item_id", "n", "node", "parent", "text").agg(F.array_sort(F.collect_set("tag")).alias("tags"))

@@ -151,7 +151,7 @@ select * from r where ref is not null and ref not in (select id from u where id
 query("graph_find", f"{_DECODED} select id, s, o from d where p = 'lv:isA' and o = 'lv:stele'")(lambda s, d: graph.find(_decoded(s, d), PREFIXES, p="http://lv.example.org/vocabulary#isA", o="lv:stele").select("id", "s", "o"))
 query("graph_closure", """with recursive t as (select distinct s_id, p_id, o_id from triple where s_id is not null and o_id is not null),
 c as (select s_id as id, o_id as class_id, 1 as level, [o_id] as path from t where p_id = 119
- union all select c.id, t.o_id, level + 1, list_append(path, t.o_id) from c join t on t.s_id = c.class_id and t.p_id = 120 where not list_contains(path, t.o_id) and level < 40)
+ union all select c.id, t.o_id, level + 1, list_append(path, t.o_id) from c join t on t.s_id = c.class_id and t.p_id = 120 where not list_contains(path, t.o_id))
 select id, class_id, min(level) as level from c group by 1, 2""")(lambda s, d: graph.class_closure(table(s, d, "triple"), 119, 120))
 query("graph_namespaces", f"""select id, uri, case when uri like 'http://lv.example.org/vocabulary#%' then 'lv' else 'x' end as prefix from (select id, min({_FULL.format(c='label')}) as uri from node where label is not null group by 1)
 where regexp_matches(uri, '^http://lv\\.example\\.org/vocabulary#[A-Za-z_][A-Za-z0-9._-]*$') or regexp_matches(uri, '^http://data\\.example\\.org/[A-Za-z_][A-Za-z0-9._-]*$')""")(
@@ -167,7 +167,7 @@ _Q = f"""'"' || {_ESC} || '"'"""
 query("rdf_jsonld", f"""{_DECODED}, v as (select s_id, s, p, id, case when o_lit <> '' then '{{"@value": ' || {_Q.format(c='o_lit')} || case when o_lit_lang <> '' then ', "@language": ' || {_Q.format(c='o_lit_lang')} when o_lit_type <> '' then ', "@type": ' || {_Q.format(c='o_lit_type')} else '' end || '}}'
   else '{{"@id": ' || {_Q.format(c='o')} || '}}' end as v from d),
 g as (select s_id, s, p, min(id) as first, string_agg(v, ', ' order by id, v) as vs, count(*) as n from v where v is not null and s is not null and p is not null group by 1, 2, 3)
-select s_id, '{{"@id": ' || {_Q.format(c='s')} || ', ' || string_agg({_Q.format(c='p')} || ': ' || case when n = 1 then vs else '[' || vs || ']' end, ', ' order by first, p) || '}}' as node from g group by s_id, s""")(lambda s, d: rdf.jsonld(_decoded(s, d)).drop("part"))
+select s_id, '{{"@id": ' || {_Q.format(c='s')} || ', ' || string_agg({_Q.format(c='p')} || ': ' || case when n = 1 then vs else '[' || vs || ']' end, ', ' order by first, p) || '}}' as node from g group by s_id, s""")(lambda s, d: rdf.jsonld(_decoded(s, d)))
 _XA = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _XE = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
@@ -179,8 +179,8 @@ def _xml_sql(element: str) -> str:
 select s_id, '<{element} rdf:about="' || {_XA.format(c=_FULL.format(c='s'))} || '">' || string_agg(x, '' order by id, x) || '</{element}>' as xml from x group by s_id, s"""
 
 
-query("rdf_xml", _xml_sql("rdf:Description"))(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES).drop("part"))
-query("rdf_owl", _xml_sql("owl:NamedIndividual"))(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES, "owl:NamedIndividual").drop("part"))
+query("rdf_xml", _xml_sql("rdf:Description"))(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES))
+query("rdf_owl", _xml_sql("owl:NamedIndividual"))(lambda s, d: rdf.xml_subjects(_decoded(s, d), PREFIXES, "owl:NamedIndividual"))
 for _form in ("turtle", "ntriples", "jsonld", "rdfxml", "owlxml"):
     query(f"rdf_document_{_form}")(lambda s, d, form=_form: rdf.document(_decoded(s, d), PREFIXES, form).select(F.col("n.part").alias("part"), F.col("n.k").alias("k"), "line"))
 

@@ -45,11 +45,27 @@ def append_import(items: DataFrame, parts: DataFrame, path: str, history: bool =
             log.write.mode("append").parquet(f"{path}/history_{name}.parquet")
 
 
-def markdown_items(items: DataFrame, per_file: int = 100) -> DataFrame:
-    """(file, n, text): items as Markdown sections, per_file to a file d00001.md and so on, in the order of sortKey."""
+def markdown_items(items: DataFrame, per_file: int = 100, parts: DataFrame | None = None, json_parts: bool = False) -> DataFrame:
+    """(file, n, text): items as Markdown sections, per_file to a file d00001.md and so on, in the order of sortKey.
+
+    parts: an item's parts follow as sections of their own, with their content in a code block if json_parts.
+    """
     def line(label: str, c: str) -> Column:
         return F.coalesce(F.concat(F.lit(f"- {label}: `"), F.col(c).cast("string"), F.lit("`\n")), F.lit(""))
 
     rows = framing.chunked(items, ["sortKey", "_id"], per_file)
-    text = F.concat(F.lit("#### "), F.coalesce("title", F.col("_id")), F.lit("\n\n"), *[line(a, b) for a, b in (("ID", "_id"), ("description", "description"), ("facet ID", "facetId"), ("group ID", "groupId"), ("sort key", "sortKey"), ("created", "timeCreated"), ("creator", "creatorId"), ("modified", "timeModified"), ("user", "userId")) if b in items.columns])
-    return rows.select(F.format_string("d%05d.md", (F.col("chunk") + 1).cast("int")).alias("file"), F.struct("sortKey", "_id").alias("n"), text.alias("text"))
+    labels = (("ID", "_id"), ("description", "description"), ("facet ID", "facetId"), ("group ID", "groupId"), ("sort key", "sortKey"), ("created", "timeCreated"), ("creator", "creatorId"), ("modified", "timeModified"), ("user", "userId"))
+    text = F.concat(F.lit("#### "), F.coalesce("title", F.col("_id")), F.lit("\n\n"), *[line(a, b) for a, b in labels if b in items.columns])
+    if "flags" in items.columns:  # in hexadecimal, of four digits at least
+        digits = F.hex(F.col("flags").cast("long"))
+        text = F.concat(text, F.when(F.coalesce(F.col("flags"), F.lit(0)) != 0, F.concat(F.lit("- flags: `"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits), F.lit("`\n"))).otherwise(F.lit("")))
+    file = F.format_string("d%05d.md", (F.col("chunk") + 1).cast("int")).alias("file")
+    out = rows.select(file, F.struct("sortKey", "_id", F.lit("").alias("part")).alias("n"), text.alias("text"))
+    if parts is None:
+        return out
+    of_parts = (("type ID", "__p_typeId"), ("role ID", "__p_roleId"), ("created", "__p_timeCreated"), ("creator", "__p_creatorId"), ("modified", "__p_timeModified"), ("user", "__p_userId"))
+    own = parts.select(*[F.col(c).alias(f"__p_{c}") for c in framing.PART_COLUMNS if c in parts.columns])
+    both = rows.join(own, F.col("_id") == F.col("__p_itemId"))
+    code = [F.lit("\n```json\n"), F.coalesce("__p_content", F.lit("")), F.lit("\n```\n")] if json_parts else []
+    part = F.concat(F.lit("\n##### "), F.coalesce("__p__id", F.lit("")), F.lit("\n\n"), *[line(a, b) for a, b in of_parts if b in both.columns], *code)
+    return out.unionByName(both.select(file, F.struct("sortKey", "_id", F.coalesce("__p__id", F.lit("")).alias("part")).alias("n"), part.alias("text")))

@@ -40,6 +40,30 @@ def csv_record(raw):
         i += 1
 
 
+def split_sentences(text, marks, newline, trimming):
+    """Character by character: a sentence ends after its last mark and the white space beyond, outside parentheses."""
+    if not text:
+        return text
+    text = re.sub(r"\r?\n", " ", text)
+    out, at, n = [], 0, len(text)
+    while at < n:
+        i = at
+        while i < n and text[i] in marks:
+            i += 1
+        inside = False
+        while i < n and (inside or text[i] not in marks):
+            inside = text[i] != ")" if inside else text[i] == "("
+            i += 1
+        if i < n:
+            while i < n and (text[i] in marks or text[i] in " \t\n\x0b\f\r"):
+                i += 1
+        out.append(text[at:i])
+        at = i
+    if trimming:
+        out = [x for x in (re.sub(r"\A\s+|\s+\Z", "", s) for s in out) if x]
+    return newline.join(out) + newline
+
+
 def csv_failures(rows):
     files = {}
     for f, line, raw in sorted(set(rows)):

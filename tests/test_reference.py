@@ -16,6 +16,7 @@ from strataframe.plans import reference
 from strataframe.sources import readers, sinks
 from strataframe.storage import workspace
 from strataframe.streaming import feeds
+from tests import brute
 
 D = lambda m, d: datetime.datetime(2023, m, d)
 PREFIXES = {"a": "http://a.org/", "xsd": "http://www.w3.org/2001/XMLSchema#"}
@@ -59,13 +60,12 @@ def test_incremental_frames(history):
     assert frame(history, early)["i2"] == (1, ["q2", "q3"])  # the last version, though later than the interval
 
 
-def test_hot_items_come_in_shares(spark, history):
+def test_an_item_is_one_row_however_many_parts_it_has(spark, history):
     items = framing.snapshot(history[0], FrameFilter())
-    parts = framing.parts_of(history[1], FrameFilter()).where("_id = 'q1'").withColumn("_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: i.cast("string"))))
-    rows = framing.nest(items, parts, block=10).where("_id = 'i1'").collect()
-    ids = [p._id for r in rows for p in r._parts]
-    assert 1 < len(rows) <= 5 and sorted(ids) == sorted(str(i) for i in range(1, 51))
-    assert framing.nest(items, parts, block=50).count() == items.count()
+    parts = framing.parts_of(history[1], FrameFilter()).where("_id = 'q1'").withColumn("_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: i.cast("string"))))
+    rows = framing.nest(items, parts)
+    assert rows.count() == items.count() and rows.where("_id = 'i1'").select(F.size("_parts")).first()[0] == 50_000
+    assert framing.child_parts(items, parts).count() == 50_000
 
 
 def test_imports(spark, tmp_path):
@@ -314,11 +314,10 @@ def test_rdf_lines(triples):
 
     for form in ("rdf", "owl"):
         assert len(ElementTree.fromstring("".join(r.line for r in rdf.document(d, PREFIXES, form).orderBy("n").collect()))) == 1
-    many = d.where("id = 1").withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(40))))
-    split = rdf.jsonld(many, limit=10).collect()
-    values = [v for r in split for k, v in json.loads(r.node).items() if k != "@id"]
-    assert 1 < len(split) <= 4 and sum(len(v) if isinstance(v, list) else 1 for v in values) == 40
-    assert rdf.xml_subjects(many, PREFIXES, limit=10).count() == len(split)
+    many = d.where("id = 1").withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(150_000))))
+    assert [len(json.loads(r.node)["a:p"]) for r in rdf.jsonld(many).collect()] == [150_000] and rdf.xml_subjects(many, PREFIXES).count() == 1
+    odd = d.where("id = 2").withColumn("o_lit", F.lit("a\x01b\x1f\t"))
+    assert json.loads(rdf.jsonld(odd).first().node)["a:p"]["@value"] == "a\x01b\x1f\t"
     with pytest.raises(Exception, match="no URI for id 9"):
         graph.decode(*triples, strict=True).collect()
     assert graph.contains(d, "a:x", "a:p", "http://o.org/y") and not graph.contains(d, "a:x", "a:p", None, "z")
@@ -361,13 +360,94 @@ def test_flag_metadata(spark):
 def test_registry(spark):
     conf = registry.Configuration.parse(json.dumps({"TextFilters": [{"Keys": "up", "Id": "a.b.text-filter.str.appender", "Options": {"Text": "!"}}, {"Keys": "off", "Id": "text-filter.str.appender", "Options": {"Text": "?", "IsDisabled": True}}]}))
     assert conf.keys("textFilters") == ["up", "off"] and conf.get("textFilters", "off") is None
-    assert len(registry.COMPONENTS) == 30
+    assert len(registry.COMPONENTS) == 31
     with pytest.raises(KeyError):
         registry.create("text-filter.str.nothing")
     for tag in registry.COMPONENTS:
         assert callable(registry.create(tag))
 
 
+@pytest.mark.parametrize("tag", sorted(registry.COMPONENTS))
+def test_unknown_options_are_errors(tag):
+    with pytest.raises(TypeError):
+        registry.create(tag, {"NoSuchOption": 1})
+
+
+def test_sentence_options(spark):
+    split = lambda text, **o: value(spark, registry.create("text-filter.str.sentence-split", o), text)
+    assert split("One. Two (a. b) x! Three") == "One. \nTwo (a. b) x! \nThree\n"
+    assert split("One.  Two\r\nx", Trimming=True, CrLfRemoval=True) == "One.\nTwo x\n"
+    assert split("One [a. b]. Two", BlackOpeners="[", BlackClosers="]", Trimming=True) == "One [a. b].\nTwo\n"
+    assert split("a; b. c", EndMarkers=";", NewLine="|") == "a; |b. c|"
+
+
+def test_sentences_against_a_plain_scan(spark, small):
+    texts_ = [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts_)], "i int, x string")
+    for trimming in (False, True):
+        got = {r.i: r.y for r in df.select("i", scalars.split_sentences(scalars.MARKS, "\n|", trimming=trimming)(F.col("x")).alias("y")).collect()}
+        assert got == {i: brute.split_sentences(x, scalars.MARKS, "\n|", trimming) for i, x in enumerate(texts_)}
+
+
+def test_merge_options(spark):
+    f = lambda *vs: [("role", v) for v in vs]
+    df = spark.createDataFrame([("i", 1, "a", f("x:1"), ["t"], [1], "k"), ("i", 2, "b", f("x:2"), ["t", "u"], [2], "l"), ("i", 3, "c\n", f("y"), None, None, "m"), ("i", 4, "d", f("y"), ["v"], [3], "n")], "item_id string, n int, text string, features array<struct<name:string,value:string>>, tags array<string>, payloads array<int>, other string")
+    merge = lambda **o: [tuple(r)[1:] for r in registry.create("text-tree-filter.merge-linear", o)(df).orderBy("n").collect()]
+    assert [r[1] for r in merge()] == ["a", "b", "c\n", "d"]
+    got = merge(Features=["role"], ValueFilters=[{"Find": ":.*", "Replace": "", "IsRegex": True}], BreakAtLF=False)
+    assert [(r[1], r[3], r[4], r[5]) for r in got] == [("ab", ["t", "u"], [1, 2], "k"), ("c\nd", ["v"], [3], "m")]
+    assert [r[1] for r in merge(ValueFilters=[{"Find": ":1", "Replace": ""}, {"Find": ":2", "Replace": ""}])] == ["ab", "c\n", "d"]
+
+
+def test_token_extractor_options(spark):
+    base = spark.createDataFrame([("i", "p", ["dixit que"], "dixit que")], "item_id string, part_id string, lines array<string>, text string")
+    df = spark.createDataFrame([("i", "@{1.2@2x1}")], "item_id string, text string")
+    cut = lambda **o: registry.create("text-filter.str.mongo-token-extractor", o)(df, base).first().text
+    assert cut() == "u" and cut(WholeToken=True) == "q[u]e" and cut(WholeToken=True, StartMarker="<", EndMarker=">", TextTemplate="({text})") == "(q<u>e)"
+    assert value(spark, lambda c: scalars.cut_text(c, 10, 4, 4), "alpha beta gamma delta") == "alpha beta..." and value(spark, lambda c: scalars.cut_text(c, 10), "short") == "short"
+
+
+def test_block_options(spark, apparatus):
+    segs, entries = apparatus
+    pieces = texts.with_lines(texts.block_lines(segs)).withColumns({"start": F.lit(0), "end": F.lit(0)})
+    make = lambda tag, **o: registry.create(tag, o)
+    xml = make("text-tree-renderer.tei-off-linear", IsRootIncluded=True, RootElement="tei:body", BlockElements={"default": "l"}, IsIndented=True, NoItemSource=True)(pieces).first().xml
+    assert xml.startswith('<body xmlns="http://www.tei-c.org/ns/1.0">\n  <l n="1">') and xml.endswith("</l>\n</body>")
+    poem = make("text-tree-renderer.tei-off-linear", BlockElements={"poetry": "tei:l"}, BlockType="poetry", NoNAttribute=True)(pieces).first().xml
+    assert poem.startswith('<l source="^') and " n=" not in poem.split(">")[0]
+    mixed = render.tei_standoff(pieces, render.Blocks(elements={"default": "tei:p", "poetry": "tei:l"}, block_type=F.lit("poetry"))).first().xml
+    assert mixed.startswith("<l ")
+    inside = make("text-tree-renderer.tei-app-linear", WitDetailAsChild=True)(pieces, segs, entries).first().xml
+    assert ("</witDetail></rdg>" in inside or "</witDetail></lem>" in inside) or "witDetail" not in inside
+    with pytest.raises(ValueError):
+        make("text-tree-renderer.tei-off-linear", RootElement="q:x")(pieces)
+    both = make("text-tree-renderer.composite", Renderers=[{"id": "text-tree-renderer.tei-off-linear"}, {"id": "text-tree-renderer.payload-linear", "options": {"FlattenLines": True}}])(pieces).first().text
+    assert both.startswith("<p ") and both.endswith("]") and "[[" not in both
+
+
+def test_decorated_fragments(spark):
+    text = json.dumps({"typeId": "t", "roleId": "fr.x", "n": 1, "fragments": [{"location": "1.1"}, {}]})
+    got = json.loads(value(spark, registry.create("json-renderer.xslt", {"FrDecoration": True}), text))
+    assert got == {"typeId": "t", "roleId": "fr.x", "n": 1, "fragments": [{"_key": "t:fr.x@0", "location": "1.1"}, {"_key": "t:fr.x@1"}]}
+    assert value(spark, registry.create("json-renderer.xslt", {"FrDecoration": True}), '{"a":1}') == '{"a":1}'
+
+
+def test_render_from_a_configuration(spark, small, tmp_path):
+    conf = {
+        "TextPartFlatteners": [{"Keys": "flat", "Id": "a.b.text-flattener.token"}],
+        "TextTreeFilters": [{"Keys": "lines", "Id": "a.b.text-tree-filter.block-linear"}],
+        "TextTreeRenderers": [{"Keys": "tei", "Id": "a.b.text-tree-renderer.tei-off-linear", "Options": {"NoItemSource": True, "GroupHeadTemplate": "<g n='{group}'/>"}}],
+        "ItemIdCollectors": [{"Keys": "ids", "Id": "a.b.item-id-collector.mongo", "Options": {"FacetId": "default"}}],
+        "ItemComposers": [{"Keys": "default", "Id": "a.b.item-composer.txt.fs", "Options": {"TextPartFlattenerKey": "flat", "TextTreeFilterKeys": ["lines"], "TextTreeRendererKey": "tei", "ItemGrouping": True, "ItemHead": "<!-- {item-title} {item-nr} -->", "OutputDirectory": "x"}}],
+    }
+    (tmp_path / "c.json").write_text(json.dumps(conf))
+    cli.run(spark, ["render", small, f"{tmp_path}/o", "--config", f"{tmp_path}/c.json"])
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/o").collect()]
+    assert any(x.startswith("<g n='") for x in lines) and any("<!-- " in x and "<p n=" in x for x in lines)
+    with pytest.raises(KeyError):
+        cli.run(spark, ["render", small, f"{tmp_path}/p", "--config", f"{tmp_path}/c.json", "--composer", "none"])
+
+
 def test_configured_chain(spark):
     conf = registry.Configuration.parse(json.dumps({"TextFilters": [{"keys": "a", "id": "x.y.text-filter.str.iso639"}, {"keys": "b", "id": "x.y.text-filter.str.appender", "options": {"text": "."}}]}))
     assert value(spark, conf.chain(["a", "b"]), "^^lat") == "Latin."
