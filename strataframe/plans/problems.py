@@ -113,6 +113,12 @@ def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     return eav.widen(table(spark, d, "triple"), table(spark, d, "property")).rows()
 
 
+def p4_wide_text(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table with every value as text."""
+    wide = p4_wide(spark, d)
+    return wide.select("s_id", *[F.col(c).cast("string").alias(c) for c in wide.columns if c != "s_id"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     spans = history.validity(table(spark, d, "history_items"))
     millis = lambda c: F.expr(f"{c} div 1000")
@@ -168,7 +174,7 @@ def p7_ledger(spark: SparkSession, d: str) -> DataFrame:
 _RUNS = ("1970-01-01", "2024-03-01", "2024-06-01")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p1_rejected, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p5_found, p5_history, p6_found, p6_routed, p7_found, p7_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_item_table, p1_part_table, p1_rejected, p2_found, p3_found, p3_loaded, p4_found, p4_wide, p4_wide_text, p5_found, p5_history, p6_found, p6_routed, p7_found, p7_ledger)}
 
 #: fixed values: the same questions in DuckDB's SQL
 _P6 = """select '{0}' as coll, "referenceId" as reference_id, _id as rec_id from (
@@ -243,6 +249,30 @@ e as (select id, ord - 1 as ord, en.id as k from (select id, unnest(range(1, len
 select distinct 'part' as child, pk as parent_key, cast(ord as int) as ord, id as child_key from pc union select 'fragment', id, ord, x ->> '$.location' from f
 union select 'reading', pk, ord, x ->> '$.value' from r union select 'witness', pk, ord, x ->> '$.value' from w union select 'entry', id, ord, k from e""".replace("select it ->> '$._id' as pk, ord - 1 as ord, x from (select it ->> '$._id' as pk", "select pk, ord - 1 as ord, x from (select it ->> '$._id' as pk")
 
+
+
+def _text_sql(j: str, member: str) -> str:
+    """SQL of a member as text: wrapped numbers and dates as plain ones, arrays with a space after each comma."""
+    at = f"json_extract({j}, '$.{member}')"
+    inner = lambda w: f"json_extract({at}, '$.\"{w}\"')"
+    millis = f"try_cast(coalesce(json_extract_string({inner('$date')}, '$.\"$numberLong\"'), json_extract_string({inner('$date')}, '$')) as bigint)"
+    date = f"coalesce(strftime(make_timestamp_ms({millis}), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', json_extract_string({inner('$date')}, '$'))"
+    wrapped = ", ".join(f"json_extract_string({inner(w)}, '$')" for w in ("$numberInt", "$numberLong", "$numberDouble", "$numberDecimal", "$oid"))
+    array = f"'[' || array_to_string(list_transform(from_json({at}, '[\"JSON\"]'), lambda e: cast(e as varchar)), ', ') || ']'"
+    return f"case json_type({at}) when 'OBJECT' then coalesce({wrapped}, {date}) when 'ARRAY' then {array} else json_extract_string({at}, '$') end"
+
+
+def _flat_sql(j: str, columns: dict[str, tuple[str, str]]) -> str:
+    return ", ".join(f'{_text_sql(source, member)} as "{name}"' for name, (source, member) in columns.items())
+
+
+_OWN = lambda *names: {n: ("x", n) for n in names}
+_P1_ITEMS = ORACLES["p1_found"].partition("\np as (")[0].rstrip(",").replace("with d as", "with d as", 1)
+_P1_PARTS = ORACLES["p1_found"].partition("\nf as (")[0].rstrip(",")
+ORACLES["p1_item_table"] = f"""{_P1_ITEMS} select distinct cast(null as varchar) as parent_key, 0 as ord, x ->> '$._id' as row_key, {_flat_sql("x", _OWN("_id", "_status", "creatorId", "description", "facetId", "flags", "groupId", "sortKey", "timeCreated", "timeModified", "title", "userId"))}
+from (select it as x from i where json_type(it) = 'OBJECT')"""
+ORACLES["p1_part_table"] = f"""{_P1_PARTS} select distinct pk as parent_key, cast(ord as int) as ord, id as row_key, {_flat_sql("x", _OWN("_id", "_status") | {f"content_{n}": ("content", n) for n in ("categories", "citation", "tag", "text")} | _OWN("creatorId", "itemId", "roleId", "timeCreated", "timeModified", "typeId", "userId"))} from pc"""
+
 _FIELD = ' *"(?:[^"]|"")*" *|[^",]*'
 _P3 = rf"""
 with r as (select distinct file_no, line_no, raw, regexp_replace(raw, '\r$', '') as t from thesaurus_csv),
@@ -260,3 +290,5 @@ ORACLES["p3_loaded"] = f"{_P3} select distinct file_no, line_no, t as thesaurus_
 _WIDE = {101: "varchar", 102: "varchar", 103: "bigint", 104: "decimal(38, 4)", 105: "decimal(38, 4)", 106: "boolean", 107: "date", 108: "bigint", 109: "varchar", 110: "boolean", 111: "date", 112: "decimal(38, 4)", 113: "bigint", 114: "bigint", 115: "date", 116: "varchar"}
 #: typed columns, which engines hand over in different ways; the tests compare them
 WIDE_SQL = f"select s_id, {', '.join(f'max(try_cast(val as {k})) filter (p_id = {p}) as p{p}' for p, k in _WIDE.items())} from ({ORACLES['p4_found']}) group by 1"
+ORACLES["p4_wide_text"] = f"select s_id, {', '.join(f'cast(p{p} as varchar) as p{p}' for p in _WIDE)} from ({WIDE_SQL})"
+ORACLES["p1_rejected"] = "select 'no JSON' as problem, count(*) as n from item_dump where trim(doc) <> '' and not json_valid(doc) having count(*) > 0"

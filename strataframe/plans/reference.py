@@ -445,7 +445,7 @@ query("text_extract_tokens", f"with {_CURRENT} select item_id, 'see ' || string_
 )
 query("dump_envelopes")(lambda s, d: _sinks().json_envelopes(framing.frame(*_both(s, d), FrameFilter()), 100, {}, ""))
 query("dump_markdown", f"""with i as (select "referenceId" as _id, * exclude (_id, "referenceId") from {_LATEST.format(t='history_items', w='true')} where r = 1), n as (select *, row_number() over (order by "sortKey", _id) as nr from i)
-select printf('d%05d.md', (nr - 1) // 100 + 1) as file, '#### ' || coalesce(title, _id) || chr(10) || chr(10) || """ + " || ".join(f"""coalesce('- {a}: `' || {b} || '`' || chr(10), '')""" for a, b in (("ID", "_id"), ("description", "description"), ("facet ID", '"facetId"'), ("group ID", '"groupId"'), ("sort key", '"sortKey"'), ("created", """rtrim(rtrim(strftime("timeCreated", '%Y-%m-%d %H:%M:%S.%g'), '0'), '.')"""), ("creator", '"creatorId"'), ("modified", """rtrim(rtrim(strftime("timeModified", '%Y-%m-%d %H:%M:%S.%g'), '0'), '.')"""), ("user", '"userId"'))) + " as text from n")(lambda s, d: _sinks().markdown_items(framing.snapshot(table(s, d, "history_items"), FrameFilter())).select("file", "text"))
+select printf('d%05d.md', (nr - 1) // 100 + 1) as file, '#### ' || coalesce(title, _id) || chr(10) || chr(10) || """ + " || ".join(f"""coalesce('- {a}: `' || {b} || '`' || chr(10), '')""" for a, b in (("ID", "_id"), ("description", "description"), ("facet ID", '"facetId"'), ("group ID", '"groupId"'), ("sort key", '"sortKey"'), ("created", """rtrim(rtrim(strftime("timeCreated", '%Y-%m-%d %H:%M:%S.%g'), '0'), '.')"""), ("creator", '"creatorId"'), ("modified", """rtrim(rtrim(strftime("timeModified", '%Y-%m-%d %H:%M:%S.%g'), '0'), '.')"""), ("user", '"userId"'))) + " || case when coalesce(flags, 0) <> 0 then '- flags: `' || printf('%04X', flags) || '`' || chr(10) else '' end as text from n")(lambda s, d: _sinks().markdown_items(framing.snapshot(table(s, d, "history_items"), FrameFilter())).select("file", "text"))
 
 
 def _arrow():
