@@ -47,7 +47,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     if a.command == "dump":
         f = FrameFilter(a.title, a.description, a.facet_id, a.group_id, a.user_id, a.flags, a.flag_match, a.min_time, a.max_time, tuple(a.white), tuple(a.black), a.page, a.page_size)
         frame = framing.frame(table(spark, a.folder, "history_items"), table(spark, a.folder, "history_parts"), f, not a.no_parts, not a.no_part_date, not a.no_deleted)
-        sinks.json_envelopes(frame, a.max_per_file, {k: v for k, v in vars(a).items() if k not in ("command", "folder", "output")}, now).select("doc").write.text(a.output)
+        sinks.envelope_lines(frame, a.output, a.max_per_file, {k: v for k, v in vars(a).items() if k not in ("command", "folder", "output")}, now)
     elif a.command == "dump-thesauri":
         sinks.ordered_lines(thesaurus.documents(table(spark, a.folder, "thesauri")), a.output, "n", "json")
     elif a.command == "export-rdf":

@@ -164,11 +164,11 @@ def read_thesaurus_records(df: DataFrame) -> DataFrame:
     return body.select("file_no", "line_no", reason.alias("reason"), detail.alias("detail"), F.col("error_at").alias("detail_at"), F.coalesce(t, F.col("inherited")).alias("thesaurus_id"), i.alias("id"), v.alias("value"), g.alias("target_id"))
 
 
-def fill_down(df: DataFrame, group: str, order: str, value: str, out: str, block: int = 100_000) -> DataFrame:
+def fill_down(df: DataFrame, group: str, order: str, value: str, out: str, block: int = 100_000, before: bool = False) -> DataFrame:
     """df with out: the last non-null value before or at each row of its group, in the order of an integer column.
 
     Rows go by blocks of the order, so a group with a third of all rows is spread over many tasks; only one row per
-    block is seen by the window over a whole group. Rows with a null order come last.
+    block is seen by the window over a whole group. Rows with a null order come last. before: the row itself doesn't count.
     """
     if order not in df.columns or group not in df.columns:
         raise ValueError(f"{group} and {order} must be columns")
@@ -177,7 +177,7 @@ def fill_down(df: DataFrame, group: str, order: str, value: str, out: str, block
     ends = df.where(F.col(value).isNotNull()).groupBy(group, "__b").agg(F.max_by(value, F.coalesce(F.col(order).cast("long"), F.lit(2**62))).alias("__end"))
     blocks = df.select(group, "__b").distinct().join(ends.select(F.col(group).alias("__g"), F.col("__b").alias("__bb"), "__end"), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__bb")), "left")
     over = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(F.col(group).alias("__g"), F.col("__b").alias("__bb"), F.last("__end", True).over(over).alias("__before"))
-    inside = Window.partitionBy(group, "__b").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = blocks.select(F.col(group).alias("__g"), F.col("__b").alias("__bb"), F.last("__end", True).over(over).alias("__before"))
+    inside = Window.partitionBy(group, "__b").orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     filled = df.withColumn("__in", F.last(value, True).over(inside))
-    return filled.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__bb")), "left").withColumn(out, F.coalesce("__in", "__before")).drop("__b", "__bb", "__g", "__in", "__before")
+    return filled.join(earlier, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__bb")), "left").withColumn(out, F.coalesce("__in", "__before")).drop("__b", "__bb", "__g", "__in", "__before")

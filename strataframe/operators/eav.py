@@ -81,6 +81,7 @@ def spark_type(kind: str) -> DataType:
 class WideTable:
     spark: SparkSession
     columns: list[tuple[int, str]]
+    max_columns: int
     registers: RDD
 
     def cells(self) -> DataFrame:
@@ -89,9 +90,17 @@ class WideTable:
         flat = self.registers.flatMap(lambda r: [(r[0], columns[s][0], columns[s][1], canonical(v, columns[s][1])) for s, (_, v) in r[1].items()])
         return self.spark.createDataFrame(flat, "s_id int, p_id int, typ string, val string", verifySchema=False)
 
+    def misfits(self) -> DataFrame:
+        """(s_id, p_id, typ, val): the cells whose valid value is beyond its column's type and so null in rows()."""
+        columns = self.columns
+        values = lambda r: [(r[0], *columns[s], v) for s, (_, x) in r[1].items() if typed(v := canonical(x, columns[s][1]), columns[s][1]) is None]
+        return self.spark.createDataFrame(self.registers.flatMap(values), "s_id int, p_id int, typ string, val string", verifySchema=False)
+
     def rows(self) -> DataFrame:
         """s_id and one typed column pN per property N; null where the entity has no valid literal."""
         columns = self.columns
+        if len(columns) > self.max_columns:
+            raise ValueError(f"more than {self.max_columns} properties")
 
         def encode(r):
             return (r[0], *[typed(canonical(r[1][s][1], kind), kind) if s in r[1] else None for s, (_, kind) in enumerate(columns)])
@@ -121,15 +130,13 @@ def widen(triples: DataFrame, properties: DataFrame, max_columns: int = 5_000, p
 
     A cell holds the literal with the lowest id among those valid for the column's type. Rows without subject, property
     or literal fill no cell; a null id is above all others; of equal ids the least text wins. Repeated rows change
-    nothing. Beyond max_columns properties ValueError is raised, as no row could hold them.
+    nothing. With more than max_columns properties, which no row could hold, there are cells() only, and rows() raises
+    ValueError. The columns, one a property, are known to the driver; they are broadcast up to max_columns.
     """
     spark = triples.sparkSession
-    kinds = [tuple(r) for r in column_kinds(triples, properties).limit(max_columns + 1).collect()]
-    if len(kinds) > max_columns:
-        raise ValueError(f"more than {max_columns} properties")
-    columns = sorted(kinds)
+    columns = sorted(tuple(r) for r in column_kinds(triples, properties).collect())
     slots = spark.createDataFrame([(p, k, i) for i, (p, k) in enumerate(columns)], "p_id int, typ string, slot int")
-    cells = triples.where("s_id is not null and o_lit is not null").select("id", "s_id", "p_id", "o_lit").join(F.broadcast(slots), "p_id").where(valid(F.col("o_lit"), F.col("typ"))).select("s_id", "slot", F.coalesce(F.col("id").cast("long"), F.lit(2**62)).alias("id"), "o_lit")
+    cells = triples.where("s_id is not null and o_lit is not null").select("id", "s_id", "p_id", "o_lit").join(F.broadcast(slots) if len(columns) <= max_columns else slots, "p_id").where(valid(F.col("o_lit"), F.col("typ"))).select("s_id", "slot", F.coalesce(F.col("id").cast("long"), F.lit(2**62)).alias("id"), "o_lit")
 
     def put(register: dict, x: tuple) -> dict:
         if x[0] not in register or x[1:] < register[x[0]]:
@@ -144,4 +151,4 @@ def widen(triples: DataFrame, properties: DataFrame, max_columns: int = 5_000, p
 
     pairs = cells.rdd.map(lambda r: (r[0], (r[1], r[2], r[3])))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return WideTable(spark, columns, pairs.combineByKey(lambda x: {x[0]: x[1:]}, put, merge, numPartitions=n))
+    return WideTable(spark, columns, max_columns, pairs.combineByKey(lambda x: {x[0]: x[1:]}, put, merge, numPartitions=n))

@@ -157,10 +157,23 @@ def class_closure(triples: DataFrame, a_id: int, sub_id: int, flush: int = 16) -
 def node_labels_by_prefix(uri: DataFrame, ns: DataFrame) -> DataFrame:
     """(id, uri, prefix): the first namespace, in its order, that starts a URI and leaves a valid XML name.
 
-    Namespaces are cut to the text before the last `#` or `/` of a URI, so this is a join on equality.
+    A URI is cut at each length that a namespace has, of which there are few, and the cuts are joined by equality; so a
+    namespace may end in any character, and no URI meets all namespaces. The driver gets the distinct lengths.
     """
-    head = F.regexp_extract("uri", r"\A(.*[/#])[^/#]*\z", 1)
-    left = uri.withColumn("__head", head).where(F.regexp_extract("uri", r"[/#]([^/#]+)\z", 1).rlike(XML_NAME))
+    lengths = sorted(r[0] for r in ns.select(F.length("uri")).where("uri is not null").distinct().collect())
+    cut = F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n < F.length("uri")))
+    left = uri.withColumn("__cut", cut).where(F.substr("uri", F.col("__cut") + 1).rlike(XML_NAME)).withColumn("__head", F.substr("uri", F.lit(1), F.col("__cut")))
     names = ns.select(F.col("uri").alias("__ns"), F.col("id").alias("prefix"), "ord")
-    w = Window.partitionBy("id").orderBy("ord")
-    return left.join(names, F.col("__head") == F.col("__ns")).withColumn("__r", F.row_number().over(w)).where("__r = 1").select("id", "uri", "prefix")
+    first = left.join(names, F.col("__head") == F.col("__ns")).groupBy("id", "uri").agg(F.min_by("prefix", "ord").alias("prefix"))
+    return first.select("id", "uri", "prefix")
+
+
+def namespaces_of(lookup: DataFrame) -> DataFrame:
+    """(id, uri, ord) of a table namespace_lookup (id, uri), in the order of ids; of repeated ids the least URI."""
+    one = lookup.where("id is not null and uri is not null").groupBy("id").agg(F.min("uri").alias("uri"))
+    return one.withColumn("ord", F.col("id"))
+
+
+def uris_of(lookup: DataFrame) -> DataFrame:
+    """(id, uri) of a table uri_lookup (id, uri), as decode() wants it; of repeated ids the least URI."""
+    return lookup.where("id is not null and uri is not null").groupBy("id").agg(F.min("uri").alias("uri"))

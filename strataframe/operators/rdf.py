@@ -90,8 +90,9 @@ def xml_subjects(decoded: DataFrame, mapping: dict[str, str], element: str = "rd
     prefixes = F.create_map(*[F.lit(x) for kv in by_uri.items() for x in kv]) if by_uri else F.create_map().cast("map<string,string>")
     known = F.try_element_at(prefixes, F.col("ns"))
     rows = decoded.where("s is not null and p is not null").withColumn("ns", ns).withColumn("local", local)
-    name = F.when(known.isNotNull(), F.concat(known, F.lit(":"), F.col("local"))).otherwise(F.concat(F.lit("ns1:"), F.col("local")))
-    declared = F.when(known.isNull(), F.concat(F.lit(' xmlns:ns1="'), xml_text(F.col("ns"), True), F.lit('"'))).otherwise(F.lit(""))
+    other = next(f"ns{i}" for i in range(1, len(mapping) + 2) if f"ns{i}" not in mapping)  # declared where it is used
+    name = F.when(known.isNotNull(), F.concat(known, F.lit(":"), F.col("local"))).otherwise(F.concat(F.lit(f"{other}:"), F.col("local")))
+    declared = F.when(known.isNull(), F.concat(F.lit(f' xmlns:{other}="'), xml_text(F.col("ns"), True), F.lit('"'))).otherwise(F.lit(""))
     kind = F.when(is_curie(F.col("o_lit_type")), expand(F.col("o_lit_type"), mapping)).otherwise(F.col("o_lit_type"))
     attr = F.when(has("o_lit_lang"), F.concat(F.lit(' xml:lang="'), xml_text(F.col("o_lit_lang"), True), F.lit('"'))).when(has("o_lit_type"), F.concat(F.lit(' rdf:datatype="'), xml_text(kind, True), F.lit('"'))).otherwise(F.lit(""))
     inner = (
@@ -150,3 +151,9 @@ def document(decoded: DataFrame, mapping: dict[str, str], form: str, settings: S
         body = body.withColumn("line", F.when(F.col("k") == F.lit(last).cast("long"), F.col("line")).otherwise(F.concat("line", F.lit(","))))
     ends = spark.createDataFrame([(i, x, 0) for i, x in enumerate(head)] + [(i, x, 2) for i, x in enumerate(foot)], "k long, line string, part int")
     return ends.unionByName(body).select(F.struct("part", "k").alias("n"), "line")
+
+
+def line_statistics(lines: DataFrame) -> DataFrame:
+    """One row: the header, output and footer lines of a document."""
+    count = lambda part, name: F.count_if(F.col("n.part") == part).alias(name)
+    return lines.agg(count(0, "header_lines"), count(1, "output_lines"), count(2, "footer_lines"))

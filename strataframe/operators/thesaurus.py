@@ -28,12 +28,14 @@ def group_rows(rows: DataFrame, file: str = "file_no", line: str = "line_no") ->
     A blank id is that of the row before; consecutive rows of one id are one thesaurus; a row with a target is an alias.
     Groups without entries are left out.
     """
-    filled = fill_down(rows.withColumn("__t", F.nullif(F.trim("thesaurus_id"), F.lit(""))), file, line, "__t", "__id")
-    w = Window.partitionBy(file).orderBy(line)
-    cut = (~F.lag("__id").over(w).eqNullSafe(F.col("__id"))).cast("int")
-    islands = filled.withColumn("__cut", cut).withColumn("__g", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    named = rows.withColumn("__t", F.nullif(F.trim("thesaurus_id"), F.lit("")))
+    told = fill_down(named, file, line, "__t", "__prev", before=True)
+    own = F.coalesce("__t", "__prev")
+    starts = told.withColumn("__id", own).withColumn("__start", F.when(F.col("__t").isNotNull() & ~F.col("__t").eqNullSafe(F.col("__prev")), F.col(line)))
+    # a run is known by its first line; runs are filled down by blocks, so a long file is spread over tasks
+    islands = fill_down(starts, file, line, "__start", "__run")
     entry = F.when(F.col("id").isNotNull(), F.struct(F.col(line).alias("line"), "id", "value"))
-    out = islands.groupBy(file, "__g", F.col("__id").alias("thesaurus_id")).agg(F.min(line).alias("first"), F.max("target_id").alias("target_id"), F.array_sort(F.collect_list(entry)).alias("es"))
+    out = islands.groupBy(file, "__run", F.col("__id").alias("thesaurus_id")).agg(F.min(line).alias("first"), F.max("target_id").alias("target_id"), F.array_sort(F.collect_list(entry)).alias("es"))
     return out.where("target_id is not null or size(es) > 0").select(file, "first", "thesaurus_id", "target_id", F.transform("es", lambda e: F.struct(e["id"].alias("id"), e["value"].alias("value"))).alias("entries"))
 
 
@@ -60,6 +62,33 @@ def merged(source: DataFrame, target: DataFrame, mode: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(order) - 1).select("thesaurus_id", "ord", "id", "value").unionByName(rest)
 
 
+def merged_thesauri(source: DataFrame, target: DataFrame, mode: str) -> DataFrame:
+    """Thesauri (id, entries, targetId) of target after those of source came in by mode, as merged().
+
+    An alias of source replaces whatever target has under its id, in every mode; a source with entries replaces an alias of
+    target. Of repeated rows one counts; rows without an id are left out. Entries keep their order.
+    """
+    in_aliases, old_aliases = aliases_raw(source), aliases_raw(target)
+    own, old = entries_of(source), entries_of(target)
+    new_ids = source.where("id is not null").select(F.col("id").alias("__n")).distinct()
+    gone = in_aliases.select(F.col("id").alias("__a"))
+    kept = old.join(gone, F.col("thesaurus_id") == F.col("__a"), "left_anti")
+    rows = merged(own, kept, mode)
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "value"))), lambda e: F.struct(e["id"].alias("id"), e["value"].alias("value")))
+    whole = rows.groupBy(F.col("thesaurus_id").alias("id")).agg(entries.alias("entries")).withColumn("targetId", F.lit(None).cast("string"))
+    empty = F.array().cast(ENTRIES).alias("entries")
+    aliases = in_aliases.unionByName(old_aliases.join(new_ids, F.col("id") == F.col("__n"), "left_anti")).select("id", empty, "targetId")
+    bare = source.unionByName(target.join(new_ids, F.col("id") == F.col("__n"), "left_anti")).where("id is not null and coalesce(targetId, '') = ''").select(F.col("id").alias("__b")).distinct()
+    known = whole.select(F.col("id").alias("__w")).unionByName(aliases.select(F.col("id").alias("__w")))
+    without = bare.join(known, F.col("__b") == F.col("__w"), "left_anti").select(F.col("__b").alias("id"), empty, F.lit(None).cast("string").alias("targetId"))
+    return whole.unionByName(aliases).unionByName(without)
+
+
+def aliases_raw(thesauri: DataFrame) -> DataFrame:
+    """(id, targetId) of aliases as they stand; of repeated rows the least target."""
+    return thesauri.where("id is not null and targetId <> ''").groupBy("id").agg(F.min("targetId").alias("targetId"))
+
+
 def entry_ids(wanted: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """wanted (thesaurus_id, value) with entry_id: the id of the first entry of that value, through an alias if need be."""
     via = aliases.select(F.col("id").alias("__a"), "target_id")

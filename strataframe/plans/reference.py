@@ -424,6 +424,24 @@ query("thes_documents", """select distinct case when id = 'model-types@en' then
   else '{' || case when id is not null then '"id":' || to_json(id) || ',' else '' end || '"entries":[' || array_to_string(list_transform(list_filter(coalesce(entries, []), lambda e: e is not null), lambda e: '{' || array_to_string(list_filter([case when e.id is not null then '"id":' || to_json(e.id) end, case when e."value" is not null then '"value":' || to_json(e."value") end], lambda x: x is not null), ',') || '}'), ',') || ']}' end as json from thesauri""")(lambda s, d: thesaurus.documents(table(s, d, "thesauri")).select(F.col("n.k").alias("k"), "id", "json"))
 
 
+def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Thesauri in their first row by id and, as source, those whose id has an even length, entries turned round, with aliases of the others to them."""
+    t = table(s, d, "thesauri").where("id is not null").groupBy("id").agg(F.max(F.struct(F.coalesce(F.size("entries"), F.lit(-1)).alias("n"), "entries", "targetId")).alias("x")).select("id", "x.entries", "x.targetId")
+    t = t.withColumn("entries", F.when(F.coalesce("targetId", F.lit("")) == "", F.array_distinct(F.filter("entries", lambda e: e.isNotNull() & e["id"].isNotNull()))))
+    new = t.where(F.length("id") % 2 == 0).withColumn("entries", F.reverse("entries")).unionByName(t.where((F.length("id") % 3 == 0) & (F.length("id") % 2 == 1)).select("id", F.lit(None).cast(thesaurus.ENTRIES).alias("entries"), F.lit("new@en").alias("targetId")))
+    return new, t
+
+
+query("thes_merged_replace", """with t as (select id, entries, "targetId" from (select *, row_number() over (partition by id order by case when entries is null then -1 else len(entries) end desc, entries desc nulls last, "targetId" desc nulls last) as r from thesauri where id is not null) where r = 1),
+c as (select id, case when coalesce("targetId", '') = '' then list_filter(entries, lambda e: e is not null and e.id is not null) end as entries, "targetId" from t),
+n as (select id, list_reverse(entries) as entries, "targetId" from c where length(id) % 2 = 0 union all select id, null, 'new@en' from c where length(id) % 3 = 0 and length(id) % 2 = 1),
+m as (select * from n union all select * from c where id not in (select id from n))
+select id, coalesce(nullif("targetId", ''), '') as target_id, case when coalesce("targetId", '') <> '' then '' else array_to_string(list_transform(coalesce(entries, []), lambda e: e.id), ' ') end as entries from m""")(
+    lambda s, d: thesaurus.merged_thesauri(*_two(s, d), "replace").select("id", F.coalesce("targetId", F.lit("")).alias("target_id"), F.array_join(F.transform("entries", lambda e: e["id"]), " ").alias("entries"))
+)
+query("rdf_line_statistics", f"select 8 as header_lines, count(*) as output_lines, 2 as footer_lines from ({_TTL})")(lambda s, d: rdf.line_statistics(rdf.document(_decoded(s, d), PREFIXES, "turtle")))
+
+
 @query("thes_group_rows")
 def thes_group_rows(s: SparkSession, d: str) -> DataFrame:
     from strataframe.operators.csvload import read_thesaurus_records

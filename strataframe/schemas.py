@@ -22,6 +22,11 @@ TABLES = {
     "node_class": "id INT, node_id INT, class_id INT, level INT",
     "property": "id INT, data_type STRING, lit_editor STRING, description STRING",
     "triple": "id INT, s_id INT, p_id INT, o_id INT, o_lit STRING, o_lit_type STRING, o_lit_lang STRING, o_lit_ix STRING, o_lit_n DOUBLE, sid STRING, tag STRING",
+    "mapping": "id INT, ordinal INT, name STRING, source_type INT, facet_filter STRING, group_filter STRING, title_filter STRING, flags_filter INT, part_type_filter STRING, part_role_filter STRING, description STRING, source STRING, sid STRING, scalar_pattern STRING",
+    "mapping_link": "parent_id INT, child_id INT",
+    "mapping_out_node": "id INT, mapping_id INT, ordinal INT, name STRING, uid STRING, label STRING, tag STRING",
+    "mapping_out_triple": "id INT, mapping_id INT, ordinal INT, s STRING, p STRING, o STRING, ol STRING",
+    "mapping_out_meta": "id INT, mapping_id INT, ordinal INT, name STRING, value STRING",
     "item_dump": "dump_id BIGINT, doc STRING",
     "thesaurus_csv": "file_no INT, line_no INT, raw STRING",
     "load_runs": "run_id INT, coll STRING, startedAt TIMESTAMP_NTZ, readUpTo TIMESTAMP_NTZ, finishedAt TIMESTAMP_NTZ, outcome STRING",

@@ -94,7 +94,10 @@ def _sheet_rows(content: bytes, sheet: int) -> Iterator[list[str | None]]:
 
 
 def xlsx_thesaurus_rows(spark: SparkSession, path: str, sheet: int = 0, row_offset: int = 0, column_offset: int = 0) -> DataFrame:
-    """(file_no, line_no, thesaurus_id, id, value, target_id) of sheets; an empty row ends a sheet."""
+    """(file_no, line_no, thesaurus_id, id, value, target_id) of sheets; an empty row ends a sheet.
+
+    ValueError, within the task, for a sheet that begins without a thesaurus id, and for a row with neither id nor target.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,6 +109,10 @@ def xlsx_thesaurus_rows(spark: SparkSession, path: str, sheet: int = 0, row_offs
                         own = (cells[column_offset : column_offset + 4] + [None] * 4)[:4]
                         if not any(own):
                             break
+                        if not rows and not own[0]:
+                            raise ValueError(f"no thesaurus id at row {n + 1} of {p}")
+                        if own[3] is None and own[1] is None:
+                            raise ValueError(f"no entry id at row {n + 1} of {p}")
                         rows.append((p, n + 1, *own))
                 yield pd.DataFrame(rows, columns=["file", "line_no", "thesaurus_id", "id", "value", "target_id"])
 

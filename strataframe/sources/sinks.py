@@ -26,6 +26,22 @@ def json_envelopes(frame: DataFrame, size: int, options: dict, stamp: str, order
     return grouped.select("chunk", F.concat(head, F.array_join(F.transform("xs", lambda x: x["json"]), ","), F.lit("]}")).alias("doc"))
 
 
+def envelope_lines(frame: DataFrame, path: str, size: int, options: dict, stamp: str, order: tuple[str, ...] = ("sortKey", "_id")) -> None:
+    """The documents of json_envelopes as text files in folders chunk=N, an item a line: no value is larger than an item.
+
+    A chunk is written by one task, row by row in order, however many items it has.
+    """
+    rows = framing.numbered(frame, [], list(order), "__nr").withColumn("chunk", F.expr(f"(__nr - 1) div {int(size)}"))
+    item = F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns]))
+    last = F.lit(rows.agg(F.max("__nr")).first()[0])
+    ends = (F.col("__nr") % int(size) == 0) | (F.col("__nr") == last)
+    lines = rows.select("chunk", F.col("__nr").alias("k"), F.concat(item, F.when(ends, F.lit("")).otherwise(F.lit(","))).alias("value"))
+    chunks = rows.select("chunk").distinct()
+    head = F.concat(F.lit('{"time":' + json.dumps(stamp) + ',"chunk":'), (F.col("chunk") + 1).cast("string"), F.lit(',"options":' + json.dumps(options) + ',"items":['))
+    lines = lines.unionByName(chunks.select("chunk", F.lit(0).cast("long").alias("k"), head.alias("value"))).unionByName(chunks.select("chunk", F.lit(2**62).alias("k"), F.lit("]}").alias("value")))
+    lines.repartition("chunk").sortWithinPartitions("chunk", "k").drop("k").write.partitionBy("chunk").text(path)
+
+
 def text_flows(rows: DataFrame, path: str, flow: str = "flow", order: str = "item_nr", text: str = "text") -> None:
     """Texts of flows in folders flow=NAME, each in order; names are made safe for files by the file system's rules."""
     rows.select(F.col(flow).alias("flow"), F.col(order).alias("__n"), F.col(text).alias("value")).repartition("flow").sortWithinPartitions("flow", "__n").drop("__n").write.partitionBy("flow").text(path)

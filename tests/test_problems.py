@@ -213,6 +213,7 @@ def test_typed_to_the_bounds_of_the_types(spark):
     kinds = spark.createDataFrame([(i, f"xsd:{k}") for i, (k, _) in enumerate(cases)], "id int, data_type string")
     got = [str(x) for x in eav.widen(triples, kinds).rows().first()[1:]]
     assert got == [*(str(x) for _, x in cases[:5]), "None", "None", "None", "None"]
+    assert {r.p_id for r in eav.widen(triples, kinds).misfits().collect()} == {5, 6, 7, 8}
 
 
 @pytest.mark.parametrize(
@@ -238,8 +239,9 @@ def test_wide_table(spark):
     assert rows(w.cells()) == {(1, 7, "integer", "5"), (2, 8, "boolean", "true"), (3, 9, "string", "a"), (5, 10, "string", "")}
     assert w.rows().where("s_id = 1").select("p7", "p8", "p9").first() == (5, None, None)
     assert eav.widen(t.limit(0), p).cells().count() == 0
+    assert rows(eav.widen(t, p, max_columns=1).cells()) == rows(w.cells())
     with pytest.raises(ValueError):
-        eav.widen(t, p, max_columns=1)
+        eav.widen(t, p, max_columns=1).rows()
 
 
 LOG = "_id string, referenceId string, timeModified timestamp_ntz, status int, title string, arrivedAt timestamp_ntz, p string, k string"

@@ -471,7 +471,7 @@ def test_readers(spark, tmp_path):
 
 def test_commands(spark, small, tmp_path):
     cli.run(spark, ["dump", small, f"{tmp_path}/d", "--max-per-file", "10", "--no-deleted"])
-    docs = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/d").collect()]
+    docs = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/d", wholetext=True).collect()]
     assert all(len(d["items"]) == 10 for d in docs if d["chunk"] < max(x["chunk"] for x in docs))
     cli.run(spark, ["dump-thesauri", small, f"{tmp_path}/t"])
     cli.run(spark, ["export-rdf", small, f"{tmp_path}/r", "--format", "nt", "--prefixes", json.dumps({"lv": "http://l/"}), "--no-comments"])
