@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from strataframe import storage
 
-#: up: the objects above, from the nearest that has a table for certain to the parent; member: what holds the node there; many: it stands in an array;
-#: link: the name by which children point to it
+#: owner_...: the nearest object above that has a table for certain; up: the objects between it and the node, if there are
+#: any; member: what holds the node there; many: it stands in an array; link: the name by which children point to it; cols:
+#: its scalar members as a JSON object
 _UP = "array<struct<node:long,element:string,member:string,link:string>>"
-NODES = f"node long, up {_UP}, element string, member string, many boolean, ord int, row_key string, row_path string, link string, cols map<string,string>, problem string"
+NODES = f"node long, owner_node long, owner_element string, owner_link string, up {_UP}, element string, member string, many boolean, ord int, row_key string, row_path string, link string, cols string, problem string"
 
 
 _EPOCH = datetime.datetime(1970, 1, 1)
@@ -109,6 +110,9 @@ def _text(v) -> str | None:
     return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
 
 
+_UP_NAMES = ("node", "element", "member", "link")
+
+
 def nodes_of(root: dict, o: Options, number: int) -> list[tuple]:
     """The nodes of one record, as NODES without problem, parents before children; ids count from number."""
     out: list[tuple] = []
@@ -138,7 +142,7 @@ def nodes_of(root: dict, o: Options, number: int) -> list[tuple]:
             if e == element:
                 chosen = next((c for c in choices if c in items), None)
                 passed.update(c for c in choices if c != chosen)
-        me = {"node": number + len(out), "element": element, "member": member, "link": link}
+        me = (number + len(out), element, member, link)
         # an element that repeats here, or is declared to, has a table whatever comes: no child looks further up
         above = (me,) if many or element == o.root or element in o.declared else (*up, me)
         cols: dict[str, str | None] = {}
@@ -156,7 +160,9 @@ def nodes_of(root: dict, o: Options, number: int) -> list[tuple]:
                 continue
             if not (array and v) or _scalars(v):
                 cols[name] = _text(v)
-        out.append((me["node"], list(up), element, member, many, order, key if named else here, here, link, cols))
+        owner = up[0] if up else (None, None, None, None)
+        between = [dict(zip(_UP_NAMES, x)) for x in up[1:]] if len(up) > 1 else None
+        out.append((me[0], owner[0], owner[1], owner[3], between, element, member, many, order, key if named else here, here, link, json.dumps(cols)))
         stack.extend(reversed(kids))
     return out
 
@@ -173,7 +179,7 @@ def nodes(docs: DataFrame, column: str, o: Options) -> DataFrame:
     ones have none. Repeated records repeat their nodes, with ids of their own.
     """
     up = pa.list_(pa.struct([("node", pa.int64()), ("element", pa.string()), ("member", pa.string()), ("link", pa.string())]))
-    schema = pa.schema([("node", pa.int64()), ("up", up), ("element", pa.string()), ("member", pa.string()), ("many", pa.bool_()), ("ord", pa.int32()), ("row_key", pa.string()), ("row_path", pa.string()), ("link", pa.string()), ("cols", pa.map_(pa.string(), pa.string())), ("problem", pa.string())])
+    schema = pa.schema([("node", pa.int64()), ("owner_node", pa.int64()), ("owner_element", pa.string()), ("owner_link", pa.string()), ("up", up), ("element", pa.string()), ("member", pa.string()), ("many", pa.bool_()), ("ord", pa.int32()), ("row_key", pa.string()), ("row_path", pa.string()), ("link", pa.string()), ("cols", pa.string()), ("problem", pa.string())])
     nothing = (None,) * (len(schema) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +205,11 @@ def nodes(docs: DataFrame, column: str, o: Options) -> DataFrame:
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c if f.name != "cols" else [None if x is None else list(x.items()) for x in c], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    try:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    except UnicodeEncodeError:  # half of a pair of surrogates, which JSON may spell and text can't hold
+        plain = lambda x: x.encode("utf-8", "replace").decode() if isinstance(x, str) else [{k: plain(v) for k, v in e.items()} for e in x] if isinstance(x, list) else x
+        return _batch([tuple(map(plain, r)) for r in rows], schema)
 
 
 def rejected(found: DataFrame) -> DataFrame:
@@ -209,10 +219,9 @@ def rejected(found: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Graph:
-    """The schema graph: edges (parent, child, member, repeats) and columns (element, member)."""
+    """The schema graph: edges (parent, child, member, repeats)."""
 
     edges: tuple[tuple[str, str, str, bool], ...]
-    columns: tuple[tuple[str, str], ...]
     options: Options
 
     def tables(self) -> set[str]:
@@ -242,15 +251,25 @@ class Graph:
 def schema_graph(found: DataFrame, o: Options) -> Graph:
     """The graph of all nodes. It is aggregated per task before the shuffle and grows with the names in the data, not its rows."""
     all_ = found.where("element is not null")
-    above = F.try_element_at("up", F.lit(-1))
-    edges = all_.groupBy(above["element"].alias("parent"), "element", "member").agg(F.bool_or("many").alias("repeats")).where("parent is not null")
-    columns = all_.select("element", F.explode(F.map_keys("cols")).alias("member")).distinct()
-    return Graph(tuple(sorted(tuple(r) for r in edges.collect())), tuple(sorted(tuple(r) for r in columns.collect())), o)
+    parent = F.coalesce(F.try_element_at("up", F.lit(-1))["element"], F.col("owner_element"))
+    edges = all_.groupBy(parent.alias("parent"), "element", "member").agg(F.bool_or("many").alias("repeats")).where("parent is not null")
+    return Graph(tuple(sorted(tuple(r) for r in edges.collect())), o)
+
+
+def columns_of(found: DataFrame) -> list[tuple[str, str]]:
+    """(element, member) of all scalar members."""
+    return sorted(tuple(r) for r in found.where("element is not null").select("element", F.explode(F.map_keys(_members("cols"))).alias("member")).distinct().collect())
+
+
+def _members(c: str) -> Column:
+    return F.from_json(c, "map<string,string>")
 
 
 def _owner(tables: set[str]) -> Column:
     """The nearest object above that has a row."""
-    return F.try_element_at(F.filter("up", lambda x: x["element"].isin(*tables)), F.lit(-1))
+    nearer = F.try_element_at(F.filter("up", lambda x: x["element"].isin(*tables)), F.lit(-1))
+    certain = F.struct(F.col("owner_node").alias("node"), F.col("owner_element").alias("element"), F.lit(None).cast("string").alias("member"), F.col("owner_link").alias("link"))
+    return F.coalesce(nearer, certain)
 
 
 def links(found: DataFrame, tables: set[str]) -> DataFrame:
@@ -270,26 +289,27 @@ def shred(found: DataFrame, tables: set[str]) -> DataFrame:
     """
     all_ = found.where("element is not null")
     inlined = all_.where(~F.col("element").isin(*tables)).withColumn("p", _owner(tables))
-    depth = F.array_position(F.transform("up", lambda x: x["node"]), F.col("p.node"))
-    prefix = F.array_join(F.concat(F.transform(F.slice("up", (depth + 1).cast("int"), F.size("up")), lambda x: x["member"]), F.array("member")), ".")
-    named = inlined.withColumn("prefix", prefix).select(F.col("p.node").alias("row"), F.transform(F.map_entries("cols"), lambda e: F.struct(F.concat("prefix", F.lit("."), e["key"]).alias("key"), e["value"].alias("value"))).alias("more"))
+    between = F.coalesce("up", F.array().cast(_UP))
+    depth = F.coalesce(F.array_position(F.transform(between, lambda x: x["node"]), F.col("p.node")), F.lit(0))  # 0: the certain one
+    prefix = F.array_join(F.concat(F.transform(F.slice(between, (depth + 1).cast("int"), F.size(between)), lambda x: x["member"]), F.array("member")), ".")
+    named = inlined.withColumn("prefix", prefix).select(F.col("p.node").alias("row"), F.transform(F.map_entries(_members("cols")), lambda e: F.struct(F.concat("prefix", F.lit("."), e["key"]).alias("key"), e["value"].alias("value"))).alias("more"))
     more = named.groupBy("row").agg(F.flatten(F.collect_list("more")).alias("more"))
     own = all_.where(F.col("element").isin(*tables)).withColumn("p", _owner(tables)).join(more, F.col("node") == F.col("row"), "left")
-    entries = F.concat(F.map_entries("cols"), F.coalesce("more", F.array().cast("array<struct<key:string,value:string>>")))
+    entries = F.concat(F.map_entries(_members("cols")), F.coalesce("more", F.array().cast("array<struct<key:string,value:string>>")))
     return own.select(F.col("element").alias("tab"), F.col("p.element").alias("parent_tab"), F.col("p.link").alias("parent_key"), "ord", "row_key", "row_path", F.map_from_entries(entries).alias("cols"))
 
 
-def table_of(rows: DataFrame, graph: Graph, element: str) -> DataFrame:
+def table_of(rows: DataFrame, graph: Graph, columns: list[tuple[str, str]], element: str) -> DataFrame:
     """The flat table of one element: its keys, position and one column per inlined path, as text."""
     tables, names = graph.tables(), []
 
     def walk(e: str, prefix: tuple[str, ...]) -> None:
-        names.extend((*prefix, m) for owner, m in graph.columns if owner == e)
+        names.extend((*prefix, m) for owner, m in columns if owner == e)
         for p, c, member, _ in graph.edges:
             if p == e and c not in tables:
                 walk(c, (*prefix, member))
 
     walk(element, ())
     fixed = ["parent_key", "ord", "row_key"]
-    columns = {".".join(n): "_".join(n).replace(".", "_") for n in names}
-    return rows.where(F.col("tab") == element).select(*fixed, *[F.col("cols")[n].alias(c if c not in fixed else f"{c}_") for n, c in columns.items()])
+    paths = {".".join(n): "_".join(n).replace(".", "_") for n in names}
+    return rows.where(F.col("tab") == element).select(*fixed, *[F.col("cols")[n].alias(c if c not in fixed else f"{c}_") for n, c in paths.items()])

@@ -49,7 +49,7 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
 def p1_table(spark: SparkSession, d: str, element: str) -> DataFrame:
     """The flat table of one element, with a column per inlined path."""
     items, graph = item_nodes(spark, d)
-    return nested.table_of(nested.shred(items, graph.tables()), graph, element).distinct()
+    return nested.table_of(nested.shred(items, graph.tables()), graph, nested.columns_of(items), element).distinct()
 
 
 def p1_item_table(spark: SparkSession, d: str) -> DataFrame:

@@ -42,9 +42,10 @@ def test_shared_inlining_of_recursive_shared_and_inlined_elements(spark):
     assert graph.tables() == {"r", "r.kids", "by"}  # kids repeats and holds itself, by is shared; place, geo and note are inlined
     got = {(r.tab, r.parent_key, r.ord, r.row_key) for r in out.collect()}
     assert {("r.kids", "a", 0, "a/kids/0"), ("r.kids", "a", 2, "a/kids/2"), ("r.kids", "a/kids/0", 0, "a/kids/0/kids/0")} <= got
-    table = nested.table_of(out, graph, "r")
+    table = nested.table_of(out, graph, nested.columns_of(found), "r")
     assert table.where("row_key = 'a'").select("place_name", "place_geo_lat").first() == ("x", "1")
     assert rows(out.where("tab = 'by'").select("parent_key", F.col("cols")["who"])) == {("a", "p"), ("a", "q")}
+    assert shredded(spark, ['{"_id": "\\ud800x", "v": "\\udc00"}'], o)[2].first().row_key == "?x"
     assert {r.problem[:7] for r in nested.rejected(found).collect()} == {"no JSON", "a recor"}
 
 
@@ -73,8 +74,8 @@ def test_p1_one_odd_record_changes_no_other(spark, tmp_path, odd):
 
 def test_arrays_of_an_inlined_member_stay_as_text(spark):
     docs = [json.dumps({"_id": "a", "_parts": [{"_id": "p", "content": [{"x": {"y": 1}}]}, {"_id": "q", "content": []}]})]
-    _, graph, out = shredded(spark, docs, problems.ITEMS)
-    assert rows(nested.table_of(out, graph, "part").select("row_key", "content")) == {("p", '[{"x": {"y": 1}}]'), ("q", "[]")}
+    found, graph, out = shredded(spark, docs, problems.ITEMS)
+    assert rows(nested.table_of(out, graph, nested.columns_of(found), "part").select("row_key", "content")) == {("p", '[{"x": {"y": 1}}]'), ("q", "[]")}
 
 
 def test_spellings_of_one_value_agree():
