@@ -353,24 +353,42 @@ select flow, cast(item_nr as int) as item_nr, text from c union all select disti
 
 # text functions
 
-_ISO2 = "case lower(c) " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in __import__("strataframe.functions.codes", fromlist=["x"]).iso639(2).items()) + " else lower(c) end"
-query("scalar_iso639", f"select doc_id, case when lang is null then null else 'in ' || (select {_ISO2} from (select lang as c)) || '.' end as x from documents where lang is null or regexp_full_match(lang, '[a-z]{{2}}')")(
-    lambda s, d: table(s, d, "documents").where("lang is null or lang rlike '^[a-z]{2}$'").select("doc_id", scalars.iso639(r"\^\^([a-z]{2})", 2)(F.concat(F.lit("in ^^"), F.col("lang"), F.lit("."))).alias("x"))
+query("scalar_iso639", """select doc_id, case when lang is null then null when not regexp_full_match(left(lang, 2), '[a-z]{2}') then 'in ^^' || lang || '.'
+  else 'in ' || coalesce(map {'en': 'English', 'de': 'German', 'fr': 'French', 'ja': 'Japanese', 'zh': 'Chinese', 'un': 'un', 'xx': 'xx', 'it': 'Italian', 'es': 'Spanish; Castilian', 'ko': 'Korean', 'la': 'Latin'}[left(lang, 2)], left(lang, 2)) || lang[3:] || '.' end as x from documents""")(
+    lambda s, d: table(s, d, "documents").select("doc_id", scalars.iso639(r"\^\^([a-z]{2})", 2)(F.concat(F.lit("in ^^"), F.col("lang"), F.lit("."))).alias("x"))
 )
-# all rows, also those that the SQL above can't state
-query("scalar_iso639_all")(lambda s, d: table(s, d, "documents").select("doc_id", scalars.iso639(r"\^\^([a-z]{2})", 2)(F.concat(F.lit("in ^^"), F.col("lang"), F.lit("."))).alias("x")))
 query("scalar_bcp47", """select doc_id, case lower(lang) when 'en' then 'English' when 'de' then 'German (any)' when 'fr' then 'French' when 'ja' then 'Japanese' when 'zh' then 'Chinese' else lang end || ' | German (Austria)' as x from documents""")(
     lambda s, d: table(s, d, "documents").select("doc_id", scalars.bcp47(custom={"de": "German (any)"})(F.concat(F.lit("^^"), F.col("lang"), F.lit(" | ^^de-AT"))).alias("x"))
 )
 query("scalar_append", "select distinct _id, case when length(description) > 0 then description || ' [end]' else description end as x from items")(lambda s, d: table(s, d, "items").select("_id", scalars.append(" [end]")(F.col("description")).alias("x")).distinct())
 query("scalar_replacements", "select distinct _id, regexp_replace(replace(title, ' of ', ' / '), '(\\d+)$', '#\\1') as x from items")(lambda s, d: table(s, d, "items").select("_id", scalars.replacements([(" of ", " / ", False), (r"(\d+)$", "#$1", True)])(F.col("title")).alias("x")).distinct())
 query("scalar_escape_literal", f"select distinct id, {_LIT.format(kind=_KIND.format(short='o_lit_type'))} as x from triple where o_lit <> ''")(lambda s, d: table(s, d, "triple").where("o_lit <> ''").select("id", rdf.literal().alias("x")).distinct())
-_P = scalars.sentence_pattern(possessive=False)
-query("scalar_sentences", f"select doc_id, cast(len(list_filter(list_transform(regexp_extract_all(replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' '), '{_P}', 1), lambda x: regexp_replace(x, '^[\\s\\x0b\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x{{85}}\\p{{Z}}]+$', '', 'g')), lambda x: x <> '')) as int) as n from documents where text is not null")(
-    lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(scalars.sentences(F.col("text"))).alias("n"))
-)
-query("scalar_singular", "with w as (select distinct unnest(string_split(lower(p_name), ' ')) || 'ies' as w from part) select w, left(w, length(w) - 3) || 'y' as x from w")(
-    lambda s, d: table(s, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).select(F.concat("w", F.lit("ies")).alias("w")).distinct().select("w", scalars.singular(F.col("w")).alias("x"))
+_SPACE = "chr(32), chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160), chr(5760), chr(8192), chr(8193), chr(8194), chr(8195), chr(8196), chr(8197), chr(8198), chr(8199), chr(8200), chr(8201), chr(8202), chr(8232), chr(8233), chr(8239), chr(8287), chr(12288)"
+# the place of each character after the last parenthesis tells whether it is searched; a sentence ends where a run of marks and spaces does
+query("scalar_sentences", f"""with d as (select doc_id, replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' ') as t from documents where text <> ''),
+c as (select doc_id, unnest(range(1, length(t) + 1)) as i, unnest(string_split(t, '')) as c from d),
+b as (select *, coalesce(max(case when c = '(' then i end) over w, 0) > coalesce(max(case when c = ')' then i end) over w, 0) as black from c window w as (partition by doc_id order by i)),
+m as (select *, not black and c in ('.', '?', '!', chr(894), '…') as mark, c in (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) as space from b),
+r as (select *, sum(case when mark or space and not black then 0 else 1 end) over (partition by doc_id order by i) as run from m),
+e as (select *, max(case when mark then 1 else 0 end) over (partition by doc_id, run order by i) as ended from r),
+s as (select *, case when (mark or space and not black) and run > 0 and ended = 1 then 0 else 1 end as inside from e),
+g as (select *, sum(case when inside = 1 and coalesce(prior, 1) = 0 then 1 else 0 end) over (partition by doc_id order by i) as g from (select *, lag(inside) over (partition by doc_id order by i) as prior from s)),
+x as (select doc_id, g, string_agg(c, '' order by i) as s from g group by all),
+y as (select doc_id, g, trim(s, array_to_string([{_SPACE}], '')) as s from x)
+select d.doc_id, coalesce((select string_agg(s, chr(10) order by g) from y where y.doc_id = d.doc_id and s <> ''), '') as x from d""")(
+    lambda s, d: table(s, d, "documents").where("text <> ''").select("doc_id", F.array_join(scalars.sentences(F.col("text")), "\n").alias("x"))
+)
+#: fixed values: plurals and their singulars, by hand
+_PLURALS = {
+    "cities": "city", "pies": "py", "ties": "ty", "ies": "ie", "wolves": "wolf", "ves": "ve", "heroes": "hero", "toes": "to", "glasses": "glass", "ses": "se", "boxes": "box", "xes": "xe", "churches": "church", "aches": "ach", "dishes": "dish", "ashes": "ash", "cats": "cat", "s": None, "glass": None, "sheep": None,
+    "children": "child", "people": "person", "men": "man", "women": "woman", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse", "oxen": "ox", "criteria": "criterion", "phenomena": "phenomenon", "data": "datum", "analyses": "analysis", "bases": "basis", "crises": "crisis", "theses": "thesis", "vertices": "vertex", "indices": "index", "matrices": "matrix", "appendices": "appendix",
+}
+_WORDS = ", ".join(f"('{k}', {'null' if v is None else chr(39) + v + chr(39)})" for k, v in _PLURALS.items())
+query("scalar_singular", f"""with w as (select distinct unnest(string_split(lower(p_name), ' ')) as n from part), e(e, s) as (values ('ies', 'y'), ('ves', 'f'), ('oes', 'o'), ('ses', 's'), ('xes', 'x'), ('ches', 'ch'), ('shes', 'sh'), ('zs', 'z'), ('z', null))
+select n || e as w, n || s as x from w, e where length(n) > 2 union all select * from (values {_WORDS})""")(
+    lambda s, d: (lambda words: words.unionByName(s.createDataFrame([(k,) for k in _PLURALS], "w string")).select("w", scalars.singular(F.col("w")).alias("x")))(
+        table(s, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("n")).distinct().where("length(n) > 2").select(F.explode(F.transform(F.array(*[F.lit(x) for x in ("ies", "ves", "oes", "ses", "xes", "ches", "shes", "zs", "z")]), lambda e: F.concat("n", e))).alias("w"))
+    )
 )
 query("scalar_file_name", r"""select distinct _id, regexp_replace(regexp_replace("sortKey" || '/a:b?. ', '[\\/:*?"<>|]', '_', 'g'), '[. ]+$', '') as x from items""")(lambda s, d: table(s, d, "items").select("_id", scalars.file_name(F.concat("sortKey", F.lit("/a:b?. "))).alias("x")).distinct())
 query("scalar_template", "select distinct _id, 'Item ' || coalesce(title, '') || ' in ' || coalesce(\"groupId\", '') || ' {other}' as x from items")(
@@ -455,8 +473,21 @@ def thes_group_rows(s: SparkSession, d: str) -> DataFrame:
 query("json_to_xml")(lambda s, d: _parts(s, d).select(F.col("_id"), _arrow().json_to_xml_filter(_arrow().XmlOptions(numbered=True, skip=frozenset({"null", "false"})))(F.col("content")).alias("xml")))
 query("json_paths", """with p as (select * from (select *, row_number() over (partition by _id order by "timeModified" desc nulls last, "arrivedAt" desc nulls last, content desc nulls last, "itemId" desc nulls last, "roleId" desc nulls last) as r from parts where _id is not null) where r = 1)
 select _id, coalesce(json_extract_string(content, '$.citation'), 'null') as x from p""")(lambda s, d: _parts(s, d).select("_id", _arrow().json_path_filter("citation", strip=True)(F.col("content")).alias("x")))
-query("markdown_regions", "select distinct _id, '<p><strong>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</strong></p>' || chr(10) || ' end' as x from items where title is not null and not regexp_matches(title, '[*_`\\[]')")(
-    lambda s, d: table(s, d, "items").where("title is not null and not title rlike '[*_`\\\\[]'").select("_id", _arrow().markdown_filter("<_md>", "</_md>")(F.concat(F.lit("<_md>**"), F.col("title"), F.lit("**</_md> end"))).alias("x")).distinct()
+# all titles; what Markdown would read as marks is escaped, and several kinds of blocks and spans stand around it
+_MD_SQL = "replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+query("markdown_regions", f"""select distinct _id, '<p><strong>b</strong> and <em>i</em> ' || {_MD_SQL} || '</p>' || chr(10) || ' end ' || coalesce(title, '') as x from items""")(
+    lambda s, d: table(s, d, "items").select("_id", F.coalesce("title", F.lit("")).alias("t")).select("_id", _arrow().markdown_filter("<_md>", "</_md>")(F.concat(F.lit("<_md>**b** and *i* "), F.regexp_replace("t", r"([\\`*_{}\[\]()#+.!|-])", r"\\$1"), F.lit("</_md> end "), F.col("t"))).alias("x")).distinct()
+)
+# each finder, by its own term and by several
+for _name, _terms, _where in (
+    ("literal", {"lit": "true"}, "o_lit = 'true'"),
+    ("tag", {"tag": "imp", "p": "lv:isA"}, "tag = 'imp' and p = 'lv:isA'"),
+    ("all", {"p": "http://lv.example.org/vocabulary#isA", "o": "lv:stele", "tag": "imp"}, "p = 'lv:isA' and o = 'lv:stele' and tag = 'imp'"),
+):
+    query(f"graph_find_{_name}", f"{_DECODED} select id, s, p, o, o_lit from d where {_where}")(lambda s, d, terms=_terms: graph.find(_decoded(s, d), PREFIXES, **terms).select("id", "s", "p", "o", "o_lit"))
+query("graph_find_subject", f"{_DECODED} select id, s, p, o, o_lit from d where s = (select max(s) from d)")(lambda s, d: (lambda x: graph.find(x, PREFIXES, s=x.agg(F.max("s")).first()[0]).select("id", "s", "p", "o", "o_lit"))(_decoded(s, d)))
+query("graph_contains", f"{_DECODED} select distinct s, p, o, exists (select 1 from d e where e.s = d.s and e.p = d.p and e.o = d.o and e.o_lit is null) as here from d where s is not null and p is not null and o is not null and p = 'lv:isA' and o = 'lv:stele'")(
+    lambda s, d: (lambda x: x.where("p = 'lv:isA' and o = 'lv:stele' and s is not null").groupBy("s", "p", "o").agg(F.bool_or(F.col("o_lit").isNull()).alias("here")))(_decoded(s, d))
 )
 query("text_extract_tokens", f"with {_CURRENT} select item_id, 'see ' || string_split(lines[1], ' ')[1] || '!' as text from b where len(lines) > 0")(
     lambda s, d: (lambda b: texts.extract_tokens(b.where("size(lines) > 0").select("item_id", F.lit("see @{1.1}!").alias("text")), b))(texts.base_texts(_parts(s, d)))

@@ -340,7 +340,7 @@ def test_scalars_over_all_rows(spark, small):
     names = codes.iso639(2)
     langs = {r[0]: r[1] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang").collect()}
     want = {k: v and re.sub(r"\^\^([a-z]{2})", lambda m: names.get(m[1], m[1]), f"in ^^{v}.") for k, v in langs.items()}
-    assert {r[0]: r[1] for r in reference.QUERIES["scalar_iso639_all"](spark, small).collect()} == want
+    assert {r[0]: r[1] for r in reference.QUERIES["scalar_iso639"](spark, small).collect()} == want
     entries = thesaurus.entries_of(spark.read.parquet(f"{small}/thesauri.parquet")).select("thesaurus_id", "ord", "id", "value").collect()
     known = {}
     for t, _, i, v in entries:
