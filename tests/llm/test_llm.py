@@ -104,6 +104,39 @@ def test_price_is_the_best_pattern():
     assert tuple(got.get(k, 0) for k in range(3)) == best[1]
 
 
+def test_table_holds_the_best_worth_of_every_room():
+    sizes, worth = np.array([3, 5, 7, 11]), np.array([3.0, 5.5, 7.1, 11.9])
+    best, taken = packing.table(worth, sizes, 40)
+    for room in range(41):
+        want = max((a * 3 + b * 5.5 + c * 7.1 + d * 11.9 for a in range(14) for b in range(9) for c in range(6) for d in range(4) if 3 * a + 5 * b + 7 * c + 11 * d <= room), default=0)
+        assert best[room] == pytest.approx(want)
+        got, c = 0.0, room
+        while c > 0:
+            got, c = (got + worth[taken[c]], c - int(sizes[taken[c]])) if taken[c] >= 0 else (got, c - 1)
+        assert got == pytest.approx(want)
+
+
+def test_weights_stay_within_counts_and_their_bound_holds():
+    r = np.random.default_rng(3)
+    for sizes in (np.arange(1, 200), np.unique(r.integers(40, 120, 20)), np.array([60]), np.array([35, 41, 47])):
+        counts = r.integers(1, 400, len(sizes))
+        patterns, least = packing.multiplicative(sizes, counts, 120)
+        used = np.zeros(len(sizes), np.int64)
+        for pattern, n in patterns:
+            assert n > 0 and sum(int(sizes[k]) * m for k, m in pattern.items()) <= 120
+            for k, m in pattern.items():
+                used[k] += m * n
+        assert (used <= counts).all()
+        plan = packing.plan(list(zip(sizes.tolist(), counts.tolist())), 120)
+        assert np.ceil(least - 1e-6) <= plan.least <= plan.containers <= plan.first_fit and plan.method
+    assert packing.plan([], 120).containers == 0
+
+
+def test_plan_query(spark, small):
+    row = queries.p9_plan(spark, small).first()
+    assert row.least <= row.containers <= row.first_fit and row.containers == queries.p9_packed(spark, small).where("size > 0").select("container").distinct().count()
+
+
 BAD = [
     "{{title}}", "A device comprising a ${component} and a nut.", "Title goes here", "<TODO: claim 1 text>", "[Insert title here]", "XXX abstract XXX\nmore", "&#123;&#123;title&#125;&#125;", "<insert claim 1 text>  ",
     "A. \n\nAbstract\n____________________\n\nClaims\n1. A nut.", "Text. The page could not be found. Please try again 1ater.", "JavaScript is disabled in your browser.", "Bitte  aktivieren Sie JavaScript,\num diese Seite anzuzeigen.",
