@@ -9,9 +9,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataframe import storage
 from strataframe.functions.predicates import FrameFilter
 
 
@@ -31,31 +32,43 @@ def item_ids(items: DataFrame, f: FrameFilter) -> DataFrame:
     return items.where(f.attributes() & f.until(True) & F.col("_id").isNotNull()).select("_id").distinct()
 
 
+_INSIDE = r'[^"]*+(?:""[^"]*+)*+'
+_FIELDS = rf'(?:(?: *+"{_INSIDE}" *+|[^",]*+),)*+'
+#: a line after which a quoted field is still open, if none was open before it, and if one was
+OPENS = rf'(?s)\A{_FIELDS} *+"{_INSIDE}\z'
+STAYS = rf'(?s)\A(?:{_INSIDE}|{_INSIDE}" *+,{_FIELDS} *+"{_INSIDE})\z'
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, file_no, line_no, raw): the records of CSV files, which may hold line breaks within quotes.
 
-    A file is read whole in one task, as the quotes of a line depend on all lines before it; files are many.
+    Files are split as Spark splits text. A line maps the state before it, within quotes or not, to that after it: it keeps
+    it, turns it or sets it. A run of lines does the same, so each split gives one such map, and a window over the splits of
+    a file tells each in which state it begins. A line with broken quoting ends its record, as in tokenize(). line_no
+    counts records; a final CR stays. No task holds more of a file than a split, but for a record that is longer.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                rows, record, open_ = [], [], False
-                for line in content.decode("utf-8", "replace").split("\n"):
-                    record.append(line)
-                    open_ ^= line.count('"') % 2 == 1
-                    if not open_:
-                        rows.append("\n".join(record))
-                        record = []
-                if record:
-                    rows.append("\n".join(record))
-                if rows and not rows[-1]:
-                    rows.pop()
-                yield pd.DataFrame({"file": p, "line_no": range(1, len(rows) + 1), "raw": rows})
-
-    out = files.mapInPandas(run, "file string, line_no int, raw string")
-    return out.select("file", F.xxhash64("file").alias("file_no"), "line_no", "raw")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("id", F.monotonically_increasing_id())
+    opens, stays = F.col("value").rlike(OPENS), F.col("value").rlike(STAYS)
+    mapped = lines.withColumn("set", F.when(opens == stays, opens.cast("int"))).withColumn("turns", (opens & ~stays).cast("int"))
+    mapped = storage.materialize(mapped, storage.workspace(spark, "lines"))
+    in_block = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    told = mapped.withColumn("t", F.sum("turns").over(in_block))
+    told = told.withColumn("last", F.last(F.when(F.col("set").isNotNull(), F.struct(F.col("set").alias("v"), F.col("t").alias("t"))), True).over(in_block))
+    # of each split, whether its end is set to a state or how often that at its beginning turns
+    ends = told.groupBy("file", "block").agg(F.max_by("last", "id").alias("last"), F.max("t").alias("t"))
+    of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    value = F.when(F.col("last").isNotNull(), F.pmod(F.col("last.v") + F.col("t") - F.col("last.t"), F.lit(2)))
+    blocks = ends.withColumn("v", value).withColumn("turn", F.when(F.col("v").isNull(), F.col("t")).otherwise(0)).withColumn("turned", F.coalesce(F.sum("turn").over(of_file), F.lit(0)))
+    known = F.last(F.when(F.col("v").isNotNull(), F.struct(F.col("v").alias("v"), (F.col("turned") + F.col("turn")).alias("t"))), True).over(of_file)
+    starts = blocks.withColumn("known", known).select(F.col("file").alias("f"), F.col("block").alias("b"), F.pmod(F.coalesce(F.col("known.v"), F.lit(0)) + F.col("turned") - F.coalesce(F.col("known.t"), F.lit(0)), F.lit(2)).alias("begin"))
+    after = F.when(F.col("last").isNotNull(), F.pmod(F.col("last.v") + F.col("t") - F.col("last.t"), F.lit(2))).otherwise(F.pmod(F.col("begin") + F.col("t"), F.lit(2)))
+    placed = told.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).withColumn("after", after)
+    w = Window.partitionBy("file", "block").orderBy("id")
+    fresh = placed.withColumn("new", (F.coalesce(F.lag("after").over(w), F.col("begin")) == 0).cast("int")).withColumn("r", F.sum("new").over(in_block))
+    counts = fresh.groupBy("file", "block").agg(F.max("r").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(of_file), F.lit(0))).select(F.col("file").alias("f"), F.col("block").alias("b"), "before")
+    numbered = fresh.drop("f", "b").join(counts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).withColumn("line_no", (F.col("r") + F.col("before")).cast("int"))
+    records = numbered.groupBy("file", "line_no").agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("ls"))
+    return records.select("file", F.xxhash64("file").alias("file_no"), "line_no", F.array_join(F.transform("ls", lambda x: x["value"]), "\n").alias("raw"))
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}

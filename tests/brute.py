@@ -40,6 +40,23 @@ def csv_record(raw):
         i += 1
 
 
+def quote_is_open(record):
+    """Whether a record, character by character, ends within quotes."""
+    state = "start"
+    for c in record:
+        if state == "start":
+            state = "quoted" if c == '"' else "start" if c in ", " else "plain"
+        elif state == "plain":
+            state = "start" if c == "," else "broken" if c == '"' else "plain"
+        elif state == "quoted":
+            state = "closing" if c == '"' else "quoted"
+        elif state == "closing":
+            state = "quoted" if c == '"' else "start" if c == "," else "after" if c == " " else "broken"
+        elif state == "after":
+            state = "start" if c == "," else "after" if c == " " else "broken"
+    return state == "quoted"
+
+
 def split_sentences(text, marks, newline, trimming):
     """Character by character: a sentence ends after its last mark and the white space beyond, outside parentheses."""
     if not text:

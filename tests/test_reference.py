@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 import re
 import zipfile
 
@@ -469,6 +470,33 @@ def test_readers(spark, tmp_path):
     assert grouped.thesaurus_id == "x@en" and [e.id for e in grouped.entries] == ["alpha", "b"]
 
 
+def test_records_of_split_files(spark, tmp_path):
+    r = random.Random(6)
+    field = lambda: r.choice(["a", "", ' "x, y" ', '"two\nlines"', '"q""q"', '"\n\n"', "b c", 'bro"ken', '"shut" x', "é"])
+    for f in ("p", "q"):
+        records = [",".join(field() for _ in range(r.randint(1, 4))) + r.choice(["", "\r"]) for _ in range(300)]
+        (tmp_path / f"{f}.csv").write_bytes(("\n".join(records) + "\n" + '"open\nto the end').encode())
+    want = {}
+    for f in ("p", "q"):
+        record, out = [], []
+        for line in (tmp_path / f"{f}.csv").read_bytes().decode().split("\n"):
+            record.append(line)
+            if brute.quote_is_open("\n".join(record)):
+                continue
+            out.append("\n".join(record))
+            record = []
+        out += ["\n".join(record)] if record else []
+        want |= {(f, i + 1): x for i, x in enumerate(out)}
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "1000", kept):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {(x.file.rsplit("/", 1)[1][0], x.line_no): x.raw for x in readers.csv_records(spark, f"{tmp_path}/*.csv").collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_commands(spark, small, tmp_path):
     cli.run(spark, ["dump", small, f"{tmp_path}/d", "--max-per-file", "10", "--no-deleted"])
     docs = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/d", wholetext=True).collect()]
