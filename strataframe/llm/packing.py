@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: rounds of column generation times sizes
+WORK = 400_000
+
+
 def price(worth: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
     """The multiset of sizes of greatest total worth within capacity, of each at most its limit, by dynamic programming."""
     lots: list[tuple[int, int]] = []  # a limit n as lots of 1, 2, 4, ... and a rest, each taken or not
@@ -83,7 +87,7 @@ def multiplicative(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
             break
         worth = prior[alive] * np.exp(rate * (left[alive] / counts[alive] - 1)) * jitter.uniform(1 - slack, 1, len(alive))
         best, taken = table(worth, sizes[alive], capacity)
-        least = max(least, float(worth @ counts[alive]) / best[capacity])
+        least = max(least, float((worth * counts[alive]).sum()) / best[capacity])
         quota = max(1, int(np.ceil((sizes * left).sum() / capacity / (rounds - r))))
         most = np.minimum(left, np.ceil(step * counts).astype(np.int64))  # what a round may use of a size
         filled = 0
@@ -160,28 +164,33 @@ def covering(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int)
 
     A basis of one pattern a size starts with each size alone; its prices go to the dynamic program, and the pattern of
     greatest worth enters. Prices divided by that worth are a solution of the dual, so they bound the containers from
-    below: it ends when the bound, rounded up, reaches the program's value, or after so many rounds, with the bound so far.
+    below: it ends when the bound, rounded up, reaches the program's value, when 200 rounds brought nothing, or after so many
+    rounds, the fewer the more sizes there are, with the bound so far.
     """
     m = len(sizes)
     most = np.minimum(counts, capacity // sizes)
     patterns: list[dict[int, int]] = [{k: int(most[k])} for k in range(m)]
     inverse = np.diag(1 / most.astype(float))
     x = counts / most
-    least = float((sizes * counts).sum()) / capacity
-    for i in range(rounds):
-        if i % 500 == 499:  # rounding errors of the updates
-            basis = np.zeros((m, m))
-            for j, p in enumerate(patterns):
-                basis[list(p), j] = list(p.values())
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(0, inverse @ counts)
+    least, value, since = float((sizes * counts).sum()) / capacity, np.inf, 0
+    for i in range(min(rounds, max(200, WORK // m))):
+        since = 0 if x.sum() < value * (1 - 1e-7) else since + 1
+        value = min(value, float(x.sum()))
+        if since > 200:
+            break
+        if i % 500 == 499:  # rounding errors of the updates: what the numbers leave of the counts is solved for once more
+            rest = counts.astype(float)
+            for p, n in zip(patterns, x.tolist()):
+                for k, many in p.items():
+                    rest[k] -= many * n
+            x = np.maximum(0, x + (inverse * rest).sum(axis=1))
         y = np.maximum(0, inverse.sum(axis=0))
         pattern = price(y, sizes, most, capacity)
         worth = sum(float(y[k]) * n for k, n in pattern.items())
-        least = max(least, float(y @ counts) / max(1.0, worth))
+        least = max(least, float((y * counts).sum()) / max(1.0, worth))
         if worth <= 1 + 1e-9 or np.ceil(least - 1e-6) >= np.ceil(x.sum() - 1e-6):
             break
-        d = inverse[:, list(pattern)] @ np.array(list(pattern.values()), float)
+        d = (inverse[:, list(pattern)] * np.array(list(pattern.values()), float)).sum(axis=1)  # no threads of a linear algebra library
         ok = d > 1e-9
         if not ok.any():
             break
